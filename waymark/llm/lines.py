@@ -4,8 +4,8 @@ Two lines within ``tau`` edits share one of the ``tau + 1`` even segments of the
 equal partner at nearly the same place: edits cannot touch all segments.  Every distinct
 line is indexed by its segments under their length and number, and probes the indexes of the
 lengths it could match with the substrings that the multi-match-aware rule allows (the shift
-of a segment is bounded by the edits to its left and to its right).  Candidates that share a
-substring are verified by a banded bit-parallel edit distance over a band of ``2 tau + 1``
+of a segment is bounded by the edits to its left and to its right).  Lines that share a
+substring are candidates if their letter counts can be that near, and are verified by a banded bit-parallel edit distance over a band of ``2 tau + 1``
 diagonals, folded over the characters with bit operations.
 
 A line is every part of a text between line feeds that is not blank; blank lines are kept as
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.scratch import drop, materialize, release
+from waymark.llm.scratch import drop, materialize, parallelism, release
 
 #: Candidate lines up to this many are broadcast to the second scan (24 bytes each); more are joined by key.
 BROADCAST_LINES = 1_000_000
@@ -38,39 +38,56 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ..
 def _occurrences(documents: DataFrame) -> DataFrame:
     """Every non-blank line: doc (null ids last), row, line number and text."""
     lines = documents.where("text is not null").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.rtrim(F.translate("line", "\t\x0b\x0c\r", "    ")) != "")
+    return lines.where(~_blank(F.col("line")))
 
 
-def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
-    """(first position from 1, length) of the even segments; the last ones are the longer."""
+def _blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" \t\x0b\x0c\r")) == ""
+
+
+def _key(tau: int, less: Column, i: Column, shift: Column) -> Column:
+    """Key of the substring that segment ``i`` of a line ``less`` characters shorter would have ``shift`` to the right; null outside the line."""
     parts = tau + 1
-    short = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")
-    out, start = [], F.lit(1)
-    for i in range(parts):
-        size = short + F.when(F.lit(parts - i) <= longer, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
-
-
-def _index(tau: int) -> Column:
-    n = F.col("n")
-    return F.array(*[F.xxhash64(F.lit(i), n, F.substring("line", s, z)) for i, (s, z) in enumerate(_segments(n, tau))])
-
-
-def _probes(tau: int) -> Column:
-    """Keys under which this line looks up lines of its length and up to ``tau`` shorter."""
-    n, keys = F.col("n"), []
-    for less in range(tau + 1):
-        length = n - less
-        for i, (s, z) in enumerate(_segments(length, tau)):
-            # Left of segment i there are at most i edits, right of it at most tau - i.
-            for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-                at = s + shift
-                fits = (at >= 1) & (at + z - 1 <= n)
-                keys.append(F.when(fits, F.xxhash64(F.lit(i), length, F.substring("line", at, z))))
-    return F.array(*keys)
+    length = F.col("n") - less
+    short = F.call_function("div", length, F.lit(parts)).cast("int")
+    longer_from = parts - (length % parts).cast("int")
+    size = short + F.when(i >= longer_from, 1).otherwise(0)
+    at = i * short + F.greatest(i - longer_from, F.lit(0)) + 1 + shift
+    return F.when((at >= 1) & (at + size - 1 <= F.col("n")), F.xxhash64(i, length, F.substring("line", at, size)))
+
+
+def _rules(tau: int) -> list[tuple[int, int, int]]:
+    """(less, segment, shift) of the multi-match-aware selection: at most i edits left of segment i, and tau - i right of it."""
+    return [(less, i, shift) for less in range(tau + 1) for i in range(tau + 1) for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1)]
+
+
+def _keyed(lines: DataFrame, tau: int, rules: list[tuple[int, int, int]], name: str) -> DataFrame:
+    rule = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for a, i, s in rules])
+    dealt = lines.select("line", "n", "lid", "letters", F.explode(rule).alias("r"))
+    return dealt.select(_key(tau, F.col("r.less"), F.col("r.i"), F.col("r.shift")).alias("key"), F.col("lid").alias(name), F.when(F.col("r.less") > 0, F.col("letters").bitwiseOR(F.lit(_SHORTER))).otherwise(F.col("letters")).alias(f"letters_{name}")).where("key is not null")
+
+
+#: Frequent letters of European languages; any letters would do.
+LETTERS = "eanitorshdlu"
+
+
+#: Set beside the letters of a probe for shorter lines; lines of one length meet both ways, and one is enough.
+_SHORTER = 1 << (4 * len(LETTERS))
+
+
+def _letters(line: Column) -> Column:
+    """How often each of those letters occurs, modulo 16, in four bits each."""
+    bytes_ = F.octet_length(line)
+    return sum((F.shiftleft((bytes_ - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long"), 4 * k) for k, c in enumerate(LETTERS)), F.lit(0).cast("long"))
+
+
+def _letters_apart(a: Column, b: Column) -> Column:
+    """Sum of the (circular) differences: an edit changes it by two at most."""
+    total = F.lit(0)
+    for k in range(len(LETTERS)):
+        d = (F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k)).bitwiseAND(F.lit(15))
+        total = total + F.least(d, 16 - d)
+    return total
 
 
 def banded_distance(a: Column, b: Column, tau: int) -> Column:
@@ -87,7 +104,7 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     # Rows before the first and after the last character of a match nothing.
     rows = F.concat(F.array_repeat(F.lit(""), tau), F.slice(F.split(a, ""), F.lit(1), m), F.array_repeat(F.lit(""), 2 * width), none)
 
-    def step(s: Column, c: Column) -> Column:
+    def step(rows: Column, s: Column, c: Column) -> Column:
         j, vp, vn = s["j"], s["vp"], s["vn"]
         # Bit k stands for row j - tau + k, counted from 0.
         x = vn
@@ -96,7 +113,7 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
         d0 = ((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseAND(mask)
         return F.struct(j.alias("j"), vp.alias("vp"), vn.alias("vn"), d0.alias("d0"), s["score"].alias("score"))
 
-    def move(s: Column) -> Column:
+    def move(m: Column, s: Column) -> Column:
         j, vp, vn, d0 = s["j"], s["vp"], s["vn"], s["d0"]
         hp = vn.bitwiseOR(F.bitwise_not(vp.bitwiseOR(d0)).bitwiseAND(mask))
         hn = d0.bitwiseAND(vp)
@@ -114,9 +131,12 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
 
     zero = F.lit(0).cast("long")
     start = F.struct(F.lit(0).alias("j"), F.lit(((1 << width) - 1) & ~((1 << tau) - 1)).cast("long").alias("vp"), zero.alias("vn"), zero.alias("d0"), F.lit(tau).cast("long").alias("score"))
-    # transform over a single element binds the state once between the two halves of a step.
-    fold = F.aggregate(F.slice(F.split(b, ""), F.lit(1), n), start, lambda s, c: F.transform(F.array(step(s, c)), move)[0])
-    return fold["score"]
+    # transform over a single element binds a value once: the rows for the whole fold, the state between the halves of a step.
+    def fold(side: Column) -> Column:
+        chars = F.slice(F.split(b, ""), F.lit(1), n)
+        return F.aggregate(chars, start, lambda s, c: F.transform(F.array(step(side["rows"], s, c)), lambda t: move(side["m"], t))[0])["score"]
+
+    return F.transform(F.array(F.struct(rows.alias("rows"), m.alias("m"))), fold)[0]
 
 
 def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -127,13 +147,18 @@ def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id"
     spark = docs.sparkSession
     documents = _documents(docs, id_col, text_col)
     lid = F.xxhash64("line").alias("lid")
-    distinct = _occurrences(documents).groupBy("line").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"))
-    firsts = materialize(distinct.select(lid, F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no")), "lines-first")
+    occurrences = _occurrences(documents)
+    first = occurrences.groupBy(lid).agg(F.min(F.struct("doc", "row", "line_no")).alias("first"))
+    firsts = materialize(first.select("lid", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no")), "lines-first")
+    release(spark)
 
-    lines = distinct.select("line", lid, F.length("line").alias("n")).where(F.col("n") >= max(min_chars, 2 * tau + 1))
-    indexed = lines.select(F.explode(_index(tau)).alias("key"), F.col("lid").alias("a"))
-    probing = lines.select(F.explode(F.array_distinct(_probes(tau))).alias("key"), F.col("lid").alias("b")).where("key is not null")
-    pairs = indexed.join(probing, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    measured = occurrences.select("line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"))
+    lines = measured.where(F.col("n") >= max(min_chars, 2 * tau + 1)).distinct().select("line", "n", "letters", lid)
+    indexed = _keyed(lines, tau, [(0, i, 0) for i in range(tau + 1)], "a")
+    probing = _keyed(lines, tau, _rules(tau), "b")
+    # Lines that share a segment but differ by whole words are told apart before they become pairs.
+    met = indexed.join(probing, (indexed["key"] == probing["key"]) & ((F.col("a") < F.col("b")) | (F.col("a") != F.col("b")) & (F.col("letters_b") >= _SHORTER)) & (_letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * tau))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "lines-pairs")
     release(spark)
 
@@ -145,6 +170,8 @@ def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id"
     left = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
     right = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
     both = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("line_a") - F.length("line_b")) <= tau)
+    # Verification is long work on few bytes: spread it over all tasks.
+    both = both.repartition(parallelism(spark), "a", "b")
     close = both.where(banded_distance(F.col("line_a"), F.col("line_b"), tau) <= tau)
     links = materialize(close.select("a", "b", (F.col("first_a") < F.col("first_b")).alias("a_first")), "lines-links")
     drop(texts)
@@ -168,10 +195,9 @@ def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     before = F.concat(F.array(F.lit(-1)), F.slice(keep, 1, F.greatest(F.size(keep) - 1, F.lit(0))))
     ones = F.flatten(F.zip_with(keep, before, lambda x, p: F.when(x.isNotNull(), F.concat(F.array_repeat(F.lit(0), x - p - 1), F.array(F.lit(1)))).otherwise(F.array().cast("array<int>"))))
     flags = F.concat(ones, F.array_repeat(F.lit(0), F.size("all_lines") - F.size(ones)))
-    blank = lambda x: F.rtrim(F.translate(x, "\t\x0b\x0c\r", "    ")) == ""
     marked = joined.withColumn("all_lines", lines).withColumn("flags", flags)
-    stays = F.zip_with("all_lines", "flags", lambda x, f: F.when((f == 1) | blank(x), x))
-    out = marked.withColumn("stays", F.filter(stays, lambda x: x.isNotNull())).withColumn("n_lines", F.coalesce(F.size(F.filter("all_lines", lambda x: ~blank(x))), F.lit(0)))
+    stays = F.zip_with("all_lines", "flags", lambda x, f: F.when((f == 1) | _blank(x), x))
+    out = marked.withColumn("stays", F.filter(stays, lambda x: x.isNotNull())).withColumn("n_lines", F.coalesce(F.size(F.filter("all_lines", lambda x: ~_blank(x))), F.lit(0)))
     return out.select(
         "doc_id",
         F.when(F.col("text").isNotNull(), F.array_join("stays", "\n")).alias("text"),

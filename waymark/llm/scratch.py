@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +53,10 @@ def drop(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs before the next job writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # references of Python to the JVM go in the first round, what they held in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def parallelism(spark: SparkSession) -> int:
