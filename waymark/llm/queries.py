@@ -77,7 +77,7 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (
   SELECT doc_id, i AS s, array_to_string(ws[i : i + 19], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS i FROM w)),
 dup AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, s) > 1),
