@@ -7,7 +7,7 @@ training, and the nearest codeword wins.  The score is the winner's share of the
 exponentiated negative losses; a text is ambiguous when the runner-up is close.
 
 The classifiers are fitted on a bounded sample of the training rows (``max_train``
-documents, those with the smallest hash of their text); prediction covers every text as a whole.
+documents, those with the smallest hash of their id); prediction covers every text as a whole.
 
 Nulls, empty texts and texts with no letter are ``und`` with score 0.  Rows with a null
 language do not train.  Ties between codewords go to the first language in sorted order.
@@ -105,7 +105,11 @@ class OutputCode:
 
 
 def fit(training: DataFrame, max_train: int) -> OutputCode | None:
-    """``training``: text and lang.  At most ``max_train`` vectors reach the driver."""
+    """``training``: doc_id, text and lang.  At most ``max_train`` vectors reach the driver.
+
+    Rows are drawn by a hash of their id; a first cut keeps about twice as many as needed, so
+    that the exact choice gathers no more texts however large the table.
+    """
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -113,7 +117,10 @@ def fit(training: DataFrame, max_train: int) -> OutputCode | None:
             yield pd.DataFrame({"lang": b["lang"].iloc[keep].to_numpy(), "v": [ngram_vector(t).astype(np.float32).tobytes() for t in b["text"].iloc[keep]]})
 
     rows = training.where("text is not null and lang is not null")
-    sample = rows.orderBy(F.xxhash64("text"), "lang").limit(max_train) if max_train else rows
+    share = 2 * max_train / max(rows.count(), 1)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
+    drawn = rows if share >= 1 else rows.where(draw < int(share * (1 << 30)))
+    sample = drawn.orderBy(draw, "doc_id", "lang").limit(max_train)
     got = sorted((r["lang"], bytes(r["v"])) for r in sample.mapInPandas(vectors, "lang string, v binary").collect())
     if not got:
         return None
@@ -135,7 +142,7 @@ def identify(
     """doc_id, held_out, the columns named by ``carry`` (the text may be one), lang_pred, score, ambiguous."""
     doc_id = F.col(id_col).cast("long")
     held = F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == held_fold, F.lit(False))
-    training = docs.where(~held & doc_id.isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    training = docs.where(~held & doc_id.isNotNull()).select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = fit(training, max_train)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
