@@ -103,7 +103,7 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
             for t in b["text"]:
                 if isinstance(t, str):
                     seen.update(vocabulary.intersection(terms(t)))
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+        yield pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
 
     # At most one row for each term of the templates reaches the driver.
     counted = {r["term"]: r["n"] for r in picked.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
@@ -123,7 +123,7 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
                 best = min(found, key=lambda m: (-round(m[1], 9), m[0]), default=(None, None))
                 how = None if best[0] is None else "file" if is_file else "header"
                 rows.append((doc_id, path if isinstance(path, str) else None, *best, how))
-            yield pd.DataFrame(rows, columns=["doc_id", "path", "license", "score", "how"]).astype({"doc_id": "Int64", "score": "float64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "path", "license", "score", "how"]).astype({"doc_id": "Int64", "path": object, "license": object, "score": "float64", "how": object})
 
     own = materialize(picked.mapInPandas(match, "doc_id long, path string, license string, score double, how string"), "licenses")
     own = own.withColumn("dir", F.when(F.col("path").isNotNull(), F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise("")))
