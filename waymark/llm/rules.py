@@ -32,6 +32,8 @@ P = len(TRANSFORMED)
 FLOOR = (0.12, 0.5, 0.15, 0.15, 0.1, 0.25)
 #: The 0.9999 quantile of chi-square with six degrees of freedom.
 CUT = 27.86
+#: Groups up to this many are broadcast (at most 400 bytes each); more are joined by key.
+BROADCAST_GROUPS = 50_000
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
@@ -119,16 +121,17 @@ def quality_rules(
         "g0",
         F.when(F.col("count") >= min_group, F.col("g0")).when(F.col("in_lang") >= min_group, _group(F.col("lang"), F.lit("\u0003"))).otherwise(F.lit("\u0003")).alias("g"),
     )
-    # One row per language and source: joined by key, and broadcast by Spark only when measured small.
     groups = materialize(groups, "rules-groups")
-    good = good.join(groups, "g0").select("g", "x")
+    # A hot group must not gather in one task: tables with a row for each group are broadcast up to a bound.
+    small = F.broadcast if groups.count() <= BROADCAST_GROUPS else (lambda df: df)
+    good = good.join(small(groups), "g0").select("g", "x")
 
     # Start: the plain moments with each value clipped far from the group's rough middle do not matter; steps correct them.
     estimate = materialize(_estimates(_sums(good)), "rules-estimate")
     share = Window.partitionBy("g")
     upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(steps):
-        placed = good.join(estimate, "g").select("g", "x", F.floor(F.log2(_distance() + 1e-6) * 64).cast("int").alias("bin"))
+        placed = good.join(small(estimate), "g").select("g", "x", F.floor(F.log2(_distance() + 1e-6) * 64).cast("int").alias("bin"))
         binned = placed.groupBy("g", "bin").count()
         reach = (
             binned.withColumn("total", F.sum("count").over(share))
@@ -137,11 +140,11 @@ def quality_rules(
             .groupBy("g")
             .agg(F.min("bin").alias("reach"))
         )
-        near = placed.join(reach, "g").where(F.col("bin") <= F.col("reach")).select("g", "x")
+        near = placed.join(small(reach), "g").where(F.col("bin") <= F.col("reach")).select("g", "x")
         estimate = materialize(_estimates(_sums(near)), "rules-estimate")
 
     # Groups all of whose documents fail the base rules have no estimate and need none.
-    judged = table.join(groups, "g0", "left").join(estimate, "g", "left")
+    judged = table.join(small(groups), "g0", "left").join(small(estimate), "g", "left")
     distance = F.when(~F.col("base_failed"), _distance())
     return judged.withColumn("distance2", distance).select(
         "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(False))).alias("kept"), F.round("distance2", 6).alias("distance2")
