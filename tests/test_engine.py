@@ -131,6 +131,19 @@ def test_import_restriction_and_barrier(spark):
     assert len([r for r in costs if r.vertex_id == 2]) == 2 and len([r for r in costs if r.vertex_id == 1]) == 2
 
 
+def test_instructions_turn_and_roundabout():
+    from waymark.operators.instructions import TEXTS, Line, scan, text
+
+    a, b = {"name": "A"}, {"name": "B"}
+    r = Line([(0.0, 0.0), (0.001, 0.0), (0.001, -0.001), (0.001, -0.002)], [a, b, b, b])
+    found = scan(r)
+    assert [f[0] for f in found] == ["start", "turn", "end"]
+    assert found[1][3] == -90 and text(r, found[1], TEXTS["en"]) == "Turn right onto B" and text(r, found[1], TEXTS["nl"]) == "Sla rechtsaf naar B"
+    ring = {"junction": "roundabout"}
+    r = Line([(0.0, 0.0), (0.001, 0.0), (0.0012, 0.0002), (0.0014, 0.0), (0.002, 0.0)], [a, ring, ring, b, b], {2: [(0.0012, 0.001)]})
+    assert [f for f in scan(r) if f[0] == "roundabout"][0][4] == {"exit": "2"}
+
+
 def test_queries_match_sql_on_small_tables(spark):
     duckdb = pytest.importorskip("duckdb")
     from waymark.plans.queries import ORACLES, QUERIES

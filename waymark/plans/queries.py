@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import attributes, geo
-from waymark.operators import graph, routes, routing
+from waymark.operators import graph, instructions, routes, routing
 from waymark.operators.profiles import BICYCLE, CAR, CAR_SHORT, PEDESTRIAN, edge_factors
 from waymark.sources import geojson
 from waymark.storage import Network
@@ -149,13 +149,21 @@ def route_alternatives(spark, sf_dir):
     return routing.routes(arcs, od, alternatives=3).select("query_id", "rank", F.round("cost", 3).alias("cost"))
 
 
-def built_routes(spark, sf_dir):
+def _built(spark, sf_dir):
     n, arcs, od = _od_paths(spark, sf_dir)
     on_path = routes.path_edges(routing.routes(arcs, od).where("error is null"))
     shaped = graph.full_shape(n.edges, n.vertices).select("edge_id", "points", "attrs", "length_cm")
     speeds = n.edges.select("edge_id", *CAR.factors(F.col("attrs"))[2:4])
-    out = routes.build(routes.pieces(on_path, shaped, speeds))
-    return out.select("query_id", F.size("shape").alias("n_points"), F.size("meta").alias("n_edges"), F.round("total_distance", 3).alias("metres"), F.round("total_time", 3).alias("seconds"))
+    return routes.build(routes.pieces(on_path, shaped, speeds))
+
+
+def built_routes(spark, sf_dir):
+    return _built(spark, sf_dir).select("query_id", F.size("shape").alias("n_points"), F.size("meta").alias("n_edges"), F.round("total_distance", 3).alias("metres"), F.round("total_time", 3).alias("seconds"))
+
+
+def route_instructions(spark, sf_dir):
+    out = instructions.instructions(_built(spark, sf_dir), languages=("en", "nl"))
+    return out.select("query_id", "seq", "type", "shape_idx", "turn_degrees", F.col("texts")["en"].alias("text_en"), F.col("texts")["nl"].alias("text_nl"))
 
 
 def route_branches(spark, sf_dir):
@@ -176,7 +184,7 @@ def network_geojson(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, box_search, snap_vertices, snap_edges, route_paths, route_alternatives, built_routes, route_branches, small_islands, network_geojson)
+    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, box_search, snap_vertices, snap_edges, route_paths, route_alternatives, built_routes, route_instructions, route_branches, small_islands, network_geojson)
 }
 
 _DIST = "sqrt(pow(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), 2) + pow(radians({b}.lat - {a}.lat), 2)) * 6371000"
