@@ -9,6 +9,7 @@ go to fewer arcs, then smaller arc ids.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,12 @@ class Compact:
         self.at = {int(a): k for k, a in enumerate(self.arc)}
         self.barred = set() if forbidden is None else set(forbidden[["vertex_id", "from_edge", "to_edge"]].itertuples(index=False, name=None))
 
-    def search(self, starts: list[tuple[float, int]], wanted: set[int] | None = None, limit: float | None = None, penalty: dict[int, float] | None = None) -> dict[int, tuple[float, int, int]]:
-        """Settled arcs: index -> (cost at its end, previous index or -1, arcs on the path)."""
+    def search(self, starts: list[tuple[float, int]], wanted: set[int] | None = None, limit: float | None = None, penalty: dict[int, float] | None = None, goals: list[tuple[int, int, float]] = ()) -> dict[int, tuple[float, int, int]]:
+        """Settled arcs: index -> (cost at its end, previous index or -1, arcs on the path).
+
+        ``goals`` (vertex, edge, cost on that edge) end the search once nothing cheaper can reach any of them.
+        """
+        bound = math.inf
         heap = [(c, 1, int(self.arc[k]), k, -1) for c, k in starts]
         heapq.heapify(heap)
         done: dict[int, tuple[float, int, int]] = {}
@@ -43,6 +48,8 @@ class Compact:
         to, cost, arc, first, barred = self.to, self.cost, self.arc, self.first, self.barred
         while heap:
             c, hops, _, k, previous = heapq.heappop(heap)
+            if c > bound:
+                break
             if k in done or limit is not None and c > limit:
                 continue
             done[k] = (c, previous, hops)
@@ -51,6 +58,9 @@ class Compact:
                 if not left:
                     break
             v, edge = int(to[k]), int(arc[k]) >> 1
+            for goal, into, extra in goals:
+                if goal == v and into != edge and (v, edge, into) not in barred:
+                    bound = min(bound, c + extra)
             a, b = first.get(v, (0, 0))
             for n in range(a, b):
                 other = int(arc[n]) >> 1
@@ -90,7 +100,8 @@ def arc_tree(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None =
                 done = g.search([(int(g.cost[k]), k) for k in range(a, z)])
                 yield pd.DataFrame({"source": v, "arc_id": [int(g.arc[k]) for k in done], "cost": [int(x[0]) for x in done.values()], "prev_arc": pd.array([int(g.arc[x[1]]) if x[1] >= 0 else None for x in done.values()], "Int64")})
 
-    return sources.select(F.col("source").cast("long")).distinct().mapInPandas(run, "source long, arc_id long, cost long, prev_arc long")
+    asked = sources.select(F.col("source").cast("long")).distinct().repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source")
+    return asked.mapInPandas(run, "source long, arc_id long, cost long, prev_arc long")
 
 
 def relax_arcs(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
@@ -151,7 +162,7 @@ def routes(arcs: DataFrame, queries: DataFrame, forbidden: DataFrame | None = No
                     option = ((e - s) * price(k), 1, [int(g.arc[k])], s, e)
                     best = option if best is None or option[:3] < best[:3] else best
         if sources and targets:
-            done = g.search([((1 - s) * price(k), k) for k, s in sources], limit=max_cost, penalty=penalty)
+            done = g.search([((1 - s) * price(k), k) for k, s in sources], limit=max_cost, penalty=penalty, goals=[(int(g.start[t]), int(g.arc[t]) >> 1, e * price(t)) for t, e in targets])
             behind = dict(sources)
             for t, e in targets:
                 v, edge = int(g.start[t]), int(g.arc[t]) >> 1
@@ -189,6 +200,8 @@ def routes(arcs: DataFrame, queries: DataFrame, forbidden: DataFrame | None = No
                 rows += [(q.query_id, k, float(p[0]), p[2], int(round(p[3] * OFFSET_MAX)), int(round(p[4] * OFFSET_MAX)), None) for k, p in enumerate(kept)]
             yield pd.DataFrame(rows, columns=["query_id", "rank", "cost", "path", "offset1", "offset2", "error"]).astype({"offset1": "Int32", "offset2": "Int32"})
 
+    # Searches are long work on few bytes: spread them over all tasks.
+    picked = picked.repartition(int(picked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
     return picked.mapInPandas(run, f"query_id {picked.schema['query_id'].dataType.simpleString()}, rank int, cost double, path array<long>, offset1 int, offset2 int, error string")
 
 
