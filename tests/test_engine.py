@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import graph, mutate, routes, routing
+from waymark.operators import graph, mutate, places, routes, routing
 from waymark.operators.profiles import BICYCLE, CAR
 from waymark.sources import osm
 from waymark.storage import Network, read_snapshot, write_snapshot
@@ -160,3 +160,53 @@ def test_queries_match_sql_on_small_tables(spark):
         assert cols == sorted(b.columns), name
         rows = lambda d: sorted(map(tuple, d[cols].astype(object).values.tolist()), key=repr)  # noqa: E731, B023
         assert rows(a) == rows(b), name
+
+
+def test_forbidden_sequences(spark):
+    """A turn that is forbidden after a certain edge is open to others, and a detour that loses the history is found."""
+    arcs = arcs_of(spark, [(1, 0, 1, 1), (2, 1, 2, 1), (3, 2, 3, 1), (4, 9, 1, 1), (5, 0, 9, 5)])
+    bar = spark.createDataFrame([(2, 2, 3, [1])], "vertex_id long, from_edge long, to_edge long, prefix array<long>")
+    r = route(spark, arcs, (1, 0, 3, 65535, None, None), bar)[0]
+    # Leaving edge 1 backwards over 5 and 4 comes to edge 2 with another edge behind.
+    assert r.cost == 8.0 and [a >> 1 for a in r.path] == [1, 5, 4, 2, 3]
+    assert route(spark, arcs, (4, 0, 3, 65535, True, None), bar)[0].cost == 3.0
+    tree = {x.arc_id: x.cost for x in routing.arc_tree(arcs, spark.createDataFrame([(0,)], "source long"), bar).collect()}
+    assert tree[4] == 2 and tree[6] == 5 + 1 + 1 + 1
+    with pytest.raises(ValueError):
+        routing.relax_arcs(arcs, spark.createDataFrame([(0,)], "source long"), bar)
+
+
+def test_places_and_elevation(spark):
+    edges = spark.createDataFrame([(1, 10, 11, {"highway": "residential", "oneway": "yes"}), (2, 11, 12, {"highway": "steps"})], "edge_id long, tail long, head long, attrs map<string,string>")
+    at = spark.createDataFrame([(7, 11)], "query_id long, vertex_id long")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(places.from_vertices(at, edges)) == [(7, 1, 65535), (7, 2, 0)]
+    assert rows(places.from_vertices(at, edges, CAR)) == []
+    assert rows(places.from_vertices(at, edges, CAR, departure=False)) == [(7, 1, 65535)]
+    asked = spark.createDataFrame([(1, 1, 5, True), (2, 1, 5, False), (3, 9, 5, True)], "query_id long, edge_id long, offset int, forward boolean")
+    assert [r[3] for r in rows(places.from_edges(asked, edges, CAR))] == [None, "edge cannot be used in that direction", "edge not found"]
+
+    line = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((4.0, 51.0), (4.0, 51.001), (4.001, 51.001))])
+    angle = lambda offset: places.angle(line, F.lit(offset), geo.line_length(line))
+    got = spark.range(1).select(angle(0), angle(65535), places.direction(F.lit(10.0), F.lit(350.0), 30.0), places.direction(F.lit(10.0), F.lit(180.0), 30.0), places.direction(F.lit(10.0), F.lit(90.0), 30.0)).first()
+    assert abs(got[0]) < 1e-6 and abs(got[1] - 90) < 1e-6 and list(got)[2:] == [True, False, None]
+
+    points = spark.createDataFrame([(1, 4.05, 51.05, None), (2, 4.05, 51.05, 3.0), (3, 9.0, 51.0, None)], "id long, lon double, lat double, ele float")
+    raster = spark.createDataFrame([(40, 510, 12.0)], "cell_x long, cell_y long, ele float")
+    assert [(r.id, r.ele) for r in places.add_elevation(points, raster, step=0.1, estimate=-1.0).orderBy("id").collect()] == [(1, 12.0), (2, 3.0), (3, -1.0)]
+
+
+def test_augmented_metas(spark):
+    from waymark.operators import instructions
+
+    shape = [(4.0, 51.0), (4.0, 51.001), (4.0, 51.002), (4.0, 51.003)]
+    built = spark.createDataFrame(
+        [(1, shape, [(2, 5, True, '{"name":"a"}', 222.0, 20.0), (3, 6, True, '{"name":"b"}', 111.0, 11.0)])],
+        "query_id long, shape array<struct<lon:double,lat:double>>, meta array<struct<shape_idx:int,edge_id:long,forward:boolean,attrs:string,metres:double,seconds:double>>",
+    )
+    found = spark.createDataFrame([(1, 0, 1, {"en": "Start"}), (1, 1, 3, {"en": "End"})], "query_id long, seq int, shape_idx_end int, texts map<string,string>")
+    meta = instructions.augment(built, found).first().meta
+    assert [(m.shape_idx, m.edge_id) for m in meta] == [(1, 5), (2, 5), (3, 6)]
+    assert [eval(m.attrs) for m in meta] == [{"name": "a", "instruction:en": "Start"}, {"name": "a", "instruction:en": "End"}, {"name": "b", "instruction:en": "End"}]
+    assert abs(meta[0].metres - 111.2) < 0.1 and abs(meta[0].seconds - 10.0) < 0.1
+    assert [m.shape_idx for m in instructions.augment(built, found.limit(0)).first().meta] == [2, 3]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,26 +122,35 @@ def line_length(points: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, d: s + d)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once and named once in the plan: a transform over a single element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def along(points: Column, share: Column) -> Column:
     """Point at ``share`` (0 to 1) of the length of a line."""
-    total = line_length(points)
-    start = F.struct(F.lit(0.0).alias("done"), points[0]["lon"].alias("lon"), points[0]["lat"].alias("lat"), points[0]["lon"].alias("x"), points[0]["lat"].alias("y"))
-
-    def step(s: Column, p: Column) -> Column:
-        d = distance(s["x"], s["y"], p["lon"], p["lat"])
-        want = total * share - s["done"]
-        here = (want >= 0) & (want <= d) & (d > 0)
-        beyond = want > d
-        return F.struct(
-            (s["done"] + d).alias("done"),
-            F.when(here, s["x"] + (p["lon"] - s["x"]) * want / d).when(beyond, p["lon"]).otherwise(s["lon"]).alias("lon"),
-            F.when(here, s["y"] + (p["lat"] - s["y"]) * want / d).when(beyond, p["lat"]).otherwise(s["lat"]).alias("lat"),
-            p["lon"].alias("x"),
-            p["lat"].alias("y"),
-        )
-
-    end = F.aggregate(points, start, step)
-    return F.struct(end["lon"].alias("lon"), end["lat"].alias("lat"))
+
+    def step(target: Column, s: Column, p: Column) -> Column:
+        def move(m: Column) -> Column:
+            here = (m["want"] >= 0) & (m["want"] <= m["d"]) & (m["d"] > 0)
+            beyond = m["want"] > m["d"]
+            return F.struct(
+                (s["done"] + m["d"]).alias("done"),
+                F.when(here, s["x"] + (p["lon"] - s["x"]) * m["want"] / m["d"]).when(beyond, p["lon"]).otherwise(s["lon"]).alias("lon"),
+                F.when(here, s["y"] + (p["lat"] - s["y"]) * m["want"] / m["d"]).when(beyond, p["lat"]).otherwise(s["lat"]).alias("lat"),
+                p["lon"].alias("x"),
+                p["lat"].alias("y"),
+            )
+
+        return bind(F.struct(distance(s["x"], s["y"], p["lon"], p["lat"]).alias("d"), (target - s["done"]).alias("want")), move)
+
+    def walk(t: Column) -> Column:
+        first = t["points"][0]
+        start = F.struct(F.lit(0.0).alias("done"), first["lon"].alias("lon"), first["lat"].alias("lat"), first["lon"].alias("x"), first["lat"].alias("y"))
+        return F.aggregate(t["points"], start, lambda s, p: step(t["target"], s, p))
+
+    end = bind(F.struct(points.alias("points"), (line_length(points) * share).alias("target")), walk)
+    return bind(end, lambda e: F.struct(e["lon"].alias("lon"), e["lat"].alias("lat")))
 
 
 # Tiles of the Web Mercator grid.

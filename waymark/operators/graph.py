@@ -29,19 +29,32 @@ def cost_arcs(edges: DataFrame, profile: Profile) -> DataFrame:
 
 
 def forbidden_turns(turn_costs: DataFrame, profile: Profile) -> DataFrame:
-    """(vertex_id, from_edge, to_edge) that the profile must not take."""
-    if profile.forbids is None:
-        return turn_costs.limit(0).select("vertex_id", "from_edge", "to_edge")
-    return turn_costs.where((F.col("cost") > 0) & profile.forbids(F.col("attrs"))).select("vertex_id", "from_edge", "to_edge")
+    """(vertex_id, from_edge, to_edge, prefix) that the profile must not take; with a prefix, only after those edges."""
+    prefix = "prefix" if "prefix" in turn_costs.columns else F.array().cast("array<long>").alias("prefix")
+    barred = F.lit(False) if profile.forbids is None else (F.col("cost") > 0) & profile.forbids(F.col("attrs"))
+    return turn_costs.where(barred).select("vertex_id", "from_edge", "to_edge", prefix)
+
+
+def plain_turns(forbidden: DataFrame) -> DataFrame:
+    """Forbidden turns that hold whatever came before."""
+    rows = forbidden.where(F.coalesce(F.size("prefix"), F.lit(0)) <= 0) if "prefix" in forbidden.columns else forbidden
+    return rows.select("vertex_id", "from_edge", "to_edge").distinct()
+
+
+def turn_sequences(forbidden: DataFrame) -> DataFrame:
+    """Forbidden turns that hold only after the edges of their prefix."""
+    if "prefix" not in forbidden.columns:
+        return forbidden.limit(0).select("vertex_id", "from_edge", "to_edge", F.array().cast("array<long>").alias("prefix"))
+    return forbidden.where(F.size("prefix") > 0).select("vertex_id", "from_edge", "to_edge", "prefix").distinct()
 
 
 def transitions(arc_table: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
-    """Pairs of arcs (a, b) where b follows a: another edge that leaves where a ends, and no forbidden turn."""
+    """Pairs of arcs (a, b) where b follows a: another edge that leaves where a ends, and no forbidden turn (those with a prefix are no matter of two arcs)."""
     a = arc_table.select(F.col("arc_id").alias("a"), F.col("edge_id").alias("from_edge"), F.col("to_v").alias("vertex_id"))
     b = arc_table.select(F.col("arc_id").alias("b"), F.col("edge_id").alias("to_edge"), F.col("from_v").alias("vertex_id"))
     pairs = a.join(b, "vertex_id").where("from_edge <> to_edge")
     if forbidden is not None:
-        pairs = pairs.join(forbidden.select("vertex_id", "from_edge", "to_edge").distinct(), ["vertex_id", "from_edge", "to_edge"], "left_anti")
+        pairs = pairs.join(plain_turns(forbidden), ["vertex_id", "from_edge", "to_edge"], "left_anti")
     return pairs.select("a", "b", "vertex_id")
 
 
@@ -59,6 +72,13 @@ def edges_in_boxes(vertices: DataFrame, edges: DataFrame, boxes: DataFrame, zoom
     return inside.join(ends, "vertex_id").select("query_id", "edge_id").distinct()
 
 
+def arcs_near(arc_table: DataFrame, vertices: DataFrame, places: DataFrame, metres: float, zoom: int = 14) -> DataFrame:
+    """Arcs that leave a vertex in one of the boxes of ``metres`` around the places (query_id, lon, lat): bounds a search."""
+    boxes = places.select("query_id", geo.box_around(F.col("lon"), F.col("lat"), F.lit(metres)).alias("box"))
+    inside = vertices_in_boxes(vertices, boxes, zoom).select(F.col("vertex_id").alias("from_v")).distinct()
+    return arc_table.join(inside, "from_v", "left_semi").select(*arc_table.columns)
+
+
 def full_shape(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Edges with ``points``: tail, shape, head."""
     place = lambda name: vertices.select(F.col("vertex_id").alias(name), F.struct("lon", "lat").alias(f"{name}_at"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.geo import line_length
+
 
 def signed(angle: float) -> int:
     """(-180, 180], cut towards zero."""
@@ -223,3 +225,29 @@ def instructions(routes: DataFrame, *, generators=DEFAULT, languages: tuple[str,
 
     picked = routes.select("query_id", "shape", metas.alias("meta"), branch.alias("branches"))
     return picked.mapInPandas(run, f"query_id {kind}, seq int, type string, shape_idx int, shape_idx_end int, turn_degrees int, texts map<string,string>")
+
+
+def augment(routes: DataFrame, found: DataFrame, prefix: str = "instruction:") -> DataFrame:
+    """Routes whose metas also hold the texts of the instruction they lie in, under ``prefix`` and the language.
+
+    Metas and instructions end at different points of the shape: the new metas end at both.
+    Distances are measured along the shape, times follow the old meta's speed.  A route
+    without instructions keeps its metas.
+    """
+    listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("shape_idx_end").alias("end"), "seq", F.to_json("texts").alias("texts")))).alias("found"))
+    joined = routes.join(listed, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast(listed.schema["found"].dataType)))
+    last = F.element_at("meta", -1)["shape_idx"]
+    ends = F.array_sort(F.array_distinct(F.concat(F.transform("meta", lambda m: m["shape_idx"]), F.transform("found", lambda f: f["end"]))))
+    joined = joined.withColumn("ends", F.filter(ends, lambda e: (e > 0) & (e <= last)))
+    begins = F.slice(F.concat(F.array(F.lit(0)), "ends"), F.lit(1), F.size("ends"))
+
+    def piece(end, begin):
+        m = F.filter("meta", lambda m: m["shape_idx"] >= end)[0]
+        texts = F.from_json(F.get(F.filter("found", lambda f: f["end"] >= end), F.lit(0))["texts"], "map<string,string>")
+        own = F.map_filter(F.from_json(m["attrs"], "map<string,string>"), lambda k, _: ~k.startswith(prefix))
+        named = F.transform_keys(F.coalesce(texts, F.create_map().cast("map<string,string>")), lambda k, _: F.concat(F.lit(prefix), k))
+        metres = line_length(F.slice("shape", begin + 1, end - begin + 1))
+        seconds = F.when(m["metres"] > 0, metres * m["seconds"] / m["metres"]).otherwise(0.0)
+        return F.struct(end.alias("shape_idx"), m["edge_id"].alias("edge_id"), m["forward"].alias("forward"), F.to_json(F.map_concat(F.coalesce(own, F.create_map().cast("map<string,string>")), named)).alias("attrs"), metres.alias("metres"), seconds.alias("seconds"))
+
+    return joined.withColumn("meta", F.zip_with("ends", begins, piece)).select(*routes.columns)

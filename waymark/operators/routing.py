@@ -33,56 +33,87 @@ class Compact:
         self.vertices, first = np.unique(self.start, return_index=True)
         self.first = {int(v): (int(a), int(b)) for v, a, b in zip(self.vertices, first, [*first[1:], len(self.start)], strict=True)}
         self.at = {int(a): k for k, a in enumerate(self.arc)}
-        self.barred = set() if forbidden is None else set(forbidden[["vertex_id", "from_edge", "to_edge"]].itertuples(index=False, name=None))
-
-    def search(self, starts: list[tuple[float, int]], wanted: set[int] | None = None, limit: float | None = None, penalty: dict[int, float] | None = None, goals: list[tuple[int, int, float]] = ()) -> dict[int, tuple[float, int, int]]:
-        """Settled arcs: index -> (cost at its end, previous index or -1, arcs on the path).
-
-        ``goals`` (vertex, edge, cost on that edge) end the search once nothing cheaper can reach any of them.
+        self.barred: set[tuple[int, int, int]] = set()
+        # Sequences of edges after which exits of a vertex are forbidden, and what of them may lie behind a search.
+        self.sequences: dict[tuple[int, tuple[int, ...]], set[int]] = {}
+        for r in () if forbidden is None else forbidden.itertuples(index=False):
+            before = getattr(r, "prefix", None)
+            if before is None or not len(before):
+                self.barred.add((r.vertex_id, r.from_edge, r.to_edge))
+            else:
+                self.sequences.setdefault((r.vertex_id, (*map(int, before), int(r.from_edge))), set()).add(int(r.to_edge))
+        self.histories = [(), *sorted({s[:k] for _, s in self.sequences for k in range(1, len(s) + 1)})]
+        self.history = {h: k for k, h in enumerate(self.histories)}
+        self.tracked = {e for h in self.histories for e in h}
+
+    def state(self, k: int, behind: int = 0) -> int:
+        """State on arc ``k`` after the history numbered ``behind``: k plus the number of the longest history that now lies behind, times the number of arcs."""
+        edge = int(self.arc[k]) >> 1
+        if edge not in self.tracked:
+            return k
+        path = (*self.histories[behind], edge)
+        return k + len(self.arc) * next((self.history[path[i:]] for i in range(len(path)) if path[i:] in self.history), 0)
+
+    def blocked(self, state: int, into: int) -> bool:
+        """Whether the turn from a state into an edge is forbidden."""
+        h, k = divmod(state, len(self.arc))
+        v = int(self.to[k])
+        if (v, int(self.arc[k]) >> 1, into) in self.barred:
+            return True
+        path = self.histories[h]
+        return any(into in self.sequences.get((v, path[i:]), ()) for i in range(len(path)))
+
+    def search(self, starts: list[tuple[float, int]], limit: float | None = None, penalty: dict[int, float] | None = None, goals: list[tuple[int, int, float]] = ()) -> dict[int, tuple[float, int, int]]:
+        """Settled states: state -> (cost at its end, previous state or -1, arcs on the path), the cheapest first.
+
+        A state is an arc and the part of a forbidden sequence that lies behind; ``state % n``
+        is the arc's index.  ``goals`` (vertex, edge, cost on that edge) end the search once
+        nothing cheaper can reach any of them.
         """
         bound = math.inf
-        heap = [(c, 1, int(self.arc[k]), k, -1) for c, k in starts]
+        size = len(self.arc)
+        heap = [(c, 1, int(self.arc[k]), self.state(k), -1) for c, k in starts]
         heapq.heapify(heap)
         done: dict[int, tuple[float, int, int]] = {}
-        left = None if wanted is None else set(wanted)
-        to, cost, arc, first, barred = self.to, self.cost, self.arc, self.first, self.barred
+        to, cost, arc, first, barred, tracked = self.to, self.cost, self.arc, self.first, self.barred, self.tracked
         while heap:
-            c, hops, _, k, previous = heapq.heappop(heap)
+            c, hops, _, state, previous = heapq.heappop(heap)
             if c > bound:
                 break
-            if k in done or limit is not None and c > limit:
+            if state in done or limit is not None and c > limit:
                 continue
-            done[k] = (c, previous, hops)
-            if left is not None:
-                left.discard(k)
-                if not left:
-                    break
+            done[state] = (c, previous, hops)
+            behind, k = divmod(state, size)
             v, edge = int(to[k]), int(arc[k]) >> 1
             for goal, into, extra in goals:
-                if goal == v and into != edge and (v, edge, into) not in barred:
+                if goal == v and into != edge and not self.blocked(state, into):
                     bound = min(bound, c + extra)
             a, b = first.get(v, (0, 0))
             for n in range(a, b):
                 other = int(arc[n]) >> 1
-                if n in done or other == edge or barred and (v, edge, other) in barred:
+                if other == edge or barred and (v, edge, other) in barred or behind and self.blocked(state, other):
+                    continue
+                after = self.state(n, behind) if other in tracked else n
+                if after in done:
                     continue
                 step = int(cost[n]) if penalty is None else cost[n] * penalty.get(other, 1.0)
-                heapq.heappush(heap, (c + step, hops + 1, int(arc[n]), n, k))
+                heapq.heappush(heap, (c + step, hops + 1, int(arc[n]), after, state))
         return done
 
-    def path(self, done: dict, k: int) -> list[int]:
+    def path(self, done: dict, state: int) -> list[int]:
         out = []
-        while k >= 0:
-            out.append(int(self.arc[k]))
-            k = done[k][1]
+        while state >= 0:
+            out.append(int(self.arc[state % len(self.arc)]))
+            state = done[state][1]
         return out[::-1]
 
 
 def compact(arcs: DataFrame, forbidden: DataFrame | None = None):
-    """Broadcast of the arcs (arc_id, from_v, to_v, cost) if there are few enough, else None."""
-    if arcs.limit(BROADCAST_ARCS + 1).count() > BROADCAST_ARCS:
+    """Broadcast of the arcs (arc_id, from_v, to_v, cost) and forbidden turns if there are few enough of both, else None."""
+    if any(t is not None and t.limit(BROADCAST_ARCS + 1).count() > BROADCAST_ARCS for t in (arcs, forbidden)):
         return None
-    graph = Compact(arcs.select("arc_id", "from_v", "to_v", "cost").toPandas(), None if forbidden is None else forbidden.select("vertex_id", "from_edge", "to_edge").toPandas())
+    turns = None if forbidden is None else forbidden.select("vertex_id", "from_edge", "to_edge", *(["prefix"] if "prefix" in forbidden.columns else [])).toPandas()
+    graph = Compact(arcs.select("arc_id", "from_v", "to_v", "cost").toPandas(), turns)
     return arcs.sparkSession.sparkContext.broadcast(graph)
 
 
@@ -97,17 +128,24 @@ def arc_tree(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None =
         for b in batches:
             for v in b["source"]:
                 a, z = g.first.get(int(v), (0, 0))
-                done = g.search([(int(g.cost[k]), k) for k in range(a, z)])
-                yield pd.DataFrame({"source": v, "arc_id": [int(g.arc[k]) for k in done], "cost": [int(x[0]) for x in done.values()], "prev_arc": pd.array([int(g.arc[x[1]]) if x[1] >= 0 else None for x in done.values()], "Int64")})
+                best: dict[int, tuple[int, int | None]] = {}
+                for state, (c, previous, _) in g.search([(int(g.cost[k]), k) for k in range(a, z)]).items():
+                    best.setdefault(int(g.arc[state % len(g.arc)]), (int(c), int(g.arc[previous % len(g.arc)]) if previous >= 0 else None))
+                yield pd.DataFrame({"source": v, "arc_id": list(best), "cost": [c for c, _ in best.values()], "prev_arc": pd.array([p for _, p in best.values()], "Int64")})
 
     asked = sources.select(F.col("source").cast("long")).distinct().repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source")
     return asked.mapInPandas(run, "source long, arc_id long, cost long, prev_arc long")
 
 
 def relax_arcs(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
-    """The same tree by rounds of joins, for graphs that are too large to broadcast; all sources at once."""
-    from waymark.operators.graph import transitions
+    """The same tree by rounds of joins, for graphs that are too large to broadcast; all sources at once.
+
+    Turns that are forbidden only after a prefix of edges need the kernel: here they are an error.
+    """
+    from waymark.operators.graph import transitions, turn_sequences
 
+    if forbidden is not None and not turn_sequences(forbidden).isEmpty():
+        raise ValueError("forbidden sequences of more than two edges need a graph that can be broadcast")
     next_ = materialize(transitions(arcs, forbidden).join(arcs.select(F.col("arc_id").alias("b"), F.col("cost").alias("step")), "b").select("a", "b", "step"), "transitions")
     best = materialize(
         sources.select(F.col("source").cast("long")).distinct().join(arcs, F.col("source") == F.col("from_v")).select("source", "arc_id", F.col("cost").cast("long").alias("cost"), F.lit(None).cast("long").alias("prev_arc"), F.lit(True).alias("fresh")), "reached"
@@ -166,10 +204,11 @@ def routes(arcs: DataFrame, queries: DataFrame, forbidden: DataFrame | None = No
             behind = dict(sources)
             for t, e in targets:
                 v, edge = int(g.start[t]), int(g.arc[t]) >> 1
-                for k, (c, _, hops) in done.items():
-                    if int(g.to[k]) == v and int(g.arc[k]) >> 1 != edge and (v, int(g.arc[k]) >> 1, edge) not in g.barred:
+                for state, (c, _, hops) in done.items():
+                    k = state % len(g.arc)
+                    if int(g.to[k]) == v and int(g.arc[k]) >> 1 != edge and not g.blocked(state, edge):
                         if best is None or (c + e * price(t), hops + 1) <= best[:2]:
-                            path = g.path(done, k)
+                            path = g.path(done, state)
                             option = (c + e * price(t), hops + 1, [*path, int(g.arc[t])], behind.get(g.at[path[0]], 0.0), e)
                             best = option if best is None or option[:3] < best[:3] else best
         return best

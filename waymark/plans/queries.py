@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import attributes, geo
-from waymark.operators import graph, instructions, routes, routing
+from waymark.operators import graph, instructions, places, routes, routing
 from waymark.operators.profiles import BICYCLE, CAR, CAR_SHORT, PEDESTRIAN, edge_factors
-from waymark.sources import geojson
+from waymark.sources import geojson, osm
 from waymark.storage import Network
 
 KINDS = {"AUTOMOBILE": "motorway", "BUILDING": "primary", "FURNITURE": "secondary", "HOUSEHOLD": "residential", "MACHINERY": "living_street"}
@@ -87,10 +87,10 @@ def least_cost_tree(spark, sf_dir):
 
 
 def cost_matrix(spark, sf_dir):
-    """Costs from the vertices that are multiples of a tenth of all to every vertex that is a multiple of 7."""
+    """Costs to every vertex from the vertices whose id is divisible by 100."""
     n = grid(spark, sf_dir)
-    sources = n.vertices.where("vertex_id % 150 = 3").select(F.col("vertex_id").alias("source"))
-    return routing.vertex_costs(graph.cost_arcs(n.edges, CAR), sources).where("vertex_id % 7 = 0").select("source", "vertex_id", "cost")
+    sources = n.vertices.where("vertex_id % 100 = 0").select(F.col("vertex_id").alias("source"))
+    return routing.vertex_costs(graph.cost_arcs(n.edges, CAR), sources).select("source", "vertex_id", "cost")
 
 
 def _one_way_arcs(n: Network) -> DataFrame:
@@ -109,11 +109,38 @@ def directed_tree(spark, sf_dir):
     return routing.arc_tree(_one_way_arcs(n), spark.createDataFrame([(0,)], "source long"), _barred(n)).select("arc_id", "cost")
 
 
-def box_search(spark, sf_dir):
+def _sequences(n: Network) -> DataFrame:
+    """After two right edges no turn up at vertices of which 3 is left over 7."""
+    r = n.edges.where("edge_id % 2 = 0").select("tail", "head", "edge_id")
+    first, second = r.select(F.col("head").alias("m"), F.col("edge_id").alias("p")), r.select(F.col("tail").alias("m"), F.col("head").alias("vertex_id"), F.col("edge_id").alias("from_edge"))
+    u = n.edges.where("edge_id % 2 = 1").select(F.col("tail").alias("vertex_id"), F.col("edge_id").alias("to_edge"))
+    return second.join(first, "m").join(u, "vertex_id").where("vertex_id % 7 = 3").select("vertex_id", "from_edge", "to_edge", F.array("p").alias("prefix"))
+
+
+def sequence_tree(spark, sf_dir):
+    """Least costs where a turn is forbidden only after a certain edge."""
     n = grid(spark, sf_dir)
+    return routing.arc_tree(graph.cost_arcs(n.edges, CAR), spark.createDataFrame([(0,)], "source long"), _sequences(n)).select("arc_id", "cost")
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("query_id"), (F.lit(4.7003) + (F.col("s_suppkey") % 20) * 0.002).alias("lon"), (F.lit(51.2004) + (F.col("s_suppkey") % 6) * 0.0012).alias("lat"))
-    boxes = s.select("query_id", F.struct((F.col("lon") - 0.0035).alias("left"), (F.col("lat") - 0.002).alias("bottom"), (F.col("lon") + 0.0035).alias("right"), (F.col("lat") + 0.002).alias("top")).alias("box"))
-    return graph.edges_in_boxes(n.vertices, n.edges, boxes)
+    return s.select("query_id", F.struct((F.col("lon") - 0.0035).alias("left"), (F.col("lat") - 0.002).alias("bottom"), (F.col("lon") + 0.0035).alias("right"), (F.col("lat") + 0.002).alias("top")).alias("box"))
+
+
+def box_search(spark, sf_dir):
+    n = grid(spark, sf_dir)
+    return graph.edges_in_boxes(n.vertices, n.edges, _boxes(spark, sf_dir))
+
+
+def box_vertices(spark, sf_dir):
+    return graph.vertices_in_boxes(grid(spark, sf_dir).vertices, _boxes(spark, sf_dir)).select("query_id", "vertex_id")
+
+
+def box_tiles(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir)
+    middle = geo.center(F.col("box"))
+    return boxes.select("query_id", F.explode(geo.tile_range(F.col("box"))).alias("tile_id"), geo.tile_id(middle["lon"], middle["lat"]).alias("middle_tile"))
 
 
 def _points(spark, sf_dir):
@@ -125,6 +152,73 @@ def snap_vertices(spark, sf_dir):
     return graph.snap_to_vertex(_points(spark, sf_dir), n.vertices).select("query_id", "vertex_id", F.round("distance_m", 3).alias("distance_m"))
 
 
+def snap_all_vertices(spark, sf_dir):
+    n = grid(spark, sf_dir)
+    return graph.snap_to_vertex(_points(spark, sf_dir), n.vertices, everything=True).select("query_id", "vertex_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+def vertex_places(spark, sf_dir):
+    """Places from which a bicycle may leave each vertex."""
+    n = grid(spark, sf_dir)
+    return places.from_vertices(n.vertices.select(F.col("vertex_id").alias("query_id"), "vertex_id"), n.edges, BICYCLE)
+
+
+def edge_places(spark, sf_dir):
+    """Places that the events name, some on edges that do not exist or that a bicycle may not use."""
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("query_id"), (F.col("user_id") * 3).alias("edge_id"), (F.col("event_id") % 65536).cast("int").alias("offset"), (F.col("event_id") % 2 == 0).alias("forward"))
+    return places.from_edges(asked, grid(spark, sf_dir).edges, BICYCLE)
+
+
+def place_locations(spark, sf_dir):
+    """Location, angle and direction to the east of a place on every edge."""
+    n = grid(spark, sf_dir)
+    e = graph.full_shape(n.edges, n.vertices).withColumn("offset", (F.col("edge_id") * 97 % 65536).cast("int"))
+    at = places.location(F.col("points"), F.col("offset"))
+    angle = places.angle(F.col("points"), F.col("offset"), geo.line_length(F.col("points")))
+    return e.select("edge_id", F.round(at["lon"], 6).alias("lon"), F.round(at["lat"], 6).alias("lat"), F.round(angle, 3).alias("angle"), places.direction(angle, F.lit(225.0), 60.0).alias("south_west"))
+
+
+def corner_turns(spark, sf_dir):
+    """Angle and kind of the turn from every right edge into the up edge at its end."""
+    n = grid(spark, sf_dir)
+    at = lambda name: n.vertices.select(F.col("vertex_id").alias(name), F.struct("lon", "lat").alias(f"{name}_at"))
+    r = n.edges.where("edge_id % 2 = 0").select("edge_id", F.col("tail").alias("a"), F.col("head").alias("b"))
+    u = n.edges.where("edge_id % 2 = 1").select(F.col("tail").alias("b"), F.col("head").alias("c"))
+    j = r.join(u, "b").join(at("a"), "a").join(at("b"), "b").join(at("c"), "c")
+    p = [F.col(f"{k}_at")[x] for k in "abc" for x in ("lon", "lat")]
+    angle = geo.turn_angle(*p)
+    return j.select("edge_id", F.round(angle, 3).alias("angle"), geo.relative_direction(angle).alias("kind"))
+
+
+def attribute_edits(spark, sf_dir):
+    """Keys put, removed and kept, and sets compared."""
+    attrs = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"), F.lit("note"), F.lit("x"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", attrs.alias("attrs"))
+    changed = attributes.put(F.col("attrs"), "name", F.lit("none"))
+    text = lambda m: F.to_json(attributes.canonical(m))
+    return c.select(
+        F.col("c_custkey").alias("id"), text(attributes.remove(changed, "note")).alias("removed"), F.to_json(attributes.keep(changed, ["segment"])).alias("kept"), attributes.same(F.col("attrs"), changed).alias("same"), attributes.same(F.col("attrs"), changed, "name").alias("same_but_name")
+    )
+
+
+def imported_edges(spark, sf_dir):
+    """Import of one way for every row and column of the grid: cut where they cross, tags and lengths kept."""
+    v = grid(spark, sf_dir).vertices.select("vertex_id", F.pmod("vertex_id", F.lit(25)).alias("gx"), F.floor(F.col("vertex_id") / 25).alias("gy"), "lon", "lat")
+    nodes = v.select(F.col("vertex_id").alias("id"), "lon", "lat", F.create_map().cast("map<string,string>").alias("tags"))
+    way = lambda key, kind, first: v.groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_list("vertex_id")).alias("nodes")).select((F.col("k") + first).alias("id"), "nodes", F.create_map(F.lit("highway"), F.lit(kind)).alias("tags"))
+    ways = way("gx", "residential", 0).unionByName(way("gy", "primary", 1000)).where(F.size("nodes") > 1)
+    edges = osm.import_network(nodes, ways).edges
+    return edges.select("tail", "head", "way", F.col("attrs")["highway"].alias("highway"), F.size("shape").alias("n_shape"), F.round(F.col("length_cm") / 100, 0).cast("long").alias("metres"))
+
+
+def near_costs(spark, sf_dir):
+    """Least costs from vertex 0 over arcs that leave a vertex within 2500 m of it, as far as they lead."""
+    n = grid(spark, sf_dir)
+    origin = n.vertices.where("vertex_id = 0").select(F.col("vertex_id").alias("query_id"), "lon", "lat")
+    arcs = graph.arcs_near(graph.cost_arcs(n.edges, CAR), n.vertices, origin, 2500.0)
+    return routing.vertex_costs(arcs, spark.createDataFrame([(0,)], "source long")).select("vertex_id", "cost")
+
+
 def snap_edges(spark, sf_dir):
     n = grid(spark, sf_dir)
     return graph.snap(_points(spark, sf_dir), n.vertices, n.edges).select("query_id", "edge_id", "offset", F.round("distance_m", 3).alias("distance_m"), "error")
@@ -166,6 +260,13 @@ def route_instructions(spark, sf_dir):
     return out.select("query_id", "seq", "type", "shape_idx", "turn_degrees", F.col("texts")["en"].alias("text_en"), F.col("texts")["nl"].alias("text_nl"))
 
 
+def augmented_routes(spark, sf_dir):
+    """Routes whose metas carry the instructions' texts."""
+    built = _built(spark, sf_dir)
+    out = instructions.augment(built, instructions.instructions(built, languages=("en", "nl")))
+    return out.select("query_id", F.posexplode("meta").alias("seq", "m")).select("query_id", "seq", "m.shape_idx", F.get_json_object("m.attrs", "$['instruction:en']").alias("text_en"), F.round("m.metres", 3).alias("metres"))
+
+
 def route_branches(spark, sf_dir):
     n, arcs, od = _od_paths(spark, sf_dir)
     return routes.branches(routes.path_edges(routing.routes(arcs, od)), graph.arcs(n.edges)).groupBy("query_id").agg(F.count("*").alias("n_branches"))
@@ -184,11 +285,14 @@ def network_geojson(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, box_search, snap_vertices, snap_edges, route_paths, route_alternatives, built_routes, route_instructions, route_branches, small_islands, network_geojson)
+    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, sequence_tree, near_costs, box_search, box_vertices, box_tiles, corner_turns, attribute_edits, imported_edges, vertex_places, edge_places, place_locations, snap_all_vertices, snap_vertices, snap_edges, route_paths, route_alternatives, built_routes, route_instructions, augmented_routes, route_branches, small_islands, network_geojson)
 }
 
 _DIST = "sqrt(pow(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), 2) + pow(radians({b}.lat - {a}.lat), 2)) * 6371000"
 _BEARING = "degrees(atan2(radians(q.lon - p.lon) * cos(radians(p.lat + q.lat) / 2), radians(q.lat - p.lat)))"
+_BOX = "b AS (SELECT s_suppkey AS query_id, 4.7003::DOUBLE + (s_suppkey % 20) * 0.002::DOUBLE AS lon, 51.2004::DOUBLE + (s_suppkey % 6) * 0.0012::DOUBLE AS lat FROM supplier)"
+_TILE_X = "floor(({x} + 180) / 360 * 16384)::BIGINT"
+_TILE_Y = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * 16384)::BIGINT"
 _TREE = """
 , ow AS (SELECT * FROM d WHERE arc_id % 2 = 0 OR edge_id % 5 <> 0),
 t AS (SELECT a.arc_id AS a, b.arc_id AS b, b.cost FROM ow a JOIN ow b ON a.to_v = b.from_v AND a.edge_id <> b.edge_id
@@ -212,9 +316,9 @@ JOIN (SELECT DISTINCT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'motorway' WHEN '
     "least_cost_tree": _GRID + """, r(v, c) USING KEY (v) AS (SELECT 0::BIGINT, 0::BIGINT UNION
  (SELECT d.to_v, min(r.c + d.cost)::BIGINT FROM r JOIN d ON d.from_v = r.v LEFT JOIN recurring.r q ON q.v = d.to_v WHERE q.c IS NULL OR r.c + d.cost < q.c GROUP BY d.to_v))
 SELECT v AS vertex_id, c AS cost FROM r""",
-    "cost_matrix": _GRID + """, r(s, v, c) USING KEY (s, v) AS (SELECT vertex_id::BIGINT, vertex_id::BIGINT, 0::BIGINT FROM v WHERE vertex_id % 150 = 3 UNION
+    "cost_matrix": _GRID + """, r(s, v, c) USING KEY (s, v) AS (SELECT vertex_id::BIGINT, vertex_id::BIGINT, 0::BIGINT FROM v WHERE vertex_id % 100 = 0 UNION
  (SELECT r.s, d.to_v, min(r.c + d.cost)::BIGINT FROM r JOIN d ON d.from_v = r.v LEFT JOIN recurring.r q ON q.s = r.s AND q.v = d.to_v WHERE q.c IS NULL OR r.c + d.cost < q.c GROUP BY r.s, d.to_v))
-SELECT s AS source, v AS vertex_id, c AS cost FROM r WHERE v % 7 = 0""",
+SELECT s AS source, v AS vertex_id, c AS cost FROM r""",
     "directed_tree": _GRID + _TREE + """, r(k, c) USING KEY (k) AS (SELECT arc_id::BIGINT, cost::BIGINT FROM ow WHERE from_v = 0 UNION
  (SELECT t.b, min(r.c + t.cost)::BIGINT FROM r JOIN t ON t.a = r.k LEFT JOIN recurring.r q ON q.k = t.b WHERE q.c IS NULL OR r.c + t.cost < q.c GROUP BY t.b))
 SELECT k AS arc_id, c AS cost FROM r""",
@@ -223,4 +327,27 @@ SELECT DISTINCT query_id, edge_id FROM b JOIN v ON v.lat > b.lat - 0.002 AND v.l
     "snap_vertices": _GRID + f""", p AS (SELECT event_id AS query_id, 4.7001::DOUBLE + (user_id % 23) * 0.00207::DOUBLE AS lon, 51.2001::DOUBLE + (event_id % 5) * 0.00117::DOUBLE AS lat FROM events),
 n AS (SELECT query_id, vertex_id, {_DIST.format(a='p', b='v')} AS m FROM p JOIN v ON abs(v.lon - p.lon) * 111194.92664455873 * cos(radians(p.lat)) < 100 AND abs(v.lat - p.lat) * 111194.92664455873 < 100)
 SELECT query_id, vertex_id, round(m, 3) AS distance_m FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(m, 6), vertex_id) = 1""",
+    "sequence_tree": _GRID + """, t AS (SELECT a.arc_id AS a, b.arc_id AS b, b.cost, a.to_v AS v FROM d a JOIN d b ON a.to_v = b.from_v AND a.edge_id <> b.edge_id),
+r(p, k, c) USING KEY (p, k) AS (SELECT -1::BIGINT, arc_id::BIGINT, cost::BIGINT FROM d WHERE from_v = 0 UNION
+ (SELECT r.k, t.b, min(r.c + t.cost)::BIGINT FROM r JOIN t ON t.a = r.k LEFT JOIN recurring.r q ON q.p = r.k AND q.k = t.b
+  WHERE NOT (t.v % 7 = 3 AND r.p >= 0 AND r.p // 2 % 2 = 0 AND r.k // 2 % 2 = 0 AND t.a % 2 = 0 AND r.p % 2 = 0 AND t.b // 2 % 2 = 1 AND t.b % 2 = 0) AND (q.c IS NULL OR r.c + t.cost < q.c) GROUP BY r.k, t.b))
+SELECT k AS arc_id, min(c) AS cost FROM r GROUP BY k""",
+    "box_vertices": _GRID + f", {_BOX} SELECT query_id, vertex_id FROM b JOIN v ON v.lat > b.lat - 0.002 AND v.lat <= b.lat + 0.002 AND v.lon > b.lon - 0.0035 AND v.lon <= b.lon + 0.0035",
+    "box_tiles": f"""WITH {_BOX}, n AS (SELECT *, {_TILE_X.format(x='lon - 0.0035')} AS x1, {_TILE_X.format(x='lon + 0.0035')} AS x2, {_TILE_Y.format(y='lat + 0.002')} AS y1, {_TILE_Y.format(y='lat - 0.002')} AS y2 FROM b),
+x AS (SELECT *, unnest(range(x1, x2 + 1)) AS x FROM n), y AS (SELECT *, unnest(range(y1, y2 + 1)) AS y FROM x)
+SELECT query_id, y * 16384 + x AS tile_id, {_TILE_Y.format(y='lat')} * 16384 + {_TILE_X.format(x='lon')} AS middle_tile FROM y""",
+    "corner_turns": _GRID + "SELECT r.edge_id, 270.0::DOUBLE AS angle, 'Left' AS kind FROM e r JOIN e u ON u.tail = r.head AND r.edge_id % 2 = 0 AND u.edge_id % 2 = 1",
+    "attribute_edits": """SELECT c_custkey AS id, '[{"key":"name","value":"none"},{"key":"segment","value":"' || c_mktsegment || '"}]' AS removed, '{"segment":"' || c_mktsegment || '"}' AS kept, c_name = 'none' AS same, true AS same_but_name FROM customer""",
+    "imported_edges": _GRID + f""", m AS (SELECT p.vertex_id AS tail, q.vertex_id AS head, p.gx, p.gy, q.vertex_id = p.vertex_id + 25 AS up, {_DIST.format(a='p', b='q')} AS metres FROM v p JOIN v q ON q.vertex_id = p.vertex_id + 25 OR q.vertex_id = p.vertex_id + 1 AND p.gx < 24)
+SELECT tail, head, CASE WHEN up THEN gx ELSE gy + 1000 END AS way, CASE WHEN up THEN 'residential' ELSE 'primary' END AS highway, 0 AS n_shape, round(floor(metres * 100) / 100)::BIGINT AS metres FROM m""",
+    "vertex_places": _GRID + "SELECT from_v AS query_id, edge_id, CASE WHEN arc_id % 2 = 0 THEN 0 ELSE 65535 END AS \"offset\" FROM arc WHERE kind <> 'motorway'",
+    "edge_places": _GRID + """SELECT event_id AS query_id, user_id * 3 AS edge_id, (event_id % 65536)::INT AS "offset", CASE WHEN e.edge_id IS NULL THEN 'edge not found' WHEN kind = 'motorway' THEN 'edge cannot be used in that direction' END AS error FROM events LEFT JOIN e ON e.edge_id = user_id * 3""",
+    "place_locations": _GRID + """SELECT edge_id, round(p.lon + (q.lon - p.lon) * ((edge_id * 97 % 65536) / 65535.0::DOUBLE), 6) AS lon, round(p.lat + (q.lat - p.lat) * ((edge_id * 97 % 65536) / 65535.0::DOUBLE), 6) AS lat,
+ CASE WHEN edge_id % 2 = 0 THEN 90.0::DOUBLE ELSE 0.0::DOUBLE END AS angle, CASE WHEN edge_id % 2 = 0 THEN false ELSE false END AS south_west FROM e JOIN v p ON p.vertex_id = tail JOIN v q ON q.vertex_id = head""",
+    "snap_all_vertices": _GRID + f""", p AS (SELECT event_id AS query_id, 4.7001::DOUBLE + (user_id % 23) * 0.00207::DOUBLE AS lon, 51.2001::DOUBLE + (event_id % 5) * 0.00117::DOUBLE AS lat FROM events)
+SELECT query_id, vertex_id, round({_DIST.format(a='p', b='v')}, 3) AS distance_m FROM p JOIN v ON abs(v.lon - p.lon) * 111194.92664455873 * cos(radians(p.lat)) < 100 AND abs(v.lat - p.lat) * 111194.92664455873 < 100""",
+    "near_costs": _GRID + """, k AS (SELECT d.* FROM d JOIN v ON v.vertex_id = d.from_v, (SELECT lon AS x, lat AS y FROM v WHERE vertex_id = 0) WHERE abs(v.lon - x) * 111194.92664455873 * cos(radians(y)) < 2500 AND abs(v.lat - y) * 111194.92664455873 < 2500),
+r(v, c) USING KEY (v) AS (SELECT 0::BIGINT, 0::BIGINT UNION
+ (SELECT k.to_v, min(r.c + k.cost)::BIGINT FROM r JOIN k ON k.from_v = r.v LEFT JOIN recurring.r q ON q.v = k.to_v WHERE q.c IS NULL OR r.c + k.cost < q.c GROUP BY k.to_v))
+SELECT v AS vertex_id, c AS cost FROM r""",
 }
