@@ -211,6 +211,8 @@ def test_rules(docs, none):
         (None, ""), ("", ""), ("no markup &amp; text", "no markup & text"),
         ("<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><article><h1>Head</h1><p>One  two<br>three<p>Four &eacute;</article><div class='comments'><p>me too</p></div><footer>f</footer>", "Head\n\nOne two three\n\nFour é"),
         ("<body><div id=cookie-notice>Accept</div><main><p>Text <b>bold<p>more</main><script>var a='<p>x</p>'</script>", "Text bold\n\nmore"),
+        ("<div class='content has-sidebar no-banner'><h1>Head</h1><p>One of the text</p></div><div class=sidebar><p>Side</p></div><section><article class=comment-body><p>A reader says so and so much</p></article></section>", "Head\n\nOne of the text"),
+        ("<article class='post with-nav'><p>One of the text</p></article><div class=nav><p>Elsewhere</p></div>", "One of the text"),
     ],
 )
 def test_html(page, text):

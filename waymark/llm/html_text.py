@@ -58,6 +58,11 @@ MARKED = re.compile(
     re.I,
 )
 
+#: Words of readers' comments, which may be articles of their own.
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|reply|replies)(?:$|[\s_-])", re.I)
+#: Names of a layout say what stands beside an element, not what it is.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S+", re.I)
+
 
 class Node:
     __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
@@ -71,11 +76,12 @@ class Node:
 def _dropped(tag: str, token: str) -> bool:
     if tag in DROPPED:
         return True
-    if len(token) <= len(tag) + 3 or tag in ("html", "body", "article", "main"):
+    if len(token) <= len(tag) + 3 or tag in ("html", "body", "main"):
         return False
     for name, value in _ATTRIBUTE.findall(token, len(tag) + 1):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and MARKED.search(value):
+        # Of the words that mark boilerplate, only those of comments turn an article into it.
+        if name in ("class", "id") and (COMMENT if tag == "article" else MARKED).search(LAYOUT.sub("", value)):
             return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
