@@ -210,3 +210,26 @@ def test_augmented_metas(spark):
     assert [eval(m.attrs) for m in meta] == [{"name": "a", "instruction:en": "Start"}, {"name": "a", "instruction:en": "End"}, {"name": "b", "instruction:en": "End"}]
     assert abs(meta[0].metres - 111.2) < 0.1 and abs(meta[0].seconds - 10.0) < 0.1
     assert [m.shape_idx for m in instructions.augment(built, found.limit(0)).first().meta] == [2, 3]
+
+
+def test_alternatives_branches_and_features(spark):
+    import json
+
+    from waymark.sources import geojson
+
+    arcs = arcs_of(spark, [(1, 0, 1, 1), (2, 2, 3, 1), (3, 1, 2, 10), (4, 1, 2, 11), (5, 2, 9, 1)])
+    spec = "query_id long, from_edge long, from_offset long, to_edge long, to_offset long"
+    asked = spark.createDataFrame([(1, 1, 0, 2, 65535)], spec)
+    found = {r["rank"]: [a >> 1 for a in r.path] for r in routing.routes(arcs, asked, alternatives=2, max_shared=0.7).collect()}
+    assert found == {0: [1, 3, 2], 1: [1, 4, 2]}
+    assert routing.routes(arcs, asked, alternatives=2).count() == 1
+    side = routes.branches(routes.path_edges(routing.routes(arcs, asked)), arcs).collect()
+    assert sorted((r.seq, r.edge_id) for r in side) == [(0, 4), (1, 4), (1, 5)]
+
+    v = spark.createDataFrame([(1, 4.0, 51.0), (2, 4.1, 51.1)], "vertex_id long, lon double, lat double")
+    e = spark.createDataFrame([(7, 1, 2, [], {"highway": "path"})], "edge_id long, tail long, head long, shape array<struct<lon:double,lat:double>>, attrs map<string,string>")
+    features = {(r.kind, r.id): json.loads(r.feature) for r in geojson.network_features(v, graph.full_shape(e, v)).collect()}
+    kinds = sorted(f["geometry"]["type"] for f in features.values())
+    assert kinds == ["LineString", "Point", "Point"]
+    line = next(f for f in features.values() if f["geometry"]["type"] == "LineString")
+    assert line["type"] == "Feature" and line["geometry"]["coordinates"] == [[4.0, 51.0], [4.1, 51.1]]
