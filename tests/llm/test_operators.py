@@ -219,6 +219,17 @@ def test_html(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("wrap", ["{}", "<main>{}</main>", "<div><div>{}</div></div>"])
+def test_html_density_decides_without_article(wrap):
+    text = [f"Paragraph {k} of the story goes on for a good while, with commas, words and no links at all in it." for k in range(8)]
+    paragraphs = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    links = "".join(f"<li><a href=/{k}>Other story {k}</a></li>" for k in range(12))
+    page = wrap.format(f"<div class=a><ul>{links}</ul></div><div class=b><h1>Head</h1><div>By <a href=/x>X</a></div><div class=c>{paragraphs(text)}</div></div><div class=d><h3>More</h3><div><a href=/1>One</a> in short</div><div><a href=/2>Two</a> in short</div></div>")
+    assert html_text.main_text(f"<body>{page}</body>") == "\n\n".join(["Head", *text])
+    split = wrap.format(f"<div>{paragraphs(text[:5])}</div><div><ul>{links}</ul></div><div>{paragraphs(text[5:])}</div>")
+    assert html_text.main_text(f"<body>{split}</body>") == "\n\n".join(text)
+
+
 def test_packing(spark, docs, none):
     got = packing.pack(docs, size=64, bucket_pieces=20).collect()
     used = {}

@@ -2,10 +2,13 @@
 
 A lenient parser builds the element tree.  For every element its composite density is the
 characters per tag, adjusted by how much of the text and how many of the tags are links; its
-density sum adds up the composite densities of its children.  The subtree with the greatest
-density sum is the article, widened to the ancestors whose density reaches the threshold: the
-least density on the path from the densest element to the body.  Of that subtree, the blocks
-of text are joined; boilerplate elements (by tag, role or class) are removed beforehand.
+density sum adds up the composite densities of its children.  The threshold is the least
+density on the path from the body to the element with the greatest density sum.  Going down
+from the body through elements that reach the threshold, the subtree with the greatest density
+sum below each of them is text of the article; so is the heading that stands last before such
+a subtree.  An <article> around the densest element is taken whole, for it says where the
+article ends; a <main> around it takes the body's place.  The blocks of text are joined;
+boilerplate elements (by tag, role or class) are removed beforehand.
 
 Null and empty pages give an empty text.  Malformed markup never fails: unclosed elements end
 with their parents, stray end tags are ignored, text outside any element belongs to the body.
@@ -38,6 +41,7 @@ DROPPED = frozenset(
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot".split())
 #: An opening tag closes an open element of these names, up to the nearest element of the second set.
 CLOSES = {
@@ -178,20 +182,45 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _article(root: Node) -> Node:
+def _articles(root: Node) -> list[Node]:
+    """The subtrees that make up the article, in document order, none inside another."""
     order = _measure(root)
-    densest = max(order, key=lambda n: n.total)
-    threshold, node = densest.density, densest
-    while node is not None:
-        threshold, node = min(threshold, node.density), node.parent
-    # The widest ancestor that reaches the threshold without adding anything but text of the same kind.
-    best = densest
-    while best.parent is not None and best.parent.density >= threshold and best.tag not in ("article", "main"):
-        best = best.parent
-    return best
-
-
-def _blocks(node: Node) -> list[str]:
+    peak = {}
+    for node in reversed(order):
+        # The greatest density sum below each element; of equals, the element above, then the first.
+        below = max((peak[c] for c in node.children if isinstance(c, Node) and not c.drop), key=lambda n: n.total, default=node)
+        peak[node] = below if below.total > node.total else node
+    densest = top = peak[root]
+    threshold = densest.density
+    while top.parent is not None and top.tag not in ("article", "main"):
+        top = top.parent
+        threshold = min(threshold, top.density)
+    if top.tag == "article":
+        return [top]
+    taken, stack = set(), [top]
+    while stack:
+        node = stack.pop()
+        if node.density >= threshold:
+            taken.add(peak[node])
+            stack += [c for c in node.children if isinstance(c, Node) and not c.drop]
+    out, heads, stack = [], [], [top]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            # Whatever stands between, a title heads the article; a lesser heading only what follows at once.
+            if heads and node.strip():
+                heads = [h for h in heads if h.tag == "h1"][-1:]
+        elif node in taken:
+            out += heads + [node]
+            heads = []
+        elif node.tag in HEADINGS and node.chars:
+            heads.append(node)
+        elif not node.drop:
+            stack += reversed(node.children)
+    return out
+
+
+def _blocks(nodes: list[Node]) -> list[str]:
     out: list[str] = []
     run: list[str] = []
 
@@ -201,14 +230,14 @@ def _blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list = [node]
+    stack: list = [x for node in reversed(nodes) for x in (None, node)]
     while stack:
         x = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif not x.drop or x is node:
+        elif not x.drop:
             if x.tag == "br":
                 run.append(" ")
             elif x.tag in BLOCK:
@@ -225,7 +254,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    return "\n\n".join(_blocks(_article(root)))
+    return "\n\n".join(_blocks(_articles(root)))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
