@@ -230,6 +230,23 @@ def test_html_density_decides_without_article(wrap):
     assert html_text.main_text(f"<body>{split}</body>") == "\n\n".join(text)
 
 
+@pytest.mark.parametrize("start, end", [("<form id=aspnetForm>", "</form>"), *[(f"<div class='{c}'>", "</div>") for c in ("content-with-sidebar", "layout right-sidebar", "site sidebar-left")], ("<form><div class='layout left-sidebar'>", "</div></form>")])
+@pytest.mark.parametrize("tag", ["div", "article", "main"])
+def test_html_wrapped_article(start, end, tag):
+    text = [f"Paragraph {k} of the story goes on for a good while, with commas and words." for k in range(4)]
+    page = f"<head><title>t</title></head><body>{start}<div class=nav><a href=/>Home</a></div><{tag}><p>{'<p>'.join(text)}</{tag}><form class=search>Find a story</form><div class=sidebar>Some words on us</div>{end}<footer>f</footer></body>"
+    assert html_text.main_text(page) == "\n\n".join(text)
+
+
+def test_html_marked_text_beside_an_article():
+    long = "A reader says so and so much. " * 20
+    assert html_text.main_text(f"<article><p>Short text</article><div class=comments><p>{long}</div>") == "Short text"
+    assert html_text.main_text(f"<main><article><p>Short text</article><aside><p>{long}</aside></main>") == "Short text"
+    assert html_text.main_text(f"<div><p>Short text</div><div class=comments><p>{long}</div>") == "Short text"
+    assert html_text.main_text(f"<p>Menu</p><div class=post-no-comments><h1>Head</h1><p>{long}</div>").startswith("Head\n\nA reader")
+    assert html_text.main_text(f"<div hidden><p>{long}</div><div><p>Short text</div>") == "Short text"
+
+
 def test_packing(spark, docs, none):
     got = packing.pack(docs, size=64, bucket_pieces=20).collect()
     used = {}

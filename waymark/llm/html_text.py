@@ -8,7 +8,9 @@ from the body through elements that reach the threshold, the subtree with the gr
 sum below each of them is text of the article; so is the heading that stands last before such
 a subtree.  An <article> around the densest element is taken whole, for it says where the
 article ends; a <main> around it takes the body's place.  The blocks of text are joined;
-boilerplate elements (by tag, role or class) are removed beforehand.
+boilerplate elements (by tag, role or class) are removed beforehand, except those that hold
+most of the page's text outside links with no <article> or <main> beside them: these wrap the
+article (a form around the whole page, a class that names the layout).
 
 Null and empty pages give an empty text.  Malformed markup never fails: unclosed elements end
 with their parents, stray end tags are ignored, text outside any element belongs to the body.
@@ -38,6 +40,10 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 DROPPED = frozenset(
     "head script style noscript iframe template svg math object embed applet canvas audio video map nav header footer aside form fieldset button select option optgroup datalist textarea input label dialog menu".split()
 )
+#: Dropped elements that may wrap an article, as those may that are marked by role or class.
+WRAPPERS = frozenset("head header aside form fieldset dialog menu".split())
+#: Why an element is dropped: it is boilerplate unless it holds most of the page's text, it is readers' comments, or it shows no text.
+MARGINAL, READERS, HIDDEN = 1, 2, 3
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -69,29 +75,33 @@ LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S+", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "drop", "own", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
+    def __init__(self, tag: str, parent: Node | None, drop: int = 0):
         self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
+        self.own = self.plain = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _dropped(tag: str, token: str) -> bool:
-    if tag in DROPPED:
-        return True
+def _dropped(tag: str, token: str) -> int:
+    if tag in DROPPED and tag not in WRAPPERS:
+        return HIDDEN
+    drop = MARGINAL if tag in WRAPPERS else 0
     if len(token) <= len(tag) + 3 or tag in ("html", "body", "main"):
-        return False
+        return drop
     for name, value in _ATTRIBUTE.findall(token, len(tag) + 1):
         name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return HIDDEN
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return HIDDEN
         # Of the words that mark boilerplate, only those of comments turn an article into it.
         if name in ("class", "id") and (COMMENT if tag == "article" else MARKED).search(LAYOUT.sub("", value)):
-            return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            drop = READERS if COMMENT.search(LAYOUT.sub("", value)) else max(drop, MARGINAL)
+        if name == "role" and value.lower() in ROLES:
+            drop = max(drop, MARGINAL)
+    return drop
 
 
 def parse(page: str) -> Node:
@@ -150,6 +160,62 @@ def parse(page: str) -> Node:
     return root
 
 
+def _titled(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node) and c.drop < READERS:
+                if not c.drop and c.tag in ("h1", "article", "main"):
+                    return True
+                stack.append(c)
+    return False
+
+
+def _unwrap(root: Node) -> None:
+    """Keeps the marginal elements that hold most of the page's text outside links, unless an <article> or <main> stands beside them.
+
+    Comments are often longer than what they are on: one that holds no title or article is kept only if there is no other text.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and c.drop != HIDDEN]
+    for node in reversed(order):
+        for c in node.children:
+            if isinstance(c, str):
+                node.own += sum(map(len, _LINK_WORD.findall(c)))
+            else:
+                node.plain += c.plain
+        node.plain = 0 if node.tag == "a" else node.plain + node.own
+    # Two elements that hold most of the text lie inside each other, so there is one at a time.
+    top = root
+    while top is not None:
+        wrapper, articles, rest, stack = None, [], 0, [top]
+        while stack:
+            node = stack.pop()
+            rest += 0 if node.tag == "a" else node.own
+            for c in node.children:
+                if isinstance(c, str) or c.drop == HIDDEN:
+                    continue
+                if c.drop:
+                    wrapper = c if 2 * c.plain > root.plain else wrapper
+                    continue
+                if c.tag in ("article", "main"):
+                    articles.append(c)
+                stack.append(c)
+        above = wrapper and wrapper.parent
+        while above is not None:
+            if above in articles:
+                articles.remove(above)
+            above = above.parent
+        if wrapper is not None and not articles and (wrapper.drop == MARGINAL or not rest or _titled(wrapper)):
+            wrapper.drop = 0
+            top = wrapper
+        else:
+            top = None
+
+
 def _measure(root: Node) -> list[Node]:
     """Counts, densities and density sums of the elements that stay, parents before children."""
     order, stack = [], [root]
@@ -159,10 +225,9 @@ def _measure(root: Node) -> list[Node]:
         stack += [c for c in node.children if isinstance(c, Node) and not c.drop]
     for node in reversed(order):
         inside = node.tag == "a"
+        node.chars = node.own
         for c in node.children:
-            if isinstance(c, str):
-                node.chars += sum(map(len, _LINK_WORD.findall(c)))
-            elif not c.drop:
+            if isinstance(c, Node) and not c.drop:
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
@@ -254,6 +319,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _unwrap(root)
     return "\n\n".join(_blocks(_articles(root)))
 
 
