@@ -205,6 +205,19 @@ def test_rules(docs, none):
     assert rules.quality_rules(none).count() == 0
 
 
+def test_decontaminate_finds_passages_anywhere():
+    r = random.Random(5)
+    signs = [chr(c) for c in range(0x4E00, 0x5200)]
+    items = [(k, decontaminate.normal(prose(25, 900 + k))) for k in range(30)] + [(k, "".join(r.choice(signs) for _ in range(60))) for k in range(30, 60)]
+    index = decontaminate.Index(items, 0.05, 9, 3, 20, 6)
+    glue = lambda n: "".join(r.choice(signs if n % 2 else 'xyz{":,_') for _ in range(n))
+    texts = [(k, f"before {glue(n)}{t}{glue(5)} after") for k, t in items for n in (5, 13, 20, 40, 41)]
+    found = index.search([t for _, t in texts])
+    assert all((k, 0) in [(index.item_id(i), d) for i, d, _ in f] for (k, _), f in zip(texts, found, strict=True))
+    near = [(k, f"before {glue(13)}{t[:30]}{t[31:]} after") for k, t in items]
+    assert sum(k in [index.item_id(i) for i, _, _ in f] for (k, _), f in zip(near, index.search([t for _, t in near]), strict=True)) >= 57
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

@@ -8,7 +8,10 @@ positions; a window and an item that agree on a whole set are candidates.  More
 sets raise the recall; the defaults find about 0.96 of the passages at the greatest distance
 allowed, and all exact ones.  Every candidate is verified by its exact edit distance.
 
-Windows start at the words of every document.  A window is embedded only if it can match at
+Windows start at the words of every document, and wherever an item would start of which one of
+the ``q``-grams side by side stands in the text: ``d`` edits leave one of them at least, so
+passages that are glued to other characters, or in scripts without blanks, get their window
+too.  A window is embedded only if it can match at
 all: ``d`` edits destroy at most ``q * d`` of an item's ``q``-grams, so a match must contain
 the rest of them, and windows with fewer item q-grams are skipped without loss.
 
@@ -100,9 +103,10 @@ class Index:
         self.q = q
         self.short = [(i, t) for i, t in items if t and len(t) < q]
         self.items = [(i, t, allowed_edits(len(t), rate, q)) for i, t in items if len(t) >= q]
-        self.grams = np.zeros(1 << _TABLE_BITS, bool)
+        self.grams = np.zeros(1 << _TABLE_BITS, np.uint8)
         for _, t, _ in self.items:
-            self.grams[gram_hashes(codes_of(t), q) >> np.uint32(32 - _TABLE_BITS)] = True
+            self.grams[gram_hashes(codes_of(t), q) >> np.uint32(32 - _TABLE_BITS)] = 1
+        seeds: list[np.ndarray] = []
         rng = np.random.default_rng(seed)
         order = sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
         self.classes = []
@@ -124,8 +128,14 @@ class Index:
             who = np.repeat(np.array(members), keys.shape[1])
             ranked = np.argsort(table, kind="stable")
             c["table"], c["who"] = table[ranked], who[ranked]
+            for k in members:
+                hashes = gram_hashes(codes_of(self.items[k][1]), q)[::q]
+                seeds.append(np.stack([hashes, np.full(len(hashes), len(self.classes)), np.arange(len(hashes)) * q]).astype(np.int64))
             self.classes.append(c)
             at = end
+        # Places of the items' q-grams side by side, each once for a class: hash, class, offset.
+        self.seeds = np.unique(np.concatenate(seeds, axis=1), axis=1) if seeds else np.empty((3, 0), np.int64)
+        self.grams[self.seeds[0] >> (32 - _TABLE_BITS)] = 2
 
     @staticmethod
     def _padded(codes: np.ndarray, at: int, width: int) -> np.ndarray:
@@ -156,6 +166,26 @@ class Index:
             np.minimum(place, last, out=place)
         return (keys * np.uint64(0xD6E8FEB86659FD93)).reshape(n, -1)
 
+    def _seeded(self, grams: np.ndarray, at: np.ndarray, hits: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """For each class, where an item would start of which a q-gram stands at one of the places ``at``."""
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in self.classes]
+        span, need, edits = (np.array([c[k] for c in self.classes], np.int64) for k in ("span", "need", "edits"))
+        hashes, number, offset = self.seeds
+        for part in np.array_split(at, len(at) // 65536 + 1):
+            low = np.searchsorted(hashes, grams[part], side="left")
+            count = np.searchsorted(hashes, grams[part], side="right") - low
+            which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            place = np.repeat(part, count)
+            first = begins[np.searchsorted(ends, place, side="right")]
+            of = number[which]
+            start = np.maximum(place - offset[which], first)
+            last = np.minimum(start + span[of] + edits[of], len(hits) - 1)
+            fits = hits[last] - hits[np.maximum(start - edits[of], first)] >= need[of]
+            both = np.unique(start[fits] * len(self.classes) + of[fits])
+            for k in range(len(self.classes)):
+                out[k].append(both[both % len(self.classes) == k] // len(self.classes))
+        return [np.unique(np.concatenate(x)) for x in out]
+
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each normal text: (item number, distance, end), each item once, at its first best verified place."""
         found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
@@ -165,13 +195,16 @@ class Index:
         codes = codes_of("\0".join(texts) + "\0")
         hits = np.zeros(len(codes) + 1, np.int32)
         grams = gram_hashes(codes, self.q)
-        np.cumsum(self.grams[grams >> np.uint32(32 - _TABLE_BITS)], out=hits[1 : len(grams) + 1])
+        marks = self.grams[grams >> np.uint32(32 - _TABLE_BITS)]
+        np.cumsum(marks > 0, out=hits[1 : len(grams) + 1])
         hits[len(grams) + 1 :] = hits[len(grams)]
         starts = np.flatnonzero((codes[:-1] == 32) | (codes[:-1] == 0)) + 1
         starts = np.concatenate([[0], starts])
         starts = starts[starts < len(codes)]
-        for c in self.classes:
+        seeded = self._seeded(grams, np.flatnonzero(marks > 1), hits, begins, ends)
+        for c, more in zip(self.classes, seeded, strict=True):
             near = starts[hits[np.minimum(starts + c["span"], len(codes))] - hits[starts] >= c["need"]]
+            near = np.union1d(near, more)
             width = c["width"]
             for part in np.array_split(near, len(near) // 2048 + 1):
                 if not len(part):
