@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import sys
+import textwrap
 import zlib
 
 import numpy as np
@@ -343,3 +344,17 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
     assert got - {20} == set(range(12)) and len(corpus_pipeline.STAGES) == 5
+
+
+def test_licenses_wrapped_and_whole(spark):
+    texts = licenses.full_texts()
+    rows = [(k, f"{name}/LICENSE", "Copyright (c) 2020 Jane Doe\n\n" + "\n".join(textwrap.wrap(t[0], 70))) for k, (name, t) in enumerate(texts.items())]
+    rows += [(100 + k, f"{name}/src/x.c", "plain") for k, name in enumerate(texts)]
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = texts["BSD-3-Clause"][0]
+    for k, t in enumerate([gpl, bsd, licenses.TEMPLATES["MIT"][2]]):
+        rows.append((200 + k, f"h/{k}.py", "# Copyright 2020\n#\n" + "\n".join("# " + x for x in textwrap.wrap(t, 60)) + "\n\nimport os\n"))
+    got = {r.doc_id: (r.license, r.how) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, name in enumerate(texts):
+        assert (got[k], got[100 + k]) == ((name, "file"), (name, "inherited"))
+    assert [got[200 + k] for k in range(3)] == [("GPL-3.0", "header"), ("BSD-3-Clause", "header"), ("MIT", "header")]

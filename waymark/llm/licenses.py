@@ -1,7 +1,10 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a file is a header candidate and a file named like a licence file is one as a
-whole; each is compared with notice templates by the cosine of sparse TF-IDF vectors.  Term
+Every line of a file is a header candidate, so is every run of lines up to 1 / threshold²
+times the words of the longest notice, and a file named like a licence file is one as a whole;
+each is compared with notice templates by the cosine of sparse TF-IDF vectors.  A licence file
+is first compared with the full texts of licences; the Creative Commons ones but CC0 have none
+here.  A licence that contains the notice of another outranks it.  Term
 weights come from the document frequencies of the templates' terms over all files; a term
 that no template has gets the weight of a term in no file.  A file takes the licence of its
 best line at or above ``threshold``; a licence file gives its licence to its directory.  A
@@ -21,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,14 +41,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: Licences whose texts contain the notice of another.
+CONTAINS = {"BSD-3-Clause": "BSD-2-Clause"}
 #: File names that mark a licence file.
 LICENSE_FILES = r"(?i)^(?:un)?licen[cs]e(?:[.-].*)?$|^copying(?:[.-].*)?$|^notice(?:\..*)?$"
 
@@ -90,11 +96,41 @@ class Matcher:
         return (self.notices[k][0], score) if score >= least else None
 
 
-def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.8, license_files: str = LICENSE_FILES) -> DataFrame:
+    def best_run(self, lines: list[list[str]], least: float) -> list[tuple[str, float]]:
+        """Matches of runs of two lines or more, given the words of each line."""
+        lines = [words for words in lines if words]
+        most = max((sum(c.values()) for _, c in self.notices), default=0) / least**2
+        known = [[w for w in words if w in self.weight] for words in lines]
+        out = []
+        for first in range(len(lines) - 1):
+            if not known[first]:
+                continue
+            words, counts, square, other = 0, Counter(), 0.0, 0.0
+            for last in range(first, len(lines)):
+                words += len(lines[last])
+                if words > most:
+                    break
+                for w in known[last]:
+                    square += (2 * counts[w] + 1) * self.weight[w] ** 2
+                    counts[w] += 1
+                other += (len(lines[last]) - len(known[last])) * self.other**2
+                # What no notice has may not outweigh the rest; repeated, it only weighs more.
+                if last > first and square >= least**2 * (square + other) and (m := self.best([w for x in lines[first : last + 1] for w in x], least)):
+                    out.append(m)
+        return out
+
+
+def full_texts() -> dict[str, tuple[str, ...]]:
+    return {p.stem: (p.read_text(encoding="utf-8"),) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, texts: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.8, license_files: str = LICENSE_FILES) -> DataFrame:
     """One row per file: doc_id, path, license, how (header, file, inherited or null), score, license_dir (of what was inherited)."""
+    # Templates of one's own come without the full texts.
+    texts = (full_texts() if templates is None else {}) if texts is None else texts
     templates = TEMPLATES if templates is None else templates
     picked = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    vocabulary = frozenset(t for notices in templates.values() for n in notices for t in terms(n))
+    vocabulary = frozenset(t for notices in (*templates.values(), *texts.values()) for n in notices for t in terms(n))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
@@ -108,6 +144,7 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     # At most one row for each term of the templates reaches the driver.
     counted = {r["term"]: r["n"] for r in picked.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     matcher = Matcher(templates, counted, counted.get("", 0))
+    whole = Matcher(texts, counted, counted.get("", 0))
     named = re.compile(license_files)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,9 +154,14 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
                 text = text if isinstance(text, str) else ""
                 base = path.rpartition("/")[2] if isinstance(path, str) else ""
                 is_file = bool(named.search(base))
-                found = [m for line in text.split("\n") if (m := matcher.best(terms(line), threshold))]
+                lines = [terms(line) for line in text.split("\n")]
+                found = [m for words in lines if (m := matcher.best(words, threshold))] + matcher.best_run(lines, threshold)
                 if is_file and (m := matcher.best(terms(text), threshold)):
                     found.append(m)
+                contained = {CONTAINS.get(name) for name, _ in found}
+                found = [m for m in found if m[0] not in contained]
+                if is_file and (m := whole.best(terms(text), threshold)):
+                    found = [m]
                 best = min(found, key=lambda m: (-round(m[1], 9), m[0]), default=(None, None))
                 how = None if best[0] is None else "file" if is_file else "header"
                 rows.append((doc_id, path if isinstance(path, str) else None, *best, how))
