@@ -233,3 +233,17 @@ def test_alternatives_branches_and_features(spark):
     assert kinds == ["LineString", "Point", "Point"]
     line = next(f for f in features.values() if f["geometry"]["type"] == "LineString")
     assert line["type"] == "Feature" and line["geometry"]["coordinates"] == [[4.0, 51.0], [4.1, 51.1]]
+
+
+def test_restrictions_keep_all_members(spark):
+    from waymark.sources import osm
+
+    edges = spark.createDataFrame([(k, 10 + k, k, k + 1) for k in range(5)] + [(7, 17, 9, 1)], "edge_id long, way long, tail long, head long")
+    tags = {"type": "restriction", "restriction": "no_entry"}
+    rows = [
+        (1, [("way", 10, "from"), ("way", 11, "via"), ("way", 12, "via"), ("way", 13, "to")], tags),
+        (2, [("way", 10, "from"), ("way", 17, "from"), ("node", 1, "via"), ("way", 11, "to")], tags),
+        (3, [("way", 12, "from"), ("way", 11, "via"), ("way", 10, "to"), ("way", 17, "to")], tags),
+    ]
+    got = osm.restrictions(spark.createDataFrame(rows, "id long, members array<struct<type:string,id:long,role:string>>, tags map<string,string>"), edges)
+    assert sorted((r.vertex_id, r.from_edge, r.to_edge, list(r.prefix)) for r in got.collect()) == [(1, 0, 1, []), (1, 1, 0, [2]), (1, 1, 7, [2]), (1, 7, 1, []), (3, 2, 3, [0, 1])]

@@ -119,20 +119,29 @@ def restrictions(relations: DataFrame, edges: DataFrame) -> DataFrame:
     """Turn costs of restrictions that go from a way over a node (or over ways) to a way.
 
     The edges of the from and to ways are those at the via; mandatory restrictions forbid
-    every exit but the named one and the way back.  Over several via ways, the turn from the
-    last via edge is forbidden and the edges before it are the ``prefix``.
+    every exit but the named one and the way back.  Over via ways, in the order of the members,
+    the turn from the last via edge is forbidden and the edges before it are the ``prefix``.
+    Each from way counts, and each to way of those that forbid; via ways cut into several edges
+    give no row.
     """
     r = relations.withColumn("forbids", restriction_kind(F.col("tags"))).where("forbids is not null")
     member = lambda kind, role: F.filter("members", lambda m: (m["type"] == kind) & (m["role"] == role))
-    r = r.select("id", "forbids", trimmed(F.col("tags")).alias("attrs"), member("way", "from")[0]["id"].alias("from_way"), member("way", "to")[0]["id"].alias("to_way"), member("node", "via")[0]["id"].alias("via_node"), member("way", "via")[0]["id"].alias("via_way"))
+    ids = lambda kind, role: F.transform(member(kind, role), lambda m: m["id"])
+    r = r.select("id", "forbids", trimmed(F.col("tags")).alias("attrs"), F.explode(ids("way", "from")).alias("from_way"), F.when(F.col("forbids"), ids("way", "to")).otherwise(F.slice(ids("way", "to"), 1, 1)).alias("to_ways"), F.get(ids("node", "via"), F.lit(0)).alias("via_node"), ids("way", "via").alias("vias"))
+    r = r.withColumn("to_way", F.explode("to_ways")).drop("to_ways")
     ends = edges.select("way", "edge_id", F.explode(F.array("tail", "head")).alias("vertex_id")).distinct()
     side = lambda name: ends.select(F.col("way").alias(f"{name}_way"), F.col("edge_id").alias(f"{name}_edge"), F.col("vertex_id").alias(f"{name}_v"))
     node = r.where("via_node is not null").join(side("from"), "from_way").where("from_v = via_node").join(side("to"), "to_way").where("to_v = via_node")
     node = node.select("id", "forbids", "attrs", F.col("via_node").alias("vertex_id"), "from_edge", "to_edge", F.array().cast("array<long>").alias("prefix"))
-    over = edges.select(F.col("way").alias("via_way"), F.col("edge_id").alias("via_edge"), "tail", "head")
-    way = r.where("via_node is null and via_way is not null").join(over, "via_way").join(side("from"), "from_way").join(side("to"), "to_way")
-    way = way.where("((from_v = tail and to_v = head) or (from_v = head and to_v = tail)) and from_edge <> via_edge and to_edge <> via_edge")
-    way = way.select("id", "forbids", "attrs", F.col("to_v").alias("vertex_id"), F.col("via_edge").alias("from_edge"), "to_edge", F.array("from_edge").alias("prefix"))
+    way = r.where("via_node is null and size(vias) > 0").join(side("from"), "from_way").withColumn("prefix", F.array().cast("array<long>"))
+    over = edges.select(F.col("way").alias("via_way"), F.col("edge_id").alias("via_edge"), F.explode(F.array(F.struct(F.col("tail").alias("a"), F.col("head").alias("b")), F.struct(F.col("head").alias("a"), F.col("tail").alias("b")))).alias("e")).select("via_way", "via_edge", "e.a", "e.b").distinct()
+    # One join for each via way in its order; shorter chains wait.
+    for k in range(way.agg(F.max(F.size("vias"))).first()[0] or 0):
+        more = way.where(F.size("vias") > k).withColumn("via_way", F.get("vias", F.lit(k))).join(over, "via_way").where("a = from_v and via_edge <> from_edge")
+        more = more.withColumn("prefix", F.concat("prefix", F.array("from_edge"))).withColumn("from_edge", F.col("via_edge")).withColumn("from_v", F.col("b")).select(*way.columns)
+        way = way.where(F.size("vias") <= k).unionByName(more)
+    way = way.join(side("to"), "to_way").where("to_v = from_v and to_edge <> from_edge")
+    way = way.select("id", "forbids", "attrs", F.col("to_v").alias("vertex_id"), "from_edge", "to_edge", "prefix")
     found = node.unionByName(way)
     barred = found.where("forbids").select("vertex_id", "from_edge", "to_edge", "attrs", "prefix")
     others = ends.select("vertex_id", F.col("edge_id").alias("exit"))
