@@ -12,18 +12,19 @@ documents, those with the smallest hash of their id); prediction covers every te
 Nulls, empty texts and texts with no letter are ``und`` with score 0.  Rows with a null
 language do not train.  Ties between codewords go to the first language in sorted order.
 With no training rows everything is ``und``; with one language every text with a letter
-gets it.  Repeated rows are predicted alike.  Other columns are ignored.
+gets it.  Repeated rows are predicted alike, very long texts like any other, in one vector of
+fixed length.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.arrow import derive
+
 DIM = 2048
 
 
@@ -77,20 +78,25 @@ def codewords(n: int) -> np.ndarray:
 class OutputCode:
     """One ridge classifier per bit and the loss-weighted decoder."""
 
-    def __init__(self, x: np.ndarray, y: list[str], ridge: float = 0.05):
-        self.languages = sorted(set(y))
-        self.code = codewords(len(self.languages))
-        index = {language: k for k, language in enumerate(self.languages)}
+    def __init__(self, languages: list[str], w: np.ndarray, bit_weight: np.ndarray):
+        self.languages, self.w, self.bit_weight = languages, w, bit_weight
+        self.code = codewords(len(languages))
+
+    @classmethod
+    def fitted(cls, x: np.ndarray, y: list[str], ridge: float = 0.05) -> OutputCode:
+        languages = sorted(set(y))
+        code = codewords(len(languages))
+        index = {language: k for k, language in enumerate(languages)}
         rows = np.array([index[v] for v in y])
         # Each language weighs as much as any other.
         weight = 1 / np.bincount(rows)[rows]
-        bits = self.code[rows]
+        bits = code[rows]
         xb = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
         xw = xb * weight[:, None]
-        self.w = np.linalg.solve(xb.T @ xw + ridge * weight.sum() / len(x) * np.eye(xb.shape[1]), xw.T @ bits)
-        losses = (np.maximum(0, 1 - bits * (xb @ self.w)) * weight[:, None]).sum(axis=0) / weight.sum()
-        self.bit_weight = np.maximum(1 - losses, 0.05)
-        self.bit_weight /= self.bit_weight.sum()
+        w = np.linalg.solve(xb.T @ xw + ridge * weight.sum() / len(x) * np.eye(xb.shape[1]), xw.T @ bits)
+        losses = (np.maximum(0, 1 - bits * (xb @ w)) * weight[:, None]).sum(axis=0) / weight.sum()
+        bit_weight = np.maximum(1 - losses, 0.05)
+        return cls(languages, w, bit_weight / bit_weight.sum())
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its share, and the gap to the runner-up's loss."""
@@ -105,26 +111,36 @@ class OutputCode:
 
 
 def fit(training: DataFrame, max_train: int) -> OutputCode | None:
-    """``training``: doc_id, text and lang.  At most ``max_train`` vectors reach the driver.
+    """``training``: doc_id, text and lang.  At most ``max_train`` vectors reach one task, which solves the classifiers; the driver gets their weights, a row for each bit.
 
     Rows are drawn by a hash of their id; a first cut keeps about twice as many as needed, so
-    that the exact choice gathers no more texts however large the table.
+    that the exact choice gathers no more vectors however large the table.  Texts are vectors before they move.
     """
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = [i for i, t in enumerate(b["text"]) if has_letter(t)]
-            yield pd.DataFrame({"lang": b["lang"].iloc[keep].to_numpy(), "v": [ngram_vector(t).astype(np.float32).tobytes() for t in b["text"].iloc[keep]]})
+    def vectors(texts: list[str | None]) -> list[list]:
+        known = [has_letter(t) for t in texts]
+        return [known, [ngram_vector(t).tobytes() if k else None for t, k in zip(texts, known, strict=True)]]
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("lang", "ascending"), ("v", "ascending")])
+        x = np.frombuffer(table["v"].combine_chunks().buffers()[2], np.float32, table.num_rows * DIM).reshape(-1, DIM)
+        code = OutputCode.fitted(x, table["lang"].to_pylist())
+        return pa.table({"bit": np.arange(code.code.shape[1], dtype=np.int32), "w": [w.tobytes() for w in code.w.T], "bit_weight": code.bit_weight, "languages": [code.languages] * code.code.shape[1]}, schema=_WEIGHTS)
 
     rows = training.where("text is not null and lang is not null")
     share = 2 * max_train / max(rows.count(), 1)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
-    drawn = rows if share >= 1 else rows.where(draw < int(share * (1 << 30)))
-    sample = drawn.orderBy(draw, "doc_id", "lang").limit(max_train)
-    got = sorted((r["lang"], bytes(r["v"])) for r in sample.mapInPandas(vectors, "lang string, v binary").collect())
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)))
+    if share < 1:
+        drawn = drawn.where(F.col("draw") < int(share * (1 << 30)))
+    sample = derive(drawn, "text", vectors, "known boolean, v binary").where("known").orderBy("draw", "doc_id", "lang", "v").limit(max_train)
+    got = sample.select("lang", "v", F.lit(0).alias("one")).groupBy("one").applyInArrow(solve, "bit int, w binary, bit_weight double, languages array<string>").collect()
     if not got:
         return None
-    return OutputCode(np.stack([np.frombuffer(v, np.float32) for _, v in got]), [language for language, _ in got])
+    got.sort(key=lambda r: r["bit"])
+    return OutputCode(got[0]["languages"], np.stack([np.frombuffer(r["w"], np.float64) for r in got], axis=1), np.array([r["bit_weight"] for r in got]))
+
+
+_WEIGHTS = pa.schema([("bit", pa.int32()), ("w", pa.binary()), ("bit_weight", pa.float64()), ("languages", pa.list_(pa.field("element", pa.string())))])
 
 
 def identify(
@@ -139,24 +155,28 @@ def identify(
     ambiguous_gap: float = 0.02,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, held_out, the columns named by ``carry`` (the text may be one), lang_pred, score, ambiguous."""
+    """doc_id, held_out, the columns named by ``carry`` (the text may be one), lang_pred, score, ambiguous.
+
+    A carried column may not have the name of another column of the result.
+    """
+    if clash := {"doc_id", "held_out", "lang_pred", "score", "ambiguous"}.intersection(carry):
+        raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     doc_id = F.col(id_col).cast("long")
     held = F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == held_fold, F.lit(False))
     training = docs.where(~held & doc_id.isNotNull()).select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = fit(training, max_train)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known = np.array([has_letter(t) if isinstance(t, str) else False for t in b["_text"]], bool)
-            lang, score, gap = np.full(len(b), "und", object), np.zeros(len(b)), np.zeros(len(b))
-            at = np.flatnonzero(known) if model is not None else np.empty(0, int)
-            texts = b["_text"].to_numpy()
-            for part in np.array_split(at, len(at) // 512 + 1):
-                if len(part):
-                    best, share, apart = model.decode(np.stack([ngram_vector(texts[i]) for i in part]))
-                    lang[part], score[part], gap[part] = np.array(model.languages, object)[best], share, apart
-            yield b.drop(columns="_text").assign(lang_pred=lang, score=score, ambiguous=gap < ambiguous_gap)
-
-    picked = docs.select(doc_id.alias("doc_id"), held.alias("held_out"), *carry, F.col(text_col).alias("_text"))
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_text")
-    return picked.mapInPandas(predict, spec + ", lang_pred string, score double, ambiguous boolean")
+    def predict(texts: list[str | None]) -> list:
+        known = np.array([has_letter(t) for t in texts], bool)
+        lang, score, gap = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
+        at = np.flatnonzero(known) if model is not None else np.empty(0, int)
+        for part in np.array_split(at, len(at) // 512 + 1):
+            if len(part):
+                best, share, apart = model.decode(np.stack([ngram_vector(texts[i]) for i in part]))
+                lang[part], score[part], gap[part] = np.array(model.languages, object)[best], share, apart
+        return [lang.tolist(), score, gap < ambiguous_gap]
+
+    # Any name that no carried column has.
+    text = max(["text", *carry], key=len) + "_"
+    picked = docs.select(doc_id.alias("doc_id"), held.alias("held_out"), *carry, F.col(text_col).alias(text))
+    return derive(picked, text, predict, "lang_pred string, score double, ambiguous boolean")
