@@ -33,7 +33,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", *rules.COUNTS, "base_failed", "kept", "distance2")
+    return rules.quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", *rules.COUNTS, "base_failed", "kept", "distance2", "level")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,9 +58,10 @@ def repeat_words(words: list[bytes], size: int = 8) -> int:
 
 
 def base_statistics(text: str | None) -> dict[str, int]:
-    """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_letters, n_marks."""
+    """Counts of words, lines and kinds of characters; n_bytes and n_bytes2 are the sums of the words' lengths in bytes and of their squares."""
     text = text or ""
     words = words_of(text)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     seen: set[str] = set()
     lines = dup = 0
     for line in text.split("\n"):
@@ -86,7 +87,9 @@ def base_statistics(text: str | None) -> dict[str, int]:
         "n_letters": letters,
         "n_marks": marks,
         "n_distinct": len(set(words)),
-        "n_short": sum(map((2).__ge__, map(len, words))),
+        "n_short": int((sizes <= 2).sum()),
+        "n_bytes": int(sizes.sum()),
+        "n_bytes2": int((sizes * sizes).sum()),
         "n_digits": int(small[48:58].sum()),
         "n_stops": int(small[46]),
     }
