@@ -31,10 +31,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.arrow import derive
+
 _B = 0x9E3779B1
 _TABLE_BITS = 22
 
@@ -261,26 +262,20 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, distance, end (in the normal text)."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    spec = "doc_id long, item_id long, distance int, end long"
-
-    def scan(index: Index):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ids = b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
-                texts = [normal(t) for t in b["text"]]
-                rows, at = [], 0
-                while at < len(texts):
-                    end, chars = at, 0
-                    while end < len(texts) and (chars < 1_000_000 or end == at):
-                        chars += len(texts[end])
-                        end += 1
-                    for d, found in zip(ids[at:end], index.search(texts[at:end]), strict=True):
-                        rows += [(d, index.item_id(i), distance, stop) for i, distance, stop in found]
-                    at = end
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64", "distance": "int32", "end": "int64"})
-
-        return picked.mapInPandas(run, spec)
+    def scan(index: Index) -> DataFrame:
+        def run(raw: list[str]) -> list[list]:
+            texts, out, at = [normal(t) for t in raw], [], 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and (chars < 1_000_000 or end == at):
+                    chars += len(texts[end])
+                    end += 1
+                out += [[{"item_id": index.item_id(i), "distance": distance, "end": stop} for i, distance, stop in found] for found in index.search(texts[at:end])]
+                at = end
+            return [out]
+
+        made = derive(picked, "text", run, "found array<struct<item_id: bigint, distance: int, end: bigint>>")
+        return made.select("doc_id", F.inline("found"))
 
     def blocks() -> Iterator[list[tuple[int | None, str]]]:
         held, chars = [], 0
@@ -294,4 +289,4 @@ def contaminated(
             yield held
 
     parts = [scan(Index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate, q, walks, sets, sample)) for items in blocks()]
-    return reduce(DataFrame.union, parts) if parts else picked.sparkSession.createDataFrame([], spec)
+    return reduce(DataFrame.union, parts) if parts else picked.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, end long")

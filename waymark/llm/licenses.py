@@ -26,10 +26,11 @@ from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.arrow import derive
 from waymark.llm.scratch import materialize
 
 #: Notices by licence: fixed texts that licences ask to be put into files.
@@ -132,42 +133,40 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     picked = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
     vocabulary = frozenset(t for notices in (*templates.values(), *texts.values()) for n in notices for t in terms(n))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for b in batches:
-            seen[""] += len(b)
-            for t in b["text"]:
-                if isinstance(t, str):
+            seen[""] += b.num_rows
+            for t in b.column("text").to_pylist():
+                if t:
                     seen.update(vocabulary.intersection(terms(t)))
-        yield pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+        yield pa.record_batch({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
     # At most one row for each term of the templates reaches the driver.
-    counted = {r["term"]: r["n"] for r in picked.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counted = {r["term"]: r["n"] for r in picked.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     matcher = Matcher(templates, counted, counted.get("", 0))
     whole = Matcher(texts, counted, counted.get("", 0))
     named = re.compile(license_files)
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, path, text in zip(b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), b["path"], b["text"], strict=True):
-                text = text if isinstance(text, str) else ""
-                base = path.rpartition("/")[2] if isinstance(path, str) else ""
-                is_file = bool(named.search(base))
-                lines = [terms(line) for line in text.split("\n")]
-                found = [m for words in lines if (m := matcher.best(words, threshold))] + matcher.best_run(lines, threshold)
-                if is_file and (m := matcher.best(terms(text), threshold)):
-                    found.append(m)
-                contained = {CONTAINS.get(name) for name, _ in found}
-                found = [m for m in found if m[0] not in contained]
-                if is_file and (m := whole.best(terms(text), threshold)):
-                    found = [m]
-                best = min(found, key=lambda m: (-round(m[1], 9), m[0]), default=(None, None))
-                how = None if best[0] is None else "file" if is_file else "header"
-                rows.append((doc_id, path if isinstance(path, str) else None, *best, how))
-            yield pd.DataFrame(rows, columns=["doc_id", "path", "license", "score", "how"]).astype({"doc_id": "Int64", "path": object, "license": object, "score": "float64", "how": object})
-
-    own = materialize(picked.mapInPandas(match, "doc_id long, path string, license string, score double, how string"), "licenses")
+    def match(files: list[dict]) -> list[list]:
+        rows = []
+        for f in files:
+            text, base = f["text"] or "", (f["path"] or "").rpartition("/")[2]
+            is_file = bool(named.search(base))
+            lines = [terms(line) for line in text.split("\n")]
+            found = [m for words in lines if (m := matcher.best(words, threshold))] + matcher.best_run(lines, threshold)
+            if is_file and (m := matcher.best(terms(text), threshold)):
+                found.append(m)
+            contained = {CONTAINS.get(name) for name, _ in found}
+            found = [m for m in found if m[0] not in contained]
+            if is_file and (m := whole.best(terms(text), threshold)):
+                found = [m]
+            best = min(found, key=lambda m: (-round(m[1], 9), m[0]), default=(None, None))
+            rows.append((*best, None if best[0] is None else "file" if is_file else "header"))
+        return [[r[k] for r in rows] for k in range(3)]
+
+    own = derive(picked.select("doc_id", "path", F.struct("path", "text").alias("_file")), "_file", match, "license string, score double, how string")
+    own = materialize(own, "licenses")
     own = own.withColumn("dir", F.when(F.col("path").isNotNull(), F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise("")))
     given = own.where("how = 'file'").groupBy("dir").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "path")).alias("g"))
     given = given.select(F.col("dir").alias("ancestor"), F.col("g.license").alias("dir_license"), F.col("g.score").alias("dir_score"))

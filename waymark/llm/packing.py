@@ -2,7 +2,7 @@
 
 A document is its byte-level BPE ids and an end id.  A document longer than a sequence is
 cut so that the first piece takes the odd length and every later piece fills a sequence.
-Pieces are spread over buckets of about ``bucket_pieces`` by a hash, and each bucket is
+Pieces are spread over buckets of about ``bucket_pieces`` by a hash of their place in the table, and each bucket is
 packed on its own: a bin is filled greedily with the longest pieces that fit; if a gap is
 left, its shortest piece is replaced by the two unpacked pieces that together fill the
 widened gap best, when they fill more of it.  A bucket wastes at most a bin or so, and its
@@ -12,42 +12,50 @@ Nulls: a null text is empty, and an empty text is one piece that holds the end i
 are kept.  Repeated rows are packed as often as they occur.  An empty table gives an empty
 result.  Other columns are ignored.
 
-``tiktoken`` encodes with the vocabulary that the ``tokenizers`` file has, several times as
-fast; the ids are the same, the string of the special token included.
+Very long texts are encoded in parts that are cut where the vocabulary cuts anyway.
 """
 
 from __future__ import annotations
 
-import base64
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.arrow import derive
 from waymark.llm.scratch import materialize
 
-#: Fixed values of the vocabulary: the special token's string and id.
-SPECIAL = "<|endoftext|>"
-SPECIAL_ID = 50256
-
+#: Between a letter and a space before a letter no token crosses, for the vocabulary splits texts there itself.
+_SEAM = re.compile(r"[A-Za-z](?= [A-Za-z])")
 _ENCODERS: dict = {}
 
 
-def encoder(ranks_path: str | None = None):
-    """Function from a text to its ids; cached in the worker."""
-    if ranks_path not in _ENCODERS:
-        import public_tokenizers
-        import tiktoken
+def parts(text: str, size: int = 1 << 16) -> Iterator[str]:
+    """The text in parts that are encoded apart with the same ids, so that memory does not follow its length; a stretch without a seam stays whole."""
+    at = 0
+    while len(text) - at > size and (seam := _SEAM.search(text, at + size)):
+        yield text[at : seam.end()]
+        at = seam.end()
+    yield text[at:]
+
+
+def encoder(vocabulary: str | None = None):
+    """Function from a text to its ids; cached in the worker.  ``vocabulary``: a file of ``tokenizers``."""
+    if vocabulary not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        if vocabulary is None:
+            import public_tokenizers
 
-        with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        coding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-        _ENCODERS[ranks_path] = lambda text: coding.encode(text, allowed_special={SPECIAL}) if SPECIAL in text else coding.encode_ordinary(text)
-    return _ENCODERS[ranks_path]
+            path = public_tokenizers.path("byte_bpe_50k.json")
+        tokenizer = Tokenizer.from_file(vocabulary or path)
+        _ENCODERS[vocabulary] = lambda text: [i for part in parts(text) for i in tokenizer.encode(part, add_special_tokens=False).ids]
+    return _ENCODERS[vocabulary]
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -56,18 +64,18 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, size) for s in range(first, n, size))]
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, end_id: int, ranks_path: str | None) -> DataFrame:
-    def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(ranks_path)
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), b["text"], strict=True):
-                ids = np.array([*(encode(text) if isinstance(text, str) else ()), end_id], "<u4")
-                rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), size))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, end_id: int, vocabulary: str | None) -> DataFrame:
+    def tokenize(texts: list[str | None]) -> list[list]:
+        encode = encoder(vocabulary)
+        out = []
+        for text in texts:
+            ids = np.array([*encode(text or ""), end_id], "<u4")
+            out.append([{"piece": k, "start": s, "length": n, "ids_crc32": zlib.crc32(ids[s : s + n].tobytes())} for k, (s, n) in enumerate(cut(len(ids), size))])
+        return [out]
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(tokenize, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = derive(picked, "text", tokenize, "pieces array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>")
+    return made.select("doc_id", F.inline("pieces"))
 
 
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,16 +133,18 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, ranks_path: str | None = None, bucket_pieces: int = 50_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, vocabulary: str | None = None, bucket_pieces: int = 50_000
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    table = materialize(pieces(docs, id_col, text_col, size, end_id, ranks_path), "packing-pieces")
+    table = materialize(pieces(docs, id_col, text_col, size, end_id, vocabulary), "packing-pieces")
     buckets = max(1, math.ceil(table.count() / bucket_pieces))
-    spread = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # Pieces are spread by where they lie in the table: rows with equal ids, or none, would meet in one bucket.
+    spread = table.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
 
-    def place(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
-        bin_of, offset = best_two_fit(b["length"].to_numpy(), size)
-        return b.drop(columns="bucket").assign(doc_id=b["doc_id"].astype("Int64"), sequence_id=(int(key[0]) << 32) + bin_of, offset=offset)
+    def place(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
+        bin_of, offset = best_two_fit(t["length"].to_numpy(), size)
+        sequence = (t["bucket"][0].as_py() << 32) + bin_of
+        return t.drop_columns("bucket").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return spread.groupBy("bucket").applyInPandas(place, table.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long")
+    return spread.groupBy("bucket").applyInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -14,13 +14,12 @@ score is the share of label 1 (0.5 if there are none at all).  Other columns are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.arrow import derive
 from waymark.llm.scratch import materialize
 from waymark.llm.textstats import base_statistics, transformed
 
@@ -43,11 +42,8 @@ def features(text: str | None) -> list[float]:
 
 
 def _features_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "x": [features(t if isinstance(t, str) else None) for t in b["text"]]})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(measure, "doc_id long, x array<double>")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return derive(picked, "text", lambda texts: [[features(t) for t in texts]], "x array<double>")
 
 
 class Discriminant:
@@ -97,10 +93,8 @@ def quality_scores(
     else:
         model, constant = None, (1.0 if 1 in moments else 0.0 if 0 in moments else 0.5)
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            score = np.full(len(b), constant) if model is None else model.score(np.stack(b["x"].to_numpy())) if len(b) else np.empty(0)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "score": score})
+    def apply(vectors: list[list[float]]) -> list:
+        return [np.full(len(vectors), constant) if model is None else model.score(np.array(vectors).reshape(-1, FEATURES))]
 
-    scored = table.mapInPandas(apply, "doc_id long, score double")
+    scored = derive(table, "x", apply, "score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

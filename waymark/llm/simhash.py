@@ -24,12 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from waymark.llm.arrow import derive
 from waymark.llm.components import components
 from waymark.llm.scratch import materialize
 
@@ -181,13 +181,11 @@ def link_fingerprints(fps: DataFrame, *, radius: int = 3, tree_size: int = 2048)
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, tree_size: int = 2048) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, first_id (least id of the same fingerprint)."""
 
-    def hash_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+    def hash_texts(texts: list[str | None]) -> list:
+        return [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = materialize(picked.mapInPandas(hash_texts, "doc_id long, fp long"), "simhash")
+    table = materialize(derive(picked, "text", hash_texts, "fp long"), "simhash")
     firsts = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = components(link_fingerprints(firsts.select("fp"), radius=radius, tree_size=tree_size))
     # A root is a fingerprint; the component's name is the least id over its fingerprints.
