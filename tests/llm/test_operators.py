@@ -17,6 +17,8 @@ from waymark.llm import decontaminate, html_text, language, licenses, lines, pac
 from waymark.llm.components import components
 
 SPEC = "doc_id long, text string, lang string, source string, n_chars long, gid long, fp long, line string, key long, score double, g string"
+#: A number that a double does not hold.
+BIG = 2**53 + 1
 rnd = random.Random(11)
 VOCAB = ["".join(rnd.choice("abcdefghijé") for _ in range(rnd.randrange(2, 8))) for _ in range(300)]
 
@@ -261,6 +263,51 @@ def test_html_marked_text_beside_an_article():
     assert html_text.main_text(f"<div hidden><p>{long}</div><div><p>Short text</div>") == "Short text"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p title=it's>Hello don't stop here</p><p>Next para</p>", "Hello don't stop here\n\nNext para"),
+        ('<p>One</p><p title="a"">Two</p>', "One\n\nTwo"),
+        ('<p title="a>One</p><p>Two</p>', "One\n\nTwo"),
+        ("<p>One<!-->Two<!-- x --!>Three</p>", "OneTwoThree"),
+        ("<p>One</p><script>if (a<b && c=\"x) y</script><p>Two \"said</p>", 'One\n\nTwo "said'),
+        ("<p>One</p><svg/><svg/><p>Two</p><script src=x />var hidden</script>", "One\n\nTwo"),
+        ("<a title='>'>T</a> &am<b>p;x</b> &lt;b&gt; &#x26;lt;", "T &amp;x <b> &lt;"),
+        ("<p data-x = 'a > b' hidden=\"\">no</p><p>Yes, this is shown</p>", "Yes, this is shown"),
+        ("plain < text and <3 and a<", "plain < text and <3 and a<"),
+    ],
+)
+def test_html_tokens(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_html_density_matters(monkeypatch):
+    story = "".join(f"<p>Paragraph {k} of the story goes on for a good while, with commas, words and no links at all in it.</p>" for k in range(5))
+    page = "<body><div>" + "".join(f"<a href=/{k}>Other story {k}</a> " for k in range(15)) + f"</div><div>{story}</div><div><a href=/a>About</a> <a href=/b>Help</a></div></body>"
+    text = html_text.main_text(page)
+    assert text.startswith("Paragraph 0") and text.endswith("in it.") and text.count("\n\n") == 4
+    measure = html_text._measure
+
+    def flat(root):
+        order = measure(root)
+        for node in order:
+            node.density, node.total = 1.0, 0.0
+        return order
+
+    monkeypatch.setattr(html_text, "_measure", flat)
+    assert html_text.main_text(page) != text
+
+
+def test_html_tables(spark):
+    long = "<p>" + "word " * 200_000 + "</p>" + "<b>" * 20_000 + "x<hr>" * 2000 + "<div>" * 20_000 + "</i>" * 1000
+    rows = [(1, "u", "<p>Same</p>"), (1, "u", "<p>Same</p>"), (2, None, None), (None, "v", ""), (BIG, "w", "<p>Large id</p>"), (3, "x", long)]
+    pages = spark.createDataFrame([(*r, "text", 5) for r in rows], "page_id long, url string, html string, text string, n_chars long")
+    got = html_text.extract(pages).collect()
+    assert sorted((str(r.page_id), str(r.url), r.text) for r in got if r.page_id != 3) == sorted([("1", "u", "Same"), ("1", "u", "Same"), ("2", "None", ""), ("None", "v", ""), (str(BIG), "w", "Large id")])
+    assert all(r.n_chars == len(r.text) for r in got) and max(r.n_chars for r in got) > 900_000
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_packing(spark, docs, none):
     got = packing.pack(docs, size=64, bucket_pieces=20).collect()
     used = {}

@@ -13,7 +13,10 @@ most of the page's text outside links with no <article> or <main> beside them: t
 article (a form around the whole page, a class that names the layout).
 
 Null and empty pages give an empty text.  Malformed markup never fails: unclosed elements end
-with their parents, stray end tags are ignored, text outside any element belongs to the body.
+with their parents, stray end tags are ignored, text outside any element belongs to the body,
+and a self-closed script or the like with no end tag after it is empty.
+Null ids and urls are kept.  Of elements with equal density sums the upper one is taken, then the first.  Very long
+pages are parsed as a whole, in time that follows their length: nesting is bounded.
 Pages are independent, so repeated rows give repeated results; other columns are ignored.
 """
 
@@ -28,9 +31,12 @@ from pyspark.sql import functions as F
 
 from waymark.llm.arrow import derive
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
+#: A comment, a declaration, or a tag: quotes count only after an equals sign, and an unclosed one is a character like any other.
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?>=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s"'>][^\s>]*|[^>])*+(?:>|\Z)""", re.S
+)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 _LINK_WORD = re.compile(r"[^\s]+")
 
@@ -47,6 +53,8 @@ MARGINAL, READERS, HIDDEN = 1, 2, 3
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements nested deeper than this become siblings, as in browsers, so that no walk to an ancestor is long.
+DEEPEST = 512
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot".split())
 #: An opening tag closes an open element of these names, up to the nearest element of the second set.
@@ -75,10 +83,11 @@ LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S+", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "own", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "depth", "children", "drop", "own", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, drop: int = 0):
         self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
+        self.depth = 0 if parent is None else parent.depth + 1
         self.own = self.plain = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -108,9 +117,8 @@ def parse(page: str) -> Node:
     """The tree under a synthetic body; text nodes are plain strings among the children."""
     root = node = Node("body", None)
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    endless: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             node.children.append(page[at : m.start()])
         at, token = m.end(), m[0]
@@ -150,10 +158,15 @@ def parse(page: str) -> Node:
             node = node.parent
         child = Node(tag, node, _dropped(tag, token))
         node.children.append(child)
-        if tag in RAW and not token.endswith("/>"):
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not token.endswith("/>"):
+        if tag in RAW:
+            end = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif token.endswith("/>"):
+                endless.add(tag)
+            else:
+                at = len(page)
+        elif tag not in VOID and not token.endswith("/>") and child.depth < DEEPEST:
             node = child
     if at < len(page):
         node.children.append(page[at:])
@@ -290,7 +303,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
     run: list[str] = []
 
     def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+        text = _SPACE.sub(" ", "".join(run)).strip()
         run.clear()
         if text:
             out.append(text)
@@ -301,7 +314,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
-            run.append(x)
+            run.append(html.unescape(x))
         elif not x.drop:
             if x.tag == "br":
                 run.append(" ")
