@@ -1,14 +1,18 @@
 """Every operator against brute force on small tables, and on the hard cases: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import os
 import random
+import re
 import sys
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -194,20 +198,106 @@ def test_decontamination_recall():
     assert sum(any(i == k for i, _, _ in f) for k, f in enumerate(found)) >= 0.9 * len(items)
 
 
-def test_rules(docs, none):
-    got = rules.quality_rules(docs).collect()
-    assert len(got) == len(hard_rows())
+def brute_counts(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+    often = {g for g, n in Counter(grams).items() if n > 1}
+    covered = {k + j for k, g in enumerate(grams) if g in often for j in range(8)}
+    held = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), sum(x in held[:k] for k, x in enumerate(held)), len(covered)
+
+
+def test_rules(spark, docs, none):
+    rows = [*hard_rows(), *((k, t, "en", "a", 0, 0, 0, "x", 0, 0.0, "g") for k, t in ((50, "# a\n# a\n \n \nb <|> c\n# a"), (51, prose(30, 7) * 3), (BIG, prose(80, 21) + "\n" + prose(9, 21)), (52, "\u00a0 é\u2003é\x1c a\x85b")))]
+    got = rules.quality_rules(spark.createDataFrame(rows, SPEC)).collect()
+    key = lambda r: tuple(map(str, r))
+    want = [(r[0], *brute_counts(r[1])) for r in rows]
+    assert sorted(((r.doc_id, *(r[c] for c in rules.COUNTS)) for r in got), key=key) == sorted(want, key=key)
     for r in got:
-        assert not (r.base_failed and r.kept)
-    by_id = {r.doc_id: r for r in got}
-    w = words(hard_rows()[0][1])
-    twice = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
-    covered = {k + j for k, x in enumerate(twice) if twice.count(x) > 1 for j in range(8)}
-    assert (by_id[1].n_words, by_id[1].n_repeat_words) == (len(w), len(covered))
-    assert by_id[4].n_words == 0 and by_id[4].base_failed
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        # Too few texts for any estimate: all are kept that the base rules keep.
+        assert r.level in ("none", None) and r.kept == (not r.base_failed)
     assert rules.quality_rules(none).count() == 0
 
 
+def brute_mcd(x, w, support, starts=300):
+    """Concentration steps to convergence from random subsets; the smallest determinant, reweighted."""
+    r, n, p = np.random.default_rng(0), len(x), x.shape[1]
+
+    def moments(part, weight=None):
+        c = np.ones(len(part)) if weight is None else weight
+        mean = (c * w[part]) @ x[part] / (c * w[part]).sum()
+        off = (x[part] - mean) * np.sqrt(c * w[part])[:, None]
+        return mean, off.T @ off / c.sum() + rules.FLOOR**2 * np.eye(p)
+
+    def distances(mean, cov):
+        return w * np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    best = None
+    for _ in range(starts):
+        part = r.choice(n, p + 2, replace=False)
+        last = np.inf
+        while True:
+            estimate = moments(part)
+            det = np.linalg.slogdet(estimate[1])[1]
+            if len(part) > p + 2 and det > last - 1e-9:
+                break
+            last = det if len(part) > p + 2 else np.inf
+            part = np.argsort(distances(*estimate), kind="stable")[: int(np.ceil(support * n))]
+        if best is None or det < best[0]:
+            best = det, estimate
+    near = np.flatnonzero(distances(*best[1]) <= rules.quantile(0.975, p) * rules.consistency(support))
+    mean, cov = moments(near)
+    return best[0], distances(mean, rules.consistency(0.975) * (cov - rules.FLOOR**2 * np.eye(p)) + rules.FLOOR**2 * np.eye(p))
+
+
+@pytest.mark.parametrize(("lengths", "bad"), [(False, 0.0), (False, 0.2), (True, 0.15)])
+def test_mcd_against_brute_force(spark, lengths, bad):
+    r = np.random.default_rng(5)
+    groups = {}
+    for n in (30, 60, 150, 500):
+        mix = r.normal(size=(6, 6)) * 0.03 + np.eye(6) * 0.1
+        x = r.normal(size=(n, 6)) @ mix + 1
+        k = int(bad * n)
+        x[:k] = r.normal(size=(k, 6)) * 0.01 + np.array([2, 1, 1, 0.5, 1, 1])
+        groups[f"g{n}"] = x, (r.uniform(0.1, 0.9, n) if lengths else np.full(n, 0.5)), k
+    rows = [(g, x[i].tolist(), float(w[i]), i) for g, (x, w, _) in groups.items() for i in range(len(x))]
+    good = spark.createDataFrame(rows, "g string, x array<double>, w double, i int")
+    found = rules.minimum_covariance(good.drop("i"), 0.75, 30, lambda df: df)
+    scored = good.join(found, "g").select("g", "i", "logdet", rules._distance(F.col("m"), F.col("q")).alias("d")).collect()
+    for g, (x, w, k) in groups.items():
+        det, brute = brute_mcd(x, w, 0.75)
+        mine = {s.i: s.d for s in scored if s.g == g}
+        assert next(s.logdet for s in scored if s.g == g) <= det + (0.6 if len(x) < 100 else 0.1)
+        if len(x) >= 60:
+            assert all((mine[i] > rules.CUT) == (brute[i] > rules.CUT) for i in range(len(x)) if abs(math.log(brute[i] / rules.CUT)) > 0.5)
+        assert all(mine[i] > rules.CUT for i in range(k)) and np.mean([mine[i] <= rules.CUT for i in range(k, len(x))]) >= (0.85 if len(x) < 60 else 0.97)
+
+
+def test_chi_square_and_consistency():
+    r = np.random.default_rng(1)
+    d = np.square(r.normal(size=(200_000, 6))).sum(axis=1)
+    for share in (0.5, 0.75, 0.975):
+        assert abs((d <= rules.quantile(share, 6)).mean() - share) < 0.01
+    z = r.normal(size=(200_000, 6))
+    kept = z[np.square(z).sum(axis=1) <= rules.quantile(0.75, 6)]
+    assert abs(kept.var() * rules.consistency(0.75) - 1) < 0.02
+
+
+def test_rules_levels_and_outliers(spark):
+    vocabulary = [f"{a}{b}{c}" for a in ("the", "stor", "an", "wind") for b in ("", "y", "ing") for c in ("", "s", "er")]
+    text = lambda n, k: ". ".join(" ".join(random.Random(f"{k}-{j}").choices(vocabulary, k=9)).capitalize() for j in range(n)) + "."
+    junk = lambda k: " ".join(random.Random(k).choice(vocabulary).upper() + "!!##" for _ in range(60))
+    rows = [(k, text(10 + k % 9, k), "en", "big") for k in range(80)] + [(100 + k, text(8, 100 + k), "en", "small") for k in range(4)] + [(200 + k, junk(k), "en", "big" if k % 2 else "small") for k in range(6)]
+    rows += [(300 + k, rows[0][1], "en", "big") for k in range(400)] + [(900, text(9, 900), None, None), (901, junk(77), None, None)]
+    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {got[0].level, got[300].level} == {"group"} and got[100].level == "language" and got[900].level == "all"
+    # Hundreds of copies of one text do not make all others outliers.
+    assert all(got[k].kept for k in got if k < 200 or 300 <= k <= 900)
+    assert not any(got[k].kept for k in got if 200 <= k < 300 or k == 901)
+
+
 def test_decontaminate_finds_passages_anywhere():
     r = random.Random(5)
     signs = [chr(c) for c in range(0x4E00, 0x5200)]
