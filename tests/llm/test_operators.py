@@ -11,13 +11,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from waymark.llm import decontaminate, html_text, language, licenses, lines, packing, quality, rules, simhash, substrings
+from waymark.llm import decontaminate, html_text, language, licenses, lines, packing, quality, rules, scratch, simhash, substrings
 from waymark.llm.components import components
 
 SPEC = "doc_id long, text string, lang string, source string, n_chars long, gid long, fp long, line string, key long, score double, g string"
@@ -70,6 +71,25 @@ def test_substrings(docs, none):
     assert substrings.dedupe_substrings(none).count() == 0
 
 
+def test_substrings_spread_equal_rows(spark):
+    """Hundreds of equal rows, with and without an id, and a large id: one of them keeps its words."""
+    base = prose(60, 31)
+    rows = [(None, base)] * 150 + [(7, base + " end")] * 150 + [(BIG, prose(50, 32)), (BIG + 2, prose(50, 32)), (1, prose(40, 33))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.dedupe_substrings(df, group_bytes=200, shard_windows=200).collect()
+    assert len(got) == len(rows)
+    n = len(words(base))
+    assert sorted(r.n_removed for r in got if r.doc_id == 7) == sorted([0] + [n + 1] * 149)
+    assert {r.n_removed for r in got if r.doc_id is None} == {n}
+    assert {r.doc_id: r.n_removed for r in got if (r.doc_id or 0) not in (0, 7)} == {BIG: 0, BIG + 2: 50, 1: 0}
+
+
+def test_windows_that_share_a_hash():
+    order, begins = substrings._runs(np.array([5, 5, 3, 5, 5], np.uint64), np.array([1, 2, 9, 1, 2], np.uint64))
+    assert order.tolist() == [2, 0, 3, 1, 4] and begins.tolist() == [0, 1, 3]
+    assert [len(x) for x in substrings._runs(np.empty(0, np.uint64), np.empty(0, np.uint64))] == [0, 0]
+
+
 def brute_fingerprint(t):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     if not w:
@@ -221,7 +241,7 @@ def test_rules(spark, docs, none):
     assert rules.quality_rules(none).count() == 0
 
 
-def brute_mcd(x, w, support, starts=300):
+def brute_mcd(x, w, support, starts=150):
     """Concentration steps to convergence from random subsets; the smallest determinant, reweighted."""
     r, n, p = np.random.default_rng(0), len(x), x.shape[1]
 
@@ -398,6 +418,14 @@ def test_html_tables(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_scratch_tables_are_swept(spark):
+    table = scratch.materialize(spark.range(5), "swept")
+    assert table.count() == 5
+    scratch.sweep(spark)
+    assert not os.path.exists(table._waymark_path.removeprefix("file://"))
+    scratch.sweep(spark)
+
+
 def test_packing(spark, docs, none):
     got = packing.pack(docs, size=64, bucket_pieces=20).collect()
     used = {}
@@ -409,16 +437,32 @@ def test_packing(spark, docs, none):
     import public_tokenizers
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
     for row in hard_rows():
-        if row[0] in (None, 9):
-            continue
         ids = [*t.encode(row[1] or "", add_special_tokens=False).ids, 2]
-        mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == row[0])
-        assert sum(m[2] for m in mine) == len(ids)
-        assert all(c == zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) and (k == 0 or n == 64) for k, s, n, c in mine)
+        first = len(ids) if len(ids) <= 64 else len(ids) % 64 or 64
+        cuts = [0, *range(first, len(ids), 64), len(ids)]
+        want += [(row[0], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]  # noqa: B905
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=key) == sorted(want, key=key)
     assert packing.pack(none).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizers_file():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    table = "/root/testdata/sf0.01/documents.parquet"
+    texts = [x for x in pq.read_table(table)["text"].to_pylist() if x] if os.path.exists(table) else []
+    r = random.Random(1)
+    texts += ["".join(chr(r.choice((32, 32, 10, 9, 0xA0, r.randrange(33, 127), r.randrange(0x80, 0x2FFF), r.randrange(0x1F300, 0x1FAFF)))) for _ in range(200)) for _ in range(400)]
+    texts += ["a" * 3000, " " * 500 + "x", "don't we'LL it's 12,345.67\r\n\r\n  end  ", packing.SPECIAL * 3 + " x " + packing.SPECIAL, prose(30_000, 9)]
+    encode = packing.encoder()
+    assert all(encode(x).tolist() == t.encode(x, add_special_tokens=False).ids for x in texts)
+    assert len(list(packing.parts(texts[-1]))) > 1
+
+
 def test_best_two_fit_is_tight():
     r = np.random.default_rng(1)
     n = r.integers(1, 1024, 4000)

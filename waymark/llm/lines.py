@@ -1,6 +1,6 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Two lines within ``tau`` edits share one of the ``tau + 1`` even segments of the longer or
+Two lines within ``tau`` edits share one of the ``tau + 1`` even segments of the shorter or
 equal partner at nearly the same place: edits cannot touch all segments.  Every distinct
 line is indexed by its segments under their length and number, and probes the indexes of the
 lengths it could match with the substrings that the multi-match-aware rule allows (the shift
@@ -14,8 +14,9 @@ they are.  A line is removed when an equal line, or one within ``tau`` edits, oc
 ``min_chars`` match only equal lines.
 
 Null texts have no lines and stay null; null ids come last.  Rows that share an id are ranked
-by their text, equal rows are the same text twice.  An empty table gives an empty result.
-Other columns are ignored.  Distinct lines are found with partial sums before the shuffle, so
+by a hash of their text, equal rows are the same text twice and get the same result.  Very long texts and lines are
+compared whole.  An empty table gives an empty result.
+Other columns are ignored; a carried column may not have the name of another column of the result.  Distinct lines are found with partial sums before the shuffle, so
 that a line in a third of all documents costs one row per task.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.scratch import drop, materialize, parallelism, release
+from waymark.llm.scratch import drop, materialize, parallelism
 
 #: Candidate lines up to this many are broadcast to the second scan (24 bytes each); more are joined by key.
 BROADCAST_LINES = 1_000_000
@@ -41,6 +42,10 @@ def _occurrences(documents: DataFrame) -> DataFrame:
     return lines.where(~_blank(F.col("line")))
 
 
+def _check(line: str, name: str = "check") -> Column:
+    return F.hash(line).alias(name)
+
+
 def _blank(line: Column) -> Column:
     return F.ltrim(line, F.lit(" \t\x0b\x0c\r")) == ""
 
@@ -142,15 +147,16 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
 def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(first occurrence of every distinct line, verified links between distinct lines).
 
-    Firsts: lid, doc, row, line_no.  Links: a, b (line ids) and whether a comes first.
+    Firsts: lid, check, doc, row, line_no.  Links: a, b, check_a, check_b and whether a comes first.
+    A line's id is its 64-bit hash; where ids decide, a second hash of 32 bits stands beside it,
+    and candidates that share an id are told apart by their texts.
     """
     spark = docs.sparkSession
     documents = _documents(docs, id_col, text_col)
     lid = F.xxhash64("line").alias("lid")
     occurrences = _occurrences(documents)
-    first = occurrences.groupBy(lid).agg(F.min(F.struct("doc", "row", "line_no")).alias("first"))
-    firsts = materialize(first.select("lid", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no")), "lines-first")
-    release(spark)
+    first = occurrences.groupBy(lid, _check("line")).agg(F.min(F.struct("doc", "row", "line_no")).alias("first"))
+    firsts = materialize(first.select("lid", "check", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no")), "lines-first")
 
     measured = occurrences.select("line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"))
     lines = measured.where(F.col("n") >= max(min_chars, 2 * tau + 1)).distinct().select("line", "n", "letters", lid)
@@ -160,7 +166,6 @@ def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id"
     met = indexed.join(probing, (indexed["key"] == probing["key"]) & ((F.col("a") < F.col("b")) | (F.col("a") != F.col("b")) & (F.col("letters_b") >= _SHORTER)) & (_letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * tau))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "lines-pairs")
-    release(spark)
 
     ids = materialize(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct(), "lines-candidates")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
@@ -173,18 +178,19 @@ def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id"
     # Verification is long work on few bytes: spread it over all tasks.
     both = both.repartition(parallelism(spark), "a", "b")
     close = both.where(banded_distance(F.col("line_a"), F.col("line_b"), tau) <= tau)
-    links = materialize(close.select("a", "b", (F.col("first_a") < F.col("first_b")).alias("a_first")), "lines-links")
+    links = materialize(close.select("a", "b", _check("line_a", "check_a"), _check("line_b", "check_b"), (F.col("first_a") < F.col("first_b")).alias("a_first")), "lines-links")
     drop(texts)
-    release(spark)
     return firsts, links
 
 
 def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, text (without removed lines), n_lines, n_removed, n_links (links of the lines first seen there), and the columns named by ``carry``."""
+    if clash := {"doc_id", "text", "n_lines", "n_removed", "n_links"}.intersection(carry):
+        raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     firsts, links = near_links(docs, tau, min_chars, id_col, text_col)
-    ends = links.select(F.col("a").alias("lid"), (~F.col("a_first")).alias("later")).union(links.select(F.col("b"), F.col("a_first")))
-    linked = ends.groupBy("lid").agg(F.count("*").alias("links"), F.max("later").alias("later"))
-    held = firsts.join(linked, "lid", "left").groupBy("doc", "row").agg(
+    ends = links.select(F.col("a").alias("lid"), F.col("check_a").alias("check"), (~F.col("a_first")).alias("later")).union(links.select("b", "check_b", "a_first"))
+    linked = ends.groupBy("lid", "check").agg(F.count("*").alias("links"), F.max("later").alias("later"))
+    held = firsts.join(linked, ["lid", "check"], "left").groupBy("doc", "row").agg(
         F.sort_array(F.collect_list(F.when(F.coalesce("later", F.lit(False)), None).otherwise(F.col("line_no")))).alias("keep"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links")
     )
     documents = _documents(docs, id_col, text_col, carry).withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1)))

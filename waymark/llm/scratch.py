@@ -7,20 +7,24 @@ and read again, so that a lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder of our own where it is unset."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder if driver and executors are one process, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(spark, "_waymark_scratch", None)
         if base is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = spark._waymark_scratch = "file://" + tempfile.mkdtemp(prefix="waymark-")
             atexit.register(_remove_local, base)
     return base.rstrip("/")
@@ -36,27 +40,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a frame that reads it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # What is written needs its shuffle files no more: Spark may delete them when the job ends.
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._waymark_path = path
+    spark.__dict__.setdefault("_waymark_tables", set()).add(path)
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables made in this session that are left: results that read them must have been written by then."""
+    for path in spark.__dict__.pop("_waymark_tables", ()):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that no later step reads."""
     path = getattr(df, "_waymark_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs before the next job writes its own."""
-    for _ in range(2):  # references of Python to the JVM go in the first round, what they held in the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        _delete(df.sparkSession, path)
+        df.sparkSession.__dict__.get("_waymark_tables", set()).discard(path)
 
 
 def parallelism(spark: SparkSession) -> int:

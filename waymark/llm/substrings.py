@@ -12,14 +12,14 @@ passes run over them:
    one bit for each of its cells: whether the merged count is two or more.  Sketches count at
    least what occurred, so no repeated window is lost, and the merged sketch is never in one
    place: its size follows the input and its memory is that of a shard.
-2. Windows whose cells all say "two or more" are grouped exactly, by 64-bit hash, in shards
+2. Windows whose cells all say "two or more" are grouped exactly, by 128 bits of hash, in shards
    again.  A group sends each window once, with the least id that has it, so that a window in
    a third of all documents costs one entry a group; it gets back one bit for each: whether
    another group has the window in an earlier document.
 3. Every group marks the words covered by windows that are not first, and keeps the rest.
 
-Nulls: a null text has no words and keeps none; null ids come after all others, in an order
-fixed by their texts' hashes.  Rows that share an id are ordered by text.  An empty table
+Nulls: a null text has no words and keeps none; null ids come after all others.  Rows that
+share an id, or have none, are ordered by group and then by text.  Very long texts are read as a whole.  An empty table
 gives an empty result.  Other columns are ignored.
 """
 
@@ -27,19 +27,34 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_128_digest
 
-from waymark.llm.scratch import drop, materialize, release
+from waymark.llm.scratch import drop, materialize, parallelism
 from waymark.llm.textstats import covered_by, window_hashes
 
+#: Slices in which equal rows are looked for, and bytes of text for a task at most.
+_SLICES, _TASK_BYTES = 65_536, 64_000_000
 _LAST = np.iinfo(np.int64).max
-#: Multipliers of the sketch's rows; the first row uses the window hash as it is.
-_ROWS = (1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x9FB21C651E98DF25)
+#: Multipliers of the sketch's rows; even rows use the first hash of a window, odd rows the second, each first as it is.
+_ROWS = (1, 1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x9FB21C651E98DF25)
+
+
+def _runs(windows: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, begins): a stable order by both hashes, and where in it each distinct pair begins."""
+    if not len(windows):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(windows, kind="stable")
+    a, b = windows[order], other[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # different windows that share the first hash
+        order = np.lexsort((other, windows))
+        a, b = windows[order], other[order]
+    return order, np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
 
 
 class Group:
@@ -52,20 +67,26 @@ class Group:
         self.counts = np.fromiter(map(len, self.words), np.int64, len(rows))
         self.begins = np.cumsum(self.counts) - self.counts
         total = int(self.counts.sum())
-        hashed = np.fromiter((xxh3_64_intdigest(w) for words in self.words for w in words), np.uint64, total)
-        windows = window_hashes(hashed, window)
+        hashed = np.frombuffer(b"".join(map(xxh3_128_digest, chain.from_iterable(self.words))), np.uint64).reshape(total, 2)
+        # Two independent hashes: rows of the sketch use one each, exact grouping both.
+        windows, other = window_hashes(hashed[:, 0], window), window_hashes(hashed[:, 1], window)
         doc = np.repeat(np.arange(len(rows)), self.counts)
         inside = doc[: len(windows)] == doc[window - 1 :] if len(windows) else np.empty(0, bool)
         self.starts = np.flatnonzero(inside)
         self.doc = doc[self.starts]
-        # unique: sorted distinct hashes; first: the earliest window of each.
-        self.unique, self.first, self.which, times = np.unique(windows[self.starts], return_index=True, return_inverse=True, return_counts=True)
+        # unique, other: the two hashes of the distinct windows, in order; first: the earliest window of each.
+        windows, other = windows[self.starts], other[self.starts]
+        order, begins = _runs(windows, other)
+        self.unique, self.other, self.first = windows[order[begins]], other[order[begins]], order[begins]
+        times = np.diff(begins, append=len(order))
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.repeat(np.arange(len(begins)), times)
         self.twice = times > 1
         self.window = window
 
     def row(self, r: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(order, cells): distinct windows in the order of their cells in row ``r``."""
-        mixed = self.unique * np.uint64(_ROWS[r])
+        mixed = (self.other if r % 2 else self.unique) * np.uint64(_ROWS[r])
         order = np.argsort(mixed, kind="stable") if r else np.arange(len(mixed))
         return order, mixed[order] >> np.uint64(64 - bits)
 
@@ -105,6 +126,9 @@ class Plan:
 
     def __init__(self, total_bytes: int, window: int, depth: int, group_bytes: int, shard_windows: int):
         windows = max(total_bytes // 5, 1)
+        # A group has a row for each shard: both grow, up to eight times, with very large tables, lest these rows hold next to nothing.
+        grown = min(8.0, max(1.0, math.sqrt(total_bytes / 30e9)))
+        group_bytes, shard_windows = int(group_bytes * grown), int(shard_windows * grown)
         self.window, self.depth = window, depth
         self.groups = max(1, math.ceil(total_bytes / group_bytes))
         self.shard_bits = max(0, math.ceil(math.log2(windows / shard_windows))) if windows > shard_windows else 0
@@ -187,7 +211,7 @@ def _entries(table: pa.Table, replies: pa.Table, plan: Plan) -> pa.Table:
                 used, at = np.unique(g.doc[g.first[part]], return_inverse=True)
                 out["place"].append(s)
                 out["gid"].append(gid)
-                out["hashes"].append(g.unique[part].tobytes())
+                out["hashes"].append(g.unique[part].tobytes() + g.other[part].tobytes())
                 out["docs"].append(at.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes())
                 out["ids"].append(ids[used].tobytes())
     return pa.table(out, schema=_ENTRIES)
@@ -198,18 +222,17 @@ def _merge_entries(table: pa.Table) -> pa.Table:
     table = table.sort_by("gid")
     hashes, docs = [], []
     for h, d, i in zip(table["hashes"].to_pylist(), table["docs"].to_pylist(), table["ids"].to_pylist(), strict=True):
-        hashes.append(np.frombuffer(h, np.uint64))
-        docs.append(np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint16 if len(d) == 2 * len(hashes[-1]) else np.uint32)])
-    counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    h, d = np.concatenate(hashes), np.concatenate(docs)
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    run = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(h)))
+        hashes.append(np.frombuffer(h, np.uint64).reshape(2, -1))
+        docs.append(np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint16 if len(d) == 2 * hashes[-1].shape[1] else np.uint32)])
+    counts = np.fromiter(map(len, docs), np.int64, len(docs))
+    h, d = np.concatenate(hashes, axis=1), np.concatenate(docs)
+    order, starts = _runs(h[0], h[1])
+    d = d[order]
+    run = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(d)))
     least = np.flatnonzero(d == np.minimum.reduceat(d, starts)[run])
     # Of null ids that tie, the first group's.
     _, at = np.unique(run[least], return_index=True)
-    later = np.ones(len(h), bool)
+    later = np.ones(len(d), bool)
     later[order[least[at]]] = False
     replies = [_bits(x) for x in np.split(later, np.cumsum(counts)[:-1])]
     return pa.table({"kind": np.ones(len(counts), np.int32), "place": table["place"], "gid": table["gid"], "bits": replies}, schema=_REPLY)
@@ -251,18 +274,25 @@ def dedupe_substrings(
     """One row per document: doc_id, n_words, n_removed, kept_text (null unless ``with_text``), kept_sha256."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Rows that share an id are spread by their texts.
+    key = F.xxhash64("doc_id", "text")
+    slices = picked.groupBy(F.pmod(key, F.lit(_SLICES)).alias("slice")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most")).first()
+    total = slices["total"] or 0
     plan = Plan(int(total), window, depth, group_bytes, shard_windows)
-    gid = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(plan.groups)).cast("long")
-    grouped = picked.withColumn("gid", gid).groupBy("gid")
+    kept = picked
+    if (slices["most"] or 0) > 4 * total / _SLICES + 16 * group_bytes:
+        # Equal rows by the thousand: they are spread by their place, which is written down once.
+        kept = materialize(picked.withColumn("place", F.monotonically_increasing_id()), "substrings-rows")
+        key = F.xxhash64("doc_id", "text", "place")
+    # Partitions follow the input, not the session's number alone.
+    width = max(1, min(plan.groups, max(parallelism(spark), math.ceil(total / _TASK_BYTES))))
+    grouped = kept.select("doc_id", "text", F.pmod(key, F.lit(plan.groups)).cast("long").alias("gid")).repartition(width, "gid").groupBy("gid")
 
     sketches = grouped.applyInArrow(lambda t: _sketch(t, plan), "place int, gid long, cells binary, twice binary")
     hot = materialize(sketches.groupBy("place").applyInArrow(lambda t: _merge_sketches(t, plan), "kind int, place int, gid long, bits binary"), "substrings-hot")
-    release(spark)
-    entries = grouped.cogroup(hot.groupBy("gid")).applyInArrow(lambda t, r: _entries(t, r, plan), "place int, gid long, hashes binary, docs binary, ids binary")
+    entries = grouped.cogroup(hot.repartition(width, "gid").groupBy("gid")).applyInArrow(lambda t, r: _entries(t, r, plan), "place int, gid long, hashes binary, docs binary, ids binary")
     later = materialize(entries.groupBy("place").applyInArrow(_merge_entries, "kind int, place int, gid long, bits binary"), "substrings-later")
-    release(spark)
     replies = materialize(hot.union(later), "substrings-replies")
     drop(hot)
     drop(later)
-    return grouped.cogroup(replies.groupBy("gid")).applyInArrow(lambda t, r: _keep(t, r, plan, with_text), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return grouped.cogroup(replies.repartition(width, "gid").groupBy("gid")).applyInArrow(lambda t, r: _keep(t, r, plan, with_text), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
