@@ -18,44 +18,79 @@ def arcs(edges: DataFrame) -> DataFrame:
     return forward.unionByName(backward).withColumn("arc_id", F.col("edge_id") * 2 + F.when(F.col("forward"), 0).otherwise(1))
 
 
+#: Dictionaries of attribute sets up to this many rows are broadcast; larger ones are joined by key.
+BROADCAST_TYPES = 100_000
+
+
+def _small(types: DataFrame, bound: int = BROADCAST_TYPES) -> DataFrame:
+    return F.broadcast(types) if types.limit(bound + 1).count() <= bound else types
+
+
 def cost_arcs(edges: DataFrame, profile: Profile) -> DataFrame:
-    """Arcs that the profile may take, with cost = directed factor x length in cm, and speed."""
+    """Arcs that the profile may take, with cost = directed factor x length in cm, and speed.
+
+    The profile rates every distinct set of the attributes it reads once, and edges take the rates by that set.
+    """
+    seen = F.array(*[F.col("attrs")[k] for k in profile.keys]) if profile.keys else F.array().cast("array<string>")
+    # A struct of nulls and texts as one key: equal sets of what the profile reads.
+    keyed = edges.withColumn("_key", F.to_json(seen, {"ignoreNullFields": "false"}))
+    types = keyed.groupBy("_key").agg(F.first("attrs").alias("attrs"))
     fwd, bwd, fwd_speed, bwd_speed, can_stop = profile.factors(F.col("attrs"))
-    rated = edges.select("*", fwd, bwd, fwd_speed, bwd_speed, can_stop)
-    both = arcs(rated)
+    both = arcs(keyed.join(_small(types.select("_key", fwd, bwd, fwd_speed, bwd_speed, can_stop)), "_key").drop("_key"))
     factor = F.when(F.col("forward"), F.col("fwd_factor")).otherwise(F.col("bwd_factor"))
     speed = F.when(F.col("forward"), F.col("fwd_speed")).otherwise(F.col("bwd_speed"))
     return both.where(factor > 0).withColumn("cost", factor * F.col("length_cm")).withColumn("speed", speed).drop("fwd_factor", "bwd_factor", "fwd_speed", "bwd_speed")
 
 
+def acceptable(edges: DataFrame, *profiles: Profile, islands: DataFrame | None = None, any_profile: bool = False, can_stop: bool = True) -> DataFrame:
+    """Edges that all profiles (or ``any_profile``) may travel in some direction and stop on, and that lie on no island (edge_id)."""
+    if profiles:
+        tests = []
+        for p in profiles:
+            fwd, bwd, _, _, stop = p.factors(F.col("attrs"))
+            tests.append(((fwd > 0) | (bwd > 0)) & (stop if can_stop else F.lit(True)))
+        ok = tests[0]
+        for t in tests[1:]:
+            ok = ok | t if any_profile else ok & t
+        edges = edges.where(ok)
+    return edges if islands is None else edges.join(islands.select("edge_id").distinct(), "edge_id", "left_anti").select(*edges.columns)
+
+
 def forbidden_turns(turn_costs: DataFrame, profile: Profile) -> DataFrame:
-    """(vertex_id, from_edge, to_edge, prefix) that the profile must not take; with a prefix, only after those edges."""
+    """(vertex_id, from_edge, to_edge, prefix, penalty) that count for the profile; with a prefix, only after those edges.
+
+    A turn type that the profile forbids has no penalty (null); of others, the profile's turn factor times the cost is added to a path.
+    """
     prefix = "prefix" if "prefix" in turn_costs.columns else F.array().cast("array<long>").alias("prefix")
-    barred = F.lit(False) if profile.forbids is None else (F.col("cost") > 0) & profile.forbids(F.col("attrs"))
-    return turn_costs.where(barred).select("vertex_id", "from_edge", "to_edge", prefix)
+    factor, binary = profile.turn_factor(F.col("attrs"))
+    rated = turn_costs.where("cost > 0").select("vertex_id", "from_edge", "to_edge", prefix, F.when(~binary, factor * F.col("cost")).alias("penalty"))
+    return rated.where("penalty is null or penalty > 0")
 
 
 def plain_turns(forbidden: DataFrame) -> DataFrame:
-    """Forbidden turns that hold whatever came before."""
+    """Turns that hold whatever came before: vertex_id, from_edge, to_edge, penalty (null: forbidden), each once."""
     rows = forbidden.where(F.coalesce(F.size("prefix"), F.lit(0)) <= 0) if "prefix" in forbidden.columns else forbidden
-    return rows.select("vertex_id", "from_edge", "to_edge").distinct()
+    penalty = F.col("penalty") if "penalty" in rows.columns else F.lit(None).cast("long")
+    summed = rows.withColumn("penalty", penalty).groupBy("vertex_id", "from_edge", "to_edge").agg(F.sum("penalty").alias("p"), F.max(F.col("penalty").isNull()).alias("barred"))
+    return summed.select("vertex_id", "from_edge", "to_edge", F.when(~F.col("barred"), F.col("p")).alias("penalty"), "barred")
 
 
 def turn_sequences(forbidden: DataFrame) -> DataFrame:
-    """Forbidden turns that hold only after the edges of their prefix."""
+    """Turns that hold only after the edges of their prefix."""
     if "prefix" not in forbidden.columns:
         return forbidden.limit(0).select("vertex_id", "from_edge", "to_edge", F.array().cast("array<long>").alias("prefix"))
     return forbidden.where(F.size("prefix") > 0).select("vertex_id", "from_edge", "to_edge", "prefix").distinct()
 
 
 def transitions(arc_table: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
-    """Pairs of arcs (a, b) where b follows a: another edge that leaves where a ends, and no forbidden turn (those with a prefix are no matter of two arcs)."""
+    """Pairs of arcs (a, b, vertex_id, penalty) where b follows a: another edge that leaves where a ends, and no forbidden turn (those with a prefix are no matter of two arcs)."""
     a = arc_table.select(F.col("arc_id").alias("a"), F.col("edge_id").alias("from_edge"), F.col("to_v").alias("vertex_id"))
     b = arc_table.select(F.col("arc_id").alias("b"), F.col("edge_id").alias("to_edge"), F.col("from_v").alias("vertex_id"))
     pairs = a.join(b, "vertex_id").where("from_edge <> to_edge")
-    if forbidden is not None:
-        pairs = pairs.join(plain_turns(forbidden), ["vertex_id", "from_edge", "to_edge"], "left_anti")
-    return pairs.select("a", "b", "vertex_id")
+    if forbidden is None:
+        return pairs.select("a", "b", "vertex_id", F.lit(0).cast("long").alias("penalty"))
+    pairs = pairs.join(plain_turns(forbidden), ["vertex_id", "from_edge", "to_edge"], "left").where("barred is null or not barred")
+    return pairs.select("a", "b", "vertex_id", F.coalesce("penalty", F.lit(0).cast("long")).alias("penalty"))
 
 
 def vertices_in_boxes(vertices: DataFrame, boxes: DataFrame, zoom: int = 14) -> DataFrame:
@@ -86,44 +121,65 @@ def full_shape(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return joined.withColumn("points", F.concat(F.array("tail_at"), F.coalesce("shape", F.array().cast("array<struct<lon:double,lat:double>>")), F.array("head_at"))).drop("tail_at", "head_at")
 
 
-def snap(points: DataFrame, vertices: DataFrame, edges: DataFrame, *, radius: float = 100.0, wide: float = 500.0, max_distance: float = 100.0, everything: bool = False, zoom: int = 14) -> DataFrame:
+def snap(
+    points: DataFrame,
+    vertices: DataFrame,
+    edges: DataFrame,
+    *profiles: Profile,
+    radius: float = 100.0,
+    wide: float = 500.0,
+    max_distance: float = 100.0,
+    everything: bool = False,
+    islands: DataFrame | None = None,
+    any_profile: bool = False,
+    can_stop: bool = True,
+    orthogonal: bool = False,
+    zoom: int = 14,
+) -> DataFrame:
     """Nearest place on an edge for each point (query_id, lon, lat): query_id, edge_id, offset (0 to 65535), distance_m, error.
 
-    Edges with an end within ``radius`` are candidates, within ``wide`` for points with none.
+    Edges with an end within ``radius`` are candidates, within ``wide`` for points with none, if
+    they are :func:`acceptable` for the profiles and on no island.
     A distance below a metre counts as zero; ties go to the smaller edge, then offset.
-    ``everything`` returns the best place on every candidate edge.
+    ``everything`` returns the best place on every candidate edge; ``orthogonal`` only feet of perpendiculars.
     """
+    edges = acceptable(edges, *profiles, islands=islands, any_profile=any_profile, can_stop=can_stop)
     shaped = full_shape(edges.select("edge_id", "tail", "head", "shape"), vertices).select("edge_id", "points")
-    segments = shaped.select("edge_id", F.size("points").alias("n"), geo.line_length(F.col("points")).alias("total"), F.posexplode(F.slice("points", F.lit(1), F.size("points") - 1)).alias("k", "p"), "points")
-    segments = segments.select("edge_id", "total", "p", F.element_at("points", F.col("k") + 2).alias("q"), geo.line_length(F.slice("points", F.lit(1), F.col("k") + 1)).alias("before"))
+    segments = shaped.select("edge_id", F.posexplode(F.arrays_zip(F.slice("points", F.lit(1), F.size("points") - 1).alias("p"), F.slice("points", F.lit(2), F.size("points") - 1).alias("q"))).alias("k", "s")).select("edge_id", "k", "s.p", "s.q")
 
     def best(asked: DataFrame, metres: float) -> DataFrame:
         boxes = asked.select("query_id", geo.box_around(F.col("lon"), F.col("lat"), F.lit(metres)).alias("box"))
         near = edges_in_boxes(vertices, edges, boxes, zoom).join(asked, "query_id").join(segments, "edge_id")
         lon, lat, p, q = F.col("lon"), F.col("lat"), F.col("p"), F.col("q")
         foot = geo.project(lon, lat, p["lon"], p["lat"], q["lon"], q["lat"])
-        length = geo.distance(p["lon"], p["lat"], q["lon"], q["lat"])
-        options = F.array(
-            F.struct(geo.distance(lon, lat, p["lon"], p["lat"]).alias("d"), F.col("before").alias("along")),
-            F.struct(geo.distance(lon, lat, q["lon"], q["lat"]).alias("d"), (F.col("before") + length).alias("along")),
-            F.struct(foot["metres"].alias("d"), (F.col("before") + foot["share"] * length).alias("along")),
-        )
-        one = near.withColumn("o", F.explode(F.filter(options, lambda o: o["d"].isNotNull() & (o["d"] < max_distance))))
-        d = F.when(F.col("o.d") < 1, 0.0).otherwise(F.col("o.d"))
-        offset = F.when(F.col("total") > 0, F.least(F.lit(geo.OFFSET_MAX), F.floor(F.col("o.along") / F.col("total") * geo.OFFSET_MAX + 1e-6))).otherwise(0).cast("int")
+        options = [F.struct(foot["metres"].alias("d"), foot["share"].alias("share"))]
+        if not orthogonal:
+            options = [F.struct(geo.distance(lon, lat, p["lon"], p["lat"]).alias("d"), F.lit(0.0).alias("share")), F.struct(geo.distance(lon, lat, q["lon"], q["lat"]).alias("d"), F.lit(1.0).alias("share")), *options]
+        # Of a segment, the nearest of its ends and the foot; the first of equals.
+        close = F.array_min(F.filter(F.array(*[F.struct(F.when(o["d"] < 1, 0.0).otherwise(F.round(o["d"], 6)).alias("d"), o["share"].alias("share"), o["d"].alias("metres")) for o in options]), lambda o: o["metres"].isNotNull() & (o["metres"] < max_distance)))
+        one = near.withColumn("o", close).where("o is not null")
         keys = ["query_id", "edge_id"] if everything else ["query_id"]
-        ranked = one.select("query_id", F.struct(F.round(d, 6).alias("d"), F.col("edge_id").alias("edge_id"), offset.alias("offset"), F.col("o.d").alias("metres")).alias("s"), "edge_id")
-        return ranked.groupBy(*keys).agg(F.min("s").alias("s")).select("query_id", F.col("s.edge_id").alias("edge_id"), F.col("s.offset").alias("offset"), F.col("s.metres").alias("distance_m"))
+        ranked = one.select("query_id", "edge_id", F.struct("o.d", F.col("edge_id").alias("edge"), "k", "o.share", "o.metres").alias("s"))
+        return ranked.groupBy(*keys).agg(F.min("s").alias("s")).select("query_id", "s.edge", "s.k", "s.share", "s.metres")
 
     points = points.select("query_id", "lon", "lat")
     first = best(points, radius)
     rest = points.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    found = first.unionByName(best(rest, wide))
-    return points.select("query_id").join(found, "query_id", "left").withColumn("error", F.when(F.col("edge_id").isNull(), "no edge found near the point"))
-
-
-def snap_to_vertex(points: DataFrame, vertices: DataFrame, *, radius: float = 100.0, everything: bool = False, zoom: int = 14) -> DataFrame:
-    """Nearest vertex (or all) within ``radius``: query_id, vertex_id, distance_m."""
+    found = first.unionByName(best(rest, wide)).join(shaped.withColumnRenamed("edge_id", "edge"), "edge")
+    # The way along the edge is measured for the places found alone.
+    p, q = F.element_at("points", F.col("k") + 1), F.element_at("points", F.col("k") + 2)
+    along = geo.line_length(F.slice("points", F.lit(1), F.col("k") + 1)) + F.col("share") * geo.distance(p["lon"], p["lat"], q["lon"], q["lat"])
+    total = geo.line_length(F.col("points"))
+    offset = F.when(total > 0, F.least(F.lit(geo.OFFSET_MAX), F.floor(along / total * geo.OFFSET_MAX + 1e-6))).otherwise(0).cast("int")
+    placed = found.select("query_id", F.col("edge").alias("edge_id"), offset.alias("offset"), F.col("metres").alias("distance_m"))
+    return points.select("query_id").join(placed, "query_id", "left").withColumn("error", F.when(F.col("edge_id").isNull(), "no edge found near the point"))
+
+
+def snap_to_vertex(points: DataFrame, vertices: DataFrame, edges: DataFrame | None = None, *profiles: Profile, radius: float = 100.0, everything: bool = False, islands: DataFrame | None = None, zoom: int = 14) -> DataFrame:
+    """Nearest vertex (or all) within ``radius``: query_id, vertex_id, distance_m.  With ``edges``, only vertices with an :func:`acceptable` one."""
+    if edges is not None:
+        ends = acceptable(edges, *profiles, islands=islands).select(F.explode(F.array("tail", "head")).alias("vertex_id")).distinct()
+        vertices = vertices.join(ends, "vertex_id", "left_semi")
     asked = points.select("query_id", geo.box_around(F.col("lon"), F.col("lat"), F.lit(radius)).alias("box"))
     at = points.select("query_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     near = vertices_in_boxes(vertices, asked, zoom).join(at, "query_id").withColumn("distance_m", geo.distance(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")))

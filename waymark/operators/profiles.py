@@ -37,6 +37,8 @@ class Profile:
     #: Column of attributes -> boolean: a turn of that type is forbidden.
     forbids: Callable[[Column], Column] | None = None
     honour_access: bool = False
+    #: Column of attributes -> whole number: what a turn cost of that type is multiplied with before it is added to a path.
+    turn_weight: Callable[[Column], Column] | None = None
 
     @property
     def keys(self) -> tuple[str, ...]:
@@ -54,6 +56,12 @@ class Profile:
         value = F.coalesce(*[attrs[k] for k in reversed(self.oneway_keys)], F.when(attrs["junction"] == "roundabout", "yes"), F.lit("no"))
         return value != "-1", ~value.isin("yes", "true", "1")
 
+    def turn_factor(self, attrs: Column) -> tuple[Column, Column]:
+        """(factor, forbidden) of a turn type; both count only where the turn has a cost."""
+        factor = F.lit(0) if self.turn_weight is None else self.turn_weight(attrs)
+        forbidden = F.lit(False) if self.forbids is None else self.forbids(attrs)
+        return F.coalesce(factor, F.lit(0)).cast("long"), F.coalesce(forbidden, F.lit(False))
+
     def factors(self, attrs: Column) -> list[Column]:
         """fwd_factor, bwd_factor (long), fwd_speed, bwd_speed (hundredths of m/s), can_stop."""
         speed = self.speed(attrs)
@@ -98,7 +106,7 @@ def turn_factors(types: DataFrame, *profiles: Profile) -> DataFrame:
     """profile, turn_type_id, factor, is_binary (forbidden) of every turn type in ``types`` (turn_type_id, attrs)."""
     out = None
     for p in profiles:
-        binary = p.forbids(F.col("attrs")) if p.forbids else F.lit(False)
-        part = types.select(F.lit(p.name).alias("profile"), "turn_type_id", F.lit(0).cast("long").alias("factor"), binary.alias("is_binary"))
+        factor, binary = p.turn_factor(F.col("attrs"))
+        part = types.select(F.lit(p.name).alias("profile"), "turn_type_id", factor.alias("factor"), binary.alias("is_binary"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -1,81 +1,124 @@
 """Least-cost paths for batches of questions.
 
-The state of a search is an arc, so turn restrictions and directions are exact.  Graphs of
+The state of a search is an arc, so turn costs, restrictions and directions are exact.  Graphs of
 a checked size are broadcast as compact arrays and searched by one heap kernel per source;
 larger ones are relaxed in rounds of joins.  Both give the same costs.  Ties between paths
 go to fewer arcs, then smaller arc ids.
+
+``turns`` (also called forbidden): vertex_id, from_edge, to_edge, an optional ``prefix`` of edges that must lie
+behind, and an optional ``penalty`` that is added to a path; without one, or where it is null, the turn is forbidden.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import OFFSET_MAX
 from waymark.storage import materialize
 
-#: Graphs up to this many arcs are sent to every executor (about 40 bytes an arc).
+#: Graphs up to this many arcs are sent to every executor (48 bytes an arc, 24 a vertex), and so are as many targets of a matrix.
 BROADCAST_ARCS = 5_000_000
+BROADCAST_TARGETS = 100_000
 
 
 class Compact:
-    """Arcs sorted by the vertex they leave."""
-
-    def __init__(self, arcs: pd.DataFrame, forbidden: pd.DataFrame | None):
-        arcs = arcs.sort_values(["from_v", "arc_id"], ignore_index=True)
-        self.arc, self.to, self.start, self.cost = (arcs[c].to_numpy(np.int64) for c in ("arc_id", "to_v", "from_v", "cost"))
-        self.vertices, first = np.unique(self.start, return_index=True)
-        self.first = {int(v): (int(a), int(b)) for v, a, b in zip(self.vertices, first, [*first[1:], len(self.start)], strict=True)}
-        self.at = {int(a): k for k, a in enumerate(self.arc)}
-        self.barred: set[tuple[int, int, int]] = set()
-        # Sequences of edges after which exits of a vertex are forbidden, and what of them may lie behind a search.
-        self.sequences: dict[tuple[int, tuple[int, ...]], set[int]] = {}
-        for r in () if forbidden is None else forbidden.itertuples(index=False):
-            before = getattr(r, "prefix", None)
-            if before is None or not len(before):
-                self.barred.add((r.vertex_id, r.from_edge, r.to_edge))
+    """Arcs sorted by the vertex they leave, in arrays; vertices are numbered in the order of their ids."""
+
+    def __init__(self, arcs: pa.Table, turns: pa.Table | None):
+        arcs = arcs.sort_by([("from_v", "ascending"), ("arc_id", "ascending")])
+        arc, start, to, cost = (arcs[c].to_numpy().astype(np.int64) for c in ("arc_id", "from_v", "to_v", "cost"))
+        self.vertices = np.unique(np.concatenate([start, to]))
+        self.arrays = {"arc": arc, "to": np.searchsorted(self.vertices, to), "cost": cost, "first": np.searchsorted(start, self.vertices), "end": np.searchsorted(start, self.vertices, side="right")}
+        self.order = np.argsort(arc, kind="stable")
+        # Penalty of a turn, infinite if it is forbidden; the same for turns that need edges behind them.
+        self.turns: dict[tuple[int, int, int], float] = defaultdict(float)
+        self.sequences: dict[tuple[int, tuple[int, ...]], dict[int, float]] = {}
+        for r in () if turns is None else turns.to_pylist():
+            v, penalty = self.number(r["vertex_id"]), math.inf if r.get("penalty") is None else r["penalty"]
+            if r.get("prefix"):
+                into = self.sequences.setdefault((v, (*r["prefix"], r["from_edge"])), {})
+                into[r["to_edge"]] = into.get(r["to_edge"], 0) + penalty
             else:
-                self.sequences.setdefault((r.vertex_id, (*map(int, before), int(r.from_edge))), set()).add(int(r.to_edge))
+                self.turns[v, r["from_edge"], r["to_edge"]] += penalty
+        self.turns = dict(self.turns)
         self.histories = [(), *sorted({s[:k] for _, s in self.sequences for k in range(1, len(s) + 1)})]
         self.history = {h: k for k, h in enumerate(self.histories)}
         self.tracked = {e for h in self.histories for e in h}
+        self._view()
+
+    def _view(self) -> None:
+        # Views give Python's own numbers, several times as fast as elements of arrays.
+        self.arc, self.to, self.cost, self.first, self.end = (memoryview(self.arrays[k]) for k in ("arc", "to", "cost", "first", "end"))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not isinstance(v, memoryview)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._view()
+
+    def number(self, vertex: int) -> int:
+        """Number of a vertex, -1 if it has no arc."""
+        k = int(np.searchsorted(self.vertices, vertex))
+        return k if k < len(self.vertices) and self.vertices[k] == vertex else -1
+
+    def place(self, arc_id: int) -> int:
+        """Index of an arc, -1 if there is none."""
+        k = int(np.searchsorted(self.arrays["arc"], arc_id, sorter=self.order))
+        return int(self.order[k]) if k < len(self.order) and self.arc[self.order[k]] == arc_id else -1
+
+    def start(self, k: int) -> int:
+        """Number of the vertex that arc ``k`` leaves."""
+        return int(np.searchsorted(self.arrays["end"], k, side="right"))
+
+    def leaving(self, vertex: int) -> range:
+        v = self.number(vertex)
+        return range(self.first[v], self.end[v]) if v >= 0 else range(0)
 
     def state(self, k: int, behind: int = 0) -> int:
         """State on arc ``k`` after the history numbered ``behind``: k plus the number of the longest history that now lies behind, times the number of arcs."""
-        edge = int(self.arc[k]) >> 1
+        edge = self.arc[k] >> 1
         if edge not in self.tracked:
             return k
         path = (*self.histories[behind], edge)
         return k + len(self.arc) * next((self.history[path[i:]] for i in range(len(path)) if path[i:] in self.history), 0)
 
-    def blocked(self, state: int, into: int) -> bool:
-        """Whether the turn from a state into an edge is forbidden."""
+    def turn(self, state: int, into: int) -> float:
+        """What the turn from a state into an edge costs; infinity if it is forbidden."""
         h, k = divmod(state, len(self.arc))
-        v = int(self.to[k])
-        if (v, int(self.arc[k]) >> 1, into) in self.barred:
-            return True
-        path = self.histories[h]
-        return any(into in self.sequences.get((v, path[i:]), ()) for i in range(len(path)))
-
-    def search(self, starts: list[tuple[float, int]], limit: float | None = None, penalty: dict[int, float] | None = None, goals: list[tuple[int, int, float]] = ()) -> dict[int, tuple[float, int, int]]:
-        """Settled states: state -> (cost at its end, previous state or -1, arcs on the path), the cheapest first.
-
-        A state is an arc and the part of a forbidden sequence that lies behind; ``state % n``
-        is the arc's index.  ``goals`` (vertex, edge, cost on that edge) end the search once
-        nothing cheaper can reach any of them.
+        v, edge = self.to[k], self.arc[k] >> 1
+        cost = self.turns.get((v, edge, into), 0)
+        if h:
+            path = self.histories[h]
+            cost += sum(self.sequences[v, path[i:]].get(into, 0) for i in range(len(path)) if (v, path[i:]) in self.sequences)
+        return cost
+
+    def search(self, starts: list[tuple[float, int]], limit: float | None = None, penalty: dict[int, float] | None = None, goals: dict[int, list[tuple[int, int, float]]] | None = None) -> tuple[dict[int, tuple[float, int, int]], dict[int, list[tuple[float, int, int]]]]:
+        """(done, reached) of a search from arcs (cost at their end, index).
+
+        ``done``: settled state -> (cost at its end, previous state or -1, arcs on the path), the
+        cheapest first; a state is an arc and the part of a turn sequence that lies behind,
+        ``state % n`` the arc's index.  ``goals``: vertex -> (target, edge, cost on that edge);
+        ``reached`` has the cheapest ends of every target as (cost, arcs, state), and the search ends once nothing
+        cheaper can reach any target.
         """
         bound = math.inf
         size = len(self.arc)
-        heap = [(c, 1, int(self.arc[k]), self.state(k), -1) for c, k in starts]
+        heap = [(c, 1, self.arc[k], self.state(k), -1) for c, k in starts]
         heapq.heapify(heap)
         done: dict[int, tuple[float, int, int]] = {}
-        to, cost, arc, first, barred, tracked = self.to, self.cost, self.arc, self.first, self.barred, self.tracked
+        reached: dict[int, list[tuple[float, int, int]]] = {}
+        n_goals = len({t for g in goals.values() for t, _, _ in g}) if goals else 0
+        to, cost, arc, first, end, turns, tracked = self.to, self.cost, self.arc, self.first, self.end, self.turns, self.tracked
         while heap:
             c, hops, _, state, previous = heapq.heappop(heap)
             if c > bound:
@@ -84,39 +127,81 @@ class Compact:
                 continue
             done[state] = (c, previous, hops)
             behind, k = divmod(state, size)
-            v, edge = int(to[k]), int(arc[k]) >> 1
-            for goal, into, extra in goals:
-                if goal == v and into != edge and not self.blocked(state, into):
-                    bound = min(bound, c + extra)
-            a, b = first.get(v, (0, 0))
-            for n in range(a, b):
-                other = int(arc[n]) >> 1
-                if other == edge or barred and (v, edge, other) in barred or behind and self.blocked(state, other):
+            v, edge = to[k], arc[k] >> 1
+            if goals and v in goals:
+                for target, into, extra in goals[v]:
+                    if into != edge and (total := c + extra + self.turn(state, into)) < math.inf:
+                        have = reached.get(target)
+                        if have is None or (total, hops + 1) < have[0][:2]:
+                            reached[target] = [(total, hops + 1, state)]
+                        elif (total, hops + 1) == have[0][:2]:
+                            have.append((total, hops + 1, state))
+                if len(reached) == n_goals:
+                    bound = max(r[0][0] for r in reached.values())
+            for n in range(first[v], end[v]):
+                other = arc[n] >> 1
+                if other == edge:
                     continue
                 after = self.state(n, behind) if other in tracked else n
                 if after in done:
                     continue
-                step = int(cost[n]) if penalty is None else cost[n] * penalty.get(other, 1.0)
-                heapq.heappush(heap, (c + step, hops + 1, int(arc[n]), after, state))
-        return done
+                step = cost[n] if penalty is None else cost[n] * penalty.get(other, 1.0)
+                if behind:
+                    step += self.turn(state, other)
+                elif turns:
+                    step += turns.get((v, edge, other), 0)
+                if step < math.inf:
+                    heapq.heappush(heap, (c + step, hops + 1, arc[n], after, state))
+        return done, reached
+
+    def vertex_search(self, vertex: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vertex ids, least costs) from a vertex, itself included.  Without turns the state is a vertex: no least path turns back on its edge."""
+        source = self.number(vertex)
+        if source < 0:
+            return np.array([vertex]), np.array([0])
+        if self.turns or self.sequences:
+            done, _ = self.search([(self.cost[k], k) for k in self.leaving(vertex)])
+            best = {source: 0}
+            for state, (c, _, _) in done.items():
+                best.setdefault(self.to[state % len(self.arc)], c)
+            return self.vertices[np.fromiter(best, np.int64, len(best))], np.fromiter(best.values(), np.int64, len(best))
+        to, cost, first, end = self.to, self.cost, self.first, self.end
+        least = [-1] * len(self.vertices)
+        heap = [(0, source)]
+        while heap:
+            c, v = heapq.heappop(heap)
+            if least[v] >= 0:
+                continue
+            least[v] = c
+            for n in range(first[v], end[v]):
+                if least[w := to[n]] < 0:
+                    heapq.heappush(heap, (c + cost[n], w))
+        costs = np.array(least)
+        found = np.flatnonzero(costs >= 0)
+        return self.vertices[found], costs[found]
 
     def path(self, done: dict, state: int) -> list[int]:
         out = []
         while state >= 0:
-            out.append(int(self.arc[state % len(self.arc)]))
+            out.append(self.arc[state % len(self.arc)])
             state = done[state][1]
         return out[::-1]
 
 
-def compact(arcs: DataFrame, forbidden: DataFrame | None = None):
-    """Broadcast of the arcs (arc_id, from_v, to_v, cost) and forbidden turns if there are few enough of both, else None."""
-    if any(t is not None and t.limit(BROADCAST_ARCS + 1).count() > BROADCAST_ARCS for t in (arcs, forbidden)):
+def compact(arcs: DataFrame, turns: DataFrame | None = None):
+    """Broadcast of the arcs (arc_id, from_v, to_v, cost) and turns if there are few enough of both, else None."""
+    if any(t is not None and t.limit(BROADCAST_ARCS + 1).count() > BROADCAST_ARCS for t in (arcs, turns)):
         return None
-    turns = None if forbidden is None else forbidden.select("vertex_id", "from_edge", "to_edge", *(["prefix"] if "prefix" in forbidden.columns else [])).toPandas()
-    graph = Compact(arcs.select("arc_id", "from_v", "to_v", "cost").toPandas(), turns)
+    rows = None if turns is None else turns.select("vertex_id", "from_edge", "to_edge", *[c for c in ("prefix", "penalty") if c in turns.columns]).toArrow()
+    graph = Compact(arcs.select("arc_id", "from_v", "to_v", "cost").toArrow(), rows)
     return arcs.sparkSession.sparkContext.broadcast(graph)
 
 
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Searches are long work on few bytes: spread them over all tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def arc_tree(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
     """Least cost of every arc reached from every source vertex (column source): source, arc_id, cost, prev_arc."""
     graph = compact(arcs, forbidden)
@@ -127,26 +212,31 @@ def arc_tree(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None =
         g = graph.value
         for b in batches:
             for v in b["source"]:
-                a, z = g.first.get(int(v), (0, 0))
                 best: dict[int, tuple[int, int | None]] = {}
-                for state, (c, previous, _) in g.search([(int(g.cost[k]), k) for k in range(a, z)]).items():
-                    best.setdefault(int(g.arc[state % len(g.arc)]), (int(c), int(g.arc[previous % len(g.arc)]) if previous >= 0 else None))
+                done, _ = g.search([(g.cost[k], k) for k in g.leaving(int(v))])
+                for state, (c, previous, _) in done.items():
+                    best.setdefault(g.arc[state % len(g.arc)], (int(c), g.arc[previous % len(g.arc)] if previous >= 0 else None))
                 yield pd.DataFrame({"source": v, "arc_id": list(best), "cost": [c for c, _ in best.values()], "prev_arc": pd.array([p for _, p in best.values()], "Int64")})
 
-    asked = sources.select(F.col("source").cast("long")).distinct().repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source")
+    asked = _spread(sources.select(F.col("source").cast("long")).where("source is not null").distinct(), "source")
     return asked.mapInPandas(run, "source long, arc_id long, cost long, prev_arc long")
 
 
+def _steps(arcs: DataFrame, turns: DataFrame | None) -> DataFrame:
+    """Transitions (a, b) with the cost of b and of the turn into it."""
+    from waymark.operators.graph import transitions, turn_sequences
+
+    if turns is not None and not turn_sequences(turns).isEmpty():
+        raise ValueError("turns that need more than one edge behind them need a graph that can be broadcast")
+    return materialize(transitions(arcs, turns).join(arcs.select(F.col("arc_id").alias("b"), F.col("cost").alias("c")), "b").select("a", "b", (F.col("c") + F.col("penalty")).alias("step")), "transitions")
+
+
 def relax_arcs(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
     """The same tree by rounds of joins, for graphs that are too large to broadcast; all sources at once.
 
-    Turns that are forbidden only after a prefix of edges need the kernel: here they are an error.
+    Turns that depend on a prefix of edges need the kernel: here they are an error.
     """
-    from waymark.operators.graph import transitions, turn_sequences
-
-    if forbidden is not None and not turn_sequences(forbidden).isEmpty():
-        raise ValueError("forbidden sequences of more than two edges need a graph that can be broadcast")
-    next_ = materialize(transitions(arcs, forbidden).join(arcs.select(F.col("arc_id").alias("b"), F.col("cost").alias("step")), "b").select("a", "b", "step"), "transitions")
+    next_ = _steps(arcs, forbidden)
     best = materialize(
         sources.select(F.col("source").cast("long")).distinct().join(arcs, F.col("source") == F.col("from_v")).select("source", "arc_id", F.col("cost").cast("long").alias("cost"), F.lit(None).cast("long").alias("prev_arc"), F.lit(True).alias("fresh")), "reached"
     )
@@ -162,9 +252,85 @@ def relax_arcs(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None
 
 def vertex_costs(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
     """Least cost of every vertex from every source: source, vertex_id, cost; the source itself costs 0."""
-    ends = arc_tree(arcs, sources, forbidden).join(arcs.select("arc_id", F.col("to_v").alias("vertex_id")), "arc_id")
-    own = sources.select(F.col("source").cast("long").alias("source")).distinct().select("source", F.col("source").alias("vertex_id"), F.lit(0).cast("long").alias("cost"))
-    return ends.select("source", "vertex_id", "cost").unionByName(own).groupBy("source", "vertex_id").agg(F.min("cost").alias("cost"))
+    graph = compact(arcs, forbidden)
+    sources = sources.select(F.col("source").cast("long").alias("source")).where("source is not null").distinct()
+    if graph is None:
+        ends = relax_arcs(arcs, sources, forbidden).join(arcs.select("arc_id", F.col("to_v").alias("vertex_id")), "arc_id")
+        own = sources.select("source", F.col("source").alias("vertex_id"), F.lit(0).cast("long").alias("cost"))
+        return ends.select("source", "vertex_id", "cost").unionByName(own).groupBy("source", "vertex_id").agg(F.min("cost").alias("cost"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v in b.column("source").to_pylist():
+                found, cost = graph.value.vertex_search(v)
+                yield pa.record_batch({"source": np.full(len(found), v, np.int64), "vertex_id": found, "cost": cost.astype(np.int64)})
+
+    return _spread(sources, "source").mapInArrow(run, "source long, vertex_id long, cost long")
+
+
+class Places:
+    """Places on edges as ends of searches."""
+
+    def __init__(self, g: Compact):
+        self.g = g
+
+    def ends(self, edge: int, offset: int, forced: bool | None) -> list[tuple[int, float]]:
+        """(arc index, share of it behind the place) in each direction of travel."""
+        share = offset / OFFSET_MAX
+        return [(k, s) for a, s, f in ((2 * edge, share, True), (2 * edge + 1, 1 - share, False)) if (k := self.g.place(a)) >= 0 and (forced is None or forced == f)]
+
+    def paths(self, origin: tuple, targets: list[tuple], limit: float | None = None, penalty: dict[int, float] | None = None) -> list[tuple | None]:
+        """Best path from one place to each of several: (cost, arcs, path, share left out at the start, share used at the end) or None; places are (edge, offset, forced direction)."""
+        g = self.g
+        price = lambda k: g.cost[k] * (penalty.get(g.arc[k] >> 1, 1.0) if penalty else 1.0)
+        sources = self.ends(*origin)
+        best: list[tuple | None] = [None] * len(targets)
+        goals: dict[int, list[tuple[int, int, float]]] = {}
+        into: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        for n, target in enumerate(targets):
+            for t, e in self.ends(*target):
+                for k, s in sources:
+                    if k == t and e >= s and (limit is None or (e - s) * price(k) <= limit):
+                        option = ((e - s) * price(k), 1, [g.arc[k]], s, e)
+                        best[n] = option if best[n] is None or option[:3] < best[n][:3] else best[n]
+                v = g.start(t)
+                goals.setdefault(v, []).append((len(into), g.arc[t] >> 1, e * price(t)))
+                into[len(into), n] = [(t, e)]
+        if not sources or not goals:
+            return best
+        done, reached = g.search([((1 - s) * price(k), k) for k, s in sources], limit=limit, penalty=penalty, goals=goals)
+        behind = dict(sources)
+        for (goal, n), [(t, e)] in into.items():
+            for cost, hops, state in reached.get(goal, ()):
+                if (best[n] is None or (cost, hops) <= best[n][:2]) and (limit is None or cost <= limit):
+                    path = g.path(done, state)
+                    option = (cost, hops, [*path, g.arc[t]], behind.get(g.place(path[0]), 0.0), e)
+                    best[n] = option if best[n] is None or option[:3] < best[n][:3] else best[n]
+        return best
+
+    def alternatives(self, origin: tuple, target: tuple, first: tuple, most: int, max_shared: float, max_factor: float, limit: float | None) -> list[tuple]:
+        kept, seen, tries = [first], {a >> 1 for a in first[2]}, 0
+        while len(kept) < most and tries < 5 * most:
+            tries += 1
+            found = self.paths(origin, [target], None if limit is None else 2 * limit, dict.fromkeys(seen, 2.0))[0]
+            if found is None or found[0] > max_factor * first[0]:
+                break
+            own = {a >> 1 for a in found[2]}
+            if len(own & seen) <= max_shared * len(own):
+                kept.append(found)
+            if own <= seen:
+                break
+            seen |= own
+        return kept
+
+
+_PATH = "rank int, cost double, path array<long>, offset1 int, offset2 int, error string"
+
+
+def _path_row(k: int, p: tuple | None) -> tuple:
+    if p is None:
+        return (0, None, [], None, None, "no path")
+    return (k, float(p[0]), p[2], int(round(p[3] * OFFSET_MAX)), int(round(p[4] * OFFSET_MAX)), None)
 
 
 def routes(arcs: DataFrame, queries: DataFrame, forbidden: DataFrame | None = None, *, alternatives: int = 1, max_shared: float = 0.2, max_factor: float = 1.5, max_cost: float | None = None) -> DataFrame:
@@ -175,87 +341,128 @@ def routes(arcs: DataFrame, queries: DataFrame, forbidden: DataFrame | None = No
     run from the tail (0) to the head (65535); the result's are in travel direction.  With
     ``alternatives`` over 1, edges of earlier paths cost twice as much and a path counts if
     it shares at most ``max_shared`` of its edges and costs at most ``max_factor`` times the
-    first; rejected paths still penalise.
+    first; rejected paths still penalise.  Queries from one place share one search (1 to N; turn sides for N to 1).
+    On graphs too large to broadcast, paths grow by rounds of joins, without alternatives.
     """
-    graph = compact(arcs, forbidden)
-    if graph is None:
-        raise ValueError("routes need a graph that can be broadcast; use vertex_costs for larger ones or cut the graph by boxes")
     have = set(queries.columns)
     picked = queries.select(
         "query_id", *[F.col(c).cast("long") for c in ("from_edge", "from_offset", "to_edge", "to_offset")], *[(F.col(c) if c in have else F.lit(None)).cast("boolean").alias(c) for c in ("from_forward", "to_forward")]
     )
+    graph = compact(arcs, forbidden)
+    if graph is None:
+        if alternatives > 1:
+            raise ValueError("alternatives need a graph that can be broadcast; cut the graph by boxes")
+        return relax_routes(arcs, picked, forbidden, max_cost=max_cost)
 
-    def one(g: Compact, q, penalty: dict[int, float] | None):
-        def ends(edge: int, offset: int, forced) -> list[tuple[int, float]]:
-            """(arc index, share of it behind the place, in travel direction)."""
-            share = offset / OFFSET_MAX
-            return [(g.at[a], s) for a, s, f in ((2 * edge, share, True), (2 * edge + 1, 1 - share, False)) if a in g.at and (forced is None or pd.isna(forced) or bool(forced) == f)]
-
-        price = lambda k: g.cost[k] * (penalty.get(int(g.arc[k]) >> 1, 1.0) if penalty else 1.0)
-        sources, targets = ends(q.from_edge, q.from_offset, q.from_forward), ends(q.to_edge, q.to_offset, q.to_forward)
-        best = None
-        for k, s in sources:
-            for t, e in targets:
-                if k == t and e >= s:
-                    option = ((e - s) * price(k), 1, [int(g.arc[k])], s, e)
-                    best = option if best is None or option[:3] < best[:3] else best
-        if sources and targets:
-            done = g.search([((1 - s) * price(k), k) for k, s in sources], limit=max_cost, penalty=penalty, goals=[(int(g.start[t]), int(g.arc[t]) >> 1, e * price(t)) for t, e in targets])
-            behind = dict(sources)
-            for t, e in targets:
-                v, edge = int(g.start[t]), int(g.arc[t]) >> 1
-                for state, (c, _, hops) in done.items():
-                    k = state % len(g.arc)
-                    if int(g.to[k]) == v and int(g.arc[k]) >> 1 != edge and not g.blocked(state, edge):
-                        if best is None or (c + e * price(t), hops + 1) <= best[:2]:
-                            path = g.path(done, state)
-                            option = (c + e * price(t), hops + 1, [*path, int(g.arc[t])], behind.get(g.at[path[0]], 0.0), e)
-                            best = option if best is None or option[:3] < best[:3] else best
-        return best
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = graph.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(graph.value)
         for b in batches:
+            asked: dict[tuple, list[dict]] = {}
+            for q in b.to_pylist():
+                asked.setdefault((q["from_edge"], q["from_offset"], q["from_forward"]), []).append(q)
             rows = []
-            for q in b.itertuples(index=False):
-                first = one(g, q, None)
-                if first is None:
-                    rows.append((q.query_id, 0, None, [], None, None, "no path"))
-                    continue
-                kept = [first]
-                seen = {a >> 1 for a in first[2]}
-                tries = 0
-                while len(kept) < alternatives and tries < 5 * alternatives:
-                    tries += 1
-                    found = one(g, q, dict.fromkeys(seen, 2.0))
-                    own = {a >> 1 for a in found[2]}
-                    if found[0] > max_factor * first[0]:
-                        break
-                    if len(own & seen) <= max_shared * len(own):
-                        kept.append(found)
-                    if own <= seen:
-                        break
-                    seen |= own
-                rows += [(q.query_id, k, float(p[0]), p[2], int(round(p[3] * OFFSET_MAX)), int(round(p[4] * OFFSET_MAX)), None) for k, p in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=["query_id", "rank", "cost", "path", "offset1", "offset2", "error"]).astype({"offset1": "Int32", "offset2": "Int32"})
-
-    # Searches are long work on few bytes: spread them over all tasks.
-    picked = picked.repartition(int(picked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
-    return picked.mapInPandas(run, f"query_id {picked.schema['query_id'].dataType.simpleString()}, rank int, cost double, path array<long>, offset1 int, offset2 int, error string")
+            for origin, qs in asked.items():
+                targets = [(q["to_edge"], q["to_offset"], q["to_forward"]) for q in qs]
+                ok = [None not in (*origin[:2], *t[:2]) for t in targets]
+                found = iter(places.paths(origin, [t for t, x in zip(targets, ok, strict=True) if x], max_cost) if any(ok) else ())
+                for q, t, x in zip(qs, targets, ok, strict=True):
+                    best = next(found) if x else None
+                    kept = [best] if best is None or alternatives < 2 else places.alternatives(origin, t, best, alternatives, max_shared, max_factor, max_cost)
+                    rows += [(q["query_id"], *_path_row(k, p)) for k, p in enumerate(kept)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    out = f"query_id {picked.schema['query_id'].dataType.simpleString()}, " + _PATH
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(out))
+    # Queries from one place meet in one task; a place asked for very often is dealt to several, a search in each.
+    dealt = picked.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(4)))
+    spread = _spread(dealt, "from_edge", "from_offset", "from_forward", "deal").sortWithinPartitions("from_edge", "from_offset", "from_forward")
+    return spread.drop("deal").mapInArrow(run, out)
+
+
+def relax_routes(arcs: DataFrame, queries: DataFrame, turns: DataFrame | None = None, *, max_cost: float | None = None, rounds: int = 100_000) -> DataFrame:
+    """:func:`routes` by rounds of joins: every query's frontier grows until nothing cheaper than its best path is left."""
+    next_ = _steps(arcs, turns)
+    arc = arcs.select("arc_id", "cost", "from_v")
+    share = lambda name: F.col(f"{name}_offset") / OFFSET_MAX
+
+    def ends(name: str) -> DataFrame:
+        """Each direction of a query's place: arc, share behind the place."""
+        sides = F.array(*[F.struct((F.col(f"{name}_edge") * 2 + k).alias("arc_id"), (share(name) if not k else 1 - share(name)).alias("share"), F.lit(not k).alias("forward")) for k in (0, 1)])
+        return queries.select("query_id", F.col(f"{name}_forward").alias("forced"), F.explode(sides).alias("s")).where("forced is null or forced = s.forward").select("query_id", "s.arc_id", "s.share").join(arc, "arc_id")
+
+    source, target = materialize(ends("from"), "route-ends"), materialize(ends("to"), "route-ends")
+    t = target.select("query_id", F.col("arc_id").alias("t"), F.col("share").alias("e"), F.col("cost").alias("t_cost"))
+    direct = source.join(t, "query_id").where("arc_id = t and e >= share").select("query_id", F.struct(((F.col("e") - F.col("share")) * F.col("cost")).alias("cost"), F.lit(1).alias("hops"), F.array("arc_id").alias("path"), "share", "e").alias("found"))
+    best = materialize(source.select("query_id", "arc_id", ((1 - F.col("share")) * F.col("cost")).alias("cost"), F.lit(1).alias("hops"), F.array("arc_id").alias("path"), "share", F.lit(True).alias("fresh")), "routes-reached")
+    bounds = materialize(direct, "routes-found")
+    if max_cost is not None:
+        bounds = bounds.where(F.col("found.cost") <= max_cost)
+    for _ in range(rounds):
+        fresh = best.where("fresh")
+        # A path that ends: the last step is the part of the target's arc.
+        into = next_.join(t, F.col("b") == F.col("t")).select("query_id", F.col("a").alias("arc_id"), "t", "e", (F.col("step") - F.col("t_cost") + F.col("e") * F.col("t_cost")).alias("rest"))
+        ended = fresh.join(into, ["query_id", "arc_id"]).select("query_id", F.struct((F.col("cost") + F.col("rest")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("t")).alias("path"), "share", "e").alias("found"))
+        if max_cost is not None:
+            ended = ended.where(F.col("found.cost") <= max_cost)
+        bounds = materialize(bounds.unionByName(ended).groupBy("query_id").agg(F.min("found").alias("found")), "routes-found")
+        moved = fresh.join(next_, F.col("arc_id") == F.col("a")).join(bounds, "query_id", "left").where("found is null or cost + step <= found.cost")
+        if max_cost is not None:
+            moved = moved.where(F.col("cost") + F.col("step") <= max_cost)
+        moved = moved.select("query_id", F.col("b").alias("arc_id"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("b")).alias("path"), "share", F.lit(True).alias("fresh"))
+        both = best.withColumn("fresh", F.lit(False)).unionByName(moved)
+        best = materialize(both.groupBy("query_id", "arc_id").agg(F.min(F.struct("cost", "hops", "path", "fresh", "share")).alias("s")).select("query_id", "arc_id", "s.cost", "s.hops", "s.path", "s.share", "s.fresh"), "routes-reached")
+        if best.where("fresh").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"paths did not settle in {rounds} rounds")
+    offset = lambda c: F.round(F.col(c) * OFFSET_MAX).cast("int")
+    out = queries.select("query_id").join(bounds, "query_id", "left")
+    return out.select("query_id", F.lit(0).alias("rank"), F.col("found.cost").alias("cost"), F.coalesce("found.path", F.array().cast("array<long>")).alias("path"), offset("found.share").alias("offset1"), offset("found.e").alias("offset2"), F.when(F.col("found").isNull(), "no path").alias("error"))
+
+
+def place_matrix(arcs: DataFrame, sources: DataFrame, targets: DataFrame, forbidden: DataFrame | None = None, *, max_cost: float | None = None) -> DataFrame:
+    """Least cost between all source and all target places (id, edge, offset): source_id, target_id, cost, path, error; one search for each source."""
+    graph = compact(arcs, forbidden)
+    if graph is None or targets.limit(BROADCAST_TARGETS + 1).count() > BROADCAST_TARGETS:
+        out = routes(arcs, many_to_many(sources, targets), forbidden, max_cost=max_cost)
+        return out.select("query_id.source_id", "query_id.target_id", "cost", "path", "error")
+    rows = targets.select("id", F.col("edge").cast("long"), F.col("offset").cast("long")).toArrow()
+    wanted = arcs.sparkSession.sparkContext.broadcast(rows)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = f"source_id {sources.schema['id'].dataType.simpleString()}, target_id {targets.schema['id'].dataType.simpleString()}, cost double, path array<long>, error string"
+    schema = to_arrow_schema(StructType.fromDDL(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(graph.value)
+        ids, to = wanted.value["id"].to_pylist(), [(e, o, None) for e, o in zip(wanted.value["edge"].to_pylist(), wanted.value["offset"].to_pylist(), strict=True)]
+        for b in batches:
+            for s in b.to_pylist():
+                found = places.paths((s["edge"], s["offset"], None), to, max_cost)
+                rows = [(s["id"], t, None if p is None else float(p[0]), [] if p is None else p[2], "no path" if p is None else None) for t, p in zip(ids, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return _spread(sources.select("id", F.col("edge").cast("long"), F.col("offset").cast("long")), "id").mapInArrow(run, out)
 
 
 def many_to_many(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every source place with every target place, as queries for :func:`routes`; the sides are (id, edge, offset)."""
+    """Every source place with every target place, as queries for :func:`routes`; the sides are (id, edge, offset), query_id holds both ids."""
     a = sources.select(F.col("id").alias("source_id"), F.col("edge").alias("from_edge"), F.col("offset").alias("from_offset"))
     b = targets.select(F.col("id").alias("target_id"), F.col("edge").alias("to_edge"), F.col("offset").alias("to_offset"))
-    return a.crossJoin(b).withColumn("query_id", F.concat_ws(">", "source_id", "target_id"))
+    return a.crossJoin(b).withColumn("query_id", F.struct("source_id", "target_id"))
 
 
 def islands(arcs: DataFrame, forbidden: DataFrame | None = None, *, max_size: int = 1024) -> DataFrame:
     """Edges in a strongly connected part of fewer than ``max_size`` edges: edge_id, size.
 
-    The graph of edges has a link a -> b where an arc of b follows an arc of a.
+    The graph of edges has a link a -> b where an arc of b follows an arc of a; penalties of turns play no part.
     """
+    if forbidden is not None and "penalty" in forbidden.columns:
+        forbidden = forbidden.where("penalty is null").drop("penalty")
     graph = compact(arcs, forbidden)
     if graph is not None:
         spark = arcs.sparkSession
@@ -267,10 +474,9 @@ def strong_parts(g: Compact) -> pd.DataFrame:
     """Size of the strongly connected part of every edge, in one pass over a graph in memory (Tarjan's lowpoints, without recursion)."""
     following: dict[int, list[int]] = {}
     for k in range(len(g.arc)):
-        v, edge = int(g.to[k]), int(g.arc[k]) >> 1
-        a, b = g.first.get(v, (0, 0))
+        v, edge = g.to[k], g.arc[k] >> 1
         out = following.setdefault(edge, [])
-        out += [o for n in range(a, b) if (o := int(g.arc[n]) >> 1) != edge and (v, edge, o) not in g.barred]
+        out += [o for n in range(g.first[v], g.end[v]) if (o := g.arc[n] >> 1) != edge and (v, edge, o) not in g.turns]
     number: dict[int, int] = {}
     low: dict[int, int] = {}
     size: dict[int, int] = {}
@@ -296,17 +502,25 @@ def strong_parts(g: Compact) -> pd.DataFrame:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == number[node]:
-                    at = len(open_) - 1 - open_[::-1].index(node)
-                    for member in open_[at:]:
-                        size[member] = len(open_) - at
-                    del open_[at:]
+                    part = [open_.pop()]
+                    while part[-1] != node:
+                        part.append(open_.pop())
+                    size |= dict.fromkeys(part, len(part))
     return pd.DataFrame({"edge_id": list(size), "size": list(size.values())}, dtype="int64")
 
 
+def _trimmed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes that no cycle can hold, for nothing leads to them or from them: parts of one edge."""
+    both = links.select(F.col("a").alias("edge_id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(links.select(F.col("b").alias("edge_id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    kept = both.groupBy("edge_id").agg(F.max("out").alias("out"), F.max("in").alias("in")).where("out = 1 and in = 1").select("edge_id")
+    return nodes.join(kept, "edge_id", "left_anti")
+
+
 def colored_islands(arcs: DataFrame, forbidden: DataFrame | None = None, *, max_size: int = 1024) -> DataFrame:
     """The same for graphs that are too large to broadcast.
 
-    The least label spreads forward until it settles, then backward from its owner within
+    Edges with no way in or no way on are parts of their own and go first.  Then the least
+    label spreads forward until it settles, then backward from its owner within
     its colour; what both reach is one part, and the rest goes round again.
     """
     from waymark.operators.graph import transitions
@@ -315,26 +529,36 @@ def colored_islands(arcs: DataFrame, forbidden: DataFrame | None = None, *, max_
     links = materialize(pairs, "island-links")
     nodes = materialize(arcs.select("edge_id").distinct(), "island-nodes")
     parts = None
+
+    def without(gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left = materialize(nodes.join(gone, "edge_id", "left_anti"), "island-nodes")
+        return left, materialize(links.join(left.select(F.col("edge_id").alias("a")), "a").join(left.select(F.col("edge_id").alias("b")), "b").select("a", "b"), "island-links")
+
     while not nodes.isEmpty():
+        single = materialize(_trimmed(nodes, links).select("edge_id", F.col("edge_id").alias("c")), "reached")
+        if not single.isEmpty():
+            parts = single if parts is None else parts.unionByName(single)
+            nodes, links = without(single)
+            continue
         color = materialize(nodes.select("edge_id", F.col("edge_id").alias("c")), "colors")
         while True:
             spread = links.join(color, F.col("a") == F.col("edge_id")).select(F.col("b").alias("edge_id"), "c")
-            new = materialize(color.unionByName(spread).groupBy("edge_id").agg(F.min("c").alias("c")), "colors")
-            changed = not new.exceptAll(color).isEmpty()
-            color = new
+            moved = color.unionByName(spread).groupBy("edge_id").agg(F.min("c").alias("c"))
+            new = materialize(moved.join(color.withColumnRenamed("c", "was"), "edge_id"), "colors")
+            changed = not new.where("c <> was").isEmpty()
+            color = new.drop("was")
             if not changed:
                 break
         reached = materialize(color.where("edge_id = c"), "reached")
+        count = reached.count()
         while True:
             back = links.join(reached.select(F.col("edge_id").alias("b"), F.col("c").alias("cb")), "b").join(color, (F.col("a") == F.col("edge_id")) & (F.col("c") == F.col("cb"))).select("edge_id", "c")
-            new = materialize(reached.unionByName(back).distinct(), "reached")
-            grown = new.count() > reached.count()
-            reached = new
-            if not grown:
+            reached = materialize(reached.unionByName(back).distinct(), "reached")
+            if (grown := reached.count()) == count:
                 break
+            count = grown
         parts = reached if parts is None else parts.unionByName(reached)
-        nodes = materialize(nodes.join(reached, "edge_id", "left_anti"), "island-nodes")
-        links = materialize(links.join(nodes.select(F.col("edge_id").alias("a")), "a").join(nodes.select(F.col("edge_id").alias("b")), "b"), "island-links")
+        nodes, links = without(reached)
     if parts is None:
         return nodes.select("edge_id", F.lit(0).cast("long").alias("size"))
     sizes = parts.groupBy("c").agg(F.count("*").alias("size"))
