@@ -5,8 +5,8 @@ equal partner at nearly the same place: edits cannot touch all segments.  Every
 line is indexed by its segments under their length and number, and probes the indexes of the
 lengths it could match with the substrings that the multi-match-aware rule allows (the shift
 of a segment is bounded by the edits to its left and to its right).  Lines that share a
-substring are candidates if their letter counts can be that near, and are verified by a banded bit-parallel edit distance over a band of ``2 tau + 1``
-diagonals, folded over the characters with bit operations.
+substring are candidates if the counts of frequent letters can be that near, then of others too, and are verified by a
+banded bit-parallel edit distance over a band of ``2 tau + 1`` diagonals, folded over the characters with bit operations.
 
 A line is every part of a text between line feeds that is not blank; blank lines are kept as
 they are.  A line is removed when an equal line, or one within ``tau`` edits, occurs earlier
@@ -17,7 +17,7 @@ Null texts have no lines and stay null; null ids come last.  Rows that share an
 by a hash of their text, equal rows are the same text twice and get the same result.  Very long texts and lines are
 compared whole.  An empty table gives an empty result.
 Other columns are ignored; a carried column may not have the name of another column of the result.  Distinct lines are found with partial sums before the shuffle, so
-that a line in a third of all documents costs one row per task.
+that a line in a third of all documents costs one row per task; their table is written once and read by all later steps.
 """
 
 from __future__ import annotations
@@ -42,10 +42,6 @@ def _occurrences(documents: DataFrame) -> DataFrame:
     return lines.where(~_blank(F.col("line")))
 
 
-def _check(line: str, name: str = "check") -> Column:
-    return F.hash(line).alias(name)
-
-
 def _blank(line: Column) -> Column:
     return F.ltrim(line, F.lit(" \t\x0b\x0c\r")) == ""
 
@@ -74,16 +70,18 @@ def _keyed(lines: DataFrame, tau: int, rules: list[tuple[int, int, int]], name:
 
 #: Frequent letters of European languages; any letters would do.
 LETTERS = "eanitorshdlu"
+#: Further characters that tell apart lines that became pairs.
+MORE_LETTERS = "cmpgbfvwyk ."
 
 
 #: Set beside the letters of a probe for shorter lines; lines of one length meet both ways, and one is enough.
 _SHORTER = 1 << (4 * len(LETTERS))
 
 
-def _letters(line: Column) -> Column:
-    """How often each of those letters occurs, modulo 16, in four bits each."""
+def _letters(line: Column, letters: str = LETTERS) -> Column:
+    """How often each of the letters occurs, modulo 16, in four bits each."""
     bytes_ = F.octet_length(line)
-    return sum((F.shiftleft((bytes_ - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long"), 4 * k) for k, c in enumerate(LETTERS)), F.lit(0).cast("long"))
+    return sum((F.shiftleft((bytes_ - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long"), 4 * k) for k, c in enumerate(letters)), F.lit(0).cast("long"))
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
@@ -147,21 +145,17 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
 def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(first occurrence of every distinct line, verified links between distinct lines).
 
-    Firsts: lid, check, doc, row, line_no.  Links: a, b, check_a, check_b and whether a comes first.
-    A line's id is its 64-bit hash; where ids decide, a second hash of 32 bits stands beside it,
-    and candidates that share an id are told apart by their texts.
+    Firsts: lid, doc, row, line_no.  Links: a, b (line ids) and whether a comes first.
+    A line's id is its number in the table of distinct lines, so no two lines share one.
     """
     spark = docs.sparkSession
-    documents = _documents(docs, id_col, text_col)
-    lid = F.xxhash64("line").alias("lid")
-    occurrences = _occurrences(documents)
-    first = occurrences.groupBy(lid, _check("line")).agg(F.min(F.struct("doc", "row", "line_no")).alias("first"))
-    firsts = materialize(first.select("lid", "check", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no")), "lines-first")
-
-    measured = occurrences.select("line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"))
-    lines = measured.where(F.col("n") >= max(min_chars, 2 * tau + 1)).distinct().select("line", "n", "letters", lid)
-    indexed = _keyed(lines, tau, [(0, i, 0) for i in range(tau + 1)], "a")
-    probing = _keyed(lines, tau, _rules(tau), "b")
+    least = max(min_chars, 2 * tau + 1)
+    first = _occurrences(_documents(docs, id_col, text_col)).groupBy("line").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"))
+    lines = materialize(first.select(F.monotonically_increasing_id().alias("lid"), "line", F.length("line").alias("n"), F.when(F.length("line") >= least, _letters(F.col("line"))).alias("letters"), "first"), "lines")
+
+    long = lines.where(F.col("n") >= least)
+    indexed = _keyed(long, tau, [(0, i, 0) for i in range(tau + 1)], "a")
+    probing = _keyed(long, tau, _rules(tau), "b")
     # Lines that share a segment but differ by whole words are told apart before they become pairs.
     met = indexed.join(probing, (indexed["key"] == probing["key"]) & ((F.col("a") < F.col("b")) | (F.col("a") != F.col("b")) & (F.col("letters_b") >= _SHORTER)) & (_letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * tau))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -169,18 +163,17 @@ def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id"
 
     ids = materialize(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct(), "lines-candidates")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
-    found = _occurrences(documents).withColumn("lid", F.xxhash64("line")).join(wanted, "lid", "left_semi" if wanted is ids else "inner")
-    texts = found.groupBy("lid", "line").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"))
-    texts = materialize(texts, "lines-texts")
-    left = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
-    right = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
-    both = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("line_a") - F.length("line_b")) <= tau)
+    texts = materialize(lines.select("lid", "line", "letters", "first").join(wanted, "lid", "left_semi").withColumn("more", _letters(F.col("line"), MORE_LETTERS)), "lines-texts")
+    side = lambda x: texts.select(F.col("lid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("line", "letters", "more", "first")])
+    apart = _letters_apart(F.col("letters_a"), F.col("letters_b")) + _letters_apart(F.col("more_a"), F.col("more_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.length("line_a") - F.length("line_b")) <= tau) & (apart <= 2 * tau))
     # Verification is long work on few bytes: spread it over all tasks.
     both = both.repartition(parallelism(spark), "a", "b")
     close = both.where(banded_distance(F.col("line_a"), F.col("line_b"), tau) <= tau)
-    links = materialize(close.select("a", "b", _check("line_a", "check_a"), _check("line_b", "check_b"), (F.col("first_a") < F.col("first_b")).alias("a_first")), "lines-links")
-    drop(texts)
-    return firsts, links
+    links = materialize(close.select("a", "b", (F.col("first_a") < F.col("first_b")).alias("a_first")), "lines-links")
+    for done in (texts, pairs, ids):
+        drop(done)
+    return lines.select("lid", "first.doc", "first.row", "first.line_no"), links
 
 
 def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -188,9 +181,9 @@ def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if clash := {"doc_id", "text", "n_lines", "n_removed", "n_links"}.intersection(carry):
         raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     firsts, links = near_links(docs, tau, min_chars, id_col, text_col)
-    ends = links.select(F.col("a").alias("lid"), F.col("check_a").alias("check"), (~F.col("a_first")).alias("later")).union(links.select("b", "check_b", "a_first"))
-    linked = ends.groupBy("lid", "check").agg(F.count("*").alias("links"), F.max("later").alias("later"))
-    held = firsts.join(linked, ["lid", "check"], "left").groupBy("doc", "row").agg(
+    ends = links.select(F.col("a").alias("lid"), (~F.col("a_first")).alias("later")).union(links.select("b", "a_first"))
+    linked = ends.groupBy("lid").agg(F.count("*").alias("links"), F.max("later").alias("later"))
+    held = firsts.join(linked, "lid", "left").groupBy("doc", "row").agg(
         F.sort_array(F.collect_list(F.when(F.coalesce("later", F.lit(False)), None).otherwise(F.col("line_no")))).alias("keep"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links")
     )
     documents = _documents(docs, id_col, text_col, carry).withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1)))
