@@ -46,6 +46,18 @@ def center(box) -> Column:
     return F.struct(((box["left"] + box["right"]) / 2).alias("lon"), ((box["bottom"] + box["top"]) / 2).alias("lat"))
 
 
+def box_union(a, b) -> Column:
+    """The smallest box around two; one that is null does not count."""
+    side = lambda pick, name: F.coalesce(pick(a[name], b[name]), a[name], b[name]).alias(name)
+    return F.when(a.isNotNull() | b.isNotNull(), F.struct(side(F.least, "left"), side(F.least, "bottom"), side(F.greatest, "right"), side(F.greatest, "top")))
+
+
+def box_of(points: Column) -> Column:
+    """The box of an array of points; null if it is empty."""
+    every = lambda pick, name: pick(F.transform(points, lambda p: p[name]))
+    return F.when(F.size(points) > 0, F.struct(every(F.array_min, "lon").alias("left"), every(F.array_min, "lat").alias("bottom"), every(F.array_max, "lon").alias("right"), every(F.array_max, "lat").alias("top")))
+
+
 def position_along(lon1, lat1, lon2, lat2, share) -> Column:
     return F.struct((lon1 + (lon2 - lon1) * share).alias("lon"), (lat1 + (lat2 - lat1) * share).alias("lat"))
 

@@ -31,9 +31,9 @@ def cost_arcs(edges: DataFrame, profile: Profile) -> DataFrame:
 
     The profile rates every distinct set of the attributes it reads once, and edges take the rates by that set.
     """
-    seen = F.array(*[F.col("attrs")[k] for k in profile.keys]) if profile.keys else F.array().cast("array<string>")
-    # A struct of nulls and texts as one key: equal sets of what the profile reads.
-    keyed = edges.withColumn("_key", F.to_json(seen, {"ignoreNullFields": "false"}))
+    # A subclass may read any attribute.
+    seen = F.array(*[F.col("attrs")[k] for k in profile.keys]) if type(profile) is Profile else F.array_sort(F.map_entries("attrs"))
+    keyed = edges.withColumn("_key", F.coalesce(F.to_json(seen), F.lit("")))
     types = keyed.groupBy("_key").agg(F.first("attrs").alias("attrs"))
     fwd, bwd, fwd_speed, bwd_speed, can_stop = profile.factors(F.col("attrs"))
     both = arcs(keyed.join(_small(types.select("_key", fwd, bwd, fwd_speed, bwd_speed, can_stop)), "_key").drop("_key"))

@@ -8,7 +8,6 @@ first answer wins and the scan goes on where it ends.  A positive turn is to the
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import line_length
+from waymark.operators.texts import Settings, Texts
 
 
 def signed(angle: float) -> int:
@@ -58,7 +58,7 @@ Found = tuple[str, int, int, int, dict[str, str]]
 
 
 def start(r: Line, k: int) -> Found | None:
-    return ("start", 0, 0, 0, {"direction": str(signed(-r.bearing(0)))}) if k == 0 and r.last > 0 else None
+    return ("start", 0, 0, 0, {"startdegrees": str(signed(r.bearing(0))), "projectiondistance": "0"}) if k == 0 and r.last > 0 else None
 
 
 def roundabout(r: Line, k: int) -> Found | None:
@@ -70,7 +70,7 @@ def roundabout(r: Line, k: int) -> Found | None:
     while end < r.last and inside(end):
         end += 1
         passed += len(r.branches.get(end, ())) if end < r.last and inside(end) else 0
-    return ("roundabout", k, end, signed(r.bearing(k - 1) - r.bearing(min(end, r.last - 1))), {"exit": str(passed + 1)})
+    return ("roundabout", k, end, signed(r.bearing(k - 1) - r.bearing(min(end, r.last - 1))), {"exitnumber": str(passed + 1)})
 
 
 def _gather(r: Line, k: int, longest: float, inner_branches: bool) -> tuple[int, int, float]:
@@ -146,69 +146,33 @@ def scan(r: Line, generators=DEFAULT) -> list[Found]:
     return out
 
 
-# Texts: decision lists of (condition, template).
+def value(r: Line, f: Found, key: str) -> str | None:
+    """A property (in lower case), or an attribute where the instruction begins (.), ends (+), or of the piece before it (-)."""
+    kind, k, end, degrees, extra = f
+    if key[0] in ".+-":
+        at = {".": k, "+": end, "-": k - 1}[key[0]]
+        return r.attrs[at].get(key[1:]) if 0 <= at < r.last else None
+    return {"type": kind, "turndegrees": str(degrees), "shapeindex": str(k), "shapeindexend": str(end)}.get(key, extra.get(key))
 
-_TESTS = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "!=": lambda a, b: a != b, "=": lambda a, b: a == b, "<": lambda a, b: a < b, ">": lambda a, b: a > b}
 
-TEXTS: dict[str, list[tuple[str, str]]] = {
-    "en": [("start", "Start"), ("roundabout", "Take exit $exit"), ("followbend&degrees>0", "Follow the bend left"), ("followbend", "Follow the bend right"), ("followalong&.name", "Follow along ${.name}"), ("followalong", "Follow along"),
-           ("turn&degrees>0&.name", "Turn left onto ${.name}"), ("turn&.name", "Turn right onto ${.name}"), ("turn&degrees>0", "Turn left"), ("turn", "Turn right"), ("base&.name", "Continue onto ${.name}"), ("end", "You have arrived"), ("*", "Continue")],
-    "nl": [("start", "Vertrek"), ("roundabout", "Neem afslag $exit"), ("followbend&degrees>0", "Volg de bocht naar links"), ("followbend", "Volg de bocht naar rechts"), ("followalong&.name", "Volg ${.name}"), ("followalong", "Volg de weg"),
-           ("turn&degrees>0&.name", "Sla linksaf naar ${.name}"), ("turn&.name", "Sla rechtsaf naar ${.name}"), ("turn&degrees>0", "Sla linksaf"), ("turn", "Sla rechtsaf"), ("base&.name", "Ga verder op ${.name}"), ("end", "Bestemming bereikt"), ("*", "Ga verder")],
-}
+def text(r: Line, f: Found, texts: Texts) -> str:
+    return texts(lambda key: value(r, f, key))
 
 
-def value(r: Line, f: Found, key: str) -> str | None:
-    """Of a property, or of the attributes here (.), after (+) or before (-) the instruction."""
-    kind, k, end, degrees, extra = f
-    if key[0] in ".+-":
-        at = {".": end, "+": end + 1, "-": k - 1}[key[0]]
-        return r.attrs[at].get(key[1:]) if 0 <= at <= r.last else None
-    return {"type": kind, "degrees": str(degrees), "shapeindex": str(k), "shapeindexend": str(end)}.get(key, extra.get(key))
-
-
-def holds(r: Line, f: Found, condition: str) -> bool:
-    """``*``, or tests joined by ``&``: a type, a key that exists, or a comparison."""
-    for part in condition.split("&"):
-        m = re.fullmatch(r"\$?([^<>=!]+)(<=|>=|!=|=|<|>)(.*)", part)
-        if part == "*" or part in (*GENERATORS, "end"):
-            ok = part in ("*", f[0])
-        elif m:
-            have = value(r, f, m[1])
-            try:
-                ok = have is not None and _TESTS[m[2]](float(have), float(m[3]))
-            except ValueError:
-                ok = _TESTS[m[2]](have, m[3])
-        else:
-            ok = value(r, f, part.lstrip("$")) is not None
-        if not ok:
-            return False
-    return True
-
-
-def render(r: Line, f: Found, template: str) -> str:
-    return re.sub(r"\$\{([^}]+)\}|\$([A-Za-z_]+)", lambda m: value(r, f, m[1] or m[2]) or "", template)
-
-
-def text(r: Line, f: Found, rules: list[tuple[str, str]]) -> str:
-    """First rule that holds; ``*`` comes last wherever it stands."""
-    for condition, template in sorted(rules, key=lambda x: x[0] == "*"):
-        if holds(r, f, condition):
-            return render(r, f, template)
-    raise ValueError(f"no text for {f[0]}")
-
-
-def instructions(routes: DataFrame, *, generators=DEFAULT, languages: tuple[str, ...] = ("en",), texts: dict | None = None) -> DataFrame:
+def instructions(routes: DataFrame, *, generators=None, languages: tuple[str, ...] = ("en",), settings: Settings | None = None) -> DataFrame:
     """Routes (query_id, shape, meta as built by ``routes.build``) to query_id, seq, type, shape_idx, shape_idx_end, turn_degrees, texts (by language).
 
     An optional column ``branches`` (array of shape_idx, lon, lat) gives the ways that are passed.
     """
-    texts = TEXTS if texts is None else texts
+    settings = Settings() if settings is None else settings
+    generators = settings.generators if generators is None else generators
+    rules = {c: settings.languages[c] for c in languages}
     kind = routes.schema["query_id"].dataType.simpleString()
     branch = F.col("branches") if "branches" in routes.columns else F.array().cast("array<struct<shape_idx:int,lon:double,lat:double>>")
     metas = F.transform("meta", lambda m: F.struct(m["shape_idx"].alias("shape_idx"), F.from_json(m["attrs"], "map<string,string>").alias("attrs")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts = {c: Texts(r) for c, r in rules.items()}
         for b in batches:
             rows = []
             for q in b.itertuples(index=False):

@@ -78,6 +78,21 @@ def direction(edge_angle: Column, wanted: Column, tolerance: float = 90.0) -> Co
     return F.when(off <= tolerance, True).when(off >= 180 - tolerance, False)
 
 
+def forced_directions(queries: DataFrame, shaped_edges: DataFrame, *, tolerance: float = 90.0) -> DataFrame:
+    """Routing queries with compass bearings (from_bearing, to_bearing, degrees; null: either way) as ones with from_forward and to_forward.
+
+    ``error`` says where the edge leads in neither direction of a bearing.
+    """
+    lines = shaped_edges.select("edge_id", "points")
+    out = queries
+    for side in ("from", "to"):
+        at = lines.select(F.col("edge_id").alias(f"{side}_edge"), F.col("points").alias("_points"))
+        edge_angle = angle(F.col("_points"), F.col(f"{side}_offset"), geo.line_length(F.col("_points")))
+        out = out.join(at, f"{side}_edge", "left").withColumn(f"{side}_forward", direction(edge_angle, F.col(f"{side}_bearing"), tolerance)).drop("_points")
+    lost = lambda side: F.col(f"{side}_bearing").isNotNull() & F.col(f"{side}_forward").isNull()
+    return out.withColumn("error", F.when(lost("from"), "no departure in that direction").when(lost("to"), "no arrival in that direction"))
+
+
 def add_elevation(points: DataFrame, raster: DataFrame, *, step: float, estimate: float | None = None) -> DataFrame:
     """Points (lon, lat, other columns) with ``ele``: their own where they have one, else of their raster cell, else ``estimate``.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the built-in profiles, in km/h.
@@ -110,3 +110,17 @@ def turn_factors(types: DataFrame, *profiles: Profile) -> DataFrame:
         part = types.select(F.lit(p.name).alias("profile"), "turn_type_id", factor.alias("factor"), binary.alias("is_binary"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def prepare(edges: DataFrame, *profiles: Profile) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edge_id, type_id), (type_id, attrs) and (profile, type_id, factors): edges typed by what the profiles read of their attributes.
+
+    Attributes that no profile reads make no types of their own; with other profiles the types are made anew.
+    """
+    from waymark.functions.attributes import canonical, keep
+
+    keys = sorted({k for p in profiles for k in p.keys})
+    typed = edges.select("edge_id", keep(F.coalesce("attrs", F.create_map().cast("map<string,string>")), keys).alias("attrs")).withColumn("text", F.to_json(canonical(F.col("attrs"))))
+    # As few rows as there are kinds of streets: numbered in the order of their texts.
+    types = typed.groupBy("text").agg(F.first("attrs").alias("attrs")).withColumn("type_id", F.row_number().over(Window.orderBy("text")).cast("long"))
+    return typed.join(F.broadcast(types.select("text", "type_id")), "text").select("edge_id", "type_id"), types.select("type_id", "attrs"), edge_factors(types, *profiles)

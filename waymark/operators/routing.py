@@ -3,7 +3,7 @@
 The state of a search is an arc, so turn costs, restrictions and directions are exact.  Graphs of
 a checked size are broadcast as compact arrays and searched by one heap kernel per source;
 larger ones are relaxed in rounds of joins.  Both give the same costs.  Ties between paths
-go to fewer arcs, then smaller arc ids.
+go to fewer arcs, then to one of them that is the same in every run.
 
 ``turns`` (also called forbidden): vertex_id, from_edge, to_edge, an optional ``prefix`` of edges that must lie
 behind, and an optional ``penalty`` that is added to a path; without one, or where it is null, the turn is forbidden.

@@ -73,14 +73,19 @@ def import_network(
     *,
     keep: Callable[[Column], Column] = routable,
     zoom: int = 14,
+    strict: bool = False,
 ) -> Network:
     """Vertices at core nodes (their ids are the node ids), edges between them, and restrictions and barriers as turn costs.
 
     Edge ids are hashes of (way, first node index, last node index): the same in every import.
+    Segments that end at a node that is not there have no place and are left out, as at the edge of an extract: :func:`missing_ends`
+    lists them, and with ``strict`` they are an error.
     """
     kept = (ways if relations is None else cycle_networks(ways, relations)).where(keep(F.col("tags")))
     parts = segments(kept)
     at = nodes.select("id", "lon", "lat")
+    if strict and not missing_ends(nodes, kept).isEmpty():
+        raise ValueError("ways end at nodes that are not there")
     inner = parts.select("way", "first_k", F.posexplode("inner").alias("k", "node")).join(at.withColumnRenamed("id", "node"), "node")
     shapes = inner.groupBy("way", "first_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("shape"))
     end = lambda name: at.select(F.col("id").alias(f"{name}_node"), F.struct("lon", "lat").alias(f"{name}_at"))
@@ -104,6 +109,12 @@ def import_network(
     return Network(vertices, edges, costs)
 
 
+def missing_ends(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """(way, node) of segments that end at a node that is not among ``nodes``."""
+    ends = segments(ways).select("way", F.explode(F.array("tail_node", "head_node")).alias("node")).distinct()
+    return ends.join(nodes.select(F.col("id").alias("node")), "node", "left_anti").select("way", "node")
+
+
 def restriction_kind(tags: Column) -> Column:
     """true: forbids the turn, false: forbids all others, null: not a restriction."""
     value = F.coalesce(tags["restriction"], *[tags[f"restriction:{v}"] for v in VEHICLES])
@@ -115,14 +126,27 @@ def trimmed(tags: Column) -> Column:
     return F.map_filter(tags, lambda k, _: k.isin("type", "restriction", "except", *VEHICLES) | k.startswith("restriction:"))
 
 
+def _runs(edges: DataFrame, ways: DataFrame) -> DataFrame:
+    """Stretches of edges of the ways, in either direction: via_way, a, b (where they begin and end), run (edges in order)."""
+    chain = edges.join(ways, "way", "left_semi").groupBy("way").agg(F.array_sort(F.collect_list(F.struct(*([F.col("first_k")] if "first_k" in edges.columns else [F.col("edge_id").alias("first_k")]), "edge_id", "tail", "head"))).alias("es"))
+    each = chain.select("way", "es", F.explode(F.sequence(F.lit(1), F.size("es"))).alias("i")).select("way", "es", "i", F.explode(F.sequence(F.col("i"), F.size("es"))).alias("j"))
+    part = each.select(F.col("way").alias("via_way"), F.slice("es", F.col("i"), F.col("j") - F.col("i") + 1).alias("p"))
+    # Each edge begins where the one before ends, unless parts of the way are not there.
+    part = part.where(F.forall(F.sequence(F.lit(1), F.size("p")), lambda k: (k == 1) | (F.element_at("p", k)["tail"] == F.element_at("p", F.greatest(k - 1, F.lit(1)))["head"])))
+    ids = F.transform("p", lambda e: e["edge_id"])
+    first, last = F.col("p")[0]["tail"], F.element_at("p", -1)["head"]
+    both = F.array(F.struct(first.alias("a"), last.alias("b"), ids.alias("run")), F.struct(last.alias("a"), first.alias("b"), F.reverse(ids).alias("run")))
+    return part.select("via_way", F.explode(both).alias("s")).select("via_way", "s.a", "s.b", "s.run")
+
+
 def restrictions(relations: DataFrame, edges: DataFrame) -> DataFrame:
     """Turn costs of restrictions that go from a way over a node (or over ways) to a way.
 
     The edges of the from and to ways are those at the via; mandatory restrictions forbid
     every exit but the named one and the way back.  Over via ways, in the order of the members,
     the turn from the last via edge is forbidden and the edges before it are the ``prefix``.
-    Each from way counts, and each to way of those that forbid; via ways cut into several edges
-    give no row.
+    Each from way counts, and each to way of those that forbid; a via way that was cut into
+    several edges is passed over all of them between its neighbours.
     """
     r = relations.withColumn("forbids", restriction_kind(F.col("tags"))).where("forbids is not null")
     member = lambda kind, role: F.filter("members", lambda m: (m["type"] == kind) & (m["role"] == role))
@@ -134,11 +158,12 @@ def restrictions(relations: DataFrame, edges: DataFrame) -> DataFrame:
     node = r.where("via_node is not null").join(side("from"), "from_way").where("from_v = via_node").join(side("to"), "to_way").where("to_v = via_node")
     node = node.select("id", "forbids", "attrs", F.col("via_node").alias("vertex_id"), "from_edge", "to_edge", F.array().cast("array<long>").alias("prefix"))
     way = r.where("via_node is null and size(vias) > 0").join(side("from"), "from_way").withColumn("prefix", F.array().cast("array<long>"))
-    over = edges.select(F.col("way").alias("via_way"), F.col("edge_id").alias("via_edge"), F.explode(F.array(F.struct(F.col("tail").alias("a"), F.col("head").alias("b")), F.struct(F.col("head").alias("a"), F.col("tail").alias("b")))).alias("e")).select("via_way", "via_edge", "e.a", "e.b").distinct()
+    over = _runs(edges, r.select(F.explode("vias").alias("way")).distinct())
     # One join for each via way in its order; shorter chains wait.
     for k in range(way.agg(F.max(F.size("vias"))).first()[0] or 0):
-        more = way.where(F.size("vias") > k).withColumn("via_way", F.get("vias", F.lit(k))).join(over, "via_way").where("a = from_v and via_edge <> from_edge")
-        more = more.withColumn("prefix", F.concat("prefix", F.array("from_edge"))).withColumn("from_edge", F.col("via_edge")).withColumn("from_v", F.col("b")).select(*way.columns)
+        more = way.where(F.size("vias") > k).withColumn("via_way", F.get("vias", F.lit(k))).join(over, "via_way").where("a = from_v and run[0] <> from_edge")
+        behind = F.concat("prefix", F.array("from_edge"), F.slice("run", F.lit(1), F.size("run") - 1))
+        more = more.withColumn("prefix", behind).withColumn("from_edge", F.element_at("run", -1)).withColumn("from_v", F.col("b")).select(*way.columns)
         way = way.where(F.size("vias") <= k).unionByName(more)
     way = way.join(side("to"), "to_way").where("to_v = from_v and to_edge <> from_edge")
     way = way.select("id", "forbids", "attrs", F.col("to_v").alias("vertex_id"), "from_edge", "to_edge", "prefix")
@@ -158,6 +183,23 @@ def barriers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.select("vertex_id", "from_edge", "to_edge", F.lit(1).cast("long").alias("cost"), "attrs", F.array().cast("array<long>").alias("prefix"))
 
 
+def global_id(way: Column, first: Column, last: Column) -> Column:
+    """An edge's id in all imports: its way and its first and last node there, as text."""
+    return F.concat_ws(":", way.cast("string"), first.cast("string"), last.cast("string"))
+
+
+def global_parts(text: Column) -> Column:
+    """(way, first_k, last_k) of such an id; null if it is none."""
+    part = lambda k: F.regexp_extract(text, r"^(\d+):(\d+):(\d+)$", k).cast("long")
+    return F.when(text.rlike(r"^\d+:\d+:\d+$"), F.struct(part(1).alias("way"), part(2).cast("int").alias("first_k"), part(3).cast("int").alias("last_k")))
+
+
+def edges_of_global(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``asked`` (global_id, ...) with the edge_id of that edge, null if it is not there."""
+    known = edges.select(global_id(F.col("way"), F.col("first_k"), F.col("last_k")).alias("global_id"), "edge_id")
+    return asked.join(known, "global_id", "left")
+
+
 # Standalone tiles.
 
 
@@ -200,7 +242,9 @@ def map_tags(objects: DataFrame, mapping: DataFrame) -> DataFrame:
     """Tags renamed by an ontology table (uri, key, value_uri, value): keys and, where listed, values."""
     flat = objects.select("id", F.explode("tags").alias("uri", "v"))
     named = flat.join(mapping.select("uri", "key").distinct(), "uri", "left").join(mapping.select("uri", F.col("value_uri").alias("v"), "value").where("v is not null"), ["uri", "v"], "left")
-    tags = named.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("key", "uri"), F.coalesce("value", "v")))).alias("tags"))
+    # Two uris may stand for one key: the least value counts.
+    one = named.groupBy("id", F.coalesce("key", "uri").alias("k")).agg(F.min(F.coalesce("value", "v")).alias("x"))
+    tags = one.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "x")))).alias("tags"))
     return objects.drop("tags").join(tags, "id", "left")
 
 

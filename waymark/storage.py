@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder if driver and executors are one process, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(spark, "_waymark_graph_scratch", None)
         if base is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="waymark-graph-")
             atexit.register(shutil.rmtree, folder, True)
             base = spark._waymark_graph_scratch = f"file://{folder}"
@@ -43,13 +48,49 @@ class Network:
     version: int = 0
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def write_snapshot(network: Network, path: str) -> None:
-    """A new version is a new folder; readers of older versions are not disturbed."""
-    for name in TABLES:
-        if (df := getattr(network, name)) is not None:
-            df.write.mode("overwrite").parquet(f"{path}/v={network.version}/{name}")
+    """A version is a folder that is written once: one that is complete is an error, what a broken writer left is replaced.
+
+    ``types`` holds the distinct attribute sets with their ids; ``meta`` comes last and marks the version as complete.
+    """
+    from waymark.functions.attributes import dictionary
+
+    spark, folder = network.vertices.sparkSession, f"{path}/v={network.version}"
+    if _exists(spark, f"{folder}/meta/_SUCCESS"):
+        raise ValueError(f"version {network.version} is there already")
+    for name in TABLES[:-1]:
+        getattr(network, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    dictionary(network.edges).write.mode("overwrite").parquet(f"{folder}/types")
+    meta = network.meta if network.meta is not None else spark.createDataFrame([], "key string, value string")
+    meta.write.mode("overwrite").parquet(f"{folder}/meta")
 
 
 def read_snapshot(spark: SparkSession, path: str, version: int) -> Network:
+    if not _exists(spark, f"{path}/v={version}/meta/_SUCCESS"):
+        raise ValueError(f"there is no complete version {version}")
     read = lambda name: spark.read.parquet(f"{path}/v={version}/{name}")
-    return Network(read("vertices"), read("edges"), read("turn_costs"), None, version)
+    return Network(*(read(name) for name in TABLES), version)
+
+
+def read_types(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The dictionary of attribute sets of a version: text, type_id."""
+    return spark.read.parquet(f"{path}/v={version}/types")
+
+
+def has_vertices(network: Network, asked: DataFrame) -> DataFrame:
+    """Rows of ``asked`` (vertex_id, ...) with ``found``."""
+    known = network.vertices.select("vertex_id").distinct().withColumn("known", F.lit(True))
+    return asked.join(known, "vertex_id", "left").withColumn("found", F.coalesce("known", F.lit(False))).drop("known")
+
+
+def has_tiles(network: Network, asked: DataFrame, zoom: int = 14) -> DataFrame:
+    """Rows of ``asked`` (tile_id, ...) with ``found``: whether a vertex lies in the tile."""
+    from waymark.functions.geo import tile_id
+
+    known = network.vertices.select(tile_id(F.col("lon"), F.col("lat"), zoom).alias("tile_id")).distinct().withColumn("known", F.lit(True))
+    return asked.join(known, "tile_id", "left").withColumn("found", F.coalesce("known", F.lit(False))).drop("known")
