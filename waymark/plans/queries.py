@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import attributes, geo
-from waymark.operators import graph, instructions, places, routes, routing
+from waymark.operators import graph, places, routing
 from waymark.operators.profiles import BICYCLE, CAR, CAR_SHORT, PEDESTRIAN, edge_factors
-from waymark.sources import geojson, osm
+from waymark.sources import osm
 from waymark.storage import Network
 
 KINDS = {"AUTOMOBILE": "motorway", "BUILDING": "primary", "FURNITURE": "secondary", "HOUSEHOLD": "residential", "MACHINERY": "living_street"}
@@ -238,54 +238,15 @@ def route_paths(spark, sf_dir):
     return routing.routes(arcs, od).select("query_id", F.round("cost", 3).alias("cost"), F.size("path").alias("n_edges"), "error")
 
 
-def route_alternatives(spark, sf_dir):
-    _, arcs, od = _od_paths(spark, sf_dir)
-    return routing.routes(arcs, od, alternatives=3).select("query_id", "rank", F.round("cost", 3).alias("cost"))
-
-
-def _built(spark, sf_dir):
-    n, arcs, od = _od_paths(spark, sf_dir)
-    on_path = routes.path_edges(routing.routes(arcs, od).where("error is null"))
-    shaped = graph.full_shape(n.edges, n.vertices).select("edge_id", "points", "attrs", "length_cm")
-    speeds = n.edges.select("edge_id", *CAR.factors(F.col("attrs"))[2:4])
-    return routes.build(routes.pieces(on_path, shaped, speeds))
-
-
-def built_routes(spark, sf_dir):
-    return _built(spark, sf_dir).select("query_id", F.size("shape").alias("n_points"), F.size("meta").alias("n_edges"), F.round("total_distance", 3).alias("metres"), F.round("total_time", 3).alias("seconds"))
-
-
-def route_instructions(spark, sf_dir):
-    out = instructions.instructions(_built(spark, sf_dir), languages=("en", "nl"))
-    return out.select("query_id", "seq", "type", "shape_idx", "turn_degrees", F.col("texts")["en"].alias("text_en"), F.col("texts")["nl"].alias("text_nl"))
-
-
-def augmented_routes(spark, sf_dir):
-    """Routes whose metas carry the instructions' texts."""
-    built = _built(spark, sf_dir)
-    out = instructions.augment(built, instructions.instructions(built, languages=("en", "nl")))
-    return out.select("query_id", F.posexplode("meta").alias("seq", "m")).select("query_id", "seq", "m.shape_idx", F.get_json_object("m.attrs", "$['instruction:en']").alias("text_en"), F.round("m.metres", 3).alias("metres"))
-
-
-def route_branches(spark, sf_dir):
-    n, arcs, od = _od_paths(spark, sf_dir)
-    return routes.branches(routes.path_edges(routing.routes(arcs, od)), graph.arcs(n.edges)).groupBy("query_id").agg(F.count("*").alias("n_branches"))
-
-
 def small_islands(spark, sf_dir):
     """Edges from which there is no way back, on one-way streets with forbidden turns."""
     n = grid(spark, sf_dir)
     return routing.islands(_one_way_arcs(n).where("edge_id % 11 <> 4"), _barred(n), max_size=16)
 
 
-def network_geojson(spark, sf_dir):
-    n = grid(spark, sf_dir)
-    return geojson.network_features(n.vertices, graph.full_shape(n.edges, n.vertices)).select("kind", "id", "feature")
-
-
 QUERIES = {
     f.__name__: f
-    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, sequence_tree, near_costs, box_search, box_vertices, box_tiles, corner_turns, attribute_edits, imported_edges, vertex_places, edge_places, place_locations, snap_all_vertices, snap_vertices, snap_edges, route_paths, route_alternatives, built_routes, route_instructions, augmented_routes, route_branches, small_islands, network_geojson)
+    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, sequence_tree, near_costs, box_search, box_vertices, box_tiles, corner_turns, attribute_edits, imported_edges, vertex_places, edge_places, place_locations, snap_all_vertices, snap_vertices, snap_edges, route_paths, small_islands)
 }
 
 _DIST = "sqrt(pow(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), 2) + pow(radians({b}.lat - {a}.lat), 2)) * 6371000"
@@ -298,6 +259,30 @@ _TREE = """
 t AS (SELECT a.arc_id AS a, b.arc_id AS b, b.cost FROM ow a JOIN ow b ON a.to_v = b.from_v AND a.edge_id <> b.edge_id
   WHERE NOT (a.to_v % 7 = 3 AND a.arc_id % 4 = 0 AND b.arc_id % 4 = 2))"""
 
+def metres_sql(a: str, b: str) -> str:
+    return f"sqrt(pow(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), 2) + pow(radians({b}.lat - {a}.lat), 2)) * 6371000"
+
+
+NEAR = "abs({v}.lon - {p}.lon) * 111194.92664455873 * cos(radians({p}.lat)) < {m} AND abs({v}.lat - {p}.lat) * 111194.92664455873 < {m}"
+
+
+def snap_sql(acceptable: str) -> str:
+    """Snap to the edges that ``acceptable`` selects from e, as (edge_id, tail, head, pts, m1, m2, metres)."""
+    foot = "((p.lon - a.lon) * kx * ((b.lon - a.lon) * kx) + (p.lat - a.lat) * (b.lat - a.lat)) / (((b.lon - a.lon) * kx) * ((b.lon - a.lon) * kx) + (b.lat - a.lat) * (b.lat - a.lat))"
+    return f"""
+, ok AS ({acceptable}),
+seg AS (SELECT edge_id, tail, head, metres AS total, i, pts[i] AS a, pts[i + 1] AS b, CASE i WHEN 1 THEN 0 WHEN 2 THEN m1 ELSE m2 END AS before, cos(radians((pts[i].lat + pts[i + 1].lat) / 2)) AS kx FROM (SELECT *, unnest(range(1, len(pts))) AS i FROM ok)),
+vs AS (SELECT query_id, lon, lat, vertex_id, near FROM (SELECT p.query_id, p.lon, p.lat, v.vertex_id, {NEAR.format(v='v', p='p', m=100)} AS near FROM asked p JOIN v ON {NEAR.format(v='v', p='p', m=500)})),
+ns AS (SELECT query_id, any_value(lon) AS lon, any_value(lat) AS lat, edge_id, bool_or(near) AS near FROM vs JOIN ok ON vs.vertex_id = tail OR vs.vertex_id = head GROUP BY query_id, edge_id),
+o AS (SELECT query_id, near, edge_id, total, before, i, a, b, {{'lon': lon, 'lat': lat}} AS p, kx FROM ns JOIN seg USING (edge_id)),
+f AS (SELECT *, {foot} AS share FROM o),
+c AS (SELECT query_id, near, edge_id, total, before, i, a, b, 0.0::DOUBLE AS share, {metres_sql('p', 'a')} AS m FROM f UNION ALL SELECT query_id, near, edge_id, total, before, i, a, b, 1.0, {metres_sql('p', 'b')} FROM f
+  UNION ALL SELECT query_id, near, edge_id, total, before, i, a, b, share, {metres_sql('p', 'x')} FROM (SELECT *, {{'lon': a.lon + (b.lon - a.lon) * share, 'lat': a.lat + (b.lat - a.lat) * share}} AS x FROM f WHERE share BETWEEN 0 AND 1)),
+g AS (SELECT *, CASE WHEN m < 1 THEN 0 ELSE round(m, 6) END AS dist FROM c WHERE m < 100),
+h AS (SELECT * FROM (SELECT *, max(near::INT) OVER (PARTITION BY query_id) AS any_near FROM g) WHERE near OR any_near = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, edge_id, i, share) = 1)
+SELECT asked.query_id, coalesce(edge_id, -1) AS edge_id, CASE WHEN edge_id IS NULL THEN -1 ELSE least(65535, floor((before + share * {metres_sql('a', 'b')}) / total * 65535 + 1e-6)) END::INT AS "offset", round(coalesce(m, -1), 3) AS distance_m, CASE WHEN edge_id IS NULL THEN 'no edge found near the point' END AS error FROM asked LEFT JOIN h USING (query_id)"""
+
+
 ORACLES = {
     "vertex_scan": _GRID + "SELECT vertex_id, round(lon, 6) AS lon, round(lat, 6) AS lat, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384)::BIGINT * 16384 + floor((lon + 180) / 360 * 16384)::BIGINT AS tile_id FROM v",
     "edge_scan": _GRID + "SELECT edge_id, tail, head, kind AS highway FROM e",
@@ -350,4 +335,21 @@ SELECT query_id, vertex_id, round({_DIST.format(a='p', b='v')}, 3) AS distance_m
 r(v, c) USING KEY (v) AS (SELECT 0::BIGINT, 0::BIGINT UNION
  (SELECT k.to_v, min(r.c + k.cost)::BIGINT FROM r JOIN k ON k.from_v = r.v LEFT JOIN recurring.r q ON q.v = k.to_v WHERE q.c IS NULL OR r.c + k.cost < q.c GROUP BY k.to_v))
 SELECT v AS vertex_id, c AS cost FROM r""",
+    "snap_edges": _GRID + """, asked AS (SELECT event_id AS query_id, 4.7001::DOUBLE + (user_id % 23) * 0.00207::DOUBLE AS lon, 51.2001::DOUBLE + (event_id % 5) * 0.00117::DOUBLE AS lat FROM events)"""
+    + snap_sql(f"SELECT edge_id, tail, head, pts, m1, m1 AS m2, m1 AS metres FROM (SELECT e.*, [{{'lon': a.lon, 'lat': a.lat}}, {{'lon': b.lon, 'lat': b.lat}}] AS pts, {_DIST.format(a='a', b='b')} AS m1 FROM e JOIN v a ON a.vertex_id = tail JOIN v b ON b.vertex_id = head)"),
+    # Costs times a million plus arcs: the fewest arcs among the cheapest paths.
+    "route_paths": _GRID + """, n AS (SELECT count(*) AS n FROM v), od AS (SELECT s_suppkey AS q, (s_suppkey % n - (s_suppkey % n % 25 = 24)::INT) * 2 AS fe, ((s_suppkey * 7 + 13) % n - ((s_suppkey * 7 + 13) % n % 25 = 24)::INT) * 2 AS te FROM supplier, n),
+src AS (SELECT q, arc_id AS k, cost, to_v, CASE WHEN arc_id % 2 = 0 THEN 20000 / 65535.0::DOUBLE ELSE 1 - 20000 / 65535.0::DOUBLE END AS s FROM od JOIN d ON edge_id = fe),
+dst AS (SELECT q, arc_id AS k, cost, from_v, CASE WHEN arc_id % 2 = 0 THEN 40000 / 65535.0::DOUBLE ELSE 1 - 40000 / 65535.0::DOUBLE END AS s FROM od JOIN d ON edge_id = te),
+r(s, v, c) USING KEY (s, v) AS (SELECT DISTINCT to_v::BIGINT, to_v::BIGINT, 0::BIGINT FROM src UNION
+ (SELECT r.s, d.to_v, min(r.c + d.cost::BIGINT * 1000000 + 1)::BIGINT FROM r JOIN d ON d.from_v = r.v LEFT JOIN recurring.r q ON q.s = r.s AND q.v = d.to_v WHERE q.c IS NULL OR r.c + d.cost::BIGINT * 1000000 + 1 < q.c GROUP BY r.s, d.to_v)),
+o AS (SELECT src.q, (1 - src.s) * src.cost + r.c // 1000000 + dst.s * dst.cost AS cost, r.c % 1000000 + 2 AS n FROM src JOIN dst ON src.q = dst.q JOIN r ON r.s = src.to_v AND r.v = dst.from_v WHERE src.k // 2 <> dst.k // 2 OR src.k = dst.k AND r.c > 0
+  UNION ALL SELECT src.q, (dst.s - src.s) * src.cost, 1 FROM src JOIN dst ON src.q = dst.q AND src.k = dst.k AND dst.s >= src.s)
+SELECT q AS query_id, round(cost, 3) AS cost, n::INT AS n_edges, NULL AS error FROM o QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(cost, 6), n) = 1""",
+    # Parts of edges that reach each other both ways.
+    "small_islands": _GRID + """, ow AS (SELECT * FROM d WHERE (arc_id % 2 = 0 OR edge_id % 5 <> 0) AND edge_id % 11 <> 4),
+l AS (SELECT DISTINCT a.edge_id AS a, b.edge_id AS b FROM ow a JOIN ow b ON a.to_v = b.from_v AND a.edge_id <> b.edge_id WHERE NOT (a.to_v % 7 = 3 AND a.arc_id % 4 = 0 AND b.arc_id % 4 = 2)),
+r(a, b) AS (SELECT DISTINCT edge_id, edge_id FROM ow UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+s AS (SELECT x.a AS edge_id, count(*)::BIGINT AS size FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT edge_id, size FROM s WHERE size < 16""",
 }

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import graph, mutate, places, routes, routing
-from waymark.operators.profiles import CAR, CAR_SPEEDS, PEDESTRIAN, Profile, _car_turns
-from waymark.plans.queries import KINDS
+from waymark.operators import graph, instructions, mutate, places, routes, routing
+from waymark.operators.profiles import CAR, CAR_SPEEDS, PEDESTRIAN, Profile, _car_turns, prepare
+from waymark.plans.queries import KINDS, NEAR, metres_sql, snap_sql
 from waymark.sources import geojson, osm
 from waymark.storage import Network, read_snapshot, scratch_dir, write_snapshot
 from waymark.streaming.tiles import load_tiles, loaded_edges
@@ -65,10 +65,6 @@ def turn_costs(v: DataFrame, e: DataFrame) -> DataFrame:
     return rows(0, 1, "vertex_id % 7 = 3", 3000, kind("lights")).unionByName(rows(1, 0, "vertex_id % 11 = 4", 1, kind("restriction"))).unionByName(rows(0, 0, "vertex_id % 5 = 2", 9, kind("other")))
 
 
-def _d(a: str, b: str) -> str:
-    return f"sqrt(pow(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), 2) + pow(radians({b}.lat - {a}.lat), 2)) * 6371000"
-
-
 def _between(share: float, sign: str) -> str:
     one = lambda c, d, k: f"a.{c} + (b.{c} - a.{c}) * {share}::DOUBLE + {sign}(k.edge_id * {k} % 5 - 2) * {d}::DOUBLE"
     return f"{{'lon': {one('lon', 0.0001, 7)}, 'lat': {one('lat', 0.00008, 11)}}}"
@@ -82,7 +78,7 @@ WITH RECURSIVE v AS (SELECT c_custkey AS vertex_id, c_custkey % 25 AS gx, c_cust
 k AS (SELECT vertex_id * 2 AS edge_id, vertex_id AS tail, vertex_id + 1 AS head, kind, 'Row ' || gy AS name FROM v WHERE gx < 24 UNION ALL SELECT vertex_id * 2 + 1, vertex_id, vertex_id + 25, kind, 'Col ' || gx FROM v),
 p AS (SELECT k.*, CASE WHEN k.edge_id % 7 = 3 THEN 'yes' WHEN k.edge_id % 7 = 5 THEN '-1' END AS oneway, [{{'lon': a.lon, 'lat': a.lat}}] || CASE k.edge_id % 3 WHEN 0 THEN [{_between(0.5, '')}] WHEN 2 THEN [{_between(0.25, '')}, {_between(0.75, '-')}] ELSE [] END || [{{'lon': b.lon, 'lat': b.lat}}] AS pts
   FROM k JOIN v a ON a.vertex_id = tail JOIN v b ON b.vertex_id = head),
-q AS (SELECT *, {_d('pts[1]', 'pts[2]')} AS m1, {_d('pts[2]', 'pts[3]')} AS d2, {_d('pts[3]', 'pts[4]')} AS d3 FROM p),
+q AS (SELECT *, {metres_sql('pts[1]', 'pts[2]')} AS m1, {metres_sql('pts[2]', 'pts[3]')} AS d2, {metres_sql('pts[3]', 'pts[4]')} AS d3 FROM p),
 e AS (SELECT *, m1 + coalesce(d2, 0) AS m2, m1 + coalesce(d2, 0) + coalesce(d3, 0) AS metres, floor((m1 + coalesce(d2, 0) + coalesce(d3, 0)) * 100)::BIGINT AS cm FROM q),
 arc AS (SELECT edge_id * 2 AS arc_id, edge_id, tail AS from_v, head AS to_v, true AS forward, kind, cm FROM e WHERE oneway IS DISTINCT FROM '-1' UNION ALL SELECT edge_id * 2 + 1, edge_id, head, tail, false, kind, cm FROM e WHERE oneway IS DISTINCT FROM 'yes'),
 d AS (SELECT *, cm * CASE kind WHEN 'motorway' THEN 30 WHEN 'primary' THEN 40 WHEN 'secondary' THEN 51 WHEN 'residential' THEN 72 ELSE 240 END AS cost, CASE kind WHEN 'motorway' THEN 3333 WHEN 'primary' THEN 2500 WHEN 'secondary' THEN 1944 WHEN 'residential' THEN 1388 ELSE 416 END AS speed FROM arc WHERE kind <> 'footway'),
@@ -213,6 +209,93 @@ def town_routes(spark, sf_dir):
     return built.select("query_id", F.size("shape").alias("n_points"), F.size("meta").alias("n_edges"), F.element_at("meta", -1)["shape_idx"].alias("last_idx"), F.round("total_distance", 3).alias("metres"), F.round("total_time", 3).alias("seconds"))
 
 
+def _built(spark, sf_dir):
+    return routes.build(_parts(spark, sf_dir)[2])
+
+
+def route_instructions(spark, sf_dir):
+    """Instructions along the routes, in two languages."""
+    out = instructions.instructions(_built(spark, sf_dir), languages=("en", "nl"))
+    return out.select("query_id", "seq", "type", "shape_idx", "shape_idx_end", "turn_degrees", F.col("texts")["en"].alias("text_en"), F.col("texts")["nl"].alias("text_nl"))
+
+
+def town_starts(spark, sf_dir):
+    """First and last instruction of every route: where to go first, and where the last point is."""
+    out = instructions.instructions(_built(spark, sf_dir), languages=("en", "nl"))
+    ends = out.groupBy("query_id").agg(F.min_by("texts", "seq").alias("first"), F.max_by(F.struct("type", "shape_idx", "texts"), "seq").alias("last"))
+    return ends.select("query_id", F.col("first")["en"].alias("text_en"), F.col("first")["nl"].alias("text_nl"), "last.type", "last.shape_idx", F.col("last.texts")["en"].alias("end_en"))
+
+
+def augmented_routes(spark, sf_dir):
+    """Routes whose metas carry instructions: the metas' metres along the shape, the point where the last ends, and how many have a text."""
+    built = _built(spark, sf_dir)
+    out = instructions.augment(built, instructions.instructions(built, languages=("en", "nl")))
+    rows = out.select("query_id", F.explode("meta").alias("m"))
+    named = F.get_json_object("m.attrs", "$['instruction:en']").isNotNull() & F.get_json_object("m.attrs", "$.highway").isNotNull()
+    return rows.groupBy("query_id").agg(F.round(F.sum("m.metres"), 2).alias("metres"), F.max("m.shape_idx").alias("last_idx"), F.min(named).alias("all_named"))
+
+
+def route_alternatives(spark, sf_dir):
+    """Alternatives of the routes: the first is the best path, all others cost up to half as much again and differ from it."""
+    n, arcs, od = _asked(spark, sf_dir)
+    found = routing.routes(arcs, od, graph.forbidden_turns(n.turn_costs, DRIVER), alternatives=3).where("error is null")
+    first = found.where("rank = 0").select("query_id", F.col("cost").alias("best"), F.col("path").alias("best_path"))
+    j = found.join(first, "query_id").groupBy("query_id").agg(F.round(F.min("cost"), 2).alias("cost"), F.round(F.min("best"), 2).alias("first"), F.min(F.col("cost") <= 3 * F.col("best")).alias("all_near"), F.min((F.col("rank") == 0) | (F.col("path") != F.col("best_path"))).alias("all_new"))
+    return j
+
+
+def town_positions(spark, sf_dir):
+    """Points of the routes by the piece that leads there, with distance and time at its end."""
+    at = routes.positions(_built(spark, sf_dir))
+    return at.groupBy("query_id", "meta_idx").agg(F.count("*").alias("n_points"), F.max("shape_idx").alias("last_idx"), F.round(F.max("distance_at"), 3).alias("distance_at"), F.round(F.max("time_at"), 3).alias("time_at"))
+
+
+def town_merged(spark, sf_dir):
+    """Routes that go on from where others end: pieces of both as one path."""
+    n, arcs, found = _paths(spark, sf_dir)
+    paths = routes.path_edges(found.where("error is null"))
+    # Each path cut before its third piece and put together again.
+    first, second = paths.where("seq < 2"), paths.where("seq >= 2").withColumn("seq", F.col("seq") - 2)
+    return routes.trim(routes.merge(first, second)).select("query_id", "seq", "edge_id", "forward", F.col("offset2").alias("last_offset"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def town_bearings(spark, sf_dir):
+    """Which way along their edges the questions leave to the south west and arrive from wherever, if they can."""
+    n, _, od = _asked(spark, sf_dir)
+    asked = od.withColumn("from_bearing", F.lit(225.0)).withColumn("to_bearing", F.lit(None).cast("double"))
+    out = places.forced_directions(asked, _shaped(n), tolerance=60.0)
+    return out.select("query_id", F.coalesce(F.col("from_forward").cast("string"), F.lit("neither")).alias("from_forward"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def town_types(spark, sf_dir):
+    """Types of streets that cars and pedestrians tell apart, with how many edges have them and what they cost."""
+    typed, types, factors = prepare(town(spark, sf_dir).edges, CAR, PEDESTRIAN)
+    counted = typed.groupBy("type_id").agg(F.count("*").alias("n_edges"))
+    return factors.join(counted, "type_id").join(types, "type_id").select("profile", F.col("attrs")["highway"].alias("highway"), F.coalesce(F.col("attrs")["oneway"], F.lit("")).alias("oneway"), "n_edges", "fwd_factor", "bwd_factor")
+
+
+def town_elevation(spark, sf_dir):
+    """Elevation of the vertices from a raster of cells, and where there is no cell an estimate."""
+    v = town(spark, sf_dir).vertices
+    cells = v.select(F.floor(F.col("lon") / 0.01).alias("cell_x"), F.floor(F.col("lat") / 0.01).alias("cell_y")).distinct().where("(cell_x + cell_y) % 3 <> 0")
+    raster = cells.withColumn("ele", (F.col("cell_x") % 7 + F.col("cell_y") % 5).cast("float"))
+    return places.add_elevation(v, raster, step=0.01, estimate=-1.0).select("vertex_id", F.col("ele").cast("double").alias("ele"))
+
+
+def town_islands(spark, sf_dir):
+    """Edges of the town from which a driver finds no way back."""
+    n = town(spark, sf_dir)
+    return routing.islands(graph.cost_arcs(n.edges, DRIVER), graph.forbidden_turns(n.turn_costs, DRIVER), max_size=64)
+
+
+def town_boxes(spark, sf_dir):
+    """Features in boxes around the first points asked."""
+    n = town(spark, sf_dir)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("query_id"), (F.lit(4.7003) + (F.col("s_suppkey") % 20) * 0.002).alias("lon"), (F.lit(51.2004) + (F.col("s_suppkey") % 6) * 0.0012).alias("lat"))
+    boxes = s.select("query_id", geo.box_union(geo.box_around(F.col("lon"), F.col("lat"), F.lit(150.0)), geo.box_around(F.col("lon"), F.col("lat") + 0.001, F.lit(100.0))).alias("box"))
+    return geojson.box_features(n.vertices, _shaped(n), boxes).groupBy("query_id", "kind").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 def town_branches(spark, sf_dir):
     """Arcs that leave the routes' vertices."""
     n, _, found = _paths(spark, sf_dir)
@@ -320,7 +403,7 @@ def town_footways(spark, sf_dir):
     return arcs.select("arc_id", F.floor(F.col("length_cm") / F.col("speed")).cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
+QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, route_instructions, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_boxes, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
 
 _TILE = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * {n})::BIGINT * {n} + floor(({x} + 180) / 360 * {n})::BIGINT"
 
@@ -345,27 +428,17 @@ piece AS (SELECT path.q, seq, path.n, d.arc_id, d.edge_id, d.forward, d.cm, d.sp
   FROM path JOIN d ON d.arc_id = path.k JOIN e ON e.edge_id = d.edge_id JOIN od ON od.q = path.q),
 part AS (SELECT *, cm / 100.0::DOUBLE * ((o2 - o1) / 65535.0::DOUBLE) AS m, (2 + CASE WHEN n_pts > 2 THEN (CASE WHEN forward THEN m1 ELSE whole - m1 END > whole * o1 / 65535 AND CASE WHEN forward THEN m1 ELSE whole - m1 END < whole * o2 / 65535)::INT ELSE 0 END + CASE WHEN n_pts > 3 THEN (CASE WHEN forward THEN m2 ELSE whole - m2 END > whole * o1 / 65535 AND CASE WHEN forward THEN m2 ELSE whole - m2 END < whole * o2 / 65535)::INT ELSE 0 END)::INT AS n_points FROM piece)
 """
-_BOX = "abs({v}.lon - {p}.lon) * 111194.92664455873 * cos(radians({p}.lat)) < {m} AND abs({v}.lat - {p}.lat) * 111194.92664455873 < {m}"
 _REL = "CASE WHEN angle >= 170 AND angle <= 190 THEN 'StraightOn' WHEN angle < 5 OR angle > 355 THEN 'TurnBack' WHEN angle < 65 THEN 'SharpRight' WHEN angle < 115 THEN 'Right' WHEN angle < 170 THEN 'SlightlyRight' WHEN angle <= 245 THEN 'SlightlyLeft' WHEN angle <= 295 THEN 'Left' ELSE 'SharpLeft' END"
 _BEAR = "degrees(atan2(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), radians({b}.lat - {a}.lat)))"
 
 
-def _snap_sql(acceptable: str) -> str:
-    """Snap to the edges that ``acceptable`` selects from e, as (edge_id, tail, head, pts, m1, m2, metres)."""
-    foot = "((p.lon - a.lon) * kx * ((b.lon - a.lon) * kx) + (p.lat - a.lat) * (b.lat - a.lat)) / (((b.lon - a.lon) * kx) * ((b.lon - a.lon) * kx) + (b.lat - a.lat) * (b.lat - a.lat))"
-    return f"""
-, ok AS ({acceptable}),
-seg AS (SELECT edge_id, tail, head, metres AS total, i, pts[i] AS a, pts[i + 1] AS b, CASE i WHEN 1 THEN 0 WHEN 2 THEN m1 ELSE m2 END AS before, cos(radians((pts[i].lat + pts[i + 1].lat) / 2)) AS kx FROM (SELECT *, unnest(range(1, len(pts))) AS i FROM ok)),
-vs AS (SELECT query_id, lon, lat, vertex_id, near FROM (SELECT p.query_id, p.lon, p.lat, v.vertex_id, {_BOX.format(v='v', p='p', m=100)} AS near FROM asked p JOIN v ON {_BOX.format(v='v', p='p', m=500)})),
-ns AS (SELECT query_id, any_value(lon) AS lon, any_value(lat) AS lat, edge_id, bool_or(near) AS near FROM vs JOIN ok ON vs.vertex_id = tail OR vs.vertex_id = head GROUP BY query_id, edge_id),
-o AS (SELECT query_id, near, edge_id, total, before, i, a, b, {{'lon': lon, 'lat': lat}} AS p, kx FROM ns JOIN seg USING (edge_id)),
-f AS (SELECT *, {foot} AS share FROM o),
-c AS (SELECT query_id, near, edge_id, total, before, i, a, b, 0.0::DOUBLE AS share, {_d('p', 'a')} AS m FROM f UNION ALL SELECT query_id, near, edge_id, total, before, i, a, b, 1.0, {_d('p', 'b')} FROM f
-  UNION ALL SELECT query_id, near, edge_id, total, before, i, a, b, share, {_d('p', 'x')} FROM (SELECT *, {{'lon': a.lon + (b.lon - a.lon) * share, 'lat': a.lat + (b.lat - a.lat) * share}} AS x FROM f WHERE share BETWEEN 0 AND 1)),
-g AS (SELECT *, CASE WHEN m < 1 THEN 0 ELSE round(m, 6) END AS dist FROM c WHERE m < 100),
-h AS (SELECT * FROM (SELECT *, max(near::INT) OVER (PARTITION BY query_id) AS any_near FROM g) WHERE near OR any_near = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, edge_id, i, share) = 1)
-SELECT asked.query_id, coalesce(edge_id, -1) AS edge_id, CASE WHEN edge_id IS NULL THEN -1 ELSE least(65535, floor((before + share * {_d('a', 'b')}) / total * 65535 + 1e-6)) END::INT AS "offset", round(coalesce(m, -1), 3) AS distance_m, CASE WHEN edge_id IS NULL THEN 'no edge found near the point' END AS error FROM asked LEFT JOIN h USING (query_id)"""
-
+#: Places at an offset on edges, with the angle there and how far that is from the south west.
+_PLACE = f""", o AS (SELECT *, (edge_id * 97 % 65536)::INT AS off, 10 / metres * 65535 AS reach FROM e),
+s AS (SELECT *, CASE WHEN reach > 65535 THEN 0 ELSE floor(greatest(0, off - reach)) END / 65535.0::DOUBLE AS lo, CASE WHEN reach > 65535 THEN 65535 ELSE floor(least(65535, off + reach)) END / 65535.0::DOUBLE AS hi FROM o),
+x AS (SELECT edge_id, {{'lon': {_at('lo', 'lon')}, 'lat': {_at('lo', 'lat')}}} AS p, {{'lon': {_at('hi', 'lon')}, 'lat': {_at('hi', 'lat')}}} AS q, {_at('off / 65535.0::DOUBLE', 'lon')} AS lon, {_at('off / 65535.0::DOUBLE', 'lat')} AS lat FROM s),
+y AS (SELECT *, {_BEAR.format(a='p', b='q')} AS z FROM x), u AS (SELECT *, z - floor(z / 360) * 360 AS angle, 225 - (z - floor(z / 360) * 360) AS g FROM y),
+h AS (SELECT *, g - floor(g / 360) * 360 AS g2 FROM u), i AS (SELECT *, abs(trunc(CASE WHEN g2 > 180 THEN g2 - 360 ELSE g2 END)) AS off FROM h)
+"""
 
 ORACLES = {
     "town_edges": TOWN + f"SELECT edge_id, len(pts)::INT AS n_points, cm AS length_cm, round(metres, 4) AS metres, round({_at('0.5', 'lon')}, 7) AS lon, round({_at('0.5', 'lat')}, 7) AS lat, name, oneway FROM e",
@@ -378,15 +451,10 @@ j AS (SELECT x.arc_id AS a, y.arc_id AS b, x.pts[-2] AS p, x.pts[-1] AS q, y.pts
 h AS (SELECT a, b, {_BEAR.format(a='q', b='p')} - {_BEAR.format(a='q', b='r')} AS z, {_BEAR.format(a='q', b='r')} AS y FROM j),
 i AS (SELECT a, b, z - floor(z / 360) * 360 AS angle, y - floor(y / 360) * 360 AS way FROM h)
 SELECT a, b, round(angle, 4) AS angle, {_REL} AS kind, ((round(way / 45)::INT % 8) * 45)::INT AS compass FROM i""",
-    "town_places": TOWN + f""", o AS (SELECT *, (edge_id * 97 % 65536)::INT AS off, 10 / metres * 65535 AS reach FROM e),
-s AS (SELECT *, CASE WHEN reach > 65535 THEN 0 ELSE floor(greatest(0, off - reach)) END / 65535.0::DOUBLE AS lo, CASE WHEN reach > 65535 THEN 65535 ELSE floor(least(65535, off + reach)) END / 65535.0::DOUBLE AS hi FROM o),
-x AS (SELECT edge_id, {{'lon': {_at('lo', 'lon')}, 'lat': {_at('lo', 'lat')}}} AS p, {{'lon': {_at('hi', 'lon')}, 'lat': {_at('hi', 'lat')}}} AS q, {_at('off / 65535.0::DOUBLE', 'lon')} AS lon, {_at('off / 65535.0::DOUBLE', 'lat')} AS lat FROM s),
-y AS (SELECT *, {_BEAR.format(a='p', b='q')} AS z FROM x), u AS (SELECT *, z - floor(z / 360) * 360 AS angle, 225 - (z - floor(z / 360) * 360) AS g FROM y),
-h AS (SELECT *, g - floor(g / 360) * 360 AS g2 FROM u), i AS (SELECT *, abs(trunc(CASE WHEN g2 > 180 THEN g2 - 360 ELSE g2 END)) AS off FROM h)
-SELECT edge_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(angle, 2) AS angle, CASE WHEN off <= 60 THEN 'true' WHEN off >= 120 THEN 'false' ELSE 'neither' END AS south_west FROM i""",
-    "town_snaps": TOWN + ", " + _ASKED + _snap_sql("SELECT * FROM e WHERE kind <> 'footway'"),
+    "town_places": TOWN + _PLACE + """SELECT edge_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(angle, 2) AS angle, CASE WHEN off <= 60 THEN 'true' WHEN off >= 120 THEN 'false' ELSE 'neither' END AS south_west FROM i""",
+    "town_snaps": TOWN + ", " + _ASKED + snap_sql("SELECT * FROM e WHERE kind <> 'footway'"),
     "town_snap_vertices": TOWN + ", " + _ASKED + f""", ok AS (SELECT DISTINCT unnest([tail, head]) AS vertex_id FROM e WHERE kind <> 'footway'),
-x AS (SELECT p.query_id, v.vertex_id, {_d('p', 'v')} AS m FROM asked p JOIN v ON {_BOX.format(v='v', p='p', m=100)} JOIN ok USING (vertex_id))
+x AS (SELECT p.query_id, v.vertex_id, {metres_sql('p', 'v')} AS m FROM asked p JOIN v ON {NEAR.format(v='v', p='p', m=100)} JOIN ok USING (vertex_id))
 SELECT query_id, vertex_id, round(m, 3) AS distance_m FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(m, 6), vertex_id) = 1""",
     "town_paths": TOWN + _ONE + _WALK + """, l AS (SELECT q, string_agg(arc_id, ' ' ORDER BY seq) AS path, max(CASE WHEN seq = 0 THEN o1 END)::INT AS offset1, max(CASE WHEN seq = n - 1 THEN o2 END)::INT AS offset2 FROM piece GROUP BY q)
 SELECT od.q AS query_id, round(coalesce(b.c, -1), 2) AS cost, coalesce(path, '') AS path, coalesce(offset1, -1) AS offset1, coalesce(offset2, -1) AS offset2, CASE WHEN b IS NULL THEN 'no path' END AS error FROM od LEFT JOIN ended ON ended.q = od.q LEFT JOIN l ON l.q = od.q""",
@@ -405,7 +473,7 @@ only_ AS (SELECT must.vertex_id, f, x.edge_id AS t FROM must JOIN x USING (verte
 SELECT DISTINCT vertex_id, f AS from_way, t AS to_way, true AS forbidden FROM (SELECT * FROM b UNION ALL SELECT * FROM no UNION ALL SELECT * FROM only_)""",
     "town_geojson": TOWN + """SELECT 'vertex' AS kind, vertex_id AS id, 'Feature' AS type, 'Point' AS shape, 2 AS n_numbers, round(lat, 7) AS last, NULL AS name, NULL AS backward, 1 AS n_properties FROM v
 UNION ALL SELECT 'edge', edge_id, 'Feature', 'LineString', (2 * len(pts))::INT, round(pts[len(pts)].lat, 7), name, CASE WHEN oneway IS NOT DISTINCT FROM 'yes' OR kind = 'footway' THEN '0' ELSE CASE kind WHEN 'motorway' THEN '30' WHEN 'primary' THEN '40' WHEN 'secondary' THEN '51' WHEN 'residential' THEN '72' ELSE '240' END END, 5 + (oneway IS NOT NULL)::INT FROM e""",
-    "town_changes": TOWN + f""", more AS (SELECT a.vertex_id + 100000000 AS edge_id, a.vertex_id AS tail, b.vertex_id AS head, floor(({_d('a', 'b')}) * 100)::BIGINT AS cm FROM v a JOIN v b ON b.vertex_id = a.vertex_id + 26 AND a.gx < 24),
+    "town_changes": TOWN + f""", more AS (SELECT a.vertex_id + 100000000 AS edge_id, a.vertex_id AS tail, b.vertex_id AS head, floor(({metres_sql('a', 'b')}) * 100)::BIGINT AS cm FROM v a JOIN v b ON b.vertex_id = a.vertex_id + 26 AND a.gx < 24),
 al AS (SELECT edge_id, tail, head, cm FROM e UNION ALL SELECT * FROM more),
 tc AS (SELECT a.edge_id AS f, b.edge_id AS t, CASE WHEN b.edge_id % 2 = 1 THEN 3000 WHEN a.edge_id % 2 = 1 THEN 1 ELSE 9 END AS cost FROM e a JOIN e b ON b.tail = a.head WHERE a.edge_id % 2 = 0 AND b.edge_id % 2 = 1 AND a.head % 7 = 3 OR a.edge_id % 2 = 1 AND b.edge_id % 2 = 0 AND a.head % 11 = 4 OR a.edge_id % 2 = 0 AND b.edge_id % 2 = 0 AND a.head % 5 = 2
   UNION ALL SELECT edge_id, tail * 2, 4 FROM more WHERE tail % 6 = 0 UNION ALL SELECT tail * 2, edge_id, 5 FROM more WHERE tail % 6 = 0),
@@ -419,5 +487,33 @@ SELECT edge_id, tail, head FROM y WHERE (t1 % 2 = 0 OR t1 % 3 <> 1) AND (t2 % 2
     "town_snapshot": TOWN + """SELECT 'vertices' AS "table", count(*)::BIGINT AS n FROM v UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'meta zoom', 14
 UNION ALL SELECT 'turns', count(*) FROM e a JOIN e b ON b.tail = a.head WHERE a.edge_id % 2 = 0 AND b.edge_id % 2 = 1 AND a.head % 7 = 3 OR a.edge_id % 2 = 1 AND b.edge_id % 2 = 0 AND a.head % 11 = 4 OR a.edge_id % 2 = 0 AND b.edge_id % 2 = 0 AND a.head % 5 = 2""",
     "town_footways": TOWN + "SELECT edge_id * 2 + side AS arc_id, floor(cm / 138.0::DOUBLE)::BIGINT AS seconds FROM e, (SELECT unnest([0, 1]) AS side) WHERE kind <> 'motorway'",
+    "town_starts": TOWN + _ONE + _WALK + f""", z AS (SELECT part.*, e.pts, e.metres, e.d2, e.d3, e.name, CASE WHEN part.forward THEN o1 ELSE 65535 - o1 END / 65535.0::DOUBLE AS sh, sum(n_points - 1) OVER (PARTITION BY part.q) AS last_idx FROM part JOIN e ON e.edge_id = part.edge_id),
+y AS (SELECT *, {{'lon': {_at('sh', 'lon')}, 'lat': {_at('sh', 'lat')}}} AS a, CASE WHEN forward THEN CASE WHEN whole * o1 / 65535 < m1 - 1e-9 THEN 2 WHEN n_pts > 2 AND whole * o1 / 65535 < m2 - 1e-9 THEN 3 ELSE n_pts END
+  ELSE CASE WHEN n_pts > 3 AND whole * o1 / 65535 < whole - m2 - 1e-9 THEN 3 WHEN n_pts > 2 AND whole * o1 / 65535 < whole - m1 - 1e-9 THEN 2 ELSE 1 END END AS nx,
+  CASE WHEN n = 1 THEN CASE WHEN forward THEN o2 ELSE 65535 - o2 END / 65535.0::DOUBLE END AS stop FROM z WHERE seq = 0),
+x AS (SELECT *, CASE WHEN stop IS NOT NULL AND n_points = 2 THEN {{'lon': {_at('stop', 'lon')}, 'lat': {_at('stop', 'lat')}}} ELSE {{'lon': pts[nx].lon, 'lat': pts[nx].lat}} END AS b FROM y),
+g AS (SELECT *, {_BEAR.format(a='a', b='b')} AS raw FROM x), h AS (SELECT *, raw - floor(raw / 360) * 360 AS pos FROM g), i AS (SELECT *, trunc(CASE WHEN pos > 180 THEN pos - 360 ELSE pos END) AS deg FROM h)
+SELECT q AS query_id, 'Start ' || CASE WHEN deg <= -135 THEN 'south' WHEN deg <= -45 THEN 'west' WHEN deg <= 45 THEN 'north' WHEN deg <= 135 THEN 'east' ELSE 'south' END || ' on ' || name AS text_en,
+ 'Vertrek in ' || CASE WHEN deg <= -135 THEN 'zuidelijke' WHEN deg <= -45 THEN 'westelijke' WHEN deg <= 45 THEN 'noordelijke' WHEN deg <= 135 THEN 'oostelijke' ELSE 'zuidelijke' END || ' richting op ' || name AS text_nl,
+ 'end' AS type, last_idx::INT AS shape_idx, 'You have arrived at your destination' AS end_en FROM i""",
+    "augmented_routes": TOWN + _ONE + _WALK + "SELECT q AS query_id, round(sum(whole * (o2 - o1) / 65535.0::DOUBLE), 2) AS metres, sum(n_points - 1)::INT AS last_idx, true AS all_named FROM part GROUP BY q",
+    "route_alternatives": TOWN + _ONE + "SELECT q AS query_id, round(b.c, 2) AS cost, round(b.c, 2) AS first, true AS all_near, true AS all_new FROM ended",
+    "town_positions": TOWN + _ONE + _WALK + """SELECT q AS query_id, seq::INT AS meta_idx, (n_points - 1 + (seq = 0)::INT)::BIGINT AS n_points, sum(n_points - 1) OVER (PARTITION BY q ORDER BY seq)::INT AS last_idx,
+ round(sum(m) OVER (PARTITION BY q ORDER BY seq), 3) AS distance_at, round(sum(m / (speed / 100.0::DOUBLE)) OVER (PARTITION BY q ORDER BY seq), 3) AS time_at FROM part""",
+    "town_merged": TOWN + _ONE + _WALK + "SELECT q AS query_id, seq::INT AS seq, edge_id, forward, o2::INT AS last_offset, '' AS error FROM piece WHERE o1 < o2",
+    "town_bearings": TOWN + """, nv AS (SELECT count(*) AS n FROM v), od AS (SELECT s_suppkey AS qid, (s_suppkey * 3 % n - (s_suppkey * 3 % n % 25 = 24)::INT) * 2 AS fe, s_suppkey * 977 % 65536 AS fo FROM supplier, nv)"""
+    + _PLACE.replace("(edge_id * 97 % 65536)::INT AS off", "fo AS off").replace("FROM e)", "FROM e JOIN od ON fe = edge_id)").replace("SELECT edge_id, ", "SELECT qid, edge_id, ", 1).replace("x AS (SELECT edge_id,", "x AS (SELECT qid, edge_id,")
+    + """SELECT od.qid AS query_id, CASE WHEN off <= 60 THEN 'true' WHEN off >= 120 THEN 'false' ELSE 'neither' END AS from_forward, CASE WHEN off <= 60 OR off >= 120 THEN '' ELSE 'no departure in that direction' END AS error FROM od LEFT JOIN i ON i.qid = od.qid""",
+    "town_types": TOWN + """, k2 AS (SELECT kind, coalesce(oneway, '') AS oneway, count(*)::BIGINT AS n FROM e GROUP BY ALL),
+f AS (SELECT *, CASE kind WHEN 'motorway' THEN 30 WHEN 'primary' THEN 40 WHEN 'secondary' THEN 51 WHEN 'residential' THEN 72 WHEN 'living_street' THEN 240 ELSE 0 END AS c, CASE WHEN kind = 'motorway' THEN 0 ELSE 72 END AS p FROM k2)
+SELECT 'car' AS profile, kind AS highway, oneway, n AS n_edges, CASE WHEN oneway = '-1' THEN 0 ELSE c END::BIGINT AS fwd_factor, CASE WHEN oneway = 'yes' THEN 0 ELSE c END::BIGINT AS bwd_factor FROM f UNION ALL SELECT 'pedestrian', kind, oneway, n, p, p FROM f""",
+    "town_elevation": TOWN + """, x AS (SELECT vertex_id, floor(lon / 0.01::DOUBLE)::BIGINT AS cx, floor(lat / 0.01::DOUBLE)::BIGINT AS cy FROM v) SELECT vertex_id, CASE WHEN (cx + cy) % 3 = 0 THEN -1 ELSE cx % 7 + cy % 5 END::DOUBLE AS ele FROM x""",
+    "town_islands": TOWN + """, nodes AS (SELECT DISTINCT edge_id FROM d), l AS (SELECT DISTINCT a // 2 AS a, b // 2 AS b FROM t),
+r(a, b) AS (SELECT edge_id, edge_id FROM nodes UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+s AS (SELECT x.a AS edge_id, count(*)::BIGINT AS size FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT edge_id, size FROM s WHERE size < 64""",
+    "town_boxes": TOWN + """, b AS (SELECT s_suppkey AS query_id, 4.7003::DOUBLE + (s_suppkey % 20) * 0.002::DOUBLE AS lon, 51.2004::DOUBLE + (s_suppkey % 6) * 0.0012::DOUBLE AS lat FROM supplier),
+c AS (SELECT query_id, lon, lat, 150 / 111194.92664455873 AS dy, 100 / 111194.92664455873 AS ey, 150 / (111194.92664455873 * cos(radians(lat))) AS dx FROM b),
+h AS (SELECT query_id, vertex_id FROM c JOIN v ON v.lon > c.lon - dx AND v.lon <= c.lon + dx AND v.lat > c.lat - dy AND v.lat <= greatest(c.lat + dy, c.lat + 0.001 + ey))
+SELECT query_id, 'vertex' AS kind, count(*)::BIGINT AS n, sum(vertex_id)::BIGINT AS ids FROM h GROUP BY query_id UNION ALL SELECT query_id, 'edge', count(*)::BIGINT, sum(edge_id)::BIGINT FROM (SELECT DISTINCT query_id, edge_id FROM h JOIN e ON vertex_id IN (tail, head)) GROUP BY query_id""",
 }
 ORACLES["town_rounds"] = ORACLES["town_tree"]
