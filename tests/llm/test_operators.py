@@ -99,25 +99,49 @@ def brute_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash(docs, none):
-    got = simhash.near_duplicates(docs, tree_size=2).collect()
-    assert len(got) == len(hard_rows())
-    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
-    rows = [r for r in hard_rows()]
-    fps = [brute_fingerprint(r[1]) for r in rows]
+def brute_components(rows, fps):
+    """Least non-null id of the group of every row."""
     root = list(range(len(rows)))
-    for _ in rows:
+    moved = True
+    while moved:
+        moved = False
         for i, a in enumerate(fps):
             for j, b in enumerate(fps):
-                if (a ^ b).bit_count() <= 3:
+                if (a ^ b).bit_count() <= 3 and root[i] != root[j]:
                     root[i] = root[j] = min(root[i], root[j])
-    for i, r in enumerate(rows):
-        if r[0] is not None:
-            assert by_id[r[0]].fingerprint == f"{fps[i]:016x}"
-            assert by_id[r[0]].component_id == min(x[0] for k, x in enumerate(rows) if root[k] == root[i] and x[0] is not None)
+                    moved = True
+    return [min((x[0] for k, x in enumerate(rows) if root[k] == root[i] and x[0] is not None), default=None) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("tree_size", [2, 2048])
+def test_simhash(docs, none, tree_size):
+    rows = hard_rows()
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs, tree_size=tree_size).collect())
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    assert got == sorted((str(r[0]), f"{f:016x}", str(c)) for r, f, c in zip(rows, fps, brute_components(rows, fps), strict=True))
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [4, 5, 6])
+def test_any_number_of_blocks_finds_the_same_links(spark, blocks):
+    r = random.Random(2)
+    fps = set()
+    for _ in range(60):
+        x = r.getrandbits(64)
+        fps |= {x, x ^ 1 << r.randrange(64), x ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) ^ 1 << r.randrange(64)}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    got = {x.node % (1 << 64): x.component for x in components(simhash.link_fingerprints(df, blocks=blocks, tree_size=4)).collect()}
+    names = brute_components([(k,) for k in range(len(fps))], fps)
+    groups = lambda label: sorted(sorted(k for k in range(len(fps)) if label[k] == x) for x in set(label))
+    assert groups([got.get(x, ("single", x)) for x in fps]) == groups(names)
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n, 3, 2048) for n in (10, 10**8, 10**9, 10**11, 10**12)] == [4, 4, 5, 6, 6]
+    assert all(bin(sum(simhash._masks(3, b)) % 2) for b in (4, 5, 6)) and [len(simhash._masks(3, b)) for b in (4, 5, 6)] == [4, 10, 20]
+
+
 def test_bk_forest_finds_all_links():
     r = np.random.default_rng(3)
     seeds = r.integers(0, 2**63, 40, dtype=np.uint64)
@@ -134,24 +158,44 @@ def test_components(spark):
     assert got == {k: 1 for k in range(1, 61)} | {100: 100, 200: 100}
 
 
-def test_lines(docs, none):
-    got = {(r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.dedupe_lines(docs).collect()}
-    seen, want = [], set()
-    for r in sorted((r for r in hard_rows() if r[0] is not None), key=lambda r: r[0]):
-        if (r[0], r[1]) in {(w[0], w[4]) for w in want}:
-            continue
-        kept, n, gone = [], 0, 0
-        for x in (r[1] or "").split("\n"):
+def brute_lines(rows):
+    """(lines, removed, links, kept text) of every row: by id, then by the operator's hash of the text; equal rows are one."""
+    keys = {(r[0], r[1]) for r in rows if r[1] is not None}
+    order = sorted(keys, key=lambda k: (k[0] is None, k[0] or 0, hash_of(k[1])))
+    first, out = {}, {}
+    for key in order:
+        for k, x in enumerate(key[1].split("\n")):
+            if x.strip(" \t\x0b\x0c\r"):
+                first.setdefault(x, (order.index(key), k))
+    near = {x: [y for y in first if y != x and min(len(x), len(y)) >= 16 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2] for x in first}
+    for key in order:
+        n, gone, links, kept = 0, 0, 0, []
+        for k, x in enumerate(key[1].split("\n")):
             if not x.strip(" \t\x0b\x0c\r"):
                 kept.append(x)
                 continue
-            n += 1
-            near = any(x == y or min(len(x), len(y)) >= 16 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in seen)
-            seen.append(x)
-            gone += near
-            kept += [] if near else [x]
-        want.add((r[0], n, gone, None if r[1] is None else "\n".join(kept), r[1]))
-    assert {w[:4] for w in want} <= got
+            here = first[x] == (order.index(key), k)
+            n, links = n + 1, links + len(near[x]) * here
+            if here and not any(first[y] < first[x] for y in near[x]):
+                kept.append(x)
+            else:
+                gone += 1
+        out[key] = (n, gone, links, "\n".join(kept))
+    return [(0, 0, 0, None) if r[1] is None else out[r[0], r[1]] for r in rows]
+
+
+def hash_of(text):
+    """Spark's signed xxhash64 of a text, seed 42."""
+    h = xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_lines(spark, none):
+    base = "a line that has some thirty characters"
+    rows = hard_rows() + [(k, t, "en", "a", 0, 0, 0, "x", 0, 0.0, "g") for k, t in ((BIG, base + "\nother"), (60, base[:10] + "X" + base[10:]), (61, base[:-2]), (None, base[1:] + "!"), (62, "short one\nshort ones"), (None, base), (62, base.replace("h", "H", 2)))]
+    key = lambda r: tuple(map(str, r))
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.n_links, r.text) for r in lines.dedupe_lines(spark.createDataFrame(rows, SPEC)).collect()), key=key)
+    assert got == sorted(((r[0], *b) for r, b in zip(rows, brute_lines(rows), strict=True)), key=key)
     assert lines.dedupe_lines(none).count() == 0
 
 
@@ -515,16 +559,145 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
-def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage by brute force: with one language nothing is ambiguous, and planted passages are exact."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     item = prose(40, 901).replace("\n", " ")
     rows = [(k, prose(80, 100 + k), "en", "s", 1) for k in range(12)]
-    rows += [(20, rows[3][1], "en", "s", 1), (21, "123 456", "en", "s", 1), (22, prose(50, 300) + " " + item, "en", "s", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
-    assert got - {20} == set(range(12)) and len(corpus_pipeline.STAGES) == 5
+    rows += [(20, rows[3][1], "en", "s", 1), (21, "123 456", "en", "s", 1), (22, prose(50, 300) + " " + item + " end", None, "s", 1), (23, None, "en", None, None), (24, "", "en", "s", 0), (25, rows[5][1] + " more", "en", "s", 1)]
+    rows += [(None, prose(60, 400), "en", "s", 1), (None, prose(60, 400), "en", "s", 1), (26, prose(70, 401), "en", "s", 1), (26, prose(70, 401), "en", "s", 1), (BIG, prose(3000, 402), "en", "s", 1), (27, rows[2][1].split("\n")[0] + "\n" + prose(30, 403), "en", "s", 1)]
+    for part, more in (("plain", ""), ("clash", ", fp long, _text string, lid long, held_out boolean, draw long")):
+        table = [r + (5, "x", 6, True, 7) for r in rows] if more else rows
+        folder = f"{tmp_path}/{part}"
+        spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long" + more).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"file://{folder}").collect()
+
+        left = [r[:2] for r in rows if any(map(str.isalpha, r[1] or ""))]
+        left = [(r[0], b[3]) for r, b in zip(left, brute_lines(left), strict=True)]
+        names = brute_components(left, [brute_fingerprint(t) for _, t in left])
+        left = [(i, t) for (i, t), c in zip(left, names, strict=True) if i is None or i == c]
+        left = [(i, t) for i, t in left if i is None or decontaminate.normal(item) not in decontaminate.normal(t)]
+        tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        want = []
+        for i, t in left:
+            ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+            want += [(i, k, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())) for k, (a, n) in enumerate(packing.cut(len(ids), 1024))]
+        key = lambda r: tuple(map(str, r))
+        assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=key) == sorted(want, key=key)
+        used = Counter()
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == used[r.sequence_id]
+            used[r.sequence_id] += r.length
+        assert max(used.values()) <= 1024 and len({r.doc_id for r in got} & set(range(12))) >= 11 and not {20, 21, 22, 23, 24} & {r.doc_id for r in got}
+    empty = f"{tmp_path}/empty"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{empty}").count() == 0 and len(corpus_pipeline.STAGES) == 5
+
+
+OPERATORS = {
+    "substrings": lambda df, more: substrings.dedupe_substrings(df),
+    "licenses": lambda df, more: licenses.scan(df.withColumn("path", F.lit("a/b.txt"))),
+    "simhash": lambda df, more: simhash.near_duplicates(df),
+    "decontaminate": lambda df, more: decontaminate.contaminated(df, more),
+    "rules": lambda df, more: rules.quality_rules(df),
+    "html": lambda df, more: html_text.extract(df.withColumn("url", F.lit("u")), id_col="doc_id", html_col="text").withColumnRenamed("page_id", "doc_id"),
+    "packing": lambda df, more: packing.pack(df),
+    "language": lambda df, more: language.identify(df),
+    "quality": lambda df, more: quality.quality_scores(df, more),
+    "lines": lambda df, more: lines.dedupe_lines(df),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_large_ids_beside_nulls_and_clashing_columns(spark, name):
+    item = prose(60, 3).replace("\n", " ")
+    names = "x w z m q g n s e fp gid lid row doc line letters first draw known found pieces level start bin v _text text_ _file path_ bucket sequence_id score held_out lang_pred place".split()
+    spec = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names)
+    rows = [(i, f"{prose(25, k)} {item} {prose(9, 50 + k)}", "en", "s", *["?"] * len(names)) for k, i in enumerate((BIG, None, BIG + 2, -BIG, 2**63 - 1))]
+    more = spark.createDataFrame([(BIG, BIG, item, 1)], "item_id long, doc_id long, text string, quality int")
+    got = OPERATORS[name](spark.createDataFrame(rows, spec), more).collect()
+    assert sorted({str(r.doc_id) for r in got}) == sorted(str(r[0]) for r in rows)
+    if name == "decontaminate":
+        assert {r.item_id for r in got} == {BIG}
+    if name == "quality":
+        assert {r.doc_id: r.held_out for r in got if r.doc_id is not None} == {r[0]: zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows if r[0] is not None}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_empty_and_all_null_tables(spark, name):
+    spec = "doc_id long, text string, lang string, source string"
+    more = spark.createDataFrame([], "item_id long, doc_id long, text string, quality int")
+    assert OPERATORS[name](spark.createDataFrame([], spec), more).count() == 0
+    got = OPERATORS[name](spark.createDataFrame([(None, None, None, None)] * 3, spec), more).collect()
+    assert len(got) == (0 if name == "decontaminate" else 3) and all(r.doc_id is None for r in got)
+
+
+def test_decontamination_against_exhaustive_search(spark):
+    """All pairs of documents and items by exact alignment: nothing is found that is not there, nothing exact is missed, and little else."""
+    r = random.Random(12)
+    items = [(k, prose(r.randrange(8, 40), 700 + k).replace("\n", " ")) for k in range(12)] + [(50, prose(20, 700)), (51, "tiny"), (52, ""), (53, None), (50, prose(20, 700))]
+    docs = []
+    for k in range(60):
+        _, t = items[k % 12]
+        x = list(t)
+        for _ in range(k % 4):
+            at = r.randrange(len(x))
+            x[at : at + 1] = r.choice(([], ["z"], ["z", x[at]]))
+        docs.append((k if k != 7 else None, f"{prose(30, k)}{' ' * (k % 3)}{''.join(x)}{prose(20, 90 + k)}"))
+    docs += [(100, items[0][1] + " " + items[1][1] + " " + items[0][1]), (100, items[0][1] + " " + items[1][1] + " " + items[0][1]), (101, "it is tiny here"), (102, ("word " * 300_000) + items[2][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((str(g.doc_id), g.item_id, g.distance) for g in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    want = Counter()
+    for i, t in docs[:-1]:
+        for k, x in items:
+            x, text = decontaminate.normal(x or ""), decontaminate.normal(t)
+            best = decontaminate.best_alignment(x, text, decontaminate.allowed_edits(len(x), 0.05, 9)) if x else None
+            if best:
+                want[str(i), k, best[0]] += 1
+    want["102", 2, 0] += 1
+    assert {k for k in want if k[2] == 0} == {k for k in got if k[2] == 0} and all(got[k] == want[k] for k in got)
+    assert sum(got.values()) >= 0.95 * sum(want.values())
+
+
+def test_licenses_against_brute_force(spark):
+    """Dense vectors over all terms, all lines and all runs of lines."""
+    notices = {"A": ("alpha beta gamma delta epsilon", "this text is under the licence alpha of beta"), "B": ("permission is granted to use zeta eta theta in any way",)}
+    terms = licenses.terms
+    r = random.Random(4)
+    pool = [w for t in notices.values() for n in t for w in terms(n)] + ["plain", "words", "here"]
+    texts = [None, "", "plain\n\n"] + ["\n".join(" ".join(r.choice(pool) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 5))) for _ in range(40)]
+    for k in range(20):
+        t = r.choice([n for ns in notices.values() for n in ns]).split()
+        cut = r.randrange(1, len(t))
+        texts.append("intro\n" + " ".join(t[:cut]) + "\n// " + " ".join(t[cut:]) + r.choice(["", " plain", "\nend"]))
+    rows = [(k, f"d{k}/{'LICENSE' if k % 7 == 0 else 'x.txt'}", t) for k, t in enumerate(texts)] + [(99, "d5/x.txt", texts[5])]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = sorted((x.doc_id, x.license, x.how, x.score) for x in licenses.scan(files, templates=notices).collect())
+
+    vocabulary = {w for ns in notices.values() for n in ns for w in terms(n)}
+    df = Counter(w for *_, t in rows for w in vocabulary & set(terms(t or "")))
+    weight = lambda w: math.log((len(rows) + 1) / (df[w] + 1)) + 1
+
+    def cosine(a, b):
+        x, y = Counter(a), Counter(b)
+        dot = sum(x[w] * y[w] * weight(w) ** 2 for w in x)
+        return dot / math.sqrt(sum((n * weight(w)) ** 2 for w, n in x.items()) * sum((n * weight(w)) ** 2 for w, n in y.items())) if x and y else 0
+
+    want = []
+    for i, path, t in rows:
+        lines_ = [x for x in map(terms, (t or "").split("\n")) if x]
+        runs = [[w for x in lines_[a:b] for w in x] for a in range(len(lines_)) for b in range(a + 1, len(lines_) + 1)]
+        scored = [(-round(c, 9), name) for run in runs for name, ns in notices.items() for n in ns if (c := cosine(run, terms(n))) >= 0.8]
+        best = min(scored, default=None)
+        want.append((i, best and best[1], best and ("file" if path.endswith("LICENSE") else "header"), best and round(-best[0], 6)))
+    assert [g[:3] for g in got] == sorted(w[:3] for w in want) or [(g, w) for g, w in zip(got, sorted(want, key=str), strict=True) if g[:3] != w[:3]] == []
+    by_id = {(w[0], w[1]): w[3] for w in want}
+    assert all(g[3] is None or abs(g[3] - by_id[g[0], g[1]]) < 1e-5 for g in got) and sum(g[1] is not None for g in got) > 15
 
 
 def test_licenses_wrapped_and_whole(spark):

@@ -20,7 +20,8 @@ L matches where some passage of a document is within ``min(rate * L, (L - q) //
 or exactly if it is shorter than ``2 * q``.
 
 Null and empty texts and items match nothing; null ids are kept.  Repeated documents and
-repeated items each give their rows.  Empty tables give an empty result.  Other columns are
+repeated items each give their rows.  Of passages at equal distances the first that is found counts.  Very long
+texts are searched whole, in stretches of a million characters and more.  Empty tables give an empty result.  Other columns are
 ignored.  The benchmark reaches every task in blocks of at most ``block_items`` items and
 ``block_chars`` characters, one pass over the documents for each block.
 """
@@ -262,8 +263,12 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, distance, end (in the normal text)."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    def scan(index: Index) -> DataFrame:
+    def scan(items: list[tuple[int | None, str]]) -> DataFrame:
+        # Executors hold the index of a block, the driver none.
+        shared = picked.sparkSession.sparkContext.broadcast(Index(items, rate, q, walks, sets, sample))
+
         def run(raw: list[str]) -> list[list]:
+            index = shared.value
             texts, out, at = [normal(t) for t in raw], [], 0
             while at < len(texts):
                 end, chars = at, 0
@@ -288,5 +293,5 @@ def contaminated(
         if held:
             yield held
 
-    parts = [scan(Index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate, q, walks, sets, sample)) for items in blocks()]
+    parts = [scan(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))) for items in blocks()]
     return reduce(DataFrame.union, parts) if parts else picked.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, end long")

@@ -14,7 +14,7 @@ all files is one row of that join.
 
 Nulls and empty texts have no licence of their own and may inherit; null paths inherit
 nothing.  Ties go to the first template in order of names, and among licence files of one
-directory to the highest score, then the first name.  Repeated rows give repeated results.
+directory to the highest score, then the first name.  Repeated rows give repeated results; very long texts are read whole.
 An empty table gives an empty result.  Other columns are ignored.
 """
 

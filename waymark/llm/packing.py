@@ -9,7 +9,7 @@ widened gap best, when they fill more of it.  A bucket wastes at most a bin or s
 size is bounded however large the table.
 
 Nulls: a null text is empty, and an empty text is one piece that holds the end id; null ids
-are kept.  Repeated rows are packed as often as they occur.  An empty table gives an empty
+are kept.  Repeated rows are packed as often as they occur; pieces of one length are interchangeable.  An empty table gives an empty
 result.  Other columns are ignored.
 
 ``tiktoken`` encodes with the vocabulary that the ``tokenizers`` file has, four times as

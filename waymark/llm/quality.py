@@ -8,7 +8,8 @@ labelled training rows, added up by Spark; only two rows of sums reach the drive
 Nulls and empty texts are scored like any text (their statistics are zero).  Labels that
 are null, or for documents that are absent, are ignored; a document labelled twice counts
 twice in training and is still scored once.  With no training rows of either class every
-score is the share of label 1 (0.5 if there are none at all).  Other columns are ignored.
+score is the share of label 1 (0.5 if there are none at all).  Repeated rows are scored alike, and train as
+often as they occur; very long texts are measured as a whole.  Other columns are ignored.
 """
 
 from __future__ import annotations

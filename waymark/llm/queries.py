@@ -17,10 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: a document lies in <source>/<id div 1000>/<id div 50>, and one of at most 300 characters is that folder's licence file."""
+    """Documents have no paths: a document lies in <source>/<id div 1000>/<id div 50>, and the first of each fifty ids is that folder's licence file."""
     docs = _table(spark, sf_dir, "documents")
     folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 50).cast("string"))
-    name = F.when(F.char_length("text") <= 300, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    name = F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
     return licenses.scan(docs.withColumn("path", F.concat_ws("/", folder, name)))
 
 
@@ -36,6 +36,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", *rules.COUNTS, "base_failed", "kept", "distance2", "level")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op5's base rules use."""
+    counts = rules.statistics(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    return counts.select("doc_id", *rules.COUNTS)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -65,6 +71,7 @@ QUERIES = {
         op3_simhash_near_dedup,
         op4_benchmark_decontamination,
         op5_quality_rules,
+        quality_counts,
         op6_html_extraction,
         op7_best_fit_packing,
         op8_language_id,
@@ -73,8 +80,29 @@ QUERIES = {
     )
 }
 
-#: Where SQL can state the result: the window test of op1 over positions of words.
+#: Letters beyond ASCII in the documents, for SQL whose edit distance counts bytes: each becomes one byte that no text holds.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßáâäçèéêíîñóöúü"
+_BYTES = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 32)][: len(_LETTERS)])
+
+#: Where SQL can state the result: windows over positions of words, and pairs of lines.
 ORACLES = {
+    "quality_counts": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i AS s, array_to_string(ws[i : i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) AS i FROM w)),
+twice AS (SELECT doc_id, s FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + 8)) AS i FROM twice) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w), dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id""",
+    "op10_line_dedup": rf"""
+WITH o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+x AS (SELECT *, regexp_matches(line, '[^ 	-]') AS full_ FROM o),
+f AS (SELECT line, min({{'d': doc_id, 'k': k}}) AS first, length(line) AS n, translate(line, '{_LETTERS}', {_BYTES}) AS s FROM x WHERE full_ GROUP BY line),
+p AS (SELECT a.line AS a, b.line AS b FROM f a JOIN f b ON a.first < b.first AND b.n BETWEEN a.n - 2 AND a.n + 2 AND a.n >= 16 AND b.n >= 16 AND levenshtein(a.s, b.s) <= 2),
+links AS (SELECT line, count(*) AS n, bool_or(later) AS later FROM (SELECT a AS line, false AS later FROM p UNION ALL SELECT b, true FROM p) GROUP BY line),
+y AS (SELECT x.*, x.full_ AND NOT (f.first = {{'d': x.doc_id, 'k': x.k}} AND NOT coalesce(links.later, false)) AS gone, CASE WHEN f.first = {{'d': x.doc_id, 'k': x.k}} THEN coalesce(links.n, 0) ELSE 0 END AS links FROM x LEFT JOIN f ON x.full_ AND f.line = x.line LEFT JOIN links ON links.line = f.line),
+z AS (SELECT doc_id, count(*) FILTER (WHERE full_) AS n, count(*) FILTER (WHERE gone) AS r, sum(links) AS l, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS t FROM y GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, coalesce(l, 0)::BIGINT AS n_links, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN z ON z.doc_id = d.doc_id""",
     "op1_substring_dedup": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),

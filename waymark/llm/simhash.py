@@ -1,8 +1,9 @@
 """SimHash near-duplicates by BK-trees over shards of fingerprints.
 
-Fingerprints within ``radius`` bits agree on at least one of ``radius + 1`` blocks of bits
+Fingerprints within ``radius`` bits agree on all but ``radius`` of any number of blocks of bits
 (there cannot be more differing blocks than differing bits), so the distinct fingerprints
-are dealt into one shard for each block and block value.  A shard's tree is a BK-tree:
+are dealt into one shard for each choice of that many blocks and their value.  Up to some 100
+million fingerprints there are ``radius + 1`` blocks, beyond that more, so that shards stay small.  A shard's tree is a BK-tree:
 children are keyed by their integer Hamming distance to the parent, and a search follows
 only edges whose key is within the radius of the query's distance.  A shard with more than
 ``tree_size`` fingerprints is cut into several trees; its fingerprints go to each of them as
@@ -15,13 +16,14 @@ never emit all pairs.  Identical fingerprints are one node from the start.
 
 Nulls and texts without words have fingerprint zero and link like any other.  Null ids
 take part, but a component is named by its least non-null id (null if it has none).
-Repeated rows give repeated results.  An empty table gives an empty result.  Other columns
+Repeated rows give repeated results; very long texts are hashed as a whole.  An empty table gives an empty result.  Other columns
 are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -159,13 +161,32 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield run(table["task"].to_numpy(), table["fp"].to_numpy(), table["role"].to_numpy())
 
 
-def link_fingerprints(fps: DataFrame, *, radius: int = 3, tree_size: int = 2048) -> DataFrame:
-    """Spanning links (a, b) of the distinct fingerprints in column fp (long) that lie within ``radius`` bits."""
-    blocks = radius + 1
-    width = 64 // blocks
-    spare = 64 - width * blocks
+def _masks(radius: int, blocks: int) -> list[int]:
+    """Bits of every choice of ``blocks - radius`` of the blocks: within the radius, two fingerprints agree on one choice."""
+    width, spare = divmod(64, blocks)
     cuts = [(k * width + min(k, spare), width + (k < spare)) for k in range(blocks)]
-    keys = F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in cuts])
+    block = [((1 << w) - 1) << s for s, w in cuts]
+    return [sum(chosen) for chosen in combinations(block, blocks - radius)]
+
+
+def blocks_for(n: int, radius: int, tree_size: int) -> int:
+    """Number of blocks whose choices keep the expected shard of ``n`` fingerprints below a tree."""
+    for extra in range(1, 4):
+        bits = 64 * extra // (radius + extra)
+        if n <= tree_size << bits:
+            return radius + extra
+    return radius + 4
+
+
+def link_fingerprints(fps: DataFrame, *, radius: int = 3, tree_size: int = 2048, blocks: int | None = None) -> DataFrame:
+    """Spanning links (a, b) of the distinct fingerprints in column fp (long) that lie within ``radius`` bits.
+
+    ``blocks`` is chosen by the number of fingerprints if it is not given: links are the same, shards smaller.
+    """
+    if blocks is None:
+        blocks = blocks_for(fps.count(), radius, tree_size)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in _masks(radius, blocks)])
     placed = fps.select("fp", F.posexplode(keys).alias("block", "key"))
     sizes = placed.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / tree_size).cast("int"))
     sized = placed.join(sizes, ["block", "key"])
