@@ -53,10 +53,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all tables made in this session that are left: results that read them must have been written by then."""
-    for path in spark.__dict__.pop("_waymark_tables", ()):
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete all tables made in this session that are left, but that of ``keep``: results that read them must have been written by then."""
+    tables = spark.__dict__.get("_waymark_tables", set())
+    for path in tables - {getattr(keep, "_waymark_path", None)}:
         _delete(spark, path)
+        tables.discard(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
