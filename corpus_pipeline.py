@@ -1,8 +1,11 @@
 """A corpus pipeline: five stages from raw documents to packed sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the
-columns of documents.  Stages are written and read again in between.  Documents with a null
-id pass the stages that decide by id.
+columns of documents.  Stages are written and read again in between, and what a stage wrote on
+its way is deleted then.  Documents with a null id pass the stages that decide by id, equal rows
+of one id share its fate, other columns are dropped.  Null and empty texts go with language
+ID; a document whose lines all go stays, with what is left, and as many such documents as there are
+are one group of near copies.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, language, lines, packing, simhash
-from waymark.llm.scratch import materialize
+from waymark.llm.scratch import materialize, sweep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -61,7 +64,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: SQL cannot express the classifier, the embedding or the packing; tests compare with a brute-force version.
+#: SQL cannot express the classifier, the fingerprints or the packing; a test compares all stages with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -71,4 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, "pipeline-" + name.lower().replace(" ", "-"))
+            sweep(spark, keep=docs)
     return docs
