@@ -530,3 +530,35 @@ def test_extra_attributes(spark):
     extra = {"way": F.col("edge_id"), "kind": F.when(F.col("edge_id") == 2, "two")}
     got = {r.edge_id: r.attrs for r in routes.pieces(on_path, shaped, speeds, extra).collect()}
     assert got[2] == {"highway": "residential", "way": "2", "kind": "two"} and got[1] == {"highway": "residential", "way": "1"}
+
+
+def test_tiles_config_islands_and_log(spark, tmp_path):
+    from dataclasses import replace
+
+    from waymark.log import set_log_action
+    from waymark.sources import geojson
+    from waymark.storage import Config
+
+    n = network(spark)
+    osm.write_tiles(n, f"{tmp_path}/tiles", zoom=14)
+    whole = osm.tile_tables(n)
+    tiles = sorted(r.tile for r in whole["vertices"].select("tile").distinct().collect())
+    back = osm.read_tiles(spark, f"{tmp_path}/tiles", tiles[0], tiles[-1])
+    assert {k: back[k].count() for k in back} == {k: whole[k].count() for k in whole}
+    assert osm.read_tiles(spark, f"{tmp_path}/tiles", tiles[0], tiles[0])["vertices"].where(F.col("tile") != tiles[0]).count() == 0
+    assert "PushedFilters: [IsNotNull(tile)" in back["vertices"]._jdf.queryExecution().toString()
+    near = spark.createDataFrame([P[0]], "lon double, lat double")
+    assert {r.tile for r in osm.tiles_around(near, 50.0).collect()} & set(tiles)
+    geojson.write_features(geojson.network_features(n.vertices, graph.full_shape(n.edges, n.vertices), preprocess=lambda a: F.map_filter(a, lambda k, _: k == "none")), f"{tmp_path}/features")
+    assert spark.read.text(f"{tmp_path}/features").count() == 7 and spark.read.text(f"{tmp_path}/features").where("value like '%highway%'").count() == 0
+
+    assert Config.of(n) == Config() and Config.of(replace(n, meta=Config(12, 64).meta(spark))) == Config(12, 64)
+    heard = []
+    set_log_action(lambda *m: heard.append(m))
+    try:
+        first = {r.edge_id: r.size for r in routing.island_table(n, CAR, f"{tmp_path}/islands", max_size=16).collect()}
+        count = len(heard)
+        again = {r.edge_id: r.size for r in routing.island_table(n, CAR, f"{tmp_path}/islands", max_size=16).collect()}
+    finally:
+        set_log_action(None)
+    assert first == again and set(first) == {1, 2, 3} and count == len(heard) and any("islands of car" in m[2] for m in heard)

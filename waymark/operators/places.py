@@ -38,6 +38,13 @@ def from_edges(queries: DataFrame, edges: DataFrame, profile: Profile | None = N
     return j.select("query_id", "edge_id", "offset", error.alias("error"))
 
 
+def vertices_of(places: DataFrame, edges: DataFrame) -> DataFrame:
+    """Places (query_id, edge_id, offset) with ``vertex_id``, the end of the edge they lie on (null in between), and ``factor``, their share of the edge."""
+    j = places.join(edges.select("edge_id", "tail", "head"), "edge_id", "left")
+    vertex = F.when(F.col("offset") == 0, F.col("tail")).when(F.col("offset") == geo.OFFSET_MAX, F.col("head"))
+    return j.select(*places.columns, vertex.alias("vertex_id"), (F.col("offset") / geo.OFFSET_MAX).alias("factor"))
+
+
 def location(points: Column, offset: Column) -> Column:
     """Point of a place on its edge's line (tail, shape, head)."""
     return geo.along(points, offset / geo.OFFSET_MAX)

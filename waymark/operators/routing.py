@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import OFFSET_MAX
-from waymark.storage import materialize
+from waymark.log import LOGGER
+from waymark.operators.profiles import Profile
+from waymark.storage import Network, exists, materialize
 
 #: Graphs up to this many arcs are sent to every executor (48 bytes an arc, 24 a vertex), and so are as many targets of a matrix.
 BROADCAST_ARCS = 5_000_000
@@ -194,6 +196,7 @@ def compact(arcs: DataFrame, turns: DataFrame | None = None):
         return None
     rows = None if turns is None else turns.select("vertex_id", "from_edge", "to_edge", *[c for c in ("prefix", "penalty") if c in turns.columns]).toArrow()
     graph = Compact(arcs.select("arc_id", "from_v", "to_v", "cost").toArrow(), rows)
+    LOGGER.debug("broadcast of %s arcs", len(graph.arc))
     return arcs.sparkSession.sparkContext.broadcast(graph)
 
 
@@ -268,6 +271,34 @@ def vertex_costs(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | Non
     return _spread(sources, "source").mapInArrow(run, "source long, vertex_id long, cost long")
 
 
+def trace(tree: DataFrame, targets: DataFrame) -> DataFrame:
+    """Paths in trees of :func:`arc_tree` to arcs (source, arc_id): source, arc_id, path from the source's first arc; null if the tree does not reach it.
+
+    A tree of one source is at most as large as the graph, and its arcs are followed back in one task.
+    """
+
+    def run(t: pa.Table, asked: pa.Table) -> pa.Table:
+        before = dict(zip(t["arc_id"].to_pylist(), t["prev_arc"].to_pylist(), strict=True))
+        paths = []
+        for arc in asked["arc_id"].to_pylist():
+            path, at = [], arc if arc in before else None
+            while at is not None:
+                path.append(at)
+                at = before[at]
+            paths.append(path[::-1] or None)
+        return pa.table({"source": asked["source"], "arc_id": asked["arc_id"], "path": pa.array(paths, pa.list_(pa.field("element", pa.int64())))})
+
+    known = tree.select("source", "arc_id", "prev_arc").join(targets.select("source").distinct(), "source", "left_semi")
+    asked = targets.select(F.col("source").cast("long"), F.col("arc_id").cast("long"))
+    return known.groupBy("source").cogroup(asked.groupBy("source")).applyInArrow(run, "source long, arc_id long, path array<long>")
+
+
+def worst_targets(matrix: DataFrame) -> DataFrame:
+    """The dearest target of each source of a :func:`place_matrix` that can be reached, of equals the least: source_id, target_id, cost."""
+    best = matrix.where("cost is not null").groupBy("source_id").agg(F.min(F.struct((-F.col("cost")).alias("c"), "target_id")).alias("s"))
+    return best.select("source_id", "s.target_id", (-F.col("s.c")).alias("cost"))
+
+
 class Places:
     """Places on edges as ends of searches."""
 
@@ -470,6 +501,18 @@ def islands(arcs: DataFrame, forbidden: DataFrame | None = None, *, max_size: in
     return colored_islands(arcs, forbidden, max_size=max_size)
 
 
+def island_table(network: Network, profile: Profile, path: str, *, max_size: int = 1024) -> DataFrame:
+    """The islands of a profile in one version of a network, found once and kept under ``path``."""
+    from waymark.operators.graph import cost_arcs, forbidden_turns
+
+    spark = network.edges.sparkSession
+    folder = f"{path}/v={network.version}/{profile.name}-{max_size}"
+    if not exists(spark, f"{folder}/_SUCCESS"):
+        LOGGER.info("islands of %s, version %s", profile.name, network.version)
+        islands(cost_arcs(network.edges, profile), forbidden_turns(network.turn_costs, profile), max_size=max_size).write.mode("overwrite").parquet(folder)
+    return spark.read.schema("edge_id long, size long").parquet(folder)
+
+
 def strong_parts(g: Compact) -> pd.DataFrame:
     """Size of the strongly connected part of every edge, in one pass over a graph in memory (Tarjan's lowpoints, without recursion)."""
     following: dict[int, list[int]] = {}

@@ -296,6 +296,55 @@ def town_boxes(spark, sf_dir):
     return geojson.box_features(n.vertices, _shaped(n), boxes).groupBy("query_id", "kind").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
+def town_traces(spark, sf_dir):
+    """Arcs on the way from vertex 0 to every hundredth arc of the tree: how many, and their costs."""
+    n = town(spark, sf_dir)
+    arcs = graph.cost_arcs(n.edges, DRIVER)
+    tree = routing.arc_tree(arcs, spark.createDataFrame([(0,)], "source long"), graph.forbidden_turns(n.turn_costs, DRIVER))
+    asked = arcs.where("arc_id % 100 = 0").select(F.lit(0).cast("long").alias("source"), "arc_id")
+    found = routing.trace(tree, asked).where("path is not null")
+    steps = found.select("arc_id", F.explode("path").alias("on")).join(arcs.select(F.col("arc_id").alias("on"), "cost"), "on")
+    return steps.groupBy("arc_id").agg(F.count("*").alias("n_arcs"), F.sum("cost").alias("own_costs"))
+
+
+def town_worst(spark, sf_dir):
+    """The dearest end for each of the first places."""
+    n, arcs, od = _asked(spark, sf_dir)
+    a = od.where("query_id % 10 = 0").select(F.col("query_id").alias("id"), F.col("from_edge").alias("edge"), F.col("from_offset").alias("offset"))
+    b = od.select(F.col("query_id").alias("id"), F.col("to_edge").alias("edge"), F.col("to_offset").alias("offset"))
+    return routing.worst_targets(routing.place_matrix(arcs, a, b, graph.forbidden_turns(n.turn_costs, DRIVER))).select("source_id", "target_id", F.round("cost", 2).alias("cost"))
+
+
+def town_ends(spark, sf_dir):
+    """Which of the places that the events name are ends of their edges."""
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("query_id"), (F.col("user_id") * 3).alias("edge_id"), F.when(F.col("event_id") % 3 == 0, 0).when(F.col("event_id") % 3 == 1, 65535).otherwise(77).alias("offset"))
+    return places.vertices_of(asked, town(spark, sf_dir).edges).select("query_id", F.coalesce("vertex_id", F.lit(-1)).alias("vertex_id"), F.round("factor", 6).alias("factor"))
+
+
+def town_streets(spark, sf_dir):
+    """Pieces of routes by the name that their metas carry."""
+    rows = _built(spark, sf_dir).select(F.explode("meta").alias("m"))
+    return rows.groupBy(routes.attribute(F.col("m.attrs"), "name").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("m.metres"), 2).alias("metres"))
+
+
+def town_complete(spark, sf_dir):
+    """Import of ways with inner points to the north of 51.21 only, and of members of cycle routes under a name of their own."""
+    mark = osm.MemberMark(lambda tags: tags["route"] == "bicycle", lambda tags: F.concat(F.lit("cycle:"), tags["network"]))
+    take = osm.TagsFilter(complete=lambda tags, points: (F.size(points) > 2) & F.forall(points, lambda p: p["lat"] > 51.21), members=(mark,))
+    e = osm.import_network(*_osm(spark, sf_dir), filters=take).edges
+    return e.select("way", F.size("shape").alias("n_shape"), F.coalesce(F.col("attrs")["cycle:lcn"], F.lit("no")).alias("cycle"))
+
+
+def town_tile_tables(spark, sf_dir):
+    """Rows of the tables of every tile that stands alone, and its features."""
+    tables = osm.tile_tables(town(spark, sf_dir))
+    counts = None
+    for name, table in {**tables, "features": geojson.tile_features(tables)}.items():
+        part = table.groupBy("tile").agg(F.count("*").alias("n")).withColumn("table", F.lit(name))
+        counts = part if counts is None else counts.unionByName(part)
+    return counts.select("tile", "table", "n")
+
+
 def town_branches(spark, sf_dir):
     """Arcs that leave the routes' vertices."""
     n, _, found = _paths(spark, sf_dir)
@@ -403,7 +452,7 @@ def town_footways(spark, sf_dir):
     return arcs.select("arc_id", F.floor(F.col("length_cm") / F.col("speed")).cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, route_instructions, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_boxes, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
+QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, route_instructions, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
 
 _TILE = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * {n})::BIGINT * {n} + floor(({x} + 180) / 360 * {n})::BIGINT"
 
@@ -515,5 +564,16 @@ s AS (SELECT x.a AS edge_id, count(*)::BIGINT AS size FROM r x JOIN r y ON x.a =
 c AS (SELECT query_id, lon, lat, 150 / 111194.92664455873 AS dy, 100 / 111194.92664455873 AS ey, 150 / (111194.92664455873 * cos(radians(lat))) AS dx FROM b),
 h AS (SELECT query_id, vertex_id FROM c JOIN v ON v.lon > c.lon - dx AND v.lon <= c.lon + dx AND v.lat > c.lat - dy AND v.lat <= greatest(c.lat + dy, c.lat + 0.001 + ey))
 SELECT query_id, 'vertex' AS kind, count(*)::BIGINT AS n, sum(vertex_id)::BIGINT AS ids FROM h GROUP BY query_id UNION ALL SELECT query_id, 'edge', count(*)::BIGINT, sum(edge_id)::BIGINT FROM (SELECT DISTINCT query_id, edge_id FROM h JOIN e ON vertex_id IN (tail, head)) GROUP BY query_id""",
+    "town_traces": TOWN + """, r(k, c, o, n) USING KEY (k) AS (SELECT arc_id::BIGINT, cost::BIGINT, cost::BIGINT, 1::BIGINT FROM d WHERE from_v = 0 UNION
+ (SELECT t.b, min(r.c + t.step)::BIGINT, arg_min(r.o + t.own, r.c + t.step)::BIGINT, arg_min(r.n + 1, r.c + t.step)::BIGINT FROM r JOIN t ON t.a = r.k LEFT JOIN recurring.r q ON q.k = t.b WHERE q.c IS NULL OR r.c + t.step < q.c GROUP BY t.b)) SELECT k AS arc_id, n AS n_arcs, o AS own_costs FROM r WHERE k % 100 = 0""",
+    "town_worst": TOWN + _ALL + "SELECT q AS source_id, target AS target_id, round(b.c, 2) AS cost FROM ended WHERE q % 10 = 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY b.c DESC, target) = 1",
+    "town_ends": TOWN + """, x AS (SELECT event_id AS query_id, user_id * 3 AS edge_id, CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 65535 ELSE 77 END AS off FROM events) SELECT query_id, coalesce(CASE off WHEN 0 THEN tail WHEN 65535 THEN head END, -1) AS vertex_id, round(off / 65535.0::DOUBLE, 6) AS factor FROM x LEFT JOIN e ON e.edge_id = x.edge_id""",
+    "town_streets": TOWN + _ONE + _WALK + "SELECT e.name, count(*)::BIGINT AS n, round(sum(m), 2) AS metres FROM part JOIN e ON e.edge_id = part.edge_id GROUP BY e.name",
+    "town_complete": TOWN + "SELECT edge_id AS way, (len(pts) - 2)::INT AS n_shape, CASE WHEN edge_id % 10 = 1 THEN 'yes' ELSE 'no' END AS cycle FROM e WHERE edge_id % 19 <> 7 AND len(pts) > 2 AND list_min(list_transform(pts, lambda x: x.lat)) > 51.21",
+    "town_tile_tables": TOWN + f""", x AS (SELECT vertex_id, {_TILE.format(x='lon', y='lat', n=16384)} AS tile FROM v), y AS (SELECT edge_id, a.tile AS t1, b.tile AS t2 FROM e JOIN x a ON a.vertex_id = tail JOIN x b ON b.vertex_id = head),
+tc AS (SELECT a.head AS vertex_id FROM e a JOIN e b ON b.tail = a.head WHERE a.edge_id % 2 = 0 AND b.edge_id % 2 = 1 AND a.head % 7 = 3 OR a.edge_id % 2 = 1 AND b.edge_id % 2 = 0 AND a.head % 11 = 4 OR a.edge_id % 2 = 0 AND b.edge_id % 2 = 0 AND a.head % 5 = 2),
+c AS (SELECT tile, 'vertices' AS t FROM x UNION ALL SELECT t1, 'edges' FROM y WHERE t1 = t2 UNION ALL SELECT unnest([t1, t2]), 'crossings' FROM y WHERE t1 <> t2 UNION ALL SELECT tile, 'turns' FROM tc JOIN x USING (vertex_id)
+  UNION ALL SELECT tile, 'features' FROM x UNION ALL SELECT t1, 'features' FROM y WHERE t1 = t2 UNION ALL SELECT tile, 'features' FROM tc JOIN x USING (vertex_id))
+SELECT tile, t AS "table", count(*)::BIGINT AS n FROM c GROUP BY ALL""",
 }
 ORACLES["town_rounds"] = ORACLES["town_tree"]

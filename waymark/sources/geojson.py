@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,11 @@ def _over(own: Column, more: Column) -> Column:
     return F.map_concat(F.map_filter(F.coalesce(own, F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(more, k)), more)
 
 
-def network_features(vertices: DataFrame, shaped_edges: DataFrame, factors: DataFrame | None = None, islands: DataFrame | None = None) -> DataFrame:
-    """A point for every vertex and a line for every edge, once each; ``factors``: edge_id, properties."""
+def network_features(vertices: DataFrame, shaped_edges: DataFrame, factors: DataFrame | None = None, islands: DataFrame | None = None, preprocess: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A point for every vertex and a line for every edge, once each; ``factors``: edge_id, properties; ``preprocess``: attributes -> attributes."""
     v = vertices.dropDuplicates(["vertex_id"]).select(F.lit("vertex").alias("kind"), F.col("vertex_id").alias("id"), point(F.col("lon"), F.col("lat"), F.create_map(F.lit("_vertex_id"), F.col("vertex_id").cast("string"))).alias("feature"))
     e = shaped_edges.dropDuplicates(["edge_id"])
-    own = _over(F.col("attrs"), F.create_map(F.lit("_edge_id"), F.col("edge_id").cast("string")))
+    own = _over(F.col("attrs") if preprocess is None else preprocess(F.col("attrs")), F.create_map(F.lit("_edge_id"), F.col("edge_id").cast("string")))
     if factors is not None:
         e = e.join(factors.select("edge_id", "properties"), "edge_id", "left")
         own = _over(own, F.col("properties"))
@@ -48,10 +50,25 @@ def turn_cost_features(turn_costs: DataFrame, vertices: DataFrame) -> DataFrame:
     return at.select("vertex_id", point(F.col("lon"), F.col("lat"), F.create_map(F.lit("from_edge"), text("from_edge"), F.lit("to_edge"), text("to_edge"), F.lit("cost"), text("cost"))).alias("feature"))
 
 
-def collection(features: DataFrame, by: str | None = None, column: str = "feature") -> DataFrame:
-    """One FeatureCollection text for each value of ``by``, or one in all; meant for boxes and routes, whose size is bounded."""
+def tile_features(tables: dict[str, DataFrame]) -> DataFrame:
+    """Features of tiles that stand alone (``osm.tile_tables``): vertices, edges that have both ends there, and turn costs; tile, kind, id, feature."""
+    from waymark.operators.graph import full_shape
+
+    v, e = tables["vertices"], full_shape(tables["edges"], tables["vertices"])
+    tiles = v.select("tile", F.lit("vertex").alias("kind"), F.col("vertex_id").alias("id")).unionByName(e.select("tile", F.lit("edge").alias("kind"), F.col("edge_id").alias("id")))
+    turns = turn_cost_features(tables["turns"], v).join(v.select("vertex_id", "tile"), "vertex_id")
+    return tiles.join(network_features(v, e), ["kind", "id"]).select("tile", "kind", "id", "feature").unionByName(turns.select("tile", F.lit("turn").alias("kind"), F.col("vertex_id").alias("id"), "feature"))
+
+
+def collection(features: DataFrame, by: str, column: str = "feature") -> DataFrame:
+    """One FeatureCollection text for each value of ``by``; meant for boxes, tiles and routes, whose size is bounded."""
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list(column)), ","), F.lit("]}")).alias("geojson")
-    return features.groupBy(*([by] if by else [])).agg(text)
+    return features.groupBy(by).agg(text)
+
+
+def write_features(features: DataFrame, path: str, column: str = "feature") -> None:
+    """A feature a line, in as many files as there are partitions: for networks of any size."""
+    features.select(column).write.mode("errorifexists").text(path)
 
 
 def route_features(routes: DataFrame) -> DataFrame:

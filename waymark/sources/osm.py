@@ -8,11 +8,12 @@ reading the binary exchange format is left to other tools.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import line_length, tile_id
+from waymark.functions.geo import box_around, line_length, tile_id, tile_range
 from waymark.storage import Network
 
 # Fixed values of turn restrictions: those that forbid, those that oblige, and vehicles.
@@ -26,14 +27,44 @@ def routable(tags: Column) -> Column:
     return F.coalesce(tags["highway"].isNotNull() | (tags["route"] == "ferry"), F.lit(False))
 
 
+@dataclass(frozen=True)
+class TagsFilter:
+    """What an import takes of ways, and how relations mark their members.
+
+    ``keep``: tags -> boolean.  ``complete``: tags and points (lon, lat) -> boolean, for decisions that need the whole
+    way.  ``members``: marks that relations put on their member ways.
+    """
+
+    keep: Callable[[Column], Column] = routable
+    complete: Callable[[Column, Column], Column] | None = None
+    members: tuple[MemberMark, ...] = ()
+
+
+@dataclass(frozen=True)
+class MemberMark:
+    """Member ways of the relations that ``of`` selects by their tags get the tag ``key`` (of the relation's tags) with ``value``."""
+
+    of: Callable[[Column], Column]
+    key: Callable[[Column], Column]
+    value: str = "yes"
+
+    def apply(self, ways: DataFrame, relations: DataFrame) -> DataFrame:
+        named = relations.where(F.coalesce(self.of(F.col("tags")), F.lit(False)))
+        members = named.select(self.key(F.col("tags")).alias("k"), F.explode("members").alias("m")).where("m.type = 'way' and k is not null")
+        marks = members.groupBy(F.col("m.id").alias("id")).agg(F.array_sort(F.collect_set("k")).alias("ks"))
+        extra = F.map_from_arrays("ks", F.transform("ks", lambda _: F.lit(self.value)))
+        base = F.map_filter("tags", lambda k, _: ~F.array_contains("ks", k))
+        return ways.join(marks, "id", "left").withColumn("tags", F.when(F.col("ks").isNotNull(), F.map_concat(base, extra)).otherwise(F.col("tags"))).drop("ks")
+
+
+#: Members of bicycle routes get ``_cycle_network:network:<n>`` = ``"yes   "`` (the blanks belong to the value).
+CYCLE_NETWORKS = MemberMark(
+    lambda tags: (tags["type"] == "route") & (tags["route"] == "bicycle") & tags["network"].isNotNull(), lambda tags: F.concat(F.lit("_cycle_network:network:"), tags["network"]), "yes   "
+)
+
+
 def cycle_networks(ways: DataFrame, relations: DataFrame) -> DataFrame:
-    """Ways that are members of a bicycle route get ``_cycle_network:network:<n>`` = ``"yes   "`` (the blanks belong to the value)."""
-    named = relations.where((F.col("tags")["type"] == "route") & (F.col("tags")["route"] == "bicycle") & F.col("tags")["network"].isNotNull())
-    members = named.select(F.concat(F.lit("_cycle_network:network:"), F.col("tags")["network"]).alias("k"), F.explode("members").alias("m")).where("m.type = 'way'")
-    marks = members.groupBy(F.col("m.id").alias("id")).agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    extra = F.map_from_arrays("ks", F.transform("ks", lambda _: F.lit("yes   ")))
-    base = F.map_filter("tags", lambda k, _: ~F.array_contains("ks", k))
-    return ways.join(marks, "id", "left").withColumn("tags", F.when(F.col("ks").isNotNull(), F.map_concat(base, extra)).otherwise(F.col("tags"))).drop("ks")
+    return CYCLE_NETWORKS.apply(ways, relations)
 
 
 def with_coordinates(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -71,7 +102,7 @@ def import_network(
     ways: DataFrame,
     relations: DataFrame | None = None,
     *,
-    keep: Callable[[Column], Column] = routable,
+    filters: TagsFilter = TagsFilter(members=(CYCLE_NETWORKS,)),  # noqa: B008
     zoom: int = 14,
     strict: bool = False,
 ) -> Network:
@@ -81,7 +112,12 @@ def import_network(
     Segments that end at a node that is not there have no place and are left out, as at the edge of an extract: :func:`missing_ends`
     lists them, and with ``strict`` they are an error.
     """
-    kept = (ways if relations is None else cycle_networks(ways, relations)).where(keep(F.col("tags")))
+    kept = ways
+    for mark in filters.members if relations is not None else ():
+        kept = mark.apply(kept, relations)
+    kept = kept.where(filters.keep(F.col("tags")))
+    if filters.complete is not None:
+        kept = with_coordinates(kept, nodes).where(F.coalesce(filters.complete(F.col("tags"), F.col("points")), F.lit(False))).drop("points")
     parts = segments(kept)
     at = nodes.select("id", "lon", "lat")
     if strict and not missing_ends(nodes, kept).isEmpty():
@@ -213,6 +249,36 @@ def split_tile(network: Network, zoom: int = 14) -> tuple[DataFrame, DataFrame]:
     return inside, halves
 
 
+def tile_tables(network: Network, zoom: int = 14) -> dict[str, DataFrame]:
+    """A network cut into tiles that stand alone: vertices, edges inside a tile, crossings (in both tiles) and turn costs, each with ``tile``.
+
+    Edges of an import have their global ids with them, by which crossings and restrictions of different tiles find each other.
+    """
+    tiled = network.vertices.withColumn("tile", tile_id(F.col("lon"), F.col("lat"), zoom))
+    edges = network.edges
+    if {"way", "first_k", "last_k"} <= set(edges.columns):
+        edges = edges.withColumn("global_id", global_id(F.col("way"), F.col("first_k"), F.col("last_k")))
+    inside, halves = split_tile(replace(network, edges=edges), zoom)
+    turns = network.turn_costs.join(tiled.select("vertex_id", "tile"), "vertex_id")
+    return {"vertices": tiled, "edges": inside, "crossings": halves, "turns": turns}
+
+
+def write_tiles(network: Network, path: str, zoom: int = 14) -> None:
+    """The tables of :func:`tile_tables`, each in the order of tiles, so that a reader of some tiles skips the rest by Parquet's statistics."""
+    for name, table in tile_tables(network, zoom).items():
+        table.repartitionByRange("tile").sortWithinPartitions("tile").write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def read_tiles(spark: SparkSession, path: str, low: int, high: int) -> dict[str, DataFrame]:
+    """Tables of the tiles from ``low`` to ``high``; the bounds reach the scan."""
+    return {name: spark.read.parquet(f"{path}/{name}").where(F.col("tile").between(low, high)) for name in ("vertices", "edges", "crossings", "turns")}
+
+
+def tiles_around(places: DataFrame, metres: float, zoom: int = 14) -> DataFrame:
+    """Tiles (tile) that a search within ``metres`` of the places (lon, lat) may need: what a loader on demand reads."""
+    return places.select(F.explode(tile_range(box_around(F.col("lon"), F.col("lat"), F.lit(metres)), zoom)).alias("tile")).distinct()
+
+
 def merge_tiles(inside: DataFrame, halves: DataFrame) -> DataFrame:
     """Edges of all loaded tiles: inner ones, and crossings whose two halves are there, once each."""
     both = halves.groupBy("edge_id").agg(F.count_distinct("tile").alias("sides")).where("sides = 2").select("edge_id")

@@ -48,7 +48,7 @@ class Network:
     version: int = 0
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -61,7 +61,7 @@ def write_snapshot(network: Network, path: str) -> None:
     from waymark.functions.attributes import dictionary
 
     spark, folder = network.vertices.sparkSession, f"{path}/v={network.version}"
-    if _exists(spark, f"{folder}/meta/_SUCCESS"):
+    if exists(spark, f"{folder}/meta/_SUCCESS"):
         raise ValueError(f"version {network.version} is there already")
     for name in TABLES[:-1]:
         getattr(network, name).write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -71,12 +71,29 @@ def write_snapshot(network: Network, path: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str, version: int) -> Network:
-    if not _exists(spark, f"{path}/v={version}/meta/_SUCCESS"):
+    if not exists(spark, f"{path}/v={version}/meta/_SUCCESS"):
         raise ValueError(f"there is no complete version {version}")
     read = lambda name: spark.read.parquet(f"{path}/v={version}/{name}")
     return Network(*(read(name) for name in TABLES), version)
 
 
+@dataclass(frozen=True)
+class Config:
+    """Settings that belong to a network: the zoom of its tiles and the size below which parts count as islands."""
+
+    zoom: int = 14
+    max_island_size: int = 1024
+
+    def meta(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([("zoom", str(self.zoom)), ("max_island_size", str(self.max_island_size))], "key string, value string")
+
+    @classmethod
+    def of(cls, network: Network) -> Config:
+        """As the network's meta says, defaults elsewhere."""
+        rows = [] if network.meta is None else network.meta.where(F.col("key").isin("zoom", "max_island_size")).collect()
+        return cls(**{r["key"]: int(r["value"]) for r in rows})
+
+
 def read_types(spark: SparkSession, path: str, version: int) -> DataFrame:
     """The dictionary of attribute sets of a version: text, type_id."""
     return spark.read.parquet(f"{path}/v={version}/types")

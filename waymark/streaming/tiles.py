@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.sources.osm import merge_tiles
-from waymark.storage import _exists
+from waymark.storage import exists
 
 
 def load_tiles(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, *, files_per_trigger: int = 100):
@@ -24,7 +24,7 @@ def load_tiles(spark: SparkSession, source: str, schema: str, target: str, check
     def append(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         batch = batch.dropDuplicates(["tile", "edge_id"])
-        if _exists(session, f"{target}/tiles"):
+        if exists(session, f"{target}/tiles"):
             known = session.read.schema("tile long, epoch int").parquet(f"{target}/tiles").where(F.col("epoch") < epoch).select("tile").distinct()
             batch = batch.join(known, "tile", "left_anti").select(*batch.columns)
         edges = f"{target}/edges/epoch={epoch}"
