@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.arrow import derive
+from waymark.llm.arrow import derive, slices, small_batches
 from waymark.llm.scratch import materialize
 
 #: Notices by licence: fixed texts that licences ask to be put into files.
@@ -135,13 +135,14 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for b in batches:
+        for b in slices(batches):
             seen[""] += b.num_rows
             for t in b.column("text").to_pylist():
                 if t:
                     seen.update(vocabulary.intersection(terms(t)))
         yield pa.record_batch({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
+    small_batches(files.sparkSession)
     # At most one row for each term of the templates reaches the driver.
     counted = {r["term"]: r["n"] for r in picked.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     matcher = Matcher(templates, counted, counted.get("", 0))

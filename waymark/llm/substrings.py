@@ -285,13 +285,14 @@ def dedupe_substrings(
         kept = materialize(picked.withColumn("place", F.monotonically_increasing_id()), "substrings-rows")
         key = F.xxhash64("doc_id", "text", "place")
     # Partitions follow the input, not the session's number alone.
-    width = max(1, min(plan.groups, max(parallelism(spark), math.ceil(total / _TASK_BYTES))))
+    wide = max(parallelism(spark), math.ceil(total / _TASK_BYTES))
+    width, places = min(plan.groups, wide), min(plan.depth * plan.shards, wide)
     grouped = kept.select("doc_id", "text", F.pmod(key, F.lit(plan.groups)).cast("long").alias("gid")).repartition(width, "gid").groupBy("gid")
 
     sketches = grouped.applyInArrow(lambda t: _sketch(t, plan), "place int, gid long, cells binary, twice binary")
-    hot = materialize(sketches.groupBy("place").applyInArrow(lambda t: _merge_sketches(t, plan), "kind int, place int, gid long, bits binary"), "substrings-hot")
+    hot = materialize(sketches.repartition(places, "place").groupBy("place").applyInArrow(lambda t: _merge_sketches(t, plan), "kind int, place int, gid long, bits binary"), "substrings-hot")
     entries = grouped.cogroup(hot.repartition(width, "gid").groupBy("gid")).applyInArrow(lambda t, r: _entries(t, r, plan), "place int, gid long, hashes binary, docs binary, ids binary")
-    later = materialize(entries.groupBy("place").applyInArrow(_merge_entries, "kind int, place int, gid long, bits binary"), "substrings-later")
+    later = materialize(entries.repartition(min(plan.shards, wide), "place").groupBy("place").applyInArrow(_merge_entries, "kind int, place int, gid long, bits binary"), "substrings-later")
     replies = materialize(hot.union(later), "substrings-replies")
     drop(hot)
     drop(later)
