@@ -169,27 +169,6 @@ def edge_places(spark, sf_dir):
     return places.from_edges(asked, grid(spark, sf_dir).edges, BICYCLE)
 
 
-def place_locations(spark, sf_dir):
-    """Location, angle and direction to the east of a place on every edge."""
-    n = grid(spark, sf_dir)
-    e = graph.full_shape(n.edges, n.vertices).withColumn("offset", (F.col("edge_id") * 97 % 65536).cast("int"))
-    at = places.location(F.col("points"), F.col("offset"))
-    angle = places.angle(F.col("points"), F.col("offset"), geo.line_length(F.col("points")))
-    return e.select("edge_id", F.round(at["lon"], 6).alias("lon"), F.round(at["lat"], 6).alias("lat"), F.round(angle, 3).alias("angle"), places.direction(angle, F.lit(225.0), 60.0).alias("south_west"))
-
-
-def corner_turns(spark, sf_dir):
-    """Angle and kind of the turn from every right edge into the up edge at its end."""
-    n = grid(spark, sf_dir)
-    at = lambda name: n.vertices.select(F.col("vertex_id").alias(name), F.struct("lon", "lat").alias(f"{name}_at"))
-    r = n.edges.where("edge_id % 2 = 0").select("edge_id", F.col("tail").alias("a"), F.col("head").alias("b"))
-    u = n.edges.where("edge_id % 2 = 1").select(F.col("tail").alias("b"), F.col("head").alias("c"))
-    j = r.join(u, "b").join(at("a"), "a").join(at("b"), "b").join(at("c"), "c")
-    p = [F.col(f"{k}_at")[x] for k in "abc" for x in ("lon", "lat")]
-    angle = geo.turn_angle(*p)
-    return j.select("edge_id", F.round(angle, 3).alias("angle"), geo.relative_direction(angle).alias("kind"))
-
-
 def attribute_edits(spark, sf_dir):
     """Keys put, removed and kept, and sets compared."""
     attrs = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"), F.lit("note"), F.lit("x"))
@@ -246,7 +225,7 @@ def small_islands(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, sequence_tree, near_costs, box_search, box_vertices, box_tiles, corner_turns, attribute_edits, imported_edges, vertex_places, edge_places, place_locations, snap_all_vertices, snap_vertices, snap_edges, route_paths, small_islands)
+    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, sequence_tree, near_costs, box_search, box_vertices, box_tiles, attribute_edits, imported_edges, vertex_places, edge_places, snap_all_vertices, snap_vertices, snap_edges, route_paths, small_islands)
 }
 
 _DIST = "sqrt(pow(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), 2) + pow(radians({b}.lat - {a}.lat), 2)) * 6371000"
@@ -321,14 +300,11 @@ SELECT k AS arc_id, min(c) AS cost FROM r GROUP BY k""",
     "box_tiles": f"""WITH {_BOX}, n AS (SELECT *, {_TILE_X.format(x='lon - 0.0035')} AS x1, {_TILE_X.format(x='lon + 0.0035')} AS x2, {_TILE_Y.format(y='lat + 0.002')} AS y1, {_TILE_Y.format(y='lat - 0.002')} AS y2 FROM b),
 x AS (SELECT *, unnest(range(x1, x2 + 1)) AS x FROM n), y AS (SELECT *, unnest(range(y1, y2 + 1)) AS y FROM x)
 SELECT query_id, y * 16384 + x AS tile_id, {_TILE_Y.format(y='lat')} * 16384 + {_TILE_X.format(x='lon')} AS middle_tile FROM y""",
-    "corner_turns": _GRID + "SELECT r.edge_id, 270.0::DOUBLE AS angle, 'Left' AS kind FROM e r JOIN e u ON u.tail = r.head AND r.edge_id % 2 = 0 AND u.edge_id % 2 = 1",
     "attribute_edits": """SELECT c_custkey AS id, '[{"key":"name","value":"none"},{"key":"segment","value":"' || c_mktsegment || '"}]' AS removed, '{"segment":"' || c_mktsegment || '"}' AS kept, c_name = 'none' AS same, true AS same_but_name FROM customer""",
     "imported_edges": _GRID + f""", m AS (SELECT p.vertex_id AS tail, q.vertex_id AS head, p.gx, p.gy, q.vertex_id = p.vertex_id + 25 AS up, {_DIST.format(a='p', b='q')} AS metres FROM v p JOIN v q ON q.vertex_id = p.vertex_id + 25 OR q.vertex_id = p.vertex_id + 1 AND p.gx < 24)
 SELECT tail, head, CASE WHEN up THEN gx ELSE gy + 1000 END AS way, CASE WHEN up THEN 'residential' ELSE 'primary' END AS highway, 0 AS n_shape, round(floor(metres * 100) / 100)::BIGINT AS metres FROM m""",
     "vertex_places": _GRID + "SELECT from_v AS query_id, edge_id, CASE WHEN arc_id % 2 = 0 THEN 0 ELSE 65535 END AS \"offset\" FROM arc WHERE kind <> 'motorway'",
     "edge_places": _GRID + """SELECT event_id AS query_id, user_id * 3 AS edge_id, (event_id % 65536)::INT AS "offset", CASE WHEN e.edge_id IS NULL THEN 'edge not found' WHEN kind = 'motorway' THEN 'edge cannot be used in that direction' END AS error FROM events LEFT JOIN e ON e.edge_id = user_id * 3""",
-    "place_locations": _GRID + """SELECT edge_id, round(p.lon + (q.lon - p.lon) * ((edge_id * 97 % 65536) / 65535.0::DOUBLE), 6) AS lon, round(p.lat + (q.lat - p.lat) * ((edge_id * 97 % 65536) / 65535.0::DOUBLE), 6) AS lat,
- CASE WHEN edge_id % 2 = 0 THEN 90.0::DOUBLE ELSE 0.0::DOUBLE END AS angle, CASE WHEN edge_id % 2 = 0 THEN false ELSE false END AS south_west FROM e JOIN v p ON p.vertex_id = tail JOIN v q ON q.vertex_id = head""",
     "snap_all_vertices": _GRID + f""", p AS (SELECT event_id AS query_id, 4.7001::DOUBLE + (user_id % 23) * 0.00207::DOUBLE AS lon, 51.2001::DOUBLE + (event_id % 5) * 0.00117::DOUBLE AS lat FROM events)
 SELECT query_id, vertex_id, round({_DIST.format(a='p', b='v')}, 3) AS distance_m FROM p JOIN v ON abs(v.lon - p.lon) * 111194.92664455873 * cos(radians(p.lat)) < 100 AND abs(v.lat - p.lat) * 111194.92664455873 < 100""",
     "near_costs": _GRID + """, k AS (SELECT d.* FROM d JOIN v ON v.vertex_id = d.from_v, (SELECT lon AS x, lat AS y FROM v WHERE vertex_id = 0) WHERE abs(v.lon - x) * 111194.92664455873 * cos(radians(y)) < 2500 AND abs(v.lat - y) * 111194.92664455873 < 2500),

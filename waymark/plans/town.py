@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
+from waymark.functions import attributes, geo
 from waymark.operators import graph, instructions, mutate, places, routes, routing
 from waymark.operators.profiles import CAR, CAR_SPEEDS, PEDESTRIAN, Profile, _car_turns, prepare
 from waymark.plans.queries import KINDS, NEAR, metres_sql, snap_sql
@@ -345,6 +345,46 @@ def town_tile_tables(spark, sf_dir):
     return counts.select("tile", "table", "n")
 
 
+def town_directions(spark, sf_dir):
+    """Bearings and turns at the points of every edge's line, read as a route."""
+    points = _shaped(town(spark, sf_dir)).select(F.col("edge_id").alias("query_id"), F.posexplode("points").alias("shape_idx", "p")).select("query_id", "shape_idx", "p.lon", "p.lat")
+    d = routes.directions(points).where("turn is not null")
+    return d.select("query_id", "shape_idx", F.round("arriving", 4).alias("arriving"), F.round("departing", 4).alias("departing"), "turn")
+
+
+def town_sets(spark, sf_dir):
+    """Edges by the hash of their attribute set."""
+    e = town(spark, sf_dir).edges.groupBy(attributes.set_hash(F.col("attrs")).alias("h")).agg(F.count("*").alias("n_edges"), F.count_distinct(F.to_json(attributes.canonical(F.col("attrs")))).alias("n_sets"), F.min(F.col("attrs")["name"]).alias("name"), F.min(F.col("attrs")["highway"]).alias("highway"))
+    return e.select("name", "highway", "n_edges", "n_sets")
+
+
+def town_crossings(spark, sf_dir):
+    """Where the straight lines of the two edges that leave a vertex meet, and the point halfway along the first."""
+    e = _shaped(town(spark, sf_dir)).select("edge_id", "tail", F.col("points")[0].alias("p"), F.element_at("points", -1).alias("q"))
+    r = e.where("edge_id % 2 = 0").select("tail", F.col("p").alias("a"), F.col("q").alias("b"))
+    u = e.where("edge_id % 2 = 1").select("tail", F.col("p").alias("c"), F.col("q").alias("d"))
+    at = [F.col(f"{k}.{x}") for k in "abcd" for x in ("lon", "lat")]
+    j = r.join(u, "tail").withColumn("x", geo.intersection(*at)).withColumn("m", geo.position_along(*at[:4], F.lit(0.5)))
+    return j.select(F.col("tail").alias("vertex_id"), F.round("x.lon", 6).alias("lon"), F.round("x.lat", 6).alias("lat"), F.round("m.lon", 6).alias("half_lon"))
+
+
+def town_json_tiles(spark, sf_dir):
+    """Nodes and ways of tiles in JSON-LD, tags renamed by an ontology."""
+    nodes, ways, _ = _osm(spark, sf_dir)
+    uri = lambda kind, ref: F.concat(F.lit(f"http://www.openstreetmap.org/{kind}/"), ref.cast("string"))
+    texts = lambda *pairs: F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    n = nodes.select(F.pmod("id", F.lit(7)).alias("tile"), F.to_json(texts(("@id", uri("node", F.col("id"))), ("@type", F.lit("osm:Node")), ("geo:long", F.col("lon").cast("string")), ("geo:lat", F.col("lat").cast("string")), ("osm:barrier", F.col("tags")["barrier"]))).alias("item"))
+    refs = F.to_json(F.transform("nodes", lambda x: uri("node", x)))
+    w = ways.select(F.pmod("id", F.lit(7)).alias("tile"), F.to_json(texts(("@id", uri("way", F.col("id"))), ("@type", F.lit("osm:Way")), ("osm:hasNodes", F.lit("@@")), ("osm:highway", F.concat(F.lit("osm:"), F.col("tags")["highway"])), ("osm:name", F.col("tags")["name"]))).alias("item"), refs.alias("refs"))
+    w = w.select("tile", F.replace("item", F.lit('"@@"'), F.col("refs")).alias("item"))
+    files = n.unionByName(w).groupBy("tile").agg(F.concat(F.lit('{"@context": {}, "@graph": ['), F.array_join(F.array_sort(F.collect_list("item")), ","), F.lit("]}")).alias("value"))
+    got_nodes, got_ways = osm.read_routable_tile(files)
+    kinds = spark.createDataFrame([("highway", "street", f"osm:{k}", k) for k in (*KINDS.values(), "footway")], "uri string, key string, value_uri string, value string")
+    named = osm.map_tags(got_ways, kinds)
+    out = got_nodes.select(F.lit("node").alias("kind"), "id", F.lit(0).alias("n_nodes"), F.round("lon", 6).alias("lon"), F.coalesce(F.col("tags")["barrier"], F.lit("")).alias("tag"))
+    return out.unionByName(named.select(F.lit("way").alias("kind"), "id", F.size("nodes").alias("n_nodes"), F.lit(0.0).alias("lon"), F.coalesce(F.col("tags")["street"], F.lit("")).alias("tag")))
+
+
 def town_branches(spark, sf_dir):
     """Arcs that leave the routes' vertices."""
     n, _, found = _paths(spark, sf_dir)
@@ -452,7 +492,7 @@ def town_footways(spark, sf_dir):
     return arcs.select("arc_id", F.floor(F.col("length_cm") / F.col("speed")).cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, route_instructions, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
+QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, route_instructions, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
 
 _TILE = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * {n})::BIGINT * {n} + floor(({x} + 180) / 360 * {n})::BIGINT"
 
@@ -575,5 +615,13 @@ tc AS (SELECT a.head AS vertex_id FROM e a JOIN e b ON b.tail = a.head WHERE a.e
 c AS (SELECT tile, 'vertices' AS t FROM x UNION ALL SELECT t1, 'edges' FROM y WHERE t1 = t2 UNION ALL SELECT unnest([t1, t2]), 'crossings' FROM y WHERE t1 <> t2 UNION ALL SELECT tile, 'turns' FROM tc JOIN x USING (vertex_id)
   UNION ALL SELECT tile, 'features' FROM x UNION ALL SELECT t1, 'features' FROM y WHERE t1 = t2 UNION ALL SELECT tile, 'features' FROM tc JOIN x USING (vertex_id))
 SELECT tile, t AS "table", count(*)::BIGINT AS n FROM c GROUP BY ALL""",
+    "town_directions": TOWN + f""", x AS (SELECT edge_id, unnest(range(2, len(pts))) AS i, pts FROM e), y AS (SELECT edge_id, i, pts[i - 1] AS p, pts[i] AS q, pts[i + 1] AS r FROM x),
+z AS (SELECT edge_id, i, {_BEAR.format(a='p', b='q')} AS a, {_BEAR.format(a='q', b='r')} AS b FROM y), u AS (SELECT *, a - b - floor((a - b) / 360) * 360 AS t FROM z)
+SELECT edge_id AS query_id, (i - 1)::INT AS shape_idx, round(a, 4) AS arriving, round(b, 4) AS departing, trunc(CASE WHEN t > 180 THEN t - 360 ELSE t END)::INT AS turn FROM u""",
+    "town_sets": TOWN + "SELECT name, kind AS highway, count(*)::BIGINT AS n_edges, 1::BIGINT AS n_sets FROM e GROUP BY name, kind, oneway",
+    "town_crossings": TOWN + "SELECT v.vertex_id, round(v.lon, 6) AS lon, round(v.lat, 6) AS lat, round(v.lon + (b.lon - v.lon) * 0.5, 6) AS half_lon FROM v JOIN e r ON r.tail = v.vertex_id AND r.edge_id % 2 = 0 JOIN e u ON u.tail = v.vertex_id AND u.edge_id % 2 = 1 JOIN v b ON b.vertex_id = r.head",
+    "town_json_tiles": TOWN + """SELECT 'node' AS kind, vertex_id AS id, 0 AS n_nodes, round(lon, 6) AS lon, CASE WHEN vertex_id % 13 = 6 THEN 'bollard' ELSE '' END AS tag FROM v
+UNION ALL SELECT 'node', edge_id * 4 + i - 2 + 10000000, 0, round(pts[i].lon, 6), '' FROM (SELECT edge_id, pts, unnest(range(2, len(pts))) AS i FROM e)
+UNION ALL SELECT 'way', edge_id, len(pts)::INT, 0, CASE WHEN edge_id % 19 = 7 THEN '' ELSE kind END FROM e""",
 }
 ORACLES["town_rounds"] = ORACLES["town_tree"]

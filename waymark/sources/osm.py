@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import box_around, line_length, tile_id, tile_range
-from waymark.storage import Network
+from waymark.storage import Network, materialize
 
 # Fixed values of turn restrictions: those that forbid, those that oblige, and vehicles.
 PROHIBITORY = ("no_left_turn", "no_right_turn", "no_straight_on", "no_u_turn", "no_entry", "no_exit")
@@ -138,6 +138,8 @@ def import_network(
         "first_k",
         "last_k",
     )
+    # Vertices, barriers and restrictions all read the edges: they are found once.
+    edges = materialize(edges, "import-edges")
     vertices = edges.select(F.explode(F.array("tail", "head")).alias("id")).distinct().join(at, "id").select(F.col("id").alias("vertex_id"), "lon", "lat", tile_id(F.col("lon"), F.col("lat"), zoom).alias("tile_id"))
     costs = barriers(nodes, edges)
     if relations is not None:
