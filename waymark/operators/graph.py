@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
@@ -93,6 +95,11 @@ def transitions(arc_table: DataFrame, forbidden: DataFrame | None = None) -> Dat
     return pairs.select("a", "b", "vertex_id", F.coalesce("penalty", F.lit(0).cast("long")).alias("penalty"))
 
 
+def box_zoom(metres: float) -> int:
+    """Zoom of tiles about twice to four times as wide as ``metres``, at 60 degrees north."""
+    return max(0, min(20, int(math.log2(math.pi * geo.RADIUS / (2 * metres)))))
+
+
 def vertices_in_boxes(vertices: DataFrame, boxes: DataFrame, zoom: int = 14) -> DataFrame:
     """(query_id, vertex) for boxes (query_id, box): an equi-join on tiles, then the half-open box test."""
     tiled = vertices.withColumn("tile", geo.tile_id(F.col("lon"), F.col("lat"), zoom))
@@ -134,7 +141,7 @@ def snap(
     any_profile: bool = False,
     can_stop: bool = True,
     orthogonal: bool = False,
-    zoom: int = 14,
+    zoom: int | None = None,
 ) -> DataFrame:
     """Nearest place on an edge for each point (query_id, lon, lat): query_id, edge_id, offset (0 to 65535), distance_m, error.
 
@@ -145,22 +152,39 @@ def snap(
     """
     edges = acceptable(edges, *profiles, islands=islands, any_profile=any_profile, can_stop=can_stop)
     shaped = full_shape(edges.select("edge_id", "tail", "head", "shape"), vertices).select("edge_id", "points")
-    segments = shaped.select("edge_id", F.posexplode(F.arrays_zip(F.slice("points", F.lit(1), F.size("points") - 1).alias("p"), F.slice("points", F.lit(2), F.size("points") - 1).alias("q"))).alias("k", "s")).select("edge_id", "k", "s.p", "s.q")
 
     def best(asked: DataFrame, metres: float) -> DataFrame:
-        boxes = asked.select("query_id", geo.box_around(F.col("lon"), F.col("lat"), F.lit(metres)).alias("box"))
-        near = edges_in_boxes(vertices, edges, boxes, zoom).join(asked, "query_id").join(segments, "edge_id")
-        lon, lat, p, q = F.col("lon"), F.col("lat"), F.col("p"), F.col("q")
-        foot = geo.project(lon, lat, p["lon"], p["lat"], q["lon"], q["lat"])
-        options = [F.struct(foot["metres"].alias("d"), foot["share"].alias("share"))]
-        if not orthogonal:
-            options = [F.struct(geo.distance(lon, lat, p["lon"], p["lat"]).alias("d"), F.lit(0.0).alias("share")), F.struct(geo.distance(lon, lat, q["lon"], q["lat"]).alias("d"), F.lit(1.0).alias("share")), *options]
+        # One join on tiles that are about as large as the boxes: an edge lies in those of its ends.
+        at = zoom or box_zoom(metres)
+        first, last = F.col("points")[0], F.element_at("points", -1)
+        index = shaped.withColumn("tile", F.explode(F.array_distinct(F.array(geo.tile_id(first["lon"], first["lat"], at), geo.tile_id(last["lon"], last["lat"], at)))))
+        boxes = asked.withColumn("box", geo.box_around(F.col("lon"), F.col("lat"), F.lit(metres))).withColumn("tile", F.explode(geo.tile_range(F.col("box"), at)))
+        near = boxes.join(index, "tile").where(geo.in_box(first["lon"], first["lat"], F.col("box")) | geo.in_box(last["lon"], last["lat"], F.col("box")))
+        pieces = F.arrays_zip(F.slice("points", F.lit(1), F.size("points") - 1).alias("p"), F.slice("points", F.lit(2), F.size("points") - 1).alias("q"))
+        # An edge met in several tiles counts once, for the least of equal places is one place.
+        near = near.select("query_id", "lon", "lat", "edge_id", F.posexplode(pieces).alias("k", "s"))
+        c = F.col
+        near = near.select("query_id", "edge_id", "k", "lon", "lat", c("s.p.lon").alias("px"), c("s.p.lat").alias("py"), c("s.q.lon").alias("qx"), c("s.q.lat").alias("qy"))
+        # Foot of the perpendicular, one step at a time: a value that is used twice is computed once.
+        near = near.withColumn("kx", F.cos(F.radians((c("py") + c("qy")) / 2))).withColumn("dx", (c("qx") - c("px")) * c("kx")).withColumn("dy", c("qy") - c("py"))
+        near = near.withColumn("square", c("dx") * c("dx") + c("dy") * c("dy"))
+        near = near.withColumn("t", ((c("lon") - c("px")) * c("kx") * c("dx") + (c("lat") - c("py")) * c("dy")) / F.when(c("square") > 0, c("square")))
+        near = near.withColumn("fx", c("px") + (c("qx") - c("px")) * c("t")).withColumn("fy", c("py") + (c("qy") - c("py")) * c("t"))
+        near = near.withColumn("df", F.when(c("t").between(0, 1), geo.distance(c("lon"), c("lat"), c("fx"), c("fy"))))
+        near = near.withColumn("dp", geo.distance(c("lon"), c("lat"), c("px"), c("py"))).withColumn("dq", geo.distance(c("lon"), c("lat"), c("qx"), c("qy")))
+
+        def option(d: str, share) -> Column:
+            value = F.struct(F.when(c(d) < 1, 0.0).otherwise(F.round(d, 6)).alias("d"), share.alias("share"), c(d).alias("metres"))
+            return F.when(c(d) < max_distance, value)
+
+        foot, ends = option("df", c("t")), [option("dp", F.lit(0.0)), option("dq", F.lit(1.0))]
         # Of a segment, the nearest of its ends and the foot; the first of equals.
-        close = F.array_min(F.filter(F.array(*[F.struct(F.when(o["d"] < 1, 0.0).otherwise(F.round(o["d"], 6)).alias("d"), o["share"].alias("share"), o["d"].alias("metres")) for o in options]), lambda o: o["metres"].isNotNull() & (o["metres"] < max_distance)))
-        one = near.withColumn("o", close).where("o is not null")
+        one = near.withColumn("o", foot if orthogonal else F.least(*ends, foot))
         keys = ["query_id", "edge_id"] if everything else ["query_id"]
-        ranked = one.select("query_id", "edge_id", F.struct("o.d", F.col("edge_id").alias("edge"), "k", "o.share", "o.metres").alias("s"))
-        return ranked.groupBy(*keys).agg(F.min("s").alias("s")).select("query_id", "s.edge", "s.k", "s.share", "s.metres")
+        # Segments that are too far are told apart in the aggregation: a filter would drag the geometry down to the join and compute it over and over.
+        place = F.when(c("o").isNotNull(), F.struct(c("o.d").alias("d"), c("edge_id").alias("edge"), c("k"), c("o.share").alias("share"), c("o.metres").alias("metres")))
+        ranked = one.select("query_id", "edge_id", place.alias("s"))
+        return ranked.groupBy(*keys).agg(F.min("s").alias("s")).where("s is not null").select("query_id", "s.edge", "s.k", "s.share", "s.metres")
 
     points = points.select("query_id", "lon", "lat")
     first = best(points, radius)
@@ -175,14 +199,14 @@ def snap(
     return points.select("query_id").join(placed, "query_id", "left").withColumn("error", F.when(F.col("edge_id").isNull(), "no edge found near the point"))
 
 
-def snap_to_vertex(points: DataFrame, vertices: DataFrame, edges: DataFrame | None = None, *profiles: Profile, radius: float = 100.0, everything: bool = False, islands: DataFrame | None = None, zoom: int = 14) -> DataFrame:
+def snap_to_vertex(points: DataFrame, vertices: DataFrame, edges: DataFrame | None = None, *profiles: Profile, radius: float = 100.0, everything: bool = False, islands: DataFrame | None = None, zoom: int | None = None) -> DataFrame:
     """Nearest vertex (or all) within ``radius``: query_id, vertex_id, distance_m.  With ``edges``, only vertices with an :func:`acceptable` one."""
     if edges is not None:
         ends = acceptable(edges, *profiles, islands=islands).select(F.explode(F.array("tail", "head")).alias("vertex_id")).distinct()
         vertices = vertices.join(ends, "vertex_id", "left_semi")
     asked = points.select("query_id", geo.box_around(F.col("lon"), F.col("lat"), F.lit(radius)).alias("box"))
     at = points.select("query_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    near = vertices_in_boxes(vertices, asked, zoom).join(at, "query_id").withColumn("distance_m", geo.distance(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")))
+    near = vertices_in_boxes(vertices, asked, zoom or box_zoom(radius)).join(at, "query_id").withColumn("distance_m", geo.distance(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")))
     if everything:
         return near.select("query_id", "vertex_id", "distance_m")
     best = near.groupBy("query_id").agg(F.min(F.struct(F.round("distance_m", 6).alias("d"), "vertex_id", "distance_m")).alias("s"))
