@@ -307,6 +307,14 @@ def test_routes_beyond_the_bound_agree(spark, monkeypatch):
         assert len(kernel) == len(asked) and any(r[1] is None for r in kernel)
 
 
+def test_backward_searches_agree(spark):
+    edges, arcs, turns = random_graph(spark, 11)
+    spec = "query_id long, from_edge long, from_offset long, to_edge long, to_offset long, from_forward boolean, to_forward boolean"
+    q = spark.createDataFrame([(k, edges[k][0], 20_000, edges[k % 3][0], 40_000, (None, True, False)[k % 3], (None, False)[k % 2]) for k in range(39)], spec)
+    rows = lambda df: sorted((r.query_id, r.error, None if r.cost is None else round(r.cost, 6), len(r.path), r.offset1, r.offset2) for r in df.collect())
+    assert rows(routing.routes_to(arcs, q, turns)) == rows(routing.routes(arcs, q, turns))
+
+
 def test_matrix_is_all_single_routes(spark):
     edges, arcs, turns = random_graph(spark, 9)
     side = lambda first: spark.createDataFrame([(f"p{k}", edges[k][0], 1000 * k) for k in range(first, first + 6)], "id string, edge long, offset long")

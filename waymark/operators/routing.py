@@ -372,7 +372,7 @@ def routes(arcs: DataFrame, queries: DataFrame, forbidden: DataFrame | None = No
     run from the tail (0) to the head (65535); the result's are in travel direction.  With
     ``alternatives`` over 1, edges of earlier paths cost twice as much and a path counts if
     it shares at most ``max_shared`` of its edges and costs at most ``max_factor`` times the
-    first; rejected paths still penalise.  Queries from one place share one search (1 to N; turn sides for N to 1).
+    first; rejected paths still penalise.  Queries from one place share one search (1 to N); :func:`routes_to` shares them by target.
     On graphs too large to broadcast, paths grow by rounds of joins, without alternatives.
     """
     have = set(queries.columns)
@@ -413,6 +413,27 @@ def routes(arcs: DataFrame, queries: DataFrame, forbidden: DataFrame | None = No
     return spread.drop("deal").mapInArrow(run, out)
 
 
+def routes_to(arcs: DataFrame, queries: DataFrame, forbidden: DataFrame | None = None, *, max_cost: float | None = None) -> DataFrame:
+    """:func:`routes` for many origins and few targets (N to 1): the searches run backward, one for each target.
+
+    On the graph turned round, the arc against an arc has its cost, and a turn its penalty the other way.
+    """
+    from waymark.operators.graph import turn_sequences
+
+    if forbidden is not None and not turn_sequences(forbidden).isEmpty():
+        raise ValueError("turns that need more than one edge behind them cannot be turned round")
+    against = lambda c: F.col(c).bitwiseXOR(F.lit(1).cast("long"))
+    back = arcs.select(against("arc_id").alias("arc_id"), (F.col("edge_id") if "edge_id" in arcs.columns else F.shiftright("arc_id", 1)).alias("edge_id"), F.col("to_v").alias("from_v"), F.col("from_v").alias("to_v"), "cost")
+    turns = None if forbidden is None else forbidden.select("vertex_id", F.col("to_edge").alias("from_edge"), F.col("from_edge").alias("to_edge"), *(["penalty"] if "penalty" in forbidden.columns else []))
+    forced = lambda side: (~F.col(f"{side}_forward") if f"{side}_forward" in queries.columns else F.lit(None)).cast("boolean")
+    asked = queries.select(
+        "query_id", F.col("to_edge").alias("from_edge"), F.col("to_offset").alias("from_offset"), F.col("from_edge").alias("to_edge"), F.col("from_offset").alias("to_offset"), forced("to").alias("from_forward"), forced("from").alias("to_forward")
+    )
+    found = routes(back, asked, turns, max_cost=max_cost)
+    path = F.reverse(F.transform("path", lambda a: a.bitwiseXOR(F.lit(1).cast("long"))))
+    return found.select("query_id", "rank", "cost", path.alias("path"), (OFFSET_MAX - F.col("offset2")).alias("offset1"), (OFFSET_MAX - F.col("offset1")).alias("offset2"), "error")
+
+
 def relax_routes(arcs: DataFrame, queries: DataFrame, turns: DataFrame | None = None, *, max_cost: float | None = None, rounds: int = 100_000) -> DataFrame:
     """:func:`routes` by rounds of joins: every query's frontier grows until nothing cheaper than its best path is left."""
     next_ = _steps(arcs, turns)

@@ -385,6 +385,20 @@ def town_json_tiles(spark, sf_dir):
     return out.unionByName(named.select(F.lit("way").alias("kind"), "id", F.size("nodes").alias("n_nodes"), F.lit(0.0).alias("lon"), F.coalesce(F.col("tags")["street"], F.lit("")).alias("tag")))
 
 
+def town_to_one(spark, sf_dir):
+    """Routes of all questions to the end of the first: one search backward."""
+    n, arcs, od = _asked(spark, sf_dir)
+    one = od.where("query_id = 1").select(F.col("to_edge").alias("e"), F.col("to_offset").alias("o"))
+    asked = od.drop("to_edge", "to_offset").join(F.broadcast(one)).withColumnsRenamed({"e": "to_edge", "o": "to_offset"})
+    found = routing.routes_to(arcs, asked, graph.forbidden_turns(n.turn_costs, DRIVER))
+    return found.select("query_id", F.round(F.coalesce("cost", F.lit(-1.0)), 2).alias("cost"), F.coalesce("offset1", F.lit(-1)).alias("offset1"), "error")
+
+
+def town_texts(spark, sf_dir):
+    """Paths as text."""
+    return routes.describe(_paths(spark, sf_dir)[2])
+
+
 def town_branches(spark, sf_dir):
     """Arcs that leave the routes' vertices."""
     n, _, found = _paths(spark, sf_dir)
@@ -492,7 +506,7 @@ def town_footways(spark, sf_dir):
     return arcs.select("arc_id", F.floor(F.col("length_cm") / F.col("speed")).cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, route_instructions, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
+QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, route_instructions, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
 
 _TILE = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * {n})::BIGINT * {n} + floor(({x} + 180) / 360 * {n})::BIGINT"
 
@@ -623,5 +637,11 @@ SELECT edge_id AS query_id, (i - 1)::INT AS shape_idx, round(a, 4) AS arriving,
     "town_json_tiles": TOWN + """SELECT 'node' AS kind, vertex_id AS id, 0 AS n_nodes, round(lon, 6) AS lon, CASE WHEN vertex_id % 13 = 6 THEN 'bollard' ELSE '' END AS tag FROM v
 UNION ALL SELECT 'node', edge_id * 4 + i - 2 + 10000000, 0, round(pts[i].lon, 6), '' FROM (SELECT edge_id, pts, unnest(range(2, len(pts))) AS i FROM e)
 UNION ALL SELECT 'way', edge_id, len(pts)::INT, 0, CASE WHEN edge_id % 19 = 7 THEN '' ELSE kind END FROM e""",
+    "town_to_one": TOWN + _FIND.replace("TARGET_Q", "dst.q").replace("TARGET_ON", "dst.q = 1").replace("TARGET_R", "dst.q = 1") + """, f AS (SELECT q, round(b.c, 2) AS c, b.via AS via, b.t AS t FROM ended),
+w(q, k) AS (SELECT q, CASE WHEN via >= 0 THEN via ELSE t END FROM f UNION ALL SELECT w.q, r.prev FROM w JOIN r ON r.q = w.q AND r.k = w.k WHERE r.prev >= 0 AND w.k NOT IN (SELECT t FROM f WHERE f.q = w.q AND f.via < 0)),
+o AS (SELECT w.q, max(round(src.s * 65535))::INT AS o1 FROM w JOIN src ON src.q = w.q AND src.k = w.k JOIN r ON r.q = w.q AND r.k = w.k WHERE r.prev < 0 GROUP BY w.q)
+SELECT od.q AS query_id, coalesce(f.c, -1) AS cost, coalesce(o1, -1) AS offset1, CASE WHEN f.q IS NULL THEN 'no path' END AS error FROM od LEFT JOIN f ON f.q = od.q LEFT JOIN o ON o.q = od.q""",
+    "town_texts": TOWN + _ONE + _WALK + """, l AS (SELECT q, string_agg(arc_id // 2 || CASE WHEN forward THEN '+' ELSE '-' END, ' ' ORDER BY seq) AS path, max(CASE WHEN seq = 0 THEN o1 END)::INT AS a, max(CASE WHEN seq = n - 1 THEN o2 END)::INT AS b FROM piece GROUP BY q)
+SELECT od.q AS query_id, coalesce(a || ' ' || path || ' ' || b, 'no path') AS text FROM od LEFT JOIN l ON l.q = od.q""",
 }
 ORACLES["town_rounds"] = ORACLES["town_tree"]
