@@ -712,3 +712,92 @@ def test_licenses_wrapped_and_whole(spark):
     for k, name in enumerate(texts):
         assert (got[k], got[100 + k]) == ((name, "file"), (name, "inherited"))
     assert [got[200 + k] for k in range(3)] == [("GPL-3.0", "header"), ("BSD-3-Clause", "header"), ("MIT", "header")]
+
+
+def test_quality_scores_against_plain_formulas(spark):
+    """Moments over all labelled training rows and log densities by inverse and determinant."""
+    rows = [(k, prose(20 + k % 50, k) if k % 3 else (prose(10, k) + " # $ % ") * (2 + k % 4)) for k in range(200)] + [(None, prose(30, 1)), (500, ""), (501, None)]
+    marks = [(k, int(k % 3 != 0)) for k in range(0, 200, 2)] + [(8, 1), (9999, 1), (None, 0), (10, 7)]
+    got = {(r.doc_id, r.held_out): r.score for r in quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    texts = dict(rows)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    train = [(quality.features(texts[i]), y) for i, y in marks if i is not None and i in texts and y in (0, 1) and not held(i)]
+    x = {y: np.array([v for v, z in train if z == y]) for y in (0, 1)}
+    covariance = lambda a: (a - a.mean(axis=0)).T @ (a - a.mean(axis=0)) / len(a)
+    pooled = sum(covariance(a) * len(a) for a in x.values()) / len(train)
+    target = np.diag(np.maximum(np.diag(pooled), 1e-4))
+
+    def log_density(v, a):
+        c = 0.9 * covariance(a) + 0.1 * target + 1e-6 * np.eye(len(v))
+        d = v - a.mean(axis=0)
+        return -0.5 * (d @ np.linalg.inv(c) @ d + np.linalg.slogdet(c)[1])
+
+    for i, t in rows:
+        v = np.array(quality.features(t))
+        gap = log_density(v, x[1]) - log_density(v, x[0]) + math.log(len(x[1]) / len(x[0]))
+        assert abs(got[i, held(i)] - 1 / (1 + math.exp(-max(min(gap, 500), -500)))) < 1e-6
+
+
+def test_languages_against_plain_formulas(spark):
+    """n-grams counted one by one, ridge classifiers by least squares, and losses summed bit by bit."""
+    stems = {"en": ["the", "thing", "ow"], "de": ["der", "schü", "ung"], "fr": ["le", "eaux", "ère"]}
+    rows = []
+    for k in range(90):
+        r, lang = random.Random(k), ("en", "de", "fr")[k % 3]
+        rows.append((k, " ".join(r.choice(stems[lang]) + r.choice(stems[lang if r.random() < 0.9 else "en"]) for _ in range(1 + k % 20)), lang if k % 11 else None))
+    rows += [(200, "123", "en"), (201, None, "en"), (None, "the der le", "fr"), (202, "Ωmega thing", None)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    m = (1 << 32) - 1
+
+    def vector(t):
+        codes = [32, *((c if chr(c).isalpha() else 32) if c < 128 else min(c, 0xFFFF) for c in map(ord, t.lower())), 32]
+        v = np.zeros(language.DIM)
+        for i, a in enumerate(codes):
+            one = a * 0x9E3779B1 & m
+            v[one >> 21] += 1
+            if i + 1 < len(codes):
+                two = (one ^ codes[i + 1] * 0x85EBCA77 & m) * 0xC2B2AE3D & m
+                v[two >> 21] += 1
+                if i + 2 < len(codes):
+                    v[((two ^ codes[i + 2] * 0x27D4EB2F & m) * 0x165667B1 & m) >> 21] += 1
+        return np.append(np.sqrt(v) / np.linalg.norm(np.sqrt(v)), 1)
+
+    train = [(vector(t), lang) for i, t, lang in rows if i is not None and lang and language.has_letter(t) and zlib.crc32(str(i).encode()) % 4 != 2]
+    names = sorted({y for _, y in train})
+    code = language.codewords(len(names))
+    weight = np.array([1 / sum(z == y for _, z in train) for _, y in train])
+    x, bits = np.array([v for v, _ in train]), np.array([code[names.index(y)] for _, y in train])
+    ridge = 0.05 * weight.sum() / len(train)
+    root = np.sqrt(weight)[:, None]
+    w = np.linalg.lstsq(np.vstack([x * root, math.sqrt(ridge) * np.eye(x.shape[1])]), np.vstack([bits * root, np.zeros((x.shape[1], code.shape[1]))]), rcond=None)[0]
+    trust = np.maximum(1 - (np.maximum(0, 1 - bits * (x @ w)) * weight[:, None]).sum(axis=0) / weight.sum(), 0.05)
+    trust /= trust.sum()
+    for i, t, _ in rows:
+        if not language.has_letter(t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        margin = vector(t) @ w
+        losses = [sum(trust[b] * max(0, 1 - margin[b] * row[b]) for b in range(len(trust))) for row in code]
+        share = np.exp(-6 * np.array(losses))
+        assert got[i].lang_pred == names[int(np.argmin(losses))] and abs(got[i].score - max(share) / share.sum()) < 1e-3
+        assert got[i].ambiguous == (sorted(losses)[1] - min(losses) < 0.02) or abs(sorted(losses)[1] - min(losses) - 0.02) < 1e-3
+
+
+def test_html_on_generated_pages():
+    """Articles in plain divs among lists of links, notices and footers of many makes: all of the article and nothing else."""
+    r = random.Random(3)
+    word = lambda: r.choice(VOCAB)
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    links = lambda n: "".join(f"<li><a href='/{k}'>{word()} {word()}</a></li>" for k in range(n))
+    rest = [
+        lambda: f"<ul>{links(r.randrange(4, 15))}</ul>", lambda: f"<div><span><a href=#>{word()}</a> | <a href=#>{word()}</a></span></div>", lambda: f"<footer>{sentence(6)}</footer>", lambda: f"<nav><ul>{links(5)}</ul></nav>",
+        lambda: f"<div class='cookie-notice'>{sentence(9)}<button>OK</button></div>", lambda: f"<script>var a = '<p>{sentence(30)}</p>';</script>", lambda: f"<aside>{sentence(12)}</aside>", lambda: "<style>p { color: red }</style>", lambda: f"<!-- <p>{sentence(20)}</p> -->",
+    ]
+    for _ in range(60):
+        blocks = [sentence(r.randrange(20, 60)) for _ in range(r.randrange(4, 9))]
+        made = "".join(r.choice(("<p>{}</p>", "<p class=x>{}", "<p>\n {}\n</p>")).format(b.replace(" ", r.choice((" ", " ", "\n", "&#32;")), 2)) for b in blocks)
+        title = sentence(4)
+        before, after = "".join(r.choice(rest)() for _ in range(r.randrange(4))), "".join(r.choice(rest)() for _ in range(r.randrange(4)))
+        wrap = r.choice(("<div>{}</div>", "<div><div>{}</div></div>", "<section>{}</section>", "<article>{}</article>", "<main>{}</main>"))
+        page = f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{before}{wrap.format(f'<h1>{title}</h1>{made}')}{after}</body></html>"
+        assert html_text.main_text(page) == "\n\n".join([title, *blocks])
