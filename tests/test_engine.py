@@ -146,7 +146,7 @@ def test_instructions_turn_and_roundabout():
     assert [f for f in scan(r) if f[0] == "roundabout"][0][4] == {"exitnumber": "2"}
 
 
-@pytest.mark.parametrize("plan", ["queries", "town"])
+@pytest.mark.parametrize("plan", ["queries", "town", "drills"])
 def test_queries_match_sql_on_small_tables(spark, plan):
     duckdb = pytest.importorskip("duckdb")
     import importlib
