@@ -199,6 +199,34 @@ def test_lines(spark, none):
     assert lines.dedupe_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("tau", [1, 2, 3])
+def test_line_links(spark, monkeypatch, tau):
+    r, texts = random.Random(tau), set()
+    for letters, size in (("ab", 9), ("ab", 12), ("abé", 10), ("abé𝄞", 14)):
+        for _ in range(12):
+            x = [r.choice(letters) for _ in range(size + r.randrange(4))]
+            texts.add("".join(x))
+            for _ in range(4):
+                y = list(x)
+                for _ in range(r.randrange(1, tau + 1)):
+                    k = r.randrange(len(y))
+                    y[k : k + r.randrange(2)] = r.choice(["", r.choice(letters), r.choice(letters)])
+                texts.add("".join(y))
+    # Shifted copies of periodic lines, and edits at the borders of segments.
+    texts |= {("ab" * 10)[k : k + n] for k in (0, 1) for n in range(9, 16)} | {"abcdefghijkl", "Xabcdefghijk", "abcdXefghijk", "abcdefghXijk", "bcdefghijklX", "abcefghijkXl"}
+    dealt = []
+    monkeypatch.setattr(lines, "_keyed", lambda *args, keyed=lines._keyed: dealt.append(keyed(*args)) or dealt[-1])
+    texts = sorted(texts)
+    firsts, links = lines.near_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tau, 1)
+    place = {row.lid: row.doc for row in firsts.collect()}
+    got = sorted(tuple(sorted((place[row.a], place[row.b]))) for row in links.collect())
+    least = 2 * tau + 1
+    assert got == [(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and min(len(x), len(y)) >= least and distance(x, y) <= tau]
+    # Rows to shuffle for each line: 4 to 8 substrings and 3 segments at tau = 2, where there were up to 15.
+    if tau == 2:
+        assert sum(df.count() for df in dealt) <= 10 * len(texts)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -1,10 +1,12 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Two lines within ``tau`` edits share one of the ``tau + 1`` even segments of the shorter or
-equal partner at nearly the same place: edits cannot touch all segments.  Every distinct
-line is indexed by its segments under their length and number, and probes the indexes of the
+Two lines within ``tau`` edits share one of ``tau + 1`` segments of the shorter or equal
+partner at nearly the same place: edits cannot touch all segments.  All segments of a line have
+the size ``n // (tau + 1)``; the last ends with the line, the others follow each other from its start.  Every distinct
+line is indexed by its segments under their number, and probes the indexes of the
 lengths it could match with the substrings that the multi-match-aware rule allows (the shift
-of a segment is bounded by the edits to its left and to its right).  Lines that share a
+of a segment is bounded by the edits to its left and to its right); partners of several lengths are
+met by one substring where their segments have one size.  Lines that share a
 substring are candidates if the counts of frequent letters can be that near, then of others too, and are verified by a
 banded bit-parallel edit distance over a band of ``2 tau + 1`` diagonals, folded over the characters with bit operations.
 
@@ -46,26 +48,30 @@ def _blank(line: Column) -> Column:
     return F.ltrim(line, F.lit(" \t\x0b\x0c\r")) == ""
 
 
-def _key(tau: int, less: Column, i: Column, shift: Column) -> Column:
-    """Key of the substring that segment ``i`` of a line ``less`` characters shorter would have ``shift`` to the right; null outside the line."""
-    parts = tau + 1
-    length = F.col("n") - less
-    short = F.call_function("div", length, F.lit(parts)).cast("int")
-    longer_from = parts - (length % parts).cast("int")
-    size = short + F.when(i >= longer_from, 1).otherwise(0)
-    at = i * short + F.greatest(i - longer_from, F.lit(0)) + 1 + shift
-    return F.when((at >= 1) & (at + size - 1 <= F.col("n")), F.xxhash64(i, length, F.substring("line", at, size)))
-
+def _rules(tau: int) -> list[list[tuple[int, int, int]]]:
+    """By the remainder of a line's length: (segment, how much smaller, shift) of its substrings, each named once; first those that are its own segments.
 
-def _rules(tau: int) -> list[tuple[int, int, int]]:
-    """(less, segment, shift) of the multi-match-aware selection: at most i edits left of segment i, and tau - i right of it."""
-    return [(less, i, shift) for less in range(tau + 1) for i in range(tau + 1) for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1)]
+    The multi-match-aware selection of a partner ``less`` characters shorter: at most i edits left of segment i, and tau - i right of it.
+    The last segment ends with the line and needs no shift.  Two lines of one length meet both ways: with tau = 2 they share the
+    first or the last segment, or have an edit on either side of the middle one, which is shifted to the right as seen from one of them.
+    """
+    own = [(i, 0, 0) for i in range(tau + 1)]
+    shifts = lambda less, i: [0] if i == tau else range(0 if less == 0 and tau <= 2 else max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1)
+    return [list(dict.fromkeys([*own, *((i, int(less > rest), shift) for less in range(tau + 1) for i in range(tau + 1) for shift in shifts(less, i))])) for rest in range(tau + 1)]
 
 
-def _keyed(lines: DataFrame, tau: int, rules: list[tuple[int, int, int]], name: str) -> DataFrame:
-    rule = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for a, i, s in rules])
-    dealt = lines.select("line", "n", "lid", "letters", F.explode(rule).alias("r"))
-    return dealt.select(_key(tau, F.col("r.less"), F.col("r.i"), F.col("r.shift")).alias("key"), F.col("lid").alias(name), F.when(F.col("r.less") > 0, F.col("letters").bitwiseOR(F.lit(_SHORTER))).otherwise(F.col("letters")).alias(f"letters_{name}")).where("key is not null")
+def _keyed(lines: DataFrame, tau: int, rules: list[list[tuple[int, int, int]]], name: str) -> DataFrame:
+    """One row for each substring: its key, the line and its letters, marked unless the substring is one of the line's own segments."""
+    parts = tau + 1
+    rule = F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("smaller"), F.lit(s).alias("shift")) for i, d, s in of]) for of in rules])
+    part = F.call_function("div", F.col("n"), F.lit(parts)).cast("int").alias("part")
+    dealt = lines.select("line", "n", part, "lid", "letters", F.explode(F.get(rule, F.col("n") % parts)).alias("r"))
+    i, shift = F.col("r.i"), F.col("r.shift")
+    size = F.col("part") - F.col("r.smaller")
+    at = F.when(i == tau, F.col("n") - size).otherwise(i * size + shift) + 1
+    own = (F.col("r.smaller") == 0) & (shift == 0)
+    letters = F.when(own, F.col("letters")).otherwise(F.col("letters").bitwiseOR(F.lit(_PROBE)))
+    return dealt.where((at >= 1) & (at + size - 1 <= F.col("n"))).select(F.xxhash64(i, F.substring("line", at, size)).alias("key"), F.col("lid").alias(name), letters.alias(f"letters_{name}"))
 
 
 #: Frequent letters of European languages; any letters would do.
@@ -74,14 +80,19 @@ LETTERS = "eanitorshdlu"
 MORE_LETTERS = "cmpgbfvwyk ."
 
 
-#: Set beside the letters of a probe for shorter lines; lines of one length meet both ways, and one is enough.
-_SHORTER = 1 << (4 * len(LETTERS))
+#: Set beside the letters where the substring is not a segment of its own line; own segments meet both ways, and one is enough.
+_PROBE = 1 << (4 * len(LETTERS))
 
 
 def _letters(line: Column, letters: str = LETTERS) -> Column:
-    """How often each of the letters occurs, modulo 16, in four bits each."""
-    bytes_ = F.octet_length(line)
-    return sum((F.shiftleft((bytes_ - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long"), 4 * k) for k, c in enumerate(letters)), F.lit(0).cast("long"))
+    """How often each of the letters occurs, modulo 16, in four bits each; every letter is counted in what those before it left."""
+    rest, had, total = line, F.octet_length(line), F.lit(0).cast("long")
+    for k, c in enumerate(letters):
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+        has = F.octet_length(rest)
+        total = total + F.shiftleft((had - has).bitwiseAND(F.lit(15)).cast("long"), 4 * k)
+        had = has
+    return total
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
@@ -151,13 +162,14 @@ def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id"
     spark = docs.sparkSession
     least = max(min_chars, 2 * tau + 1)
     first = _occurrences(_documents(docs, id_col, text_col)).groupBy("line").agg(F.min(F.struct("doc", "row", "line_no")).alias("first"))
-    lines = materialize(first.select(F.monotonically_increasing_id().alias("lid"), "line", F.length("line").alias("n"), F.when(F.length("line") >= least, _letters(F.col("line"))).alias("letters"), "first"), "lines")
+    lines = materialize(first.select(F.monotonically_increasing_id().alias("lid"), "line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"), "first"), "lines")
 
     long = lines.where(F.col("n") >= least)
-    indexed = _keyed(long, tau, [(0, i, 0) for i in range(tau + 1)], "a")
-    probing = _keyed(long, tau, _rules(tau), "b")
+    rules = _rules(tau)
+    indexed = _keyed(long, tau, [of[: tau + 1] for of in rules], "a")
+    probing = _keyed(long, tau, rules, "b")
     # Lines that share a segment but differ by whole words are told apart before they become pairs.
-    met = indexed.join(probing, (indexed["key"] == probing["key"]) & ((F.col("a") < F.col("b")) | (F.col("a") != F.col("b")) & (F.col("letters_b") >= _SHORTER)) & (_letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * tau))
+    met = indexed.join(probing, (indexed["key"] == probing["key"]) & ((F.col("a") < F.col("b")) | (F.col("a") != F.col("b")) & (F.col("letters_b") >= _PROBE)) & (_letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * tau))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "lines-pairs")
 
