@@ -136,14 +136,84 @@ def test_instructions_turn_and_roundabout():
     from waymark.operators.texts import DEFAULT_SETTINGS, Texts
 
     a, b = {"name": "A"}, {"name": "B"}
-    r = Line([(0.0, 0.0), (0.001, 0.0), (0.001, -0.001), (0.001, -0.002)], [a, b, b, b])
+    r = Line([(0.0, 0.0), (0.001, 0.0), (0.001, -0.001), (0.001, -0.002)], [a, b, b])
     found = scan(r)
-    assert [f[0] for f in found] == ["start", "turn", "end"]
+    assert [f[:3] for f in found] == [("start", 0, 0), ("turn", 1, 1), ("followalong", 2, 3), ("end", 2, 3)]
     assert found[1][3] == -90 and [text(r, found[1], Texts(DEFAULT_SETTINGS["languages"][c])) for c in ("en", "nl")] == ["Turn right on B", "Sla rechtsaf op B"]
-    assert [text(r, f, Texts(DEFAULT_SETTINGS["languages"]["en"])) for f in (found[0], found[2])] == ["Start east on A", "You have arrived at your destination"]
+    assert [text(r, f, Texts(DEFAULT_SETTINGS["languages"]["en"])) for f in (found[0], found[3])] == ["Start east on A", "You have arrived at your destination"]
+    with pytest.raises(ValueError, match="point 1"):
+        scan(r, ("start",))
+    assert [f[0] for f in scan(r, ("start",), gaps=True)] == ["start", "end"]
+    # A ring that the route never leaves ends with it; a route of one piece has no more than start and end.
     ring = {"junction": "roundabout"}
-    r = Line([(0.0, 0.0), (0.001, 0.0), (0.0012, 0.0002), (0.0014, 0.0), (0.002, 0.0)], [a, ring, ring, b, b], {2: [(0.0012, 0.001)]})
-    assert [f for f in scan(r) if f[0] == "roundabout"][0][4] == {"exitnumber": "2"}
+    assert [f[:4] for f in scan(Line([(0.0, 0.0), (0.001, 0.0), (0.0012, 0.0002), (0.0014, 0.0)], [a, a, ring]))][1:] == [("roundabout", 1, 3, 90), ("end", 2, 3, 0)]
+    assert [f[0] for f in scan(Line([(0.0, 0.0), (0.001, 0.0)], [a]))] == ["start", "end"]
+
+
+# Routes on real streets, and what instructions on them are to be: (lon, lat) by point, attributes by piece.
+RAMP = [(3.1850286573171616, 51.20640699014240), (3.1848630309104920, 51.20649017227455), (3.1847423315048218, 51.20651705939626), (3.1847235560417170, 51.20658847823707), (3.1846323609352107, 51.20662628816679)]
+BEND = [
+    (3.2872939109802246, 51.25332724127623), (3.287535309791565, 51.253407820538555), (3.2878518104553223, 51.253434680261265), (3.2881200313568115, 51.25339103320389), (3.288302421569824, 51.25325337682838), (3.2883989810943604, 51.25303178277289), (3.288388252258301, 51.25282361768734),
+    (3.288302421569824, 51.25271953479114), (3.2879215478897095, 51.25222597720485), (3.287878632545471, 51.25207824465225), (3.287953734397888, 51.25196072978281), (3.2880690693855286, 51.251900293447285), (3.2884150743484497, 51.25177942053796),
+]
+STREET = [(3.220316469669342, 51.21548471911082), (3.2195869088172913, 51.21530158595063), (3.2183021306991577, 51.21495043867946), (3.218068778514862, 51.21488491329411), (3.2174840569496155, 51.21467657555176), (3.216794729232788, 51.21445647578384), (3.2170093059539795, 51.21416580806587)]
+CORNER = [(3.2200777530670166, 51.21591482715479), (3.220316469669342, 51.21548471911082), (3.2207858562469482, 51.21558888627144)]
+
+
+def test_instructions_on_real_roundabouts():
+    from waymark.operators.instructions import Branch, Line, roundabout
+
+    way, ring, out = {"name": "Legeweg"}, {"junction": "roundabout", "name": "Legeweg"}, {"name": "Sint-Hubertuslaan"}
+    right = Line([*RAMP, (3.1846685707569122, 51.20672627427577), (3.1847423315048218, 51.20736399569539)], [way, way, ring, ring, out, out])
+    kind, begin, end, degrees, more = roundabout(right, 1)
+    assert (kind, begin, end, degrees, more["exitnumber"]) == ("roundabout", 1, 5, -64, "1")
+    side = Branch(3.184565305709839, 51.206622927285395, ring)
+    across = Line([*RAMP, (3.1845176964998245, 51.20661410497061), (3.1844761222600937, 51.20655654982782), (3.1842997670173645, 51.20656999337126)], [way, way, ring, ring, ring, ring, out], {4: [side], 6: [side]})
+    _, _, end, degrees, more = roundabout(across, 1)
+    assert (end, degrees, more["exitnumber"]) == (6, 31, "2")
+    assert roundabout(across, 0) is None and roundabout(across, 6) is None
+
+
+def test_instructions_on_real_bends_and_streets():
+    from waymark.operators.instructions import Branch, Line, base, follow_along, follow_bend, intersection, scan
+
+    name = [{"name": "Rabauestraat"}] * 12
+    assert follow_bend(Line(BEND, name), 8)[1:4] == (8, 12, 85)
+    assert follow_bend(Line(BEND, name), 1)[1:4] == (1, 7, -143)
+    assert follow_bend(Line(BEND, name, {2: [Branch(3.2877659797668457, 51.253599195720575)]}), 1)[1:4] == (1, 7, -143)
+    assert follow_bend(Line(BEND, name, {4: [Branch(3.288109302520752, 51.25313250747596)]}), 1)[1:4] == (1, 4, -77)
+
+    klaver, ezel = {"name": "Klaverstraat"}, {"name": "Ezelstraat"}
+    # The second street begins at the last point: the last piece is still of the first.
+    assert follow_along(Line(STREET, [klaver] * 6), 1)[:3] == ("followalong", 1, 5)
+    assert follow_along(Line([(3.220186908178931, 51.21572321641173), *STREET], [klaver] * 7), 1) is None
+    assert base(Line(CORNER, [{"name": "Elf-Julistraat"}, klaver]), 0)[1:4] == (0, 1, 90)
+    assert base(Line(CORNER[::-1], [klaver, {"name": "Elf-Julistraat"}]), 0)[1:4] == (0, 1, -90)
+    assert base(Line(CORNER, [ezel, klaver]), 1) is None
+    right = Line([(3.2200763, 51.215923), (3.2203252, 51.215485), (3.2195995, 51.215298)], [{"name": "Elf-Julistraat"}, klaver])
+    assert [f[:4] for f in scan(right, ("roundabout", "turn", "base"))] == [("base", 0, 1, -87), ("turn", 1, 1, -87), ("end", 1, 2, 0)]
+    along = Line([(3.2203238220720323, 51.215487201201114), (3.2208590840492377, 51.215600349155096), (3.2210915919065712, 51.215630089643184)], [klaver, klaver])
+    assert scan(along)[1][0] == "followalong"
+    off = Line([(3.2208590840492377, 51.215600349155096), (3.2210915919065712, 51.215630089643184), (3.221081870955544, 51.215575831418306)], [klaver, {"name": "Vlamingdam"}])
+    assert scan(off)[1][0] == "turn"
+    path = [(3.213835487550398, 51.210335796947305), (3.213832145410805, 51.210259375824165), (3.2137970529425957, 51.210155736015906), (3.213740236565144, 51.21006884589596), (3.213661696278564, 51.210029064822805), (3.2135965245518605, 51.21001126801539), (3.213499602496398, 51.21000289304513), (3.2134026804409643, 51.21000498678771), (3.2132756791262693, 51.21005523658562)]
+    assert [f[:1] + f[3:4] for f in scan(Line(path, [{"highway": "cycleway"}] * 8))] == [("start", 0), ("followbend", -117), ("end", 0)]
+
+    groene = {"name": "Groenestraat"}
+    cross = [(3.2175779342651363, 51.21153207328682), (3.2173392176628113, 51.211704299781594), (3.217083066701889, 51.21161356590366), (3.2166606187820435, 51.21148670620053)]
+    left = intersection(Line(cross, [klaver, groene, groene], {1: [Branch(3.217179626226425, 51.2118614033882, klaver), Branch(3.2176195085048676, 51.21182611813286, groene)]}), 1)
+    assert (left[2], left[4]["actualindex"], len(left[4]["roads"])) == (2, "2", 3) and left[4]["roads"][2] == (left[3], groene)
+    right = intersection(Line([(3.217179626226425, 51.2118614033882), *cross[1:]], [klaver, groene, groene], {1: [Branch(*cross[0], klaver), Branch(3.2176195085048676, 51.21182611813286, groene)]}), 1)
+    assert (right[2], right[4]["actualindex"]) == (2, "1")
+
+
+def test_relative_directions(spark):
+    angles = [0, 4.9, 5, 24.9, 25, 130, 154.9, 155, 169.9, 170, 189.9, 190, 204.9, 205, 300, 334.9, 335, 354.9, 355]
+    rows = spark.createDataFrame([(float(a),) for a in angles], "a double").select(geo.relative_direction(F.col("a")).alias("k")).collect()
+    want = ["TurnBack"] * 2 + ["SharpRight"] * 2 + ["Right"] * 3 + ["SlightlyRight"] * 2 + ["StraightOn"] * 2 + ["SlightlyLeft"] * 2 + ["Left"] * 3 + ["SharpLeft"] * 2 + ["TurnBack"]
+    assert [r.k for r in rows] == want
+    one = spark.range(1).select(geo.turn_angle(*[F.lit(float(x)) for x in (0, 51, 1, 51, 1, 50)]).alias("a"), geo.turn_angle(*[F.lit(float(x)) for x in (1, 51, 1, 51, 1, 50)]).alias("n")).first()
+    assert round(one.a, 6) == 90 and one.n is None
 
 
 @pytest.mark.parametrize("plan", ["queries", "town", "drills"])

@@ -63,9 +63,8 @@ def position_along(lon1, lat1, lon2, lat2, share) -> Column:
 
 
 def bearing(lon1, lat1, lon2, lat2) -> Column:
-    """Angle with the meridian: 0 north, positive to the east, -180 to 180."""
-    x = F.radians(lon2 - lon1) * F.cos(F.radians(lat1 + lat2) / 2)
-    return F.degrees(F.atan2(x, F.radians(lat2 - lat1)))
+    """Angle with the meridian: 0 north, positive to the east, -180 to 180; a degree of longitude is as wide as at the first point."""
+    return F.degrees(F.atan2((lon2 - lon1) * F.cos(F.radians(lat1)), lat2 - lat1))
 
 
 def normalize_degrees(angle) -> Column:
@@ -80,23 +79,19 @@ def normalize_signed(angle) -> Column:
 
 
 def turn_angle(lon1, lat1, lon2, lat2, lon3, lat3) -> Column:
-    """Angle at the second point from the first to the third, [0, 360)."""
-    return normalize_degrees(bearing(lon2, lat2, lon1, lat1) - bearing(lon2, lat2, lon3, lat3))
+    """Angle at the second point from the first to the third against the clock, [0, 360), in the plane of degrees; null where points coincide."""
+    x1, y1, x3, y3 = lon1 - lon2, lat1 - lat2, lon3 - lon2, lat3 - lat2
+    apart = ((x1 != 0) | (y1 != 0)) & ((x3 != 0) | (y3 != 0))
+    return F.when(apart, normalize_degrees(F.degrees(F.atan2(x1 * y3 - y1 * x3, x1 * x3 + y1 * y3))))
+
+
+#: Where each kind of turn begins, in degrees as :func:`turn_angle` measures them; straight on is 180.
+RELATIVE = ((355, "TurnBack"), (335, "SharpLeft"), (205, "Left"), (190, "SlightlyLeft"), (170, "StraightOn"), (155, "SlightlyRight"), (25, "Right"), (5, "SharpRight"), (0, "TurnBack"))
 
 
 def relative_direction(angle) -> Column:
-    """Name of a turn of ``angle`` degrees as :func:`turn_angle` measures it; straight on is 180."""
-    straight, turn, back = 10, 65, 5
-    return (
-        F.when((angle >= 180 - straight) & (angle <= 180 + straight), "StraightOn")
-        .when((angle < back) | (angle > 360 - back), "TurnBack")
-        .when(angle < 90 - (90 - turn), "SharpRight")
-        .when(angle < 90 + (90 - turn), "Right")
-        .when(angle < 180 - straight, "SlightlyRight")
-        .when(angle <= 270 - (90 - turn), "SlightlyLeft")
-        .when(angle <= 270 + (90 - turn), "Left")
-        .otherwise("SharpLeft")
-    )
+    """Name of a turn of ``angle`` degrees, [0, 360)."""
+    return F.coalesce(*[F.when(angle >= least, name) for least, name in RELATIVE])
 
 
 def compass(lon1, lat1, lon2, lat2) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,13 +26,31 @@ def signed(angle: float) -> int:
     return int(a - 360 if a > 180 else a)
 
 
+def _sign(x: int) -> int:
+    return (x > 0) - (x < 0)
+
+
+def _bearing(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """Angle with the meridian, 0 for points that coincide."""
+    east, north = (b[0] - a[0]) * math.cos(math.radians(a[1])), b[1] - a[1]
+    return math.degrees(math.atan2(east, north)) if east or north else 0.0
+
+
+class Branch(NamedTuple):
+    """A way that leaves the route at a point: its next point, and its attributes."""
+
+    lon: float
+    lat: float
+    attrs: dict[str, str] = {}
+
+
 @dataclass
 class Line:
-    """One route, indexed by point."""
+    """One route, indexed by point; piece k leads from point k to the next."""
 
     points: list[tuple[float, float]]
     attrs: list[dict[str, str]]
-    branches: dict[int, list[tuple[float, float]]] = field(default_factory=dict)
+    branches: dict[int, list[Branch]] = field(default_factory=dict)
 
     @property
     def last(self) -> int:
@@ -42,108 +61,132 @@ class Line:
         x = math.radians(c - a) * math.cos(math.radians((b + d) / 2))
         return math.hypot(x, math.radians(d - b)) * 6_371_000
 
-    def bearing(self, k: int) -> float:
-        (a, b), (c, d) = self.points[k], self.points[k + 1]
-        return math.degrees(math.atan2(math.radians(c - a) * math.cos(math.radians((b + d) / 2)), math.radians(d - b)))
+    def departing(self, k: int) -> float:
+        """Bearing of the piece after a point; 0 at the end, where nothing follows."""
+        return _bearing(self.points[k], self.points[k + 1]) if k < self.last else 0.0
+
+    def arriving(self, k: int) -> float:
+        return self.departing(k - 1) if k > 0 else 0.0
 
     def turn(self, k: int) -> int:
-        """Change of direction at a point; 0 at the ends."""
-        return signed(self.bearing(k - 1) - self.bearing(k)) if 0 < k < self.last else 0
+        """Change of direction at a point."""
+        return signed(self.arriving(k) - self.departing(k))
 
     def name(self, k: int) -> str | None:
-        return self.attrs[min(max(k, 0), self.last)].get("name")
+        return self.attrs[k].get("name")
+
+    def ring(self, k: int) -> bool:
+        return self.attrs[k].get("junction") == "roundabout"
+
+    def until(self, k: int, goes_on: Callable[[int], bool]) -> int:
+        """The first point after ``k`` where something that began there does not go on; the last point if it always does."""
+        return next((i for i in range(k + 1, self.last) if not goes_on(i)), self.last)
+
+    def span(self, k: int, end: int) -> tuple[int, float]:
+        """Sum of the turns at the points from ``k`` to before ``end``, and metres of the pieces there."""
+        return sum(map(self.turn, range(k, end))), sum(map(self.metres, range(k, end)))
 
 
-Found = tuple[str, int, int, int, dict[str, str]]
+Found = tuple[str, int, int, int, dict[str, Any]]
 
 
 def start(r: Line, k: int) -> Found | None:
-    return ("start", 0, 0, 0, {"startdegrees": str(signed(r.bearing(0))), "projectiondistance": "0"}) if k == 0 and r.last > 0 else None
+    return ("start", 0, 0, 0, {"startdegrees": str(signed(r.departing(0))), "projectiondistance": "0"}) if k == 0 else None
+
+
+def end(r: Line, k: int) -> Found | None:
+    return ("end", k, k + 1, 0, {"projectiondistance": "0"}) if k == r.last - 1 else None
 
 
 def roundabout(r: Line, k: int) -> Found | None:
-    """Exits are counted by the branches passed."""
-    inside = lambda i: r.attrs[i].get("junction") == "roundabout"
-    if k == 0 or k >= r.last or not inside(k) or inside(k - 1):
+    """From the point before the ring to the point after the exit, if the route goes on there; the turn is that from the way in to the way out.
+
+    Exits are counted by the ways that leave at the ring's points, the first one included.
+    """
+    if k >= r.last - 1 or not r.ring(k + 1):
         return None
-    end, passed = k, 0
-    while end < r.last and inside(end):
-        end += 1
-        passed += len(r.branches.get(end, ())) if end < r.last and inside(end) else 0
-    return ("roundabout", k, end, signed(r.bearing(k - 1) - r.bearing(min(end, r.last - 1))), {"exitnumber": str(passed + 1)})
+    out = r.until(k, r.ring)
+    passed = sum(len(r.branches.get(i, ())) for i in range(k + 1, out))
+    return ("roundabout", k, out + (out + 1 < r.last), signed(r.arriving(k) - r.departing(out)), {"exitnumber": str(passed + 1)})
 
 
-def _gather(r: Line, k: int, longest: float, inner_branches: bool) -> tuple[int, int, float]:
-    """(end, total turn, metres) of turns of one sign in pieces of at most ``longest`` metres under one name."""
-    total, end, metres = r.turn(k), k, 0.0
-    while end + 1 < r.last and r.metres(end) <= longest and r.name(end + 1) == r.name(k) and (inner_branches or not r.branches.get(end + 1)):
-        more = r.turn(end + 1)
-        if more == 0 or (more > 0) != (total > 0):
-            break
-        metres += r.metres(end)
-        end += 1
-        total += more
-    return end, total, metres
+def _steep(total: int, metres: float) -> bool:
+    return abs(total) >= 45 or not metres or abs(total) / metres >= 2.5
 
 
-def _sharp(total: int, metres: float) -> bool:
-    return abs(total) >= 45 or metres > 0 and abs(total) / metres >= 2.5
+def _inside(r: Line, k: int, side: int) -> bool:
+    """Whether a way leaves on the side to which the route bends, at least as sharply as the route turns."""
+    return any(_sign(t) == side and abs(t) >= abs(r.turn(k)) for t in (signed(r.arriving(k) - _bearing(r.points[k], b[:2])) for b in r.branches.get(k, ())))
 
 
 def follow_bend(r: Line, k: int) -> Found | None:
-    if not 0 < k < r.last or not r.turn(k):
+    """Turns to one side under one name, in pieces of at most 35 metres, with no way inside the bend."""
+    if not 0 < k < r.last:
         return None
-    end, total, metres = _gather(r, k, 35.0, False)
-    return ("followbend", k, end, total, {}) if end - k >= 2 and _sharp(total, metres) else None
+    side = _sign(r.turn(k))
+    out = r.until(k, lambda i: r.metres(i) <= 35 and _sign(r.turn(i)) == side and r.name(i) == r.name(k) and not _inside(r, i, side))
+    total, metres = r.span(k, out)
+    return ("followbend", k, out, total, {}) if out - k > 2 and _steep(total, metres) else None
 
 
 def follow_along(r: Line, k: int) -> Found | None:
-    end, total, metres = k, 0, 0.0
-    while end < r.last and r.name(end) == r.name(k) and r.attrs[end].get("junction") != "roundabout":
-        t = r.turn(end) if end > k else 0
-        if abs(t) > 35 or abs(total + t) >= 45 or metres > 0 and abs(total + t) / metres >= 2.5:
-            break
-        total += t
-        metres += r.metres(end)
-        end += 1
-    return ("followalong", k, end, total, {}) if k > 0 and end > k + 1 and abs(r.turn(k)) <= 35 else None
+    """One name and no turn over 35 degrees; the turn is that between the ways in at both ends."""
+    if not 0 < k < r.last:
+        return None
+    out = r.until(k, lambda i: abs(r.turn(i)) <= 35 and r.name(i) == r.name(k) and not r.ring(i))
+    total, (_, metres) = signed(r.arriving(out) - r.arriving(k)), r.span(k, out)
+    return None if total and _steep(total, metres) else ("followalong", k, out, total, {})
 
 
 def turn(r: Line, k: int) -> Found | None:
-    if not 0 < k < r.last or not r.turn(k):
+    """Turns to one side in pieces of at most 5 metres."""
+    if not 0 < k < r.last:
         return None
-    end, total, metres = _gather(r, k, 5.0, True)
-    return ("turn", k, end, total, {}) if _sharp(total, metres) else None
+    side = _sign(r.turn(k))
+    out = r.until(k, lambda i: r.metres(i) <= 5 and _sign(r.turn(i)) == side)
+    total, metres = r.span(k, out)
+    return ("turn", k, out - 1, total, {}) if _steep(total, metres) else None
 
 
 def intersection(r: Line, k: int) -> Found | None:
-    """Rank of the way taken among the ways at a point, from left to right."""
-    if not 0 < k < r.last or not r.branches.get(k):
+    """Rank of the way taken among the ways at a point, from left to right; ``roads`` has all of them in that order.
+
+    The direction of another way is measured from its next point to the crossing, that of the way taken from the crossing on.
+    """
+    if k + 1 >= r.last or not r.branches.get(k):
         return None
     own = r.turn(k)
-    a, b = r.points[k]
-    angles = [signed(r.bearing(k - 1) - math.degrees(math.atan2(math.radians(c - a) * math.cos(math.radians((b + d) / 2)), math.radians(d - b)))) for c, d in r.branches[k]]
-    return ("intersection", k, k, own, {"rank": str(sum(x > own for x in angles)), "ways": str(len(angles) + 1)})
+    others = [(signed(r.arriving(k) - _bearing((b[0], b[1]), r.points[k])), dict(b[2]) if len(b) > 2 else {}) for b in r.branches[k]]
+    rank = sum(t >= own for t, _ in others)
+    roads = sorted(others, key=lambda x: -x[0])
+    roads.insert(rank, (own, r.attrs[k]))
+    return ("intersection", k, k + 1, own, {"rank": str(rank), "actualindex": str(rank), "ways": str(len(roads)), "roads": roads})
 
 
 def base(r: Line, k: int) -> Found | None:
-    return ("base", k, k, r.turn(k), {}) if 0 < k < r.last and r.name(k) != r.name(k - 1) else None
+    """What to do at the next point, wherever that is not the last."""
+    return ("base", k, k + 1, r.turn(k + 1), {}) if k + 1 < r.last else None
 
 
-GENERATORS: dict[str, Callable[[Line, int], Found | None]] = {"start": start, "roundabout": roundabout, "followbend": follow_bend, "followalong": follow_along, "turn": turn, "intersection": intersection, "base": base}
+GENERATORS: dict[str, Callable[[Line, int], Found | None]] = {"start": start, "end": end, "roundabout": roundabout, "followbend": follow_bend, "followalong": follow_along, "turn": turn, "intersection": intersection, "base": base}
 DEFAULT = ("start", "roundabout", "followbend", "followalong", "turn", "base")
 
 
-def scan(r: Line, generators=DEFAULT) -> list[Found]:
+def scan(r: Line, generators=DEFAULT, *, gaps: bool = False) -> list[Found]:
+    """The first answer at each point, going on where it ends, and the end.
+
+    A point where no generator answers is an error, or with ``gaps`` passed over.
+    """
     chosen = [g if callable(g) else GENERATORS[g] for g in generators]
     out, k = [], 0
     while k < r.last:
         found = next((f for g in chosen if (f := g(r, k))), None)
         if found:
             out.append(found)
+        elif not gaps:
+            raise ValueError(f"no generator has an instruction for point {k}")
         k = max(k + 1, found[2] if found else 0)
-    out.append(("end", r.last, r.last, 0, {}))
-    return out
+    return [*out, end(r, r.last - 1)]
 
 
 def value(r: Line, f: Found, key: str) -> str | None:
@@ -152,43 +195,56 @@ def value(r: Line, f: Found, key: str) -> str | None:
     if key[0] in ".+-":
         at = {".": k, "+": end, "-": k - 1}[key[0]]
         return r.attrs[at].get(key[1:]) if 0 <= at < r.last else None
-    return {"type": kind, "turndegrees": str(degrees), "shapeindex": str(k), "shapeindexend": str(end)}.get(key, extra.get(key))
+    found = {"type": kind, "turndegrees": str(degrees), "shapeindex": str(k), "shapeindexend": str(end)}.get(key, extra.get(key))
+    return found if isinstance(found, str) else None
 
 
 def text(r: Line, f: Found, texts: Texts) -> str:
     return texts(lambda key: value(r, f, key))
 
 
-def instructions(routes: DataFrame, *, generators=None, languages: tuple[str, ...] = ("en",), settings: Settings | None = None) -> DataFrame:
-    """Routes (query_id, shape, meta as built by ``routes.build``) to query_id, seq, type, shape_idx, shape_idx_end, turn_degrees, texts (by language).
+_INSTRUCTION = "seq int, type string, shape_idx int, shape_idx_end int, turn_degrees int, exit_number int, roads array<struct<degrees:int,attrs:map<string,string>>>, texts map<string,string>"
 
-    An optional column ``branches`` (array of shape_idx, lon, lat) gives the ways that are passed.
+
+def instructions(routes: DataFrame, *, generators=None, languages: tuple[str, ...] = ("en",), settings: Settings | None = None, gaps: bool = False) -> DataFrame:
+    """Routes (query_id, shape, meta as built by ``routes.build``) to query_id, seq, type, shape_idx, shape_idx_end, turn_degrees, exit_number (of roundabouts), roads (at intersections, from the left), texts (by language).
+
+    An optional column ``branches`` (array of shape_idx, lon, lat, and if there are any attrs) gives the ways that are passed.
+    ``gaps``: points where none of the generators answers are passed over instead of failing.
     """
     settings = Settings() if settings is None else settings
     generators = settings.generators if generators is None else generators
     rules = {c: settings.languages[c] for c in languages}
     kind = routes.schema["query_id"].dataType.simpleString()
-    branch = F.col("branches") if "branches" in routes.columns else F.array().cast("array<struct<shape_idx:int,lon:double,lat:double>>")
+    sides = F.col("branches") if "branches" in routes.columns else F.array().cast("array<struct<shape_idx:int,lon:double,lat:double>>")
+    if "branches" not in routes.columns or "attrs" not in routes.schema["branches"].dataType.elementType.names:
+        sides = F.transform(sides, lambda b: b.withField("attrs", F.create_map().cast("map<string,string>")))
     metas = F.transform("meta", lambda m: F.struct(m["shape_idx"].alias("shape_idx"), F.from_json(m["attrs"], "map<string,string>").alias("attrs")))
+    tags = lambda m: {k: v for k, v in (dict(m) if m is not None else {}).items() if v is not None}
+
+    def line(q) -> Line:
+        attrs: list[dict[str, str]] = []
+        for m in q.meta:
+            attrs += [tags(m["attrs"])] * (m["shape_idx"] - len(attrs))
+        r = Line([(p["lon"], p["lat"]) for p in q.shape], attrs)
+        for b in q.branches if q.branches is not None else ():
+            r.branches.setdefault(b["shape_idx"], []).append(Branch(b["lon"], b["lat"], tags(b["attrs"])))
+        return r
+
+    def rows(q, texts: dict[str, Texts]) -> Iterator[tuple]:
+        r = line(q)
+        for n, f in enumerate(scan(r, generators, gaps=gaps) if r.last > 0 else ()):
+            roads = [{"degrees": d, "attrs": a} for d, a in f[4].get("roads", ())]
+            yield q.query_id, n, *f[:4], int(f[4]["exitnumber"]) if "exitnumber" in f[4] else None, roads, {c: text(r, f, texts[c]) for c in languages}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = {c: Texts(r) for c, r in rules.items()}
         for b in batches:
-            rows = []
-            for q in b.itertuples(index=False):
-                attrs: list[dict[str, str]] = []
-                for m in q.meta:
-                    own = {k: v for k, v in (dict(m["attrs"]) if m["attrs"] is not None else {}).items() if v is not None}
-                    attrs += [own] * (m["shape_idx"] - len(attrs))
-                r = Line([(p["lon"], p["lat"]) for p in q.shape], [*attrs, attrs[-1] if attrs else {}])
-                for x in q.branches:
-                    r.branches.setdefault(x["shape_idx"], []).append((x["lon"], x["lat"]))
-                if len(r.points) > 1:
-                    rows += [(q.query_id, n, f[0], f[1], f[2], f[3], {c: text(r, f, texts[c]) for c in languages}) for n, f in enumerate(scan(r, generators))]
-            yield pd.DataFrame(rows, columns=["query_id", "seq", "type", "shape_idx", "shape_idx_end", "turn_degrees", "texts"])
-
-    picked = routes.select("query_id", "shape", metas.alias("meta"), branch.alias("branches"))
-    return picked.mapInPandas(run, f"query_id {kind}, seq int, type string, shape_idx int, shape_idx_end int, turn_degrees int, texts map<string,string>")
+            out = pd.DataFrame([x for q in b.itertuples(index=False) for x in rows(q, texts)], columns=["query_id", *(c.split()[0] for c in _INSTRUCTION.split(", "))])
+            yield out.astype({"exit_number": "Int32"})
+
+    picked = routes.select("query_id", "shape", metas.alias("meta"), sides.alias("branches"))
+    return picked.mapInPandas(run, f"query_id {kind}, {_INSTRUCTION}")
 
 
 def augment(routes: DataFrame, found: DataFrame, prefix: str = "instruction:") -> DataFrame:

@@ -229,7 +229,7 @@ QUERIES = {
 }
 
 _DIST = "sqrt(pow(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), 2) + pow(radians({b}.lat - {a}.lat), 2)) * 6371000"
-_BEARING = "degrees(atan2(radians(q.lon - p.lon) * cos(radians(p.lat + q.lat) / 2), radians(q.lat - p.lat)))"
+_BEARING = "degrees(atan2((q.lon - p.lon) * cos(radians(p.lat)), q.lat - p.lat))"
 _BOX = "b AS (SELECT s_suppkey AS query_id, 4.7003::DOUBLE + (s_suppkey % 20) * 0.002::DOUBLE AS lon, 51.2004::DOUBLE + (s_suppkey % 6) * 0.0012::DOUBLE AS lat FROM supplier)"
 _TILE_X = "floor(({x} + 180) / 360 * 16384)::BIGINT"
 _TILE_Y = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * 16384)::BIGINT"

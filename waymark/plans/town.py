@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import attributes, geo
 from waymark.operators import graph, instructions, mutate, places, routes, routing
+from waymark.operators.texts import Settings
 from waymark.operators.profiles import CAR, CAR_SPEEDS, PEDESTRIAN, Profile, _car_turns, prepare
 from waymark.plans.queries import KINDS, NEAR, metres_sql, snap_sql
 from waymark.sources import geojson, osm
@@ -213,10 +214,34 @@ def _built(spark, sf_dir):
     return routes.build(_parts(spark, sf_dir)[2])
 
 
+def _ringed(spark, sf_dir):
+    """Routes with their branches, in a town where every sixth edge is part of a roundabout."""
+    n, arcs, found = _paths(spark, sf_dir)
+    ring = F.when(F.col("edge_id") % 6 == 1, F.map_concat("attrs", F.create_map(F.lit("junction"), F.lit("roundabout")))).otherwise(F.col("attrs"))
+    shaped = _shaped(n).select("edge_id", "points", ring.alias("attrs"), "length_cm")
+    speeds = n.edges.select("edge_id", *DRIVER.factors(F.col("attrs"))[2:4])
+    on = routes.path_edges(found)
+    return routes.build(routes.pieces(on, shaped, speeds), routes.branch_points(on, graph.arcs(n.edges), shaped))
+
+
+def town_branch_points(spark, sf_dir):
+    """Ways that leave the built routes: where, and their next points."""
+    b = _ringed(spark, sf_dir).select("query_id", F.explode("branches").alias("b"))
+    return b.select("query_id", "b.shape_idx", "b.edge_id", "b.forward", F.round("b.lon", 7).alias("lon"), F.round("b.lat", 7).alias("lat"), F.col("b.attrs")["name"].alias("name"))
+
+
 def route_instructions(spark, sf_dir):
-    """Instructions along the routes, in two languages."""
-    out = instructions.instructions(_built(spark, sf_dir), languages=("en", "nl"))
-    return out.select("query_id", "seq", "type", "shape_idx", "shape_idx_end", "turn_degrees", F.col("texts")["en"].alias("text_en"), F.col("texts")["nl"].alias("text_nl"))
+    """Instructions along the routes: roundabouts with their exits, bends, turns, streets to follow."""
+    out = instructions.instructions(_ringed(spark, sf_dir), languages=("en", "nl"))
+    return out.select("query_id", "seq", "type", "shape_idx", "shape_idx_end", "turn_degrees", F.coalesce("exit_number", F.lit(0)).alias("exit_number"), F.col("texts")["en"].alias("text_en"))
+
+
+def town_guides(spark, sf_dir):
+    """The same routes with crossings and next steps only: the rank of the way taken among all ways, and the turn at the next point elsewhere."""
+    settings = Settings(("start", "intersection", "base"), {"en": {"intersection": "way $actualIndex of $ways", "start": "", "end": "", "*": "$turnDegrees $.name"}})
+    out = instructions.instructions(_ringed(spark, sf_dir), settings=settings, gaps=True)
+    names = F.array_join(F.transform("roads", lambda r: F.concat(r["degrees"].cast("string"), F.lit(" "), r["attrs"]["name"])), "|")
+    return out.select("query_id", "seq", "type", "shape_idx", "shape_idx_end", "turn_degrees", names.alias("roads"), F.col("texts")["en"].alias("text_en"))
 
 
 def town_starts(spark, sf_dir):
@@ -506,7 +531,7 @@ def town_footways(spark, sf_dir):
     return arcs.select("arc_id", F.floor(F.col("length_cm") / F.col("speed")).cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, route_instructions, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
+QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branch_points, route_instructions, town_guides, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
 
 _TILE = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * {n})::BIGINT * {n} + floor(({x} + 180) / 360 * {n})::BIGINT"
 
@@ -531,8 +556,42 @@ piece AS (SELECT path.q, seq, path.n, d.arc_id, d.edge_id, d.forward, d.cm, d.sp
   FROM path JOIN d ON d.arc_id = path.k JOIN e ON e.edge_id = d.edge_id JOIN od ON od.q = path.q),
 part AS (SELECT *, cm / 100.0::DOUBLE * ((o2 - o1) / 65535.0::DOUBLE) AS m, (2 + CASE WHEN n_pts > 2 THEN (CASE WHEN forward THEN m1 ELSE whole - m1 END > whole * o1 / 65535 AND CASE WHEN forward THEN m1 ELSE whole - m1 END < whole * o2 / 65535)::INT ELSE 0 END + CASE WHEN n_pts > 3 THEN (CASE WHEN forward THEN m2 ELSE whole - m2 END > whole * o1 / 65535 AND CASE WHEN forward THEN m2 ELSE whole - m2 END < whole * o2 / 65535)::INT ELSE 0 END)::INT AS n_points FROM piece)
 """
-_REL = "CASE WHEN angle >= 170 AND angle <= 190 THEN 'StraightOn' WHEN angle < 5 OR angle > 355 THEN 'TurnBack' WHEN angle < 65 THEN 'SharpRight' WHEN angle < 115 THEN 'Right' WHEN angle < 170 THEN 'SlightlyRight' WHEN angle <= 245 THEN 'SlightlyLeft' WHEN angle <= 295 THEN 'Left' ELSE 'SharpLeft' END"
-_BEAR = "degrees(atan2(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), radians({b}.lat - {a}.lat)))"
+#: The kinds of turns by the angle between the pieces: back within 5 degrees, sharp up to 25, to the side up to 155, slight up to 170, straight on within 10.
+_REL = "CASE WHEN angle < 5 OR angle >= 355 THEN 'TurnBack' WHEN angle < 25 THEN 'SharpRight' WHEN angle < 155 THEN 'Right' WHEN angle < 170 THEN 'SlightlyRight' WHEN angle < 190 THEN 'StraightOn' WHEN angle < 205 THEN 'SlightlyLeft' WHEN angle < 335 THEN 'Left' ELSE 'SharpLeft' END"
+_BEAR = "degrees(atan2(({b}.lon - {a}.lon) * cos(radians({a}.lat)), {b}.lat - {a}.lat))"
+
+#: Routes point by point: pt (points), gr (per route: last point, and of every piece or point the bearing, metres, name, ring, turn, ways with their turns, from the route and towards it), all lists from 1.
+_SIGNED = "trunc(CASE WHEN {x} - floor({x} / 360) * 360 > 180 THEN {x} - floor({x} / 360) * 360 - 360 ELSE {x} - floor({x} / 360) * 360 END)::INT"
+_INNER = "CASE WHEN n_pts > {k} AND CASE WHEN forward THEN m{k1} ELSE whole - m{k1} END > whole * o1 / 65535 AND CASE WHEN forward THEN m{k1} ELSE whole - m{k1} END < whole * o2 / 65535 THEN [pts[{k}]] ELSE [] END"
+_GUIDE = f""", og AS (SELECT part.*, e.pts, e.metres, e.d2, e.d3, e.name, part.edge_id % 6 = 1 AS ring, CASE WHEN part.forward THEN o1 ELSE 65535 - o1 END / 65535.0::DOUBLE AS s1, CASE WHEN part.forward THEN o2 ELSE 65535 - o2 END / 65535.0::DOUBLE AS s2 FROM part JOIN e ON e.edge_id = part.edge_id),
+ln AS (SELECT *, (sum(n_points - 1) OVER (PARTITION BY q ORDER BY seq))::INT AS upto, [{{'lon': {_at('s1', 'lon')}, 'lat': {_at('s1', 'lat')}}}] || CASE WHEN forward THEN {_INNER.format(k=2, k1=1)} || {_INNER.format(k=3, k1=2)} ELSE {_INNER.format(k=3, k1=2)} || {_INNER.format(k=2, k1=1)} END || [{{'lon': {_at('s2', 'lon')}, 'lat': {_at('s2', 'lat')}}}] AS line FROM og),
+pt AS (SELECT q, upto - n_points + j AS i, line[j] AS p, name, ring FROM (SELECT *, unnest(range(1, n_points)) AS j FROM ln) UNION ALL SELECT q, upto, line[n_points], name, ring FROM ln WHERE seq = n - 1),
+bothw AS (SELECT edge_id * 2 AS arc_id, edge_id, true AS forward, tail AS from_v, pts[2] AS np, name FROM e UNION ALL SELECT edge_id * 2 + 1, edge_id, false, head, pts[-2], name FROM e),
+ends AS (SELECT ln.q, ln.upto AS i, d.to_v AS v FROM ln JOIN d ON d.arc_id = ln.arc_id WHERE seq < n - 1 OR o2 = 65535 UNION ALL SELECT ln.q, 0, d.from_v FROM ln JOIN d ON d.arc_id = ln.arc_id WHERE seq = 0 AND o1 = 0),
+br AS (SELECT ends.q, ends.i, x.edge_id, x.forward, x.np, x.name FROM ends JOIN bothw x ON x.from_v = ends.v WHERE NOT EXISTS (SELECT 1 FROM ln y WHERE y.q = ends.q AND y.edge_id = x.edge_id)),
+p2 AS (SELECT *, lag(p) OVER w AS pp, lead(p) OVER w AS pn FROM pt WINDOW w AS (PARTITION BY q ORDER BY i)),
+p3 AS (SELECT *, CASE WHEN pp IS NULL OR pp = p THEN 0 ELSE {_BEAR.format(a='pp', b='p')} END AS arr, CASE WHEN pn IS NULL OR pn = p THEN 0 ELSE {_BEAR.format(a='p', b='pn')} END AS dep, {metres_sql('p', 'pn')} AS m FROM p2),
+b3 AS (SELECT p3.q, p3.i, list({_SIGNED.format(x="(arr - " + _BEAR.format(a="p", b="np") + ")")}) AS off, list({{'t': {_SIGNED.format(x="(arr - " + _BEAR.format(a="np", b="p") + ")")}, 'name': br.name, 'e': br.edge_id, 'f': br.forward}}) AS toward FROM br JOIN p3 ON p3.q = br.q AND p3.i = br.i GROUP BY p3.q, p3.i),
+p4 AS (SELECT p3.*, {_SIGNED.format(x='(arr - dep)')} AS t, coalesce(off, []) AS off, coalesce(toward, []) AS toward FROM p3 LEFT JOIN b3 ON b3.q = p3.q AND b3.i = p3.i),
+gr AS (SELECT q, max(i) AS z, list(arr ORDER BY i) AS arr, list(dep ORDER BY i) AS dep, list(m ORDER BY i) AS m, list(name ORDER BY i) AS nm, list(ring ORDER BY i) AS ring, list(t ORDER BY i) AS t, list(off ORDER BY i) AS off, list(toward ORDER BY i) AS toward FROM p4 GROUP BY q),
+at_ AS (SELECT *, unnest(range(0, z)) AS k FROM gr)
+"""
+#: What each generator says at every point of every route.
+_STEEP = "(abs({t}) >= 45 OR {m} = 0 OR abs({t}) / {m} >= 2.5)"
+_ANSWERS = _GUIDE + f""", r1 AS (SELECT *, CASE WHEN k < z - 1 AND ring[k + 2] THEN coalesce(list_min(list_filter(range(k + 1, z), lambda i: NOT ring[i + 1])), z) END AS ro,
+  coalesce(list_min(list_filter(range(k + 1, z), lambda i: NOT (m[i + 1] <= 35 AND sign(t[i + 1]) = sign(t[k + 1]) AND nm[i + 1] = nm[k + 1] AND len(list_filter(off[i + 1], lambda b: sign(b) = sign(t[k + 1]) AND abs(b) >= abs(t[i + 1]))) = 0))), z) AS bo,
+  coalesce(list_min(list_filter(range(k + 1, z), lambda i: NOT (abs(t[i + 1]) <= 35 AND nm[i + 1] = nm[k + 1] AND NOT ring[i + 1]))), z) AS ao,
+  coalesce(list_min(list_filter(range(k + 1, z), lambda i: NOT (m[i + 1] <= 5 AND sign(t[i + 1]) = sign(t[k + 1])))), z) AS tu FROM at_),
+r2 AS (SELECT *, list_sum(t[k + 1 : bo])::INT AS bt, list_sum(m[k + 1 : bo]) AS bm, {_SIGNED.format(x='(arr[ao + 1] - arr[k + 1])')} AS al, list_sum(m[k + 1 : ao]) AS am, list_sum(t[k + 1 : tu])::INT AS tt, list_sum(m[k + 1 : tu]) AS tm FROM r1),
+say AS (SELECT q, k, z, nm, CASE WHEN k = 0 THEN {{'y': 'start', 'e': 0, 't': 0, 'x': 0}}
+  WHEN ro IS NOT NULL THEN {{'y': 'roundabout', 'e': ro + (ro + 1 < z)::INT, 't': {_SIGNED.format(x='(arr[k + 1] - dep[ro + 1])')}, 'x': 1 + coalesce(list_sum(list_transform(off[k + 2 : ro], lambda b: len(b))), 0)::INT}}
+  WHEN bo - k > 2 AND {_STEEP.format(t='bt', m='bm')} THEN {{'y': 'followbend', 'e': bo, 't': bt, 'x': 0}}
+  WHEN al = 0 OR NOT {_STEEP.format(t='al', m='am')} THEN {{'y': 'followalong', 'e': ao, 't': al, 'x': 0}}
+  WHEN {_STEEP.format(t='tt', m='tm')} THEN {{'y': 'turn', 'e': tu - 1, 't': tt, 'x': 0}}
+  WHEN k + 1 < z THEN {{'y': 'base', 'e': k + 1, 't': t[k + 2], 'x': 0}} END AS a, {_SIGNED.format(x='dep[1]')} AS deg FROM r2)
+"""
+_LR = "CASE WHEN {t} <= -135 THEN 'sharply right' WHEN {t} <= -65 THEN 'right' WHEN {t} <= -25 THEN 'slightly right' WHEN {t} < 25 THEN 'straight' WHEN {t} < 65 THEN 'slightly left' WHEN {t} < 135 THEN 'left' ELSE 'sharply left' END"
+_EXITS = "CASE {x} WHEN 1 THEN 'first' WHEN 2 THEN 'second' WHEN 3 THEN 'third' WHEN 4 THEN 'fourth' WHEN 5 THEN 'fifth' WHEN 6 THEN 'sixth' WHEN 7 THEN 'seventh' ELSE {x} || 'th' END || ' exit'"
 
 
 #: Places at an offset on edges, with the angle there and how far that is from the south west.
@@ -551,7 +610,7 @@ ORACLES = {
  (SELECT t.b, min(r.c + t.step)::BIGINT FROM r JOIN t ON t.a = r.k LEFT JOIN recurring.r q ON q.k = t.b WHERE q.c IS NULL OR r.c + t.step < q.c GROUP BY t.b)) SELECT k AS arc_id, c AS cost FROM r""",
     "junction_turns": TOWN + f""", l AS (SELECT arc_id, edge_id, from_v, to_v, CASE WHEN forward THEN pts ELSE list_reverse(pts) END AS pts FROM d JOIN e USING (edge_id)),
 j AS (SELECT x.arc_id AS a, y.arc_id AS b, x.pts[-2] AS p, x.pts[-1] AS q, y.pts[2] AS r FROM l x JOIN l y ON x.to_v = y.from_v AND x.edge_id <> y.edge_id),
-h AS (SELECT a, b, {_BEAR.format(a='q', b='p')} - {_BEAR.format(a='q', b='r')} AS z, {_BEAR.format(a='q', b='r')} AS y FROM j),
+h AS (SELECT a, b, degrees(atan2((p.lon - q.lon) * (r.lat - q.lat) - (p.lat - q.lat) * (r.lon - q.lon), (p.lon - q.lon) * (r.lon - q.lon) + (p.lat - q.lat) * (r.lat - q.lat))) AS z, {_BEAR.format(a='q', b='r')} AS y FROM j),
 i AS (SELECT a, b, z - floor(z / 360) * 360 AS angle, y - floor(y / 360) * 360 AS way FROM h)
 SELECT a, b, round(angle, 4) AS angle, {_REL} AS kind, ((round(way / 45)::INT % 8) * 45)::INT AS compass FROM i""",
     "town_places": TOWN + _PLACE + """SELECT edge_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(angle, 2) AS angle, CASE WHEN off <= 60 THEN 'true' WHEN off >= 120 THEN 'false' ELSE 'neither' END AS south_west FROM i""",
@@ -598,7 +657,7 @@ x AS (SELECT *, CASE WHEN stop IS NOT NULL AND n_points = 2 THEN {{'lon': {_at('
 g AS (SELECT *, {_BEAR.format(a='a', b='b')} AS raw FROM x), h AS (SELECT *, raw - floor(raw / 360) * 360 AS pos FROM g), i AS (SELECT *, trunc(CASE WHEN pos > 180 THEN pos - 360 ELSE pos END) AS deg FROM h)
 SELECT q AS query_id, 'Start ' || CASE WHEN deg <= -135 THEN 'south' WHEN deg <= -45 THEN 'west' WHEN deg <= 45 THEN 'north' WHEN deg <= 135 THEN 'east' ELSE 'south' END || ' on ' || name AS text_en,
  'Vertrek in ' || CASE WHEN deg <= -135 THEN 'zuidelijke' WHEN deg <= -45 THEN 'westelijke' WHEN deg <= 45 THEN 'noordelijke' WHEN deg <= 135 THEN 'oostelijke' ELSE 'zuidelijke' END || ' richting op ' || name AS text_nl,
- 'end' AS type, last_idx::INT AS shape_idx, 'You have arrived at your destination' AS end_en FROM i""",
+ 'end' AS type, last_idx::INT - 1 AS shape_idx, 'You have arrived at your destination' AS end_en FROM i""",
     "augmented_routes": TOWN + _ONE + _WALK + "SELECT q AS query_id, round(sum(whole * (o2 - o1) / 65535.0::DOUBLE), 2) AS metres, sum(n_points - 1)::INT AS last_idx, true AS all_named FROM part GROUP BY q",
     "route_alternatives": TOWN + _ONE + "SELECT q AS query_id, round(b.c, 2) AS cost, round(b.c, 2) AS first, true AS all_near, true AS all_new FROM ended",
     "town_positions": TOWN + _ONE + _WALK + """SELECT q AS query_id, seq::INT AS meta_idx, (n_points - 1 + (seq = 0)::INT)::BIGINT AS n_points, sum(n_points - 1) OVER (PARTITION BY q ORDER BY seq)::INT AS last_idx,
@@ -645,3 +704,22 @@ SELECT od.q AS query_id, coalesce(f.c, -1) AS cost, coalesce(o1, -1) AS offset1,
 SELECT od.q AS query_id, coalesce(a || ' ' || path || ' ' || b, 'no path') AS text FROM od LEFT JOIN l ON l.q = od.q""",
 }
 ORACLES["town_rounds"] = ORACLES["town_tree"]
+
+ORACLES["town_branch_points"] = TOWN + _ONE + _WALK + _GUIDE + "SELECT q AS query_id, i::INT AS shape_idx, edge_id, forward, round(np.lon, 7) AS lon, round(np.lat, 7) AS lat, name FROM br"
+ORACLES["route_instructions"] = TOWN + _ONE + _WALK + _ANSWERS + f""", step(q, s, k, nxt) AS (SELECT q, 0, 0, CASE WHEN a.e = k THEN k + 1 ELSE a.e END FROM say WHERE k = 0 UNION ALL SELECT step.q, step.s + 1, say.k, CASE WHEN say.a.e = say.k THEN say.k + 1 ELSE say.a.e END FROM step JOIN say ON say.q = step.q AND say.k = step.nxt),
+u AS (SELECT step.q, step.s, say.k, say.z, say.a.y AS y, say.a.e AS e, say.a.t AS t, say.a.x AS x, nm[say.k + 1] AS here, CASE WHEN say.a.e < say.z THEN nm[say.a.e + 1] END AS there, deg FROM step JOIN say ON say.q = step.q AND say.k = step.k),
+f AS (SELECT q, s, k, y, e, t, x, CASE y WHEN 'start' THEN 'Start ' || CASE WHEN deg <= -135 THEN 'south' WHEN deg <= -45 THEN 'west' WHEN deg <= 45 THEN 'north' WHEN deg <= 135 THEN 'east' ELSE 'south' END || ' on ' || here
+  WHEN 'roundabout' THEN CASE WHEN t > 155 THEN 'Turn around on the roundabout by taking the ' ELSE 'Go ' || {_LR.format(t='t')} || ' on the roundabout by taking the ' END || {_EXITS.format(x='x')}
+  WHEN 'followbend' THEN 'Follow ' || here || ' which bends ' || {_LR.format(t='t')} || CASE WHEN there <> here THEN ', on ' || there ELSE '' END
+  WHEN 'followalong' THEN 'Follow along on ' || here
+  WHEN 'turn' THEN CASE WHEN t > -25 AND t < 25 THEN 'Continue on ' || here ELSE 'Turn ' || {_LR.format(t='t')} || ' ' || coalesce('on ' || there, '') END
+  WHEN 'base' THEN CASE WHEN t > -25 AND t < 25 THEN 'Continue on ' || here || CASE WHEN there <> here THEN ' onto ' || there ELSE '' END ELSE 'Turn ' || {_LR.format(t='t')} || ' ' || coalesce('on ' || there, '') END END AS w FROM u)
+SELECT q AS query_id, s::INT AS seq, y AS type, k::INT AS shape_idx, e::INT AS shape_idx_end, t::INT AS turn_degrees, x::INT AS exit_number, w AS text_en FROM f
+UNION ALL SELECT u.q, (max(s) + 1)::INT, 'end', (any_value(z) - 1)::INT, any_value(z)::INT, 0, 0, 'You have arrived at your destination' FROM u GROUP BY u.q"""
+ORACLES["town_guides"] = TOWN + _ONE + _WALK + _GUIDE + """, x AS (SELECT q, unnest(range(0, z)) AS k, z, t, nm, toward FROM gr),
+y AS (SELECT q, k, z, CASE WHEN k = 0 THEN 'start' WHEN k + 1 < z AND len(toward[k + 1]) > 0 THEN 'intersection' WHEN k + 1 < z THEN 'base' END AS y, t[k + 1] AS own, t[k + 2] AS nxt, nm[k + 1] AS here, toward[k + 1] AS ways FROM x),
+o AS (SELECT q, k, string_agg(t || ' ' || name, '|' ORDER BY t DESC, mine, e, f) AS roads, count(*) AS n, sum((NOT mine AND t >= own)::INT)::INT AS rank FROM (SELECT q, k, own, w.t AS t, w.name AS name, false AS mine, w.e AS e, w.f AS f FROM (SELECT q, k, own, unnest(ways) AS w FROM y WHERE y = 'intersection') UNION ALL SELECT q, k, own, own, here, true, 0, false FROM y WHERE y = 'intersection') GROUP BY q, k),
+s AS (SELECT y.q, row_number() OVER (PARTITION BY y.q ORDER BY y.k) - 1 AS s, y.k, CASE y WHEN 'start' THEN 0 ELSE y.k + 1 END AS e, y, CASE y WHEN 'start' THEN 0 WHEN 'intersection' THEN own ELSE nxt END AS t, coalesce(roads, '') AS roads, CASE y WHEN 'start' THEN '' WHEN 'intersection' THEN 'way ' || rank || ' of ' || n ELSE nxt || ' ' || here END AS w FROM y LEFT JOIN o ON o.q = y.q AND o.k = y.k WHERE y IS NOT NULL)
+SELECT q AS query_id, s::INT AS seq, y AS type, k::INT AS shape_idx, e::INT AS shape_idx_end, t::INT AS turn_degrees, roads, w AS text_en FROM s
+UNION ALL SELECT gr.q, count(s.q)::INT, 'end', (any_value(z) - 1)::INT, any_value(z)::INT, 0, '', '' FROM gr LEFT JOIN s ON s.q = gr.q GROUP BY gr.q"""
+
