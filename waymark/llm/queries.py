@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, html_text, language, licenses, lines, packing, quality, rules, simhash, substrings
+from waymark.llm import audit, centroids, decontaminate, html_text, jaccard, language, licenses, lines, packing, quality, rules, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +89,9 @@ QUERIES = {
         op8_language_id,
         op9_quality_classifier,
         op10_line_dedup,
+        op11_filter_audit,
+        op12_jaccard_join,
+        op13_centroid_clusters,
     )
 }
 
@@ -84,8 +99,49 @@ QUERIES = {
 _LETTERS = "ÄÇÈÉÊÍÑÓÖÜßáâäçèéêíîñóöúü"
 _BYTES = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 32)][: len(_LETTERS)])
 
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """SQL of op13: as many assignments and means as there are rounds, and one assignment more."""
+    nearest = "(SELECT vec_id, v, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT x.vec_id, x.v, m.c, list_sum(list_transform(list_zip(x.v, m.m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN c{n} m ON true) GROUP BY vec_id, v)"
+    steps = [f"""x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS m FROM x QUALIFY c < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED {nearest.format(n=n)}")
+        if n < rounds:
+            steps.append(
+                f"s{n} AS (SELECT c, i, sum(e)::BIGINT AS s, count(*) AS k FROM (SELECT c, unnest(v) AS e, unnest(range(64)) AS i FROM a{n}) GROUP BY c, i), "
+                f"c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(w.m, c{n}.m) AS m FROM c{n} LEFT JOIN (SELECT c, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS m FROM s{n} GROUP BY c) w ON w.c = c{n}.c)"
+            )
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, a{rounds}.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} m ON m.c = a{rounds}.c"""
+
+
+_ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 #: Where SQL can state the result: windows over positions of words, and pairs of lines.
 ORACLES = {
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT d.doc_id, part, len(ws) < 100 AS A, 100 * len(list_distinct(ws)) < 80 * len(ws) AS B, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS C, regexp_matches(t, '[#$%&*|]') AS D, d.doc_id > min(d.doc_id) OVER (PARTITION BY t) AS E, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS ord FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT ord, unnest(range(1, 6)) AS step FROM o), p AS (SELECT DISTINCT part FROM f),
+m AS (SELECT part, {'A': A, 'B': B, 'C': C, 'D': D, 'E': E} AS m, (A::INT + B::INT + C::INT + D::INT + E::INT) AS fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT m.part, ord, step, m.n, m.good, m.toxic, m.fails, list_transform(string_split(ord, ''), lambda c: CASE c WHEN 'A' THEN m.m.A WHEN 'B' THEN m.m.B WHEN 'C' THEN m.m.C WHEN 'D' THEN m.m.D ELSE m.m.E END) AS b FROM m, s),
+y AS (SELECT *, b[step] AS now, len(list_filter(b[1 : step - 1], lambda v: v)) > 0 AS gone FROM x),
+z AS (SELECT part, ord, step, coalesce(sum(n) FILTER (WHERE NOT now AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE now AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE now AND gone), 0) AS redundant, coalesce(sum(n) FILTER (WHERE now AND fails = 1), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE now AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE now AND NOT gone), 0) AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, ord AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, ord[step]))::BIGINT AS shapley FROM z""",
+    "op12_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_ABC}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, min(r.b)) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id""",
+    "op13_centroid_clusters": _clusters(),
     "quality_counts": r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (SELECT doc_id, i AS s, array_to_string(ws[i : i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) AS i FROM w)),
@@ -96,7 +152,8 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws
 FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id""",
     "op10_line_dedup": rf"""
 WITH o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
-x AS (SELECT *, regexp_matches(line, '[^ 	-]') AS full_ FROM o),
+x AS (SELECT *, regexp_matches(line, '[^ 	-
+]') AS full_ FROM o),
 f AS (SELECT line, min({{'d': doc_id, 'k': k}}) AS first, length(line) AS n, translate(line, '{_LETTERS}', {_BYTES}) AS s FROM x WHERE full_ GROUP BY line),
 p AS (SELECT a.line AS a, b.line AS b FROM f a JOIN f b ON a.first < b.first AND b.n BETWEEN a.n - 2 AND a.n + 2 AND a.n >= 16 AND b.n >= 16 AND levenshtein(a.s, b.s) <= 2),
 links AS (SELECT line, count(*) AS n, bool_or(later) AS later FROM (SELECT a AS line, false AS later FROM p UNION ALL SELECT b, true FROM p) GROUP BY line),
