@@ -169,6 +169,16 @@ def test_jaccard_order_decides_costs_only(spark):
     assert names(jaccard.components(docs, cells=64)) == sorted((str(d), n, str(c)) for d, n, c in brute_jaccard(rows)[0])
 
 
+def test_parities_never_say_more_than_sets_differ():
+    r = np.random.default_rng(9)
+    for size in (1, 5, 100, 3000):
+        a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[size // 5 :], r.integers(0, 2**63, size // 4).astype(np.uint64)]))
+        apart = sum(int(x).bit_count() for x in (jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b)) and (size != 100 or apart > 30)
+        assert not (jaccard.parity(a) ^ jaccard.parity(a)).any()
+
+
 def test_jaccard_empty_tables(spark):
     spec = "doc_id long, text string"
     assert jaccard.components(spark.createDataFrame([], spec)).count() == 0

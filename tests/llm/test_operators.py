@@ -167,7 +167,7 @@ def brute_lines(rows):
         for k, x in enumerate(key[1].split("\n")):
             if x.strip(" \t\x0b\x0c\r"):
                 first.setdefault(x, (order.index(key), k))
-    near = {x: [y for y in first if y != x and min(len(x), len(y)) >= 16 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2] for x in first}
+    near = {x: [y for y in first if y != x and min(len(x), len(y)) >= 5 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2] for x in first}
     for key in order:
         n, gone, links, kept = 0, 0, 0, []
         for k, x in enumerate(key[1].split("\n")):
@@ -192,7 +192,7 @@ def hash_of(text):
 
 def test_lines(spark, none):
     base = "a line that has some thirty characters"
-    rows = hard_rows() + [(k, t, "en", "a", 0, 0, 0, "x", 0, 0.0, "g") for k, t in ((BIG, base + "\nother"), (60, base[:10] + "X" + base[10:]), (61, base[:-2]), (None, base[1:] + "!"), (62, "short one\nshort ones"), (None, base), (62, base.replace("h", "H", 2)))]
+    rows = hard_rows() + [(k, t, "en", "a", 0, 0, 0, "x", 0, 0.0, "g") for k, t in ((BIG, base + "\nother"), (60, base[:10] + "X" + base[10:]), (61, base[:-2]), (None, base[1:] + "!"), (62, "short one\nshort ones"), (63, "tiny\ntin\nabcde\nabXde\nabcd\nbcde"), (None, base), (62, base.replace("h", "H", 2)))]
     key = lambda r: tuple(map(str, r))
     got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.n_links, r.text) for r in lines.dedupe_lines(spark.createDataFrame(rows, SPEC)).collect()), key=key)
     assert got == sorted(((r[0], *b) for r, b in zip(rows, brute_lines(rows), strict=True)), key=key)
@@ -493,9 +493,14 @@ def test_html_tables(spark):
 def test_scratch_tables_are_swept(spark):
     table = scratch.materialize(spark.range(5), "swept")
     assert table.count() == 5
-    scratch.sweep(spark)
+    with scratch.own_tables() as made:
+        other = scratch.materialize(spark.range(3), "swept")
+        scratch.drop(scratch.materialize(spark.range(3), "swept"))
+    assert made == {other._waymark_path}
+    scratch.sweep(spark, made)
+    assert not made and not os.path.exists(other._waymark_path.removeprefix("file://")) and table.count() == 5
+    scratch.drop(table)
     assert not os.path.exists(table._waymark_path.removeprefix("file://"))
-    scratch.sweep(spark)
 
 
 def test_packing(spark, docs, none):
@@ -560,6 +565,17 @@ def test_language(spark, docs, none):
     assert language.identify(none).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    """Ten documents of a language among thousands of others are all in the sample, and those held out are found."""
+    r = random.Random(5)
+    words = {"aa": "ka lo mi ru ta".split(), "bb": "sen vor dix pul gam".split(), "rare": "zzy qwx yyq xzw wqy".split()}
+    text = lambda lang: " ".join(r.choice(words[lang]) for _ in range(30))
+    rows = [(k, text("aa" if k % 2 else "bb"), "aa" if k % 2 else "bb") for k in range(3000)] + [(10_000 + k, text("rare"), "rare") for k in range(10)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_train=60).collect()
+    want = {d: lang for d, _, lang in rows}
+    assert sum(x.lang_pred == want[x.doc_id] for x in got) >= 0.99 * len(rows) and all(x.lang_pred == "rare" for x in got if x.doc_id >= 10_000)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 6, 9, 40):
         code = language.codewords(n)
@@ -597,6 +613,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     rows = [(k, prose(80, 100 + k), "en", "s", 1) for k in range(12)]
     rows += [(20, rows[3][1], "en", "s", 1), (21, "123 456", "en", "s", 1), (22, prose(50, 300) + " " + item + " end", None, "s", 1), (23, None, "en", None, None), (24, "", "en", "s", 0), (25, rows[5][1] + " more", "en", "s", 1)]
     rows += [(None, prose(60, 400), "en", "s", 1), (None, prose(60, 400), "en", "s", 1), (26, prose(70, 401), "en", "s", 1), (26, prose(70, 401), "en", "s", 1), (BIG, prose(3000, 402), "en", "s", 1), (27, rows[2][1].split("\n")[0] + "\n" + prose(30, 403), "en", "s", 1)]
+    # A result from before the pipeline that is read after it.
+    live = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     for part, more in (("plain", ""), ("clash", ", fp long, _text string, lid long, held_out boolean, draw long")):
         table = [r + (5, "x", 6, True, 7) for r in rows] if more else rows
         folder = f"{tmp_path}/{part}"
@@ -621,6 +639,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             assert r.offset == used[r.sequence_id]
             used[r.sequence_id] += r.length
         assert max(used.values()) <= 1024 and len({r.doc_id for r in got} & set(range(12))) >= 11 and not {21, 22, 23, 24} & {r.doc_id for r in got}
+    assert live.count() == len(rows)
     empty = f"{tmp_path}/empty"
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")

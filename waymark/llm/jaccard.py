@@ -10,8 +10,9 @@ t = ceil(percent * n / 100) of them with any partner, so any two partners share
   their first n - t + 1 shingles, and lists are scanned for pairs with a large member.
 
 The boundary between small and large is the one of least cost: keys to write against entries of
-lists to scan, summed up over all sets for a few boundaries.  Pairs under a common key are candidates, verified by the exact
-overlap of the two texts' sets.
+lists to scan, summed up over all sets for a few boundaries.  Pairs under a common key are candidates if their sizes
+and parities allow it: a set's 512 parity bits, one flip for every shingle, differ from another's in no more bits than the
+sets differ in shingles.  What is left is verified by the exact overlap of the two texts' sets.
 
 ``components`` needs no more links than keep what is connected together, so candidates come in two rounds.
 First each member of a list against one hub of the list and size class, a number that is linear
@@ -47,6 +48,8 @@ CELLS, SHARDS = 1 << 20, 64
 #: Boundaries that are weighed; writing a key costs as much as scanning so many entries of a list.
 BOUNDARIES = (0, 4, 8, 16, 24, 32, 48, 64, 96, 128)
 KEY_COST = 8.0
+#: Parity bits of a set, in longs.
+WORDS = 8
 #: Class ids up to this many (8 bytes each and a hash) are broadcast to fetch their texts; more are joined by key.
 BROADCAST_IDS = 1_000_000
 _LAST = 2**63 - 1
@@ -66,6 +69,12 @@ def cell(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (hashes >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` longs, each bit flipped by the shingles that fall on it."""
+    odd = np.bincount((hashes & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _merged(rows: DataFrame, *keys: str) -> DataFrame:
     """Counters with equal keys added up, one row at a time."""
 
@@ -118,7 +127,7 @@ def _prefixes(docs: DataFrame, counts, mean: float, shingle: int, percent: int)
     """Of every document its set's size and digest, the first n - t + 2 shingles in the global order, and the expected length of the lists of all but the last."""
 
     def make(texts: list[str | None]) -> list[list]:
-        digests, sizes, prefixes, scans = [], [], [], []
+        digests, sizes, prefixes, scans, bits = [], [], [], [], []
         for t in texts:
             s = shingle_set(t, shingle)
             n = len(s)
@@ -128,9 +137,10 @@ def _prefixes(docs: DataFrame, counts, mean: float, shingle: int, percent: int)
             sizes.append(n)
             prefixes.append(s[first].view(np.int64))
             scans.append(float(np.maximum(c[first[:-1]] - mean, 1.0).sum()))
-        return [digests, sizes, prefixes, scans]
+            bits.append(parity(s))
+        return [digests, sizes, prefixes, scans, bits]
 
-    return derive(docs.withColumn("hash", F.xxhash64("text")), "text", make, "digest binary, n int, prefix array<long>, scan double")
+    return derive(docs.withColumn("hash", F.xxhash64("text")), "text", make, "digest binary, n int, prefix array<long>, scan double, bits array<long>")
 
 
 def boundary(classes: DataFrame, percent: int) -> int:
@@ -153,7 +163,13 @@ def _postings(classes: DataFrame, small: int, percent: int) -> DataFrame:
 
 
 def _near(n: Column, m: Column, percent: int) -> Column:
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent).alias("near")
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _alike(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
+    """Whether the parities differ in no more bits than the sets may differ in shingles."""
+    apart = sum((F.bit_count(F.get(bits, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    return apart * (100 + percent) <= (n + m) * (100 - percent)
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -196,28 +212,34 @@ class Join:
         counts = self.spark.sparkContext.broadcast(table)
         self.members = materialize(_prefixes(self.docs, counts, float(table.mean()), shingle, percent), "jaccard-prefixes")
         counts.destroy()
-        kinds = self.members.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc", "hash")).alias("first"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("scan").alias("scan"))
+        kinds = self.members.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc", "hash")).alias("first"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("scan").alias("scan"), F.first("bits").alias("bits"))
         self.classes = materialize(kinds.select(F.monotonically_increasing_id().alias("cid"), "*"), "jaccard-classes")
         self.small = boundary(self.classes, percent) if small is None else small
         self.met = self._met()
 
     def _met(self) -> DataFrame:
-        """Entries under keys that more than one class has, a large one among them where the key is of a list."""
+        """Entries under keys that more than one class has, a large one among them where the key is of a list.
+
+        Lists with the same members name the same pairs, as those of a passage that some documents share do, and one of them stays: they have equal counts and 128 bits of hashes of their members.
+        """
         postings = _postings(self.classes, self.small, self.percent)
-        shared = postings.groupBy("key", "light").agg(F.count("*").alias("k"), F.max("n").alias("most")).where((F.col("k") > 1) & (F.col("light") | (F.col("most") > self.small)))
-        return materialize(postings.join(shared, ["key", "light"], "left_semi"), "jaccard-met")
+        members = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+        shared = postings.groupBy("key", "light").agg(F.count("*").alias("k"), F.max("n").alias("most"), *members).where((F.col("k") > 1) & (F.col("light") | (F.col("most") > self.small)))
+        lists = shared.groupBy("light", "k", "x0", "x1").agg(F.min("key").alias("key")).select("key", "light")
+        return materialize(postings.join(lists, ["key", "light"], "left_semi"), "jaccard-met")
 
     def _fits(self, n: Column, m: Column) -> Column:
         return _near(n, m, self.percent) & (F.col("light") | (F.greatest(n, m) > self.small))
 
     def all_pairs(self, entries: DataFrame | None = None, apart: bool = False) -> DataFrame:
-        """Pairs of classes under a common key; ``apart``: of different components only."""
-        entries = self.met if entries is None else entries
+        """Pairs of classes under a common key that could be linked; ``apart``: of different components only."""
+        entries = (self.met if entries is None else entries).join(self.classes.select("cid", "bits"), "cid")
         side = lambda x: entries.select("key", "light", *[F.col(c).alias(f"{c}_{x}") for c in entries.columns if c not in ("key", "light")])
         joined = side("a").join(side("b"), ["key", "light"]).where(F.col("cid_a") < F.col("cid_b"))
         if apart:
             joined = joined.where("comp_a <> comp_b")
-        return joined.where(self._fits(F.col("n_a"), F.col("n_b"))).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
+        joined = joined.where(self._fits(F.col("n_a"), F.col("n_b"))).where(_alike(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), self.percent))
+        return joined.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
 
     def hub_pairs(self) -> DataFrame:
         """Every entry with the hub of its key and size class; keys choose among the same classes by four different draws, so that a large group has some hubs."""
@@ -226,7 +248,10 @@ class Join:
         draw = F.xxhash64("cid", F.col("key").bitwiseAND(F.lit(3).cast("long")))
         hubs = entries.groupBy("key", "light", "band").agg(F.min(F.struct(draw.alias("d"), "cid", "n")).alias("hub"))
         joined = entries.join(hubs, ["key", "light", "band"]).where(F.col("cid") != F.col("hub.cid")).where(self._fits(F.col("n"), F.col("hub.n")))
-        return joined.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
+        pairs = joined.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
+        side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.where(_alike(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), self.percent)).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "jaccard-pairs")

@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.arrow import derive
+from waymark.llm.scratch import drop, materialize
 
 DIM = 2048
 
@@ -113,7 +114,8 @@ class OutputCode:
 def fit(training: DataFrame, max_train: int) -> OutputCode | None:
     """``training``: doc_id, text and lang.  At most ``max_train`` vectors reach one task, which solves the classifiers; the driver gets their weights, a row for each bit.
 
-    Rows are drawn by a hash of their id; a first cut keeps about twice as many as needed, so
+    Every language gets an equal part of them, and has all its rows in if it has no more, however rare it is.  Rows
+    are drawn by a hash of their id; a first cut keeps about twice as many of each language as needed, so
     that the exact choice gathers no more vectors however large the table.  Texts are vectors before they move.
     """
 
@@ -128,18 +130,24 @@ def fit(training: DataFrame, max_train: int) -> OutputCode | None:
         return pa.table({"bit": np.arange(code.code.shape[1], dtype=np.int32), "w": [w.tobytes() for w in code.w.T], "bit_weight": code.bit_weight, "languages": [code.languages] * code.code.shape[1]}, schema=_WEIGHTS)
 
     rows = training.where("text is not null and lang is not null")
-    share = 2 * max_train / max(rows.count(), 1)
-    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)))
-    if share < 1:
-        drawn = drawn.where(F.col("draw") < int(share * (1 << 30)))
-    sample = derive(drawn, "text", vectors, "known boolean, v binary").where("known").orderBy("draw", "doc_id", "lang", "v").limit(max_train)
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("rows")), "language-counts")
+    languages = counts.count()
+    part = max(max_train // max(languages, 1), 1)
+    drawn = rows.join(F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts, "lang").withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)))
+    drawn = drawn.where(F.col("draw") < F.least(F.lit(2.0 * part) / F.col("rows"), F.lit(1.0)) * (1 << 30)).drop("rows")
+    order = ["draw", "doc_id", "v"]
+    ranked = derive(drawn, "text", vectors, "known boolean, v binary").where("known").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    sample = ranked.where(F.col("rank") <= part).orderBy("rank", *order, "lang").limit(max_train)
     got = sample.select("lang", "v", F.lit(0).alias("one")).groupBy("one").applyInArrow(solve, "bit int, w binary, bit_weight double, languages array<string>").collect()
+    drop(counts)
     if not got:
         return None
     got.sort(key=lambda r: r["bit"])
     return OutputCode(got[0]["languages"], np.stack([np.frombuffer(r["w"], np.float64) for r in got], axis=1), np.array([r["bit_weight"] for r in got]))
 
 
+#: Counts of languages up to this many are broadcast.
+BROADCAST_LANGUAGES = 100_000
 _WEIGHTS = pa.schema([("bit", pa.int32()), ("w", pa.binary()), ("bit_weight", pa.float64()), ("languages", pa.list_(pa.field("element", pa.string())))])
 
 

@@ -188,7 +188,7 @@ def near_links(docs: DataFrame, tau: int, min_chars: int, id_col: str = "doc_id"
     return lines.select("lid", "first.doc", "first.row", "first.line_no"), links
 
 
-def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, text (without removed lines), n_lines, n_removed, n_links (links of the lines first seen there), and the columns named by ``carry``."""
     if clash := {"doc_id", "text", "n_lines", "n_removed", "n_links"}.intersection(carry):
         raise ValueError(f"carried columns have names of the result: {sorted(clash)}")

@@ -155,7 +155,7 @@ WITH o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 x AS (SELECT *, regexp_matches(line, '[^ 	-
 ]') AS full_ FROM o),
 f AS (SELECT line, min({{'d': doc_id, 'k': k}}) AS first, length(line) AS n, translate(line, '{_LETTERS}', {_BYTES}) AS s FROM x WHERE full_ GROUP BY line),
-p AS (SELECT a.line AS a, b.line AS b FROM f a JOIN f b ON a.first < b.first AND b.n BETWEEN a.n - 2 AND a.n + 2 AND a.n >= 16 AND b.n >= 16 AND levenshtein(a.s, b.s) <= 2),
+p AS (SELECT a.line AS a, b.line AS b FROM f a JOIN f b ON a.first < b.first AND b.n BETWEEN a.n - 2 AND a.n + 2 AND a.n >= 5 AND b.n >= 5 AND levenshtein(a.s, b.s) <= 2),
 links AS (SELECT line, count(*) AS n, bool_or(later) AS later FROM (SELECT a AS line, false AS later FROM p UNION ALL SELECT b, true FROM p) GROUP BY line),
 y AS (SELECT x.*, x.full_ AND NOT (f.first = {{'d': x.doc_id, 'k': x.k}} AND NOT coalesce(links.later, false)) AS gone, CASE WHEN f.first = {{'d': x.doc_id, 'k': x.k}} THEN coalesce(links.n, 0) ELSE 0 END AS links FROM x LEFT JOIN f ON x.full_ AND f.line = x.line LEFT JOIN links ON links.line = f.line),
 z AS (SELECT doc_id, count(*) FILTER (WHERE full_) AS n, count(*) FILTER (WHERE gone) AS r, sum(links) AS l, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS t FROM y GROUP BY doc_id)

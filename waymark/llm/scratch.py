@@ -7,9 +7,12 @@ and read again, so that a lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,16 +52,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._waymark_path = path
-    spark.__dict__.setdefault("_waymark_tables", set()).add(path)
+    if (made := _MADE.get()) is not None:
+        made.add(path)
     return out
 
 
-def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete all tables made in this session that are left, but that of ``keep``: results that read them must have been written by then."""
-    tables = spark.__dict__.get("_waymark_tables", set())
-    for path in tables - {getattr(keep, "_waymark_path", None)}:
+#: Paths of the tables made within :func:`own_tables` of this thread.
+_MADE: ContextVar[set[str] | None] = ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def own_tables() -> Iterator[set[str]]:
+    """Notes the tables that are made within, and no others: what is not dropped by then can be swept by name."""
+    made: set[str] = set()
+    before = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(before)
+
+
+def sweep(spark: SparkSession, made: set[str], keep: DataFrame | None = None) -> None:
+    """Delete the tables of ``made`` that are left, but that of ``keep``: results that read them must have been written by then."""
+    for path in made - {getattr(keep, "_waymark_path", None)}:
         _delete(spark, path)
-        tables.discard(path)
+        made.discard(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -71,7 +89,8 @@ def drop(df: DataFrame) -> None:
     path = getattr(df, "_waymark_path", None)
     if path:
         _delete(df.sparkSession, path)
-        df.sparkSession.__dict__.get("_waymark_tables", set()).discard(path)
+        if (made := _MADE.get()) is not None:
+            made.discard(path)
 
 
 def parallelism(spark: SparkSession) -> int:
