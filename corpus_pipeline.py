@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, language, lines, packing, simhash
-from waymark.llm.scratch import materialize, sweep
+from waymark.llm.scratch import materialize, own_tables, sweep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -70,9 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, "pipeline-" + name.lower().replace(" ", "-"))
-            sweep(spark, keep=docs)
+    with own_tables() as made:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = materialize(docs, "pipeline-" + name.lower().replace(" ", "-"))
+                sweep(spark, made, keep=docs)
     return docs
