@@ -377,6 +377,34 @@ def test_routes_beyond_the_bound_agree(spark, monkeypatch):
         assert len(kernel) == len(asked) and any(r[1] is None for r in kernel)
 
 
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_tiled_search_agrees_with_one_graph(spark, size):
+    """Parts of one, three and all vertices; turns with penalties, bars, and prefixes over several borders."""
+    from waymark.operators.tiled import tiled_tree
+
+    edges, arcs, turns = random_graph(spark, 21)
+    turns = turns.withColumn("prefix", F.array().cast("array<long>"))
+    by_end = {}
+    for e, t, h, _ in edges:
+        by_end.setdefault(h, []).append((e, t))
+    late = [(h, e, f, None if e % 2 else 9, [d]) for e, t, h, _ in edges for d, _ in by_end.get(t, ())[:2] for f, u, _, _ in edges if u == h and f not in (e, d)]
+    longer = [(h, e, f, 5, [c, d]) for e, t, h, _ in edges for d, u in by_end.get(t, ())[:2] for c, _ in by_end.get(u, ())[:1] for f, w, _, _ in edges[::3] if w == h]
+    spec = "vertex_id long, from_edge long, to_edge long, penalty long, prefix array<long>"
+    every = turns.unionByName(spark.createDataFrame(late[:60] + longer[:40], spec))
+    sources = spark.createDataFrame([(k,) for k in (0, 3, 3, 7, None, 999)], "source long")
+    parts = spark.createDataFrame([(v, v // size) for v in range(15)], "vertex_id long, part long")
+    key = lambda df: sorted((r.source, r.arc_id, r.cost) for r in df.collect())
+    want = key(routing.arc_tree(arcs, sources, every))
+    got = tiled_tree(arcs, sources, every, parts)
+    assert key(got) == want and len(want) > 100
+    # The arc before an arc is one that ends where it begins, at a lesser cost.
+    rows = {(r.source, r.arc_id): r for r in got.collect()}
+    ends = {r.arc_id: (r.from_v, r.to_v) for r in arcs.collect()}
+    assert all(ends[r.prev_arc][1] == ends[r.arc_id][0] and rows[r.source, r.prev_arc].cost <= r.cost for r in rows.values() if r.prev_arc is not None)
+    assert key(tiled_tree(arcs, sources, None, parts)) == key(routing.arc_tree(arcs, sources))
+    assert key(tiled_tree(arcs, sources, None, parts, max_cost=15)) == [x for x in key(routing.arc_tree(arcs, sources)) if x[2] <= 15]
+
+
 def test_backward_searches_agree(spark):
     edges, arcs, turns = random_graph(spark, 11)
     spec = "query_id long, from_edge long, from_offset long, to_edge long, to_offset long, from_forward boolean, to_forward boolean"

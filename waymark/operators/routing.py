@@ -2,7 +2,7 @@
 
 The state of a search is an arc, so turn costs, restrictions and directions are exact.  Graphs of
 a checked size are broadcast as compact arrays and searched by one heap kernel per source;
-larger ones are relaxed in rounds of joins.  Both give the same costs.  Ties between paths
+larger ones are searched part by part (trees, ``tiled``) or relaxed in rounds of joins (routes).  All give the same costs.  Ties between paths
 go to fewer arcs, then to one of them that is the same in every run.
 
 ``turns`` (also called forbidden): vertex_id, from_edge, to_edge, an optional ``prefix`` of edges that must lie
@@ -104,8 +104,8 @@ class Compact:
             cost += sum(self.sequences[v, path[i:]].get(into, 0) for i in range(len(path)) if (v, path[i:]) in self.sequences)
         return cost
 
-    def search(self, starts: list[tuple[float, int]], limit: float | None = None, penalty: dict[int, float] | None = None, goals: dict[int, list[tuple[int, int, float]]] | None = None) -> tuple[dict[int, tuple[float, int, int]], dict[int, list[tuple[float, int, int]]]]:
-        """(done, reached) of a search from arcs (cost at their end, index).
+    def search(self, starts: list[tuple[float, int]], limit: float | None = None, penalty: dict[int, float] | None = None, goals: dict[int, list[tuple[int, int, float]]] | None = None, states: list[tuple[float, int]] | None = None) -> tuple[dict[int, tuple[float, int, int]], dict[int, list[tuple[float, int, int]]]]:
+        """(done, reached) of a search from arcs (cost at their end, index), and from ``states`` (cost, state) with something behind them.
 
         ``done``: settled state -> (cost at its end, previous state or -1, arcs on the path), the
         cheapest first; a state is an arc and the part of a turn sequence that lies behind,
@@ -115,7 +115,7 @@ class Compact:
         """
         bound = math.inf
         size = len(self.arc)
-        heap = [(c, 1, self.arc[k], self.state(k), -1) for c, k in starts]
+        heap = [(c, 1, self.arc[k], self.state(k), -1) for c, k in starts] + [(c, 1, self.arc[s % size], s, -1) for c, s in states or ()]
         heapq.heapify(heap)
         done: dict[int, tuple[float, int, int]] = {}
         reached: dict[int, list[tuple[float, int, int]]] = {}
@@ -209,7 +209,7 @@ def arc_tree(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None =
     """Least cost of every arc reached from every source vertex (column source): source, arc_id, cost, prev_arc."""
     graph = compact(arcs, forbidden)
     if graph is None:
-        return relax_arcs(arcs, sources, forbidden)
+        return _tiled(arcs, sources, forbidden)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = graph.value
@@ -225,6 +225,12 @@ def arc_tree(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | None =
     return asked.mapInPandas(run, "source long, arc_id long, cost long, prev_arc long")
 
 
+def _tiled(arcs: DataFrame, sources: DataFrame, turns: DataFrame | None) -> DataFrame:
+    from waymark.operators.tiled import tiled_tree
+
+    return tiled_tree(arcs, sources, turns)
+
+
 def _steps(arcs: DataFrame, turns: DataFrame | None) -> DataFrame:
     """Transitions (a, b) with the cost of b and of the turn into it."""
     from waymark.operators.graph import transitions, turn_sequences
@@ -258,7 +264,7 @@ def vertex_costs(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame | Non
     graph = compact(arcs, forbidden)
     sources = sources.select(F.col("source").cast("long").alias("source")).where("source is not null").distinct()
     if graph is None:
-        ends = relax_arcs(arcs, sources, forbidden).join(arcs.select("arc_id", F.col("to_v").alias("vertex_id")), "arc_id")
+        ends = _tiled(arcs, sources, forbidden).join(arcs.select("arc_id", F.col("to_v").alias("vertex_id")), "arc_id")
         own = sources.select("source", F.col("source").alias("vertex_id"), F.lit(0).cast("long").alias("cost"))
         return ends.select("source", "vertex_id", "cost").unionByName(own).groupBy("source", "vertex_id").agg(F.min("cost").alias("cost"))
 

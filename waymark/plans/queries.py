@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import attributes, geo
 from waymark.operators import graph, places, routing
+from waymark.operators.tiled import tiled_tree
 from waymark.operators.profiles import BICYCLE, CAR, CAR_SHORT, PEDESTRIAN, edge_factors
 from waymark.sources import osm
 from waymark.storage import Network
@@ -190,6 +191,14 @@ def imported_edges(spark, sf_dir):
     return edges.select("tail", "head", "way", F.col("attrs")["highway"].alias("highway"), F.size("shape").alias("n_shape"), F.round(F.col("length_cm") / 100, 0).cast("long").alias("metres"))
 
 
+def sequence_tiled(spark, sf_dir):
+    """The same by supersteps over blocks of five by five vertices, whose borders the sequences cross."""
+    n = grid(spark, sf_dir)
+    v = F.col("vertex_id")
+    blocks = n.vertices.select(v, (F.floor(v % 25 / 5) + 5 * F.floor(v / 125)).alias("part"))
+    return tiled_tree(graph.cost_arcs(n.edges, CAR), spark.createDataFrame([(0,)], "source long"), _sequences(n), blocks).select("arc_id", "cost")
+
+
 def near_costs(spark, sf_dir):
     """Least costs from vertex 0 over arcs that leave a vertex within 2500 m of it, as far as they lead."""
     n = grid(spark, sf_dir)
@@ -225,7 +234,7 @@ def small_islands(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, sequence_tree, near_costs, box_search, box_vertices, box_tiles, attribute_edits, imported_edges, vertex_places, edge_places, snap_all_vertices, snap_vertices, snap_edges, route_paths, small_islands)
+    for f in (vertex_scan, edge_scan, adjacency, edge_geometry, cost_arcs, profile_factors, edge_types, turn_pairs, least_cost_tree, cost_matrix, directed_tree, sequence_tree, sequence_tiled, near_costs, box_search, box_vertices, box_tiles, attribute_edits, imported_edges, vertex_places, edge_places, snap_all_vertices, snap_vertices, snap_edges, route_paths, small_islands)
 }
 
 _DIST = "sqrt(pow(radians({b}.lon - {a}.lon) * cos(radians({a}.lat + {b}.lat) / 2), 2) + pow(radians({b}.lat - {a}.lat), 2)) * 6371000"
@@ -329,3 +338,5 @@ r(a, b) AS (SELECT DISTINCT edge_id, edge_id FROM ow UNION SELECT r.a, l.b FROM
 s AS (SELECT x.a AS edge_id, count(*)::BIGINT AS size FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
 SELECT edge_id, size FROM s WHERE size < 16""",
 }
+
+ORACLES["sequence_tiled"] = ORACLES["sequence_tree"]

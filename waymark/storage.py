@@ -31,7 +31,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write once, read again."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._waymark_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by :func:`materialize` that no later step reads."""
+    if path := getattr(df, "_waymark_path", None):
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 TABLES = ("vertices", "edges", "turn_costs", "meta")
