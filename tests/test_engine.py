@@ -405,6 +405,34 @@ def test_tiled_search_agrees_with_one_graph(spark, size):
     assert key(tiled_tree(arcs, sources, None, parts, max_cost=15)) == [x for x in key(routing.arc_tree(arcs, sources)) if x[2] <= 15]
 
 
+def test_island_test_of_single_edges(spark):
+    """Small networks with known answers: (edges as (edge, tail, head, one-way), bars, greatest size, what each edge is)."""
+    from waymark.operators.islands import island_test
+
+    cases = [
+        ([(1, 1, 2, 0)], [], 1024, {1: True}),
+        ([(1, 1, 2, 0), (2, 2, 3, 0)], [], 2, {1: False, 2: False}),
+        ([(1, 1, 2, 0), (2, 2, 3, 0)], [(2, 1, 2)], 2, {1: True, 2: True}),
+        ([(1, 1, 2, 0), (2, 2, 3, 0)], [], 3, {1: True}),
+        ([(1, 1, 2, 1), (2, 2, 3, 1)], [], 2, {1: True}),
+        ([(1, 1, 2, 1), (2, 2, 3, 1), (3, 3, 1, 1)], [], 3, {1: False}),
+        ([(1, 1, 2, 0), (2, 2, 3, 1), (3, 3, 4, 1), (4, 4, 2, 1)], [], 4, {1: False, 2: False, 3: False, 4: False}),
+        ([(1, 1, 2, 1), (2, 2, 3, 0), (3, 3, 1, 0)], [], 3, {1: False, 2: False, 3: False}),
+        ([(1, 1, 2, 0), (2, 2, 3, 0), (3, 3, 1, 0), (4, 4, 5, 0)], [], 3, {1: False, 4: True, 99: None}),
+        ([(1, 1, 2, 0), (2, 2, 3, 1), (3, 3, 4, 0)], [], 3, {1: True, 3: True}),
+    ]
+    for edges, bars, most, want in cases:
+        arcs = arcs_of(spark, [(e, t, h, 1) for e, t, h, _ in edges]).where(~F.col("arc_id").isin([2 * e + 1 for e, *_, one in edges if one]))
+        turns = spark.createDataFrame(bars, "vertex_id long, from_edge long, to_edge long") if bars else None
+        asked = spark.createDataFrame([(e,) for e in want] * 2 + [(None,)], "edge_id long")
+        assert {r.edge_id: r.on_island for r in island_test(arcs, asked, turns, max_size=most).collect()} == want
+    _, arcs, turns = random_graph(spark, 8)
+    small = {r.edge_id for r in routing.islands(arcs, turns, max_size=5).collect()}
+    asked = arcs.select("edge_id")
+    assert {r.edge_id: r.on_island for r in island_test(arcs, asked, turns, max_size=5).collect()} == {r.edge_id: r.edge_id in small for r in asked.distinct().collect()}
+    assert island_test(arcs, asked.limit(0), turns).count() == 0
+
+
 def test_backward_searches_agree(spark):
     edges, arcs, turns = random_graph(spark, 11)
     spec = "query_id long, from_edge long, from_offset long, to_edge long, to_offset long, from_forward boolean, to_forward boolean"
