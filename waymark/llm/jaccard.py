@@ -15,7 +15,7 @@ and parities allow it: a set's 512 parity bits, one flip for every shingle, diff
 sets differ in shingles.  What is left is verified by the exact overlap of the two texts' sets.
 
 ``components`` needs no more links than keep what is connected together, so candidates come in two rounds.
-First each member of a list against one hub of the list and size class, a number that is linear
+First each member of a list against some hubs of the list and size class, a number that is linear
 in the lists; then, for lists whose members are not in one component by then, all pairs across
 components that were not tried.  ``links`` (for those who want every pair) takes all pairs under all keys.
 
@@ -48,6 +48,10 @@ CELLS, SHARDS = 1 << 20, 64
 #: Boundaries that are weighed; writing a key costs as much as scanning so many entries of a list.
 BOUNDARIES = (0, 4, 8, 16, 24, 32, 48, 64, 96, 128)
 KEY_COST = 8.0
+#: Members of a list that all its members are compared with first.
+HUBS = 2
+#: Keys that tell under which one a pair is named.
+LEAST = 16
 #: Parity bits of a set, in longs.
 WORDS = 8
 #: Class ids up to this many (8 bytes each and a hash) are broadcast to fetch their texts; more are joined by key.
@@ -232,22 +236,32 @@ class Join:
         return _near(n, m, self.percent) & (F.col("light") | (F.greatest(n, m) > self.small))
 
     def all_pairs(self, entries: DataFrame | None = None, apart: bool = False) -> DataFrame:
-        """Pairs of classes under a common key that could be linked; ``apart``: of different components only."""
-        entries = (self.met if entries is None else entries).join(self.classes.select("cid", "bits"), "cid")
+        """Pairs of classes under a common key that could be linked; ``apart``: of different components only.
+
+        A pair is named under its least common key and no other, as far as the ``LEAST`` least keys of both tell: a common key in both
+        of these lists is there with every lesser one, so the least in both is the least of all.
+        """
+        entries = self.met if entries is None else entries
+        low = entries.groupBy("cid", "light").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST).alias("low"))
+        entries = entries.join(low, ["cid", "light"]).join(self.classes.select("cid", "bits"), "cid")
         side = lambda x: entries.select("key", "light", *[F.col(c).alias(f"{c}_{x}") for c in entries.columns if c not in ("key", "light")])
         joined = side("a").join(side("b"), ["key", "light"]).where(F.col("cid_a") < F.col("cid_b"))
         if apart:
             joined = joined.where("comp_a <> comp_b")
         joined = joined.where(self._fits(F.col("n_a"), F.col("n_b"))).where(_alike(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), self.percent))
+        least = F.array_min(F.array_intersect("low_a", "low_b"))
+        joined = joined.where(least.isNull() | (F.col("key") == least))
         return joined.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
 
     def hub_pairs(self) -> DataFrame:
-        """Every entry with the hub of its key and size class; keys choose among the same classes by four different draws, so that a large group has some hubs."""
-        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent if self.percent < 100 else 2)).alias("band")
-        entries = self.met.select("*", band)
-        draw = F.xxhash64("cid", F.col("key").bitwiseAND(F.lit(3).cast("long")))
-        hubs = entries.groupBy("key", "light", "band").agg(F.min(F.struct(draw.alias("d"), "cid", "n")).alias("hub"))
-        joined = entries.join(hubs, ["key", "light", "band"]).where(F.col("cid") != F.col("hub.cid")).where(self._fits(F.col("n"), F.col("hub.n")))
+        """Every entry with the hubs of its list and size class, ``HUBS`` draws among the members: linear in the entries, and a large group is connected by some of them."""
+        # Size classes in two layers, one moved by half a class: members of nearly one size are together in at least one of them.
+        size = F.log(F.col("n").cast("double")) / math.log(100 / self.percent if self.percent < 100 else 2)
+        entries = self.met.select("*", F.explode(F.array(F.floor(size) * 2, F.floor(size + 0.5) * 2 + 1)).alias("band"))
+        drawn = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("d"), "cid", "n")).alias(f"hub_{k}") for k in range(HUBS)]
+        hubs = entries.groupBy("key", "light", "band").agg(*drawn)
+        joined = entries.join(hubs, ["key", "light", "band"]).select("cid", "n", "light", F.explode(F.array_distinct(F.array(*[F.struct(f"hub_{k}.cid", f"hub_{k}.n") for k in range(HUBS)]))).alias("hub"))
+        joined = joined.where(F.col("cid") != F.col("hub.cid")).where(self._fits(F.col("n"), F.col("hub.n")))
         pairs = joined.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
         side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
