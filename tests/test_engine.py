@@ -73,6 +73,38 @@ def test_islands_agree(spark):
     assert a == b and set(a) == {4, 6, 7}
 
 
+def test_labels_of_parts(spark):
+    """Parts of any cut give the strongly connected parts of the whole graph; parts that did not change are not searched again."""
+    import random
+
+    from waymark.operators.labels import edge_labels, islands_by_parts
+
+    rnd = random.Random(11)
+    for n in (14,):
+        edges = [(e, rnd.randrange(n), rnd.randrange(n), 1) for e in range(1, 2 * n)]
+        arcs = arcs_of(spark, edges).where("forward or edge_id % 5 = 0").cache()
+        bar = spark.createDataFrame([(edges[k][2], edges[k][0], edges[k + 1][0]) for k in range(n)], "vertex_id long, from_edge long, to_edge long")
+        links = {(a.edge_id, b.edge_id) for a in arcs.collect() for b in arcs.collect() if a.to_v == b.from_v and a.edge_id != b.edge_id} - {(r.from_edge, r.to_edge) for r in bar.collect() for a in arcs.collect() if a.edge_id == r.from_edge and a.to_v == r.vertex_id}
+        reach = {e: {e} for e, *_ in edges}
+        for _ in edges:
+            reach = {e: {e} | {x for a, b in links if a == e for x in reach[b]} for e in reach}
+        want = {e: (min(part), len(part)) for e in reach for part in [[x for x in reach[e] if e in reach[x]]]}
+        for width, few in ((1, 0), (3, 100)):
+            parts = spark.createDataFrame([(v, 20 * (v // width)) for v in range(n)], "vertex_id long, part long")
+            got, said = edge_labels(arcs, bar, parts, few=few)
+            assert {r.edge_id: (r.label, r.size) for r in got.collect()} == want
+        # One part loses an edge: what the others said, though wrong here on purpose, is taken again.
+        home = lambda e: 20 * (edges[e - 1][1] // 3)
+        parts = spark.createDataFrame([(v, 20 * (v // 3)) for v in range(n)], "vertex_id long, part long")
+        said = edge_labels(arcs, bar, parts)[1]
+        again = edge_labels(arcs.where("edge_id <> 1"), bar, parts, known=said.withColumn("label", F.col("edge_id")))[1]
+        assert all((r.label == r.edge_id) for r in again.collect() if r.part != home(1)) and {r.edge_id for r in again.collect()} == {e for e, *_ in edges} - {1}
+        assert {r.mark for r in again.collect() if r.part == home(1)}.isdisjoint({r.mark for r in said.collect()})
+    assert edge_labels(arcs.limit(0), bar, parts)[0].count() == 0
+    routed = {r.edge_id: r.size for r in islands_by_parts(arcs, bar, max_size=3).collect()}
+    assert routed == {r.edge_id: r.size for r in routing.islands(arcs, bar, max_size=3).collect()} == {e: k for e, (_, k) in want.items() if k < 3}
+
+
 def test_profiles(spark):
     rows = [({"highway": "residential"},), ({"highway": "pedestrian"},), ({"highway": "residential", "oneway": "yes"},), ({"route": "ferry"},), ({},)]
     df = spark.createDataFrame(rows, "attrs map<string,string>")

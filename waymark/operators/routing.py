@@ -525,7 +525,9 @@ def islands(arcs: DataFrame, forbidden: DataFrame | None = None, *, max_size: in
     if graph is not None:
         spark = arcs.sparkSession
         return spark.range(0, 1, 1, 1).mapInPandas(lambda _: [strong_parts(graph.value)], "edge_id long, size long").where(F.col("size") < max_size)
-    return colored_islands(arcs, forbidden, max_size=max_size)
+    from waymark.operators.labels import islands_by_parts
+
+    return islands_by_parts(arcs, forbidden, max_size=max_size)
 
 
 def island_table(network: Network, profile: Profile, path: str, *, max_size: int = 1024) -> DataFrame:
@@ -540,16 +542,11 @@ def island_table(network: Network, profile: Profile, path: str, *, max_size: int
     return spark.read.schema("edge_id long, size long").parquet(folder)
 
 
-def strong_parts(g: Compact) -> pd.DataFrame:
-    """Size of the strongly connected part of every edge, in one pass over a graph in memory (Tarjan's lowpoints, without recursion)."""
-    following: dict[int, list[int]] = {}
-    for k in range(len(g.arc)):
-        v, edge = g.to[k], g.arc[k] >> 1
-        out = following.setdefault(edge, [])
-        out += [o for n in range(g.first[v], g.end[v]) if (o := g.arc[n] >> 1) != edge and (v, edge, o) not in g.turns]
+def strong_components(following: dict[int, list[int]]) -> Iterator[list[int]]:
+    """Strongly connected parts of a graph in memory, each after those that it leads to (Tarjan's lowpoints, without recursion)."""
     number: dict[int, int] = {}
     low: dict[int, int] = {}
-    size: dict[int, int] = {}
+    done: set[int] = set()
     open_: list[int] = []
     for root in following:
         if root in number:
@@ -565,7 +562,7 @@ def strong_parts(g: Compact) -> pd.DataFrame:
                     open_.append(other)
                     work.append((other, iter(following.get(other, ()))))
                     break
-                if other not in size:
+                if other not in done:
                     low[node] = min(low[node], number[other])
             else:
                 work.pop()
@@ -575,7 +572,18 @@ def strong_parts(g: Compact) -> pd.DataFrame:
                     part = [open_.pop()]
                     while part[-1] != node:
                         part.append(open_.pop())
-                    size |= dict.fromkeys(part, len(part))
+                    done.update(part)
+                    yield part
+
+
+def strong_parts(g: Compact) -> pd.DataFrame:
+    """Size of the strongly connected part of every edge, in one pass over a graph in memory."""
+    following: dict[int, list[int]] = {}
+    for k in range(len(g.arc)):
+        v, edge = g.to[k], g.arc[k] >> 1
+        out = following.setdefault(edge, [])
+        out += [o for n in range(g.first[v], g.end[v]) if (o := g.arc[n] >> 1) != edge and (v, edge, o) not in g.turns]
+    size = {e: len(part) for part in strong_components(following) for e in part}
     return pd.DataFrame({"edge_id": list(size), "size": list(size.values())}, dtype="int64")
 
 
@@ -587,7 +595,7 @@ def _trimmed(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def colored_islands(arcs: DataFrame, forbidden: DataFrame | None = None, *, max_size: int = 1024) -> DataFrame:
-    """The same for graphs that are too large to broadcast.
+    """The same by rounds of joins over the whole graph, a second way beside ``labels.islands_by_parts``.
 
     Edges with no way in or no way on are parts of their own and go first.  Then the least
     label spreads forward until it settles, then backward from its owner within

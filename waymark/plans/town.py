@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from waymark.functions import attributes, geo
 from waymark.operators import graph, instructions, mutate, places, routes, routing
 from waymark.operators.islands import island_test
+from waymark.operators.labels import edge_labels
 from waymark.operators.texts import Settings
 from waymark.operators.tiled import tiled_tree
 from waymark.operators.profiles import CAR, CAR_SPEEDS, PEDESTRIAN, Profile, _car_turns, prepare
@@ -328,6 +329,16 @@ def town_island_test(spark, sf_dir):
     return island_test(graph.cost_arcs(n.edges, DRIVER), n.edges.select("edge_id"), graph.forbidden_turns(n.turn_costs, DRIVER), max_size=16)
 
 
+def town_labels(spark, sf_dir):
+    """The strongly connected part of every edge by labels of parts: the parts of odd numbers first, then all with what those said."""
+    n = town(spark, sf_dir)
+    arcs, turns = graph.cost_arcs(n.edges, DRIVER), graph.forbidden_turns(n.turn_costs, DRIVER)
+    parts = n.vertices.select("vertex_id", F.floor(F.col("vertex_id") / 150).alias("part"))
+    _, said = edge_labels(arcs.where("floor((case when forward then from_v else to_v end) / 150) % 2 = 1"), turns, parts)
+    edges, _ = edge_labels(arcs, turns, parts, known=said, few=50)
+    return edges
+
+
 def town_boxes(spark, sf_dir):
     """Features in boxes around the first points asked."""
     n = town(spark, sf_dir)
@@ -546,7 +557,7 @@ def town_footways(spark, sf_dir):
     return arcs.select("arc_id", F.floor(F.col("length_cm") / F.col("speed")).cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, town_tiled, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branch_points, route_instructions, town_guides, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_island_test, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
+QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, town_tiled, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branch_points, route_instructions, town_guides, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_island_test, town_labels, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
 
 _TILE = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * {n})::BIGINT * {n} + floor(({x} + 180) / 360 * {n})::BIGINT"
 
@@ -738,3 +749,4 @@ s AS (SELECT y.q, row_number() OVER (PARTITION BY y.q ORDER BY y.k) - 1 AS s, y.
 SELECT q AS query_id, s::INT AS seq, y AS type, k::INT AS shape_idx, e::INT AS shape_idx_end, t::INT AS turn_degrees, roads, w AS text_en FROM s
 UNION ALL SELECT gr.q, count(s.q)::INT, 'end', (any_value(z) - 1)::INT, any_value(z)::INT, 0, '', '' FROM gr LEFT JOIN s ON s.q = gr.q GROUP BY gr.q"""
 ORACLES["town_island_test"] = ORACLES["town_islands"].replace("SELECT edge_id, size FROM s WHERE size < 64", "SELECT e.edge_id, s.size < 16 AS on_island FROM e LEFT JOIN s ON s.edge_id = e.edge_id")
+ORACLES["town_labels"] = ORACLES["town_islands"].replace("SELECT x.a AS edge_id, count(*)", "SELECT x.a AS edge_id, min(x.b)::BIGINT AS label, count(*)").replace("SELECT edge_id, size FROM s WHERE size < 64", "SELECT edge_id, label, size FROM s")
