@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,9 +34,17 @@ def set_hash(attrs: Column) -> Column:
     return F.aggregate(canonical(attrs), F.lit(0).cast("long"), lambda s, e: s.bitwiseXOR(F.xxhash64(e["key"], e["value"])))
 
 
-def dictionary(rows: DataFrame, attrs_col: str = "attrs") -> DataFrame:
-    """Distinct attribute sets with ids from 1 in the order of their canonical text; 0 stands for the empty set."""
+def dictionary(rows: DataFrame, attrs_col: str = "attrs", known: DataFrame | None = None) -> DataFrame:
+    """Distinct attribute sets (text, type_id) with ids from 1 in the order of their canonical text; 0 stands for the empty set.
+
+    With ``known``, an earlier dictionary, only sets that it has not got, with ids after its own.
+    """
+    from waymark.storage import numbered
+
     text = F.to_json(canonical(F.col(attrs_col)))
     distinct = rows.select(text.alias("text")).where("text <> '[]'").distinct()
-    # A dictionary has few rows by nature: it holds attribute sets, not edges.
-    return distinct.withColumn("type_id", F.row_number().over(Window.orderBy("text")).cast("long"))
+    start = 1
+    if known is not None:
+        distinct = distinct.join(known.select("text"), "text", "left_anti")
+        start += known.agg(F.max("type_id")).first()[0] or 0
+    return numbered(distinct, "text", start=start).withColumnRenamed("id", "type_id")

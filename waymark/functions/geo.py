@@ -183,6 +183,37 @@ def tile_range(box, zoom: int = 14) -> Column:
     return F.flatten(F.transform(F.sequence(y1, y2), lambda y: F.transform(F.sequence(x1, x2), lambda x: y * (1 << zoom) + x)))
 
 
+def tiles_crossed(p, q, zoom: int = 14) -> Column:
+    """Array of the ids of all tiles that the line from p to q touches: for each column of tiles, the rows between where the line comes in and where it goes out."""
+    n = 1 << zoom
+    west, east = F.least(p["lon"], q["lon"]), F.greatest(p["lon"], q["lon"])
+    column = lambda lon: F.floor((lon + 180.0) / 360.0 * n).cast("long")
+    side = lambda x: x / F.lit(float(n)) * 360.0 - 180.0
+
+    def rows(x):
+        ends = [F.least(F.greatest(side(c), west), east) for c in (x, x + 1)]
+        steep = p["lon"] == q["lon"]
+        lats = [F.when(steep, flat["lat"]).otherwise(p["lat"] + (q["lat"] - p["lat"]) * (lon - p["lon"]) / F.nullif(q["lon"] - p["lon"], F.lit(0.0))) for lon, flat in zip(ends, (p, q), strict=True)]
+        y1, y2 = (tile_xy(F.lit(0.0), lat, zoom)[1] for lat in lats)
+        return F.transform(F.sequence(F.least(y1, y2), F.greatest(y1, y2)), lambda y: y * n + x)
+
+    return F.flatten(F.transform(F.sequence(column(west), column(east)), rows))
+
+
+def meets_box(p, q, box) -> Column:
+    """Whether some point of the line from p to q lies in the half-open box."""
+    spans = []
+    for c, low, high in (("lon", "left", "right"), ("lat", "bottom", "top")):
+        start, step = p[c], F.nullif(q[c] - p[c], F.lit(0.0))
+        a, b = (box[low] - start) / step, (box[high] - start) / step
+        inside = (start > box[low]) & (start <= box[high])
+        level = step.isNull()
+        spans.append((F.when(level, F.when(inside, 0.0).otherwise(2.0)).otherwise(F.least(a, b)), F.when(level, F.when(inside, 1.0).otherwise(-1.0)).otherwise(F.greatest(a, b))))
+    begin, end = F.greatest(F.lit(0.0), spans[0][0], spans[1][0]), F.least(F.lit(1.0), spans[0][1], spans[1][1])
+    at = [p[c] + (q[c] - p[c]) * begin for c in ("lon", "lat")]
+    return (begin < end) | ((begin == end) & in_box(*at, box))
+
+
 def vertex_id(tile, local) -> Column:
     return F.shiftleft(tile.cast("long"), 32).bitwiseOR(local.cast("long"))
 

@@ -107,8 +107,13 @@ def vertices_in_boxes(vertices: DataFrame, boxes: DataFrame, zoom: int = 14) ->
     return tiled.join(asked, "tile").where(geo.in_box(F.col("lon"), F.col("lat"), F.col("box"))).drop("tile", "box")
 
 
-def edges_in_boxes(vertices: DataFrame, edges: DataFrame, boxes: DataFrame, zoom: int = 14) -> DataFrame:
-    """(query_id, edge_id): edges with an end in the box, each once for a query."""
+def edges_in_boxes(vertices: DataFrame, edges: DataFrame, boxes: DataFrame, zoom: int = 14, by_segment: bool = False) -> DataFrame:
+    """(query_id, edge_id): edges with an end in the box, each once for a query; ``by_segment``: edges with any point in it, their ends wherever they are."""
+    if by_segment:
+        lines = full_shape(edges, vertices).select("edge_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("points") - 1), lambda i: F.struct(F.get("points", i - 1).alias("p"), F.get("points", i).alias("q")))).alias("s"))
+        tiled = lines.select("edge_id", "s", F.explode(geo.tiles_crossed(F.col("s.p"), F.col("s.q"), zoom)).alias("tile"))
+        asked = boxes.select("query_id", "box", F.explode(geo.tile_range(F.col("box"), zoom)).alias("tile"))
+        return tiled.join(asked, "tile").where(geo.meets_box(F.col("s.p"), F.col("s.q"), F.col("box"))).select("query_id", "edge_id").distinct()
     inside = vertices_in_boxes(vertices, boxes, zoom).select("query_id", "vertex_id")
     ends = edges.select("edge_id", F.explode(F.array("tail", "head")).alias("vertex_id"))
     return inside.join(ends, "vertex_id").select("query_id", "edge_id").distinct()

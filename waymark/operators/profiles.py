@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the built-in profiles, in km/h.
@@ -112,15 +112,45 @@ def turn_factors(types: DataFrame, *profiles: Profile) -> DataFrame:
     return out
 
 
+#: Types up to this many are broadcast to the edges; more are joined by key.
+BROADCAST_TYPES = 100_000
+
+
+def _typed(edges: DataFrame, types: DataFrame, key: str) -> DataFrame:
+    few = types.count() <= BROADCAST_TYPES
+    types = types.select(key, "type_id")
+    return edges.join(F.broadcast(types) if few else types, key).select("edge_id", "type_id")
+
+
 def prepare(edges: DataFrame, *profiles: Profile) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edge_id, type_id), (type_id, attrs) and (profile, type_id, factors): edges typed by what the profiles read of their attributes.
 
     Attributes that no profile reads make no types of their own; with other profiles the types are made anew.
     """
     from waymark.functions.attributes import canonical, keep
+    from waymark.storage import numbered
 
     keys = sorted({k for p in profiles for k in p.keys})
     typed = edges.select("edge_id", keep(F.coalesce("attrs", F.create_map().cast("map<string,string>")), keys).alias("attrs")).withColumn("text", F.to_json(canonical(F.col("attrs"))))
-    # As few rows as there are kinds of streets: numbered in the order of their texts.
-    types = typed.groupBy("text").agg(F.first("attrs").alias("attrs")).withColumn("type_id", F.row_number().over(Window.orderBy("text")).cast("long"))
-    return typed.join(F.broadcast(types.select("text", "type_id")), "text").select("edge_id", "type_id"), types.select("type_id", "attrs"), edge_factors(types, *profiles)
+    types = numbered(typed.groupBy("text").agg(F.first("attrs").alias("attrs")), "text").withColumnRenamed("id", "type_id")
+    return _typed(typed, types, "text"), types.select("type_id", "attrs"), edge_factors(types, *profiles)
+
+
+def minimise(edges: DataFrame, *profiles: Profile) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of :func:`prepare` with as few types as can be: sets of attributes that cost the same for every profile are one.
+
+    Sets are rated whole, so nothing hangs on ``keys`` being complete.  A type's attributes are the shortest of its sets,
+    without what no profile says it reads where that is rated the same.
+    """
+    from waymark.functions.attributes import canonical, keep
+    from waymark.storage import numbered
+
+    keys = sorted({k for p in profiles for k in p.keys})
+    rated = lambda attrs: F.to_json(F.array(*[F.struct(*p.factors(attrs)) for p in profiles]))
+    full = edges.select("edge_id", F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs")).withColumn("text", F.to_json(canonical(F.col("attrs"))))
+    sets = full.groupBy("text").agg(F.first("attrs").alias("attrs")).withColumn("rating", rated(F.col("attrs"))).withColumn("kept", keep(F.col("attrs"), keys))
+    sets = sets.withColumn("kept", F.when(rated(F.col("kept")) == F.col("rating"), F.col("kept")).otherwise(F.col("attrs")))
+    order = F.struct(F.size("kept"), F.to_json(canonical(F.col("kept"))))
+    types = numbered(sets.groupBy("rating").agg(F.min_by("kept", order).alias("attrs")), "rating").withColumnRenamed("id", "type_id")
+    by_set = sets.select("text", "rating").join(types.select("rating", "type_id"), "rating").select("text", "type_id")
+    return _typed(full, by_set, "text"), types.select("type_id", "attrs"), edge_factors(types, *profiles)

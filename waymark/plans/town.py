@@ -18,10 +18,10 @@ from waymark.operators.islands import island_test
 from waymark.operators.labels import edge_labels
 from waymark.operators.texts import Settings
 from waymark.operators.tiled import tiled_tree
-from waymark.operators.profiles import CAR, CAR_SPEEDS, PEDESTRIAN, Profile, _car_turns, prepare
+from waymark.operators.profiles import CAR, CAR_SPEEDS, PEDESTRIAN, Profile, _car_turns, minimise, prepare
 from waymark.plans.queries import KINDS, NEAR, metres_sql, snap_sql
 from waymark.sources import geojson, osm
-from waymark.storage import Network, read_snapshot, scratch_dir, write_snapshot
+from waymark.storage import Changes, Network, compact, read_snapshot, read_types, scratch_dir, write_changes, write_snapshot
 from waymark.streaming.tiles import load_tiles, loaded_edges
 
 DRIVER = Profile("driver", CAR_SPEEDS, 3600.0, forbids=_car_turns, turn_weight=lambda a: F.when(a["type"] == "lights", 100))
@@ -551,13 +551,56 @@ def town_snapshot(spark, sf_dir):
     return count("vertices", back.vertices).unionByName(count("edges", back.edges)).unionByName(count("turns", back.turn_costs)).unionByName(back.meta.select(F.concat(F.lit("meta "), "key").alias("table"), F.col("value").cast("long").alias("n")))
 
 
+def town_log(spark, sf_dir):
+    """Edges of a version that is two changes later, read from the log and again after it was made one, with the turn costs that name them."""
+    folder = f"{scratch_dir(spark)}/town-log-{uuid.uuid4().hex}"
+    n = town(spark, sf_dir)
+    write_snapshot(replace(n, version=1), folder)
+    flat = n.edges.where("edge_id % 10 = 0").withColumn("length_cm", F.lit(7).cast("long"))
+    write_changes(spark, Changes(gone_edges=n.edges.where("edge_id % 5 = 0"), edges=flat, turn_costs=n.turn_costs.where("from_edge % 10 = 0 and to_edge % 10 = 4")), folder, 1, 2)
+    write_changes(spark, Changes(gone_edges=n.edges.where("edge_id % 30 = 10"), edges=flat.where("edge_id % 60 = 10").withColumn("length_cm", F.lit(9).cast("long"))), folder, 2, 5)
+    compact(spark, folder, 5, 6)
+    out = None
+    for version in (5, 6):
+        m = read_snapshot(spark, folder, version)
+        named = m.turn_costs.select(F.explode(F.array("from_edge", "to_edge")).alias("edge_id")).groupBy("edge_id").agg(F.count("*").alias("n_turns"))
+        part = m.edges.join(named, "edge_id", "left").select(F.lit(version).cast("long").alias("version"), "edge_id", "length_cm", F.coalesce("n_turns", F.lit(0)).cast("long").alias("n_turns"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def town_dictionary(spark, sf_dir):
+    """Attribute sets of a version and of one with more edges after it: ids of the first stay, new sets come after."""
+    folder = f"{scratch_dir(spark)}/town-dictionary-{uuid.uuid4().hex}"
+    n = town(spark, sf_dir)
+    write_snapshot(replace(n, edges=n.edges.where("edge_id % 6 <> 1"), version=1), folder)
+    write_changes(spark, Changes(edges=n.edges.where("edge_id % 6 = 1")), folder, 1, 2)
+    return read_types(spark, folder, 2)
+
+
+def town_least_types(spark, sf_dir):
+    """Types with equal factors for cars and pedestrians made one, with how many edges have them."""
+    typed, _, factors = minimise(town(spark, sf_dir).edges, CAR, PEDESTRIAN)
+    counted = typed.groupBy("type_id").agg(F.count("*").alias("n_edges"))
+    return factors.join(counted, "type_id").select("profile", "type_id", "n_edges", "fwd_factor", "bwd_factor").groupBy("type_id", "n_edges").agg(*[F.max(F.when(F.col("profile") == p, F.col(f"{d}_factor"))).alias(f"{p}_{d}") for p in ("car", "pedestrian") for d in ("fwd", "bwd")]).drop("type_id")
+
+
+def town_met_boxes(spark, sf_dir):
+    """Edges with any point in small boxes, most of which hold no vertex."""
+    n = town(spark, sf_dir)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("query_id"))
+    lon, lat = F.lit(4.7009) + (F.col("query_id") % 20) * F.lit(0.0021), F.lit(51.2003) + (F.col("query_id") % 31) * F.lit(0.0013)
+    box = F.struct(*[(c + F.lit(d)).alias(name) for c, d, name in ((lon, -0.0004, "left"), (lat, -0.0003, "bottom"), (lon, 0.0004, "right"), (lat, 0.0003, "top"))])
+    return graph.edges_in_boxes(n.vertices, n.edges, s.select("query_id", box.alias("box")), zoom=17, by_segment=True)
+
+
 def town_footways(spark, sf_dir):
     """Edges that a pedestrian may walk, each way, with the time in whole seconds."""
     arcs = graph.cost_arcs(town(spark, sf_dir).edges, PEDESTRIAN)
     return arcs.select("arc_id", F.floor(F.col("length_cm") / F.col("speed")).cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, town_tiled, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branch_points, route_instructions, town_guides, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_island_test, town_labels, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_footways)}
+QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, town_tiled, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branch_points, route_instructions, town_guides, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_island_test, town_labels, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_log, town_dictionary, town_least_types, town_met_boxes, town_footways)}
 
 _TILE = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * {n})::BIGINT * {n} + floor(({x} + 180) / 360 * {n})::BIGINT"
 
@@ -750,3 +793,20 @@ SELECT q AS query_id, s::INT AS seq, y AS type, k::INT AS shape_idx, e::INT AS s
 UNION ALL SELECT gr.q, count(s.q)::INT, 'end', (any_value(z) - 1)::INT, any_value(z)::INT, 0, '', '' FROM gr LEFT JOIN s ON s.q = gr.q GROUP BY gr.q"""
 ORACLES["town_island_test"] = ORACLES["town_islands"].replace("SELECT edge_id, size FROM s WHERE size < 64", "SELECT e.edge_id, s.size < 16 AS on_island FROM e LEFT JOIN s ON s.edge_id = e.edge_id")
 ORACLES["town_labels"] = ORACLES["town_islands"].replace("SELECT x.a AS edge_id, count(*)", "SELECT x.a AS edge_id, min(x.b)::BIGINT AS label, count(*)").replace("SELECT edge_id, size FROM s WHERE size < 64", "SELECT edge_id, label, size FROM s")
+ORACLES["town_log"] = TOWN + """, tc AS (SELECT a.edge_id AS f, b.edge_id AS t FROM e a JOIN e b ON b.tail = a.head WHERE a.edge_id % 2 = 0 AND b.edge_id % 2 = 1 AND a.head % 7 = 3 OR a.edge_id % 2 = 1 AND b.edge_id % 2 = 0 AND a.head % 11 = 4 OR a.edge_id % 2 = 0 AND b.edge_id % 2 = 0 AND a.head % 5 = 2),
+t2 AS (SELECT f, t FROM tc WHERE f % 5 <> 0 AND t % 5 <> 0 UNION ALL SELECT f, t FROM tc WHERE f % 10 = 0 AND t % 10 = 4), t5 AS (SELECT * FROM t2 WHERE f % 30 <> 10 AND t % 30 <> 10),
+g AS (SELECT edge_id, CASE WHEN edge_id % 5 <> 0 THEN cm WHEN edge_id % 60 = 10 THEN 9 ELSE 7 END AS cm FROM e WHERE edge_id % 10 <> 5 AND (edge_id % 30 <> 10 OR edge_id % 60 = 10)),
+w AS (SELECT k AS edge_id, count(*) AS n FROM (SELECT unnest([f, t]) AS k FROM t5) GROUP BY k)
+SELECT unnest([5, 6])::BIGINT AS version, g.edge_id, cm::BIGINT AS length_cm, coalesce(n, 0)::BIGINT AS n_turns FROM g LEFT JOIN w USING (edge_id)"""
+ORACLES["town_dictionary"] = TOWN + """, x AS (SELECT edge_id, '[{"key":"highway","value":"' || kind || '"},{"key":"name","value":"' || name || '"}' || coalesce(',{"key":"oneway","value":"' || oneway || '"}', '') || ']' AS text FROM e),
+o AS (SELECT DISTINCT text FROM x WHERE edge_id % 6 <> 1), m AS (SELECT text FROM x EXCEPT SELECT text FROM o)
+SELECT text, row_number() OVER (ORDER BY text)::BIGINT AS type_id FROM o UNION ALL SELECT text, ((SELECT count(*) FROM o) + row_number() OVER (ORDER BY text))::BIGINT FROM m"""
+ORACLES["town_least_types"] = TOWN + """, f AS (SELECT oneway, CASE kind WHEN 'motorway' THEN 30 WHEN 'primary' THEN 40 WHEN 'secondary' THEN 51 WHEN 'residential' THEN 72 WHEN 'living_street' THEN 240 ELSE 0 END AS c, CASE WHEN kind = 'motorway' THEN 0 ELSE 72 END::BIGINT AS p FROM e)
+SELECT CASE WHEN oneway = '-1' THEN 0 ELSE c END::BIGINT AS car_fwd, CASE WHEN oneway = 'yes' THEN 0 ELSE c END::BIGINT AS car_bwd, p AS pedestrian_fwd, p AS pedestrian_bwd, count(*)::BIGINT AS n_edges FROM f GROUP BY ALL"""
+#: On which side of the line from a to b the point c lies.
+_SIDE = "((({b}).lon - ({a}).lon) * (({c}).lat - ({a}).lat) - (({b}).lat - ({a}).lat) * (({c}).lon - ({a}).lon))"
+_CROSS = lambda c, d: f"{_SIDE.format(a='p', b='q', c=c)} * {_SIDE.format(a='p', b='q', c=d)} <= 0 AND {_SIDE.format(a=c, b=d, c='p')} * {_SIDE.format(a=c, b=d, c='q')} <= 0"
+ORACLES["town_met_boxes"] = TOWN + f""", c AS (SELECT s_suppkey AS query_id, 4.7009::DOUBLE + (s_suppkey % 20) * 0.0021::DOUBLE AS x, 51.2003::DOUBLE + (s_suppkey % 31) * 0.0013::DOUBLE AS y FROM supplier),
+b AS (SELECT query_id, {{'lon': x - 0.0004::DOUBLE, 'lat': y - 0.0003::DOUBLE}} AS ll, {{'lon': x + 0.0004::DOUBLE, 'lat': y + 0.0003::DOUBLE}} AS ur, {{'lon': x - 0.0004::DOUBLE, 'lat': y + 0.0003::DOUBLE}} AS ul, {{'lon': x + 0.0004::DOUBLE, 'lat': y - 0.0003::DOUBLE}} AS lr FROM c),
+i AS (SELECT edge_id, pts, unnest(range(1, len(pts))) AS k FROM e), s AS (SELECT edge_id, pts[k] AS p, pts[k + 1] AS q FROM i)
+SELECT DISTINCT query_id, edge_id FROM b JOIN s ON (p.lon > ll.lon AND p.lon <= ur.lon AND p.lat > ll.lat AND p.lat <= ur.lat) OR (q.lon > ll.lon AND q.lon <= ur.lon AND q.lat > ll.lat AND q.lat <= ur.lat) OR ({_CROSS('ll', 'ur')}) OR ({_CROSS('ul', 'lr')})"""
