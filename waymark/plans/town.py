@@ -21,7 +21,8 @@ from waymark.operators.tiled import tiled_tree
 from waymark.operators.profiles import CAR, CAR_SPEEDS, PEDESTRIAN, Profile, _car_turns, minimise, prepare
 from waymark.plans.queries import KINDS, NEAR, metres_sql, snap_sql
 from waymark.sources import geojson, osm
-from waymark.storage import Changes, Network, compact, read_snapshot, read_types, scratch_dir, write_changes, write_snapshot
+from waymark.storage import Changes, Network, compact, materialize, read_snapshot, read_types, scratch_dir, write_changes, write_snapshot
+from waymark.streaming.parts import load_parts, loaded_network, tile_parts
 from waymark.streaming.tiles import load_tiles, loaded_edges
 
 DRIVER = Profile("driver", CAR_SPEEDS, 3600.0, forbids=_car_turns, turn_weight=lambda a: F.when(a["type"] == "lights", 100))
@@ -541,6 +542,17 @@ def town_tiles(spark, sf_dir):
     return loaded_edges(spark, f"{folder}/out").select("edge_id", "tail", "head")
 
 
+def town_parts(spark, sf_dir):
+    """Edges and turns as a stream of tiles makes them whole, the second arrival with tiles of the first; a turn waits for all parts of its edges."""
+    folder = f"{scratch_dir(spark)}/town-parts-{uuid.uuid4().hex}"
+    parts = materialize(tile_parts(town(spark, sf_dir), zoom=15), "town-parts")
+    for some in ("tile % 2 = 0", "tile % 3 <> 1"):
+        parts.where(some).write.mode("append").parquet(f"{folder}/in")
+        load_parts(spark, f"{folder}/in", parts.schema, f"{folder}/out", f"{folder}/check").awaitTermination()
+    n = loaded_network(spark, parts.schema, f"{folder}/out")
+    return n.edges.select(F.lit("edge").alias("kind"), "edge_id", F.lit(-1).cast("long").alias("to_edge")).unionByName(n.turn_costs.select(F.lit("turn").alias("kind"), F.col("from_edge").alias("edge_id"), "to_edge"))
+
+
 def town_snapshot(spark, sf_dir):
     """What is read of a version that was written: rows of every table."""
     folder = f"{scratch_dir(spark)}/town-snapshot-{uuid.uuid4().hex}"
@@ -600,7 +612,7 @@ def town_footways(spark, sf_dir):
     return arcs.select("arc_id", F.floor(F.col("length_cm") / F.col("speed")).cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, town_tiled, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branch_points, route_instructions, town_guides, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_island_test, town_labels, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_snapshot, town_log, town_dictionary, town_least_types, town_met_boxes, town_footways)}
+QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, town_tiled, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branch_points, route_instructions, town_guides, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_island_test, town_labels, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_parts, town_snapshot, town_log, town_dictionary, town_least_types, town_met_boxes, town_footways)}
 
 _TILE = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * {n})::BIGINT * {n} + floor(({x} + 180) / 360 * {n})::BIGINT"
 
@@ -715,6 +727,10 @@ SELECT edge_id, tail, head FROM e WHERE tail NOT IN (SELECT vertex_id FROM hit)
 UNION ALL SELECT edge_id + 200000000, tail, head FROM e WHERE edge_id % 2 = 0 AND tail IN (SELECT vertex_id FROM new) AND head IN (SELECT vertex_id FROM new)""",
     "town_tiles": TOWN + f""", x AS (SELECT vertex_id, {_TILE.format(x='lon', y='lat', n=32768)} AS tile FROM v), y AS (SELECT edge_id, tail, head, a.tile AS t1, b.tile AS t2 FROM e JOIN x a ON a.vertex_id = tail JOIN x b ON b.vertex_id = head)
 SELECT edge_id, tail, head FROM y WHERE (t1 % 2 = 0 OR t1 % 3 <> 1) AND (t2 % 2 = 0 OR t2 % 3 <> 1)""",
+    "town_parts": TOWN + f""", x AS (SELECT vertex_id, {_TILE.format(x='lon', y='lat', n=32768)} AS tile FROM v), y AS (SELECT edge_id, tail, head, a.tile AS t1, b.tile AS t2 FROM e JOIN x a ON a.vertex_id = tail JOIN x b ON b.vertex_id = head),
+z AS (SELECT edge_id, tail, head FROM y WHERE (t1 % 2 = 0 OR t1 % 3 <> 1) AND (t2 % 2 = 0 OR t2 % 3 <> 1))
+SELECT 'edge' AS kind, edge_id, (-1)::BIGINT AS to_edge FROM z UNION ALL
+SELECT 'turn', a.edge_id, b.edge_id FROM z a JOIN z b ON b.tail = a.head WHERE a.edge_id % 2 = 0 AND b.edge_id % 2 = 1 AND a.head % 7 = 3 OR a.edge_id % 2 = 1 AND b.edge_id % 2 = 0 AND a.head % 11 = 4 OR a.edge_id % 2 = 0 AND b.edge_id % 2 = 0 AND a.head % 5 = 2""",
     "town_snapshot": TOWN + """SELECT 'vertices' AS "table", count(*)::BIGINT AS n FROM v UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'meta zoom', 14
 UNION ALL SELECT 'turns', count(*) FROM e a JOIN e b ON b.tail = a.head WHERE a.edge_id % 2 = 0 AND b.edge_id % 2 = 1 AND a.head % 7 = 3 OR a.edge_id % 2 = 1 AND b.edge_id % 2 = 0 AND a.head % 11 = 4 OR a.edge_id % 2 = 0 AND b.edge_id % 2 = 0 AND a.head % 5 = 2""",
     "town_footways": TOWN + "SELECT edge_id * 2 + side AS arc_id, floor(cm / 138.0::DOUBLE)::BIGINT AS seconds FROM e, (SELECT unnest([0, 1]) AS side) WHERE kind <> 'motorway'",
