@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import attributes, geo
 from waymark.operators import graph, instructions, mutate, places, routes, routing
+from waymark.operators.demand import ArcTiles, tree_on_demand, write_arc_tiles
 from waymark.operators.islands import island_test
 from waymark.operators.labels import edge_labels
 from waymark.operators.texts import Settings
@@ -139,6 +140,19 @@ def town_tiled(spark, sf_dir):
     return tiled_tree(graph.cost_arcs(n.edges, DRIVER), spark.createDataFrame([(0,)], "source long"), graph.forbidden_turns(n.turn_costs, DRIVER), tiles).select("arc_id", "cost")
 
 
+def town_demand(spark, sf_dir):
+    """What is within a cost of vertex 0, from tiles in storage that are read as the search meets them."""
+    n = town(spark, sf_dir)
+    folder = f"{scratch_dir(spark)}/town-demand-{uuid.uuid4().hex}"
+    parts = n.vertices.select("vertex_id", geo.tile_id(F.col("lon"), F.col("lat"), 15).alias("part"))
+    write_arc_tiles(graph.cost_arcs(n.edges, DRIVER), parts, folder, graph.forbidden_turns(n.turn_costs, DRIVER))
+    tiles = ArcTiles(spark, folder, turns=True)
+    try:
+        return tree_on_demand(tiles, spark.createDataFrame([(0,), (100,)], "source long"), max_cost=10_000_000).where("source = 0").select("arc_id", "cost")
+    finally:
+        tiles.close()
+
+
 def junction_turns(spark, sf_dir):
     """Angle, kind and compass direction of every transition, by the last and first pieces of the two lines."""
     n = town(spark, sf_dir)
@@ -612,7 +626,7 @@ def town_footways(spark, sf_dir):
     return arcs.select("arc_id", F.floor(F.col("length_cm") / F.col("speed")).cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, town_tiled, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branch_points, route_instructions, town_guides, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_island_test, town_labels, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_parts, town_snapshot, town_log, town_dictionary, town_least_types, town_met_boxes, town_footways)}
+QUERIES = {f.__name__: f for f in (town_edges, town_arcs, town_turns, town_tree, town_rounds, town_tiled, town_demand, junction_turns, town_places, town_snaps, town_snap_vertices, town_paths, town_pieces, town_routes, town_branch_points, route_instructions, town_guides, town_starts, augmented_routes, route_alternatives, town_positions, town_merged, town_bearings, town_types, town_elevation, town_islands, town_island_test, town_labels, town_boxes, town_traces, town_worst, town_ends, town_streets, town_complete, town_tile_tables, town_directions, town_sets, town_crossings, town_json_tiles, town_to_one, town_texts, town_branches, town_matrix, town_import, town_import_turns, town_geojson, town_changes, town_replaced, town_tiles, town_parts, town_snapshot, town_log, town_dictionary, town_least_types, town_met_boxes, town_footways)}
 
 _TILE = "floor((1 - ln(tan(radians({y})) + 1 / cos(radians({y}))) / pi()) / 2 * {n})::BIGINT * {n} + floor(({x} + 180) / 360 * {n})::BIGINT"
 
@@ -789,6 +803,7 @@ SELECT od.q AS query_id, coalesce(f.c, -1) AS cost, coalesce(o1, -1) AS offset1,
 SELECT od.q AS query_id, coalesce(a || ' ' || path || ' ' || b, 'no path') AS text FROM od LEFT JOIN l ON l.q = od.q""",
 }
 ORACLES["town_rounds"] = ORACLES["town_tiled"] = ORACLES["town_tree"]
+ORACLES["town_demand"] = f"SELECT arc_id, cost FROM ({ORACLES['town_tree']}) WHERE cost <= 10000000"
 
 ORACLES["town_branch_points"] = TOWN + _ONE + _WALK + _GUIDE + "SELECT q AS query_id, i::INT AS shape_idx, edge_id, forward, round(np.lon, 7) AS lon, round(np.lat, 7) AS lat, name FROM br"
 ORACLES["route_instructions"] = TOWN + _ONE + _WALK + _ANSWERS + f""", step(q, s, k, nxt) AS (SELECT q, 0, 0, CASE WHEN a.e = k THEN k + 1 ELSE a.e END FROM say WHERE k = 0 UNION ALL SELECT step.q, step.s + 1, say.k, CASE WHEN say.a.e = say.k THEN say.k + 1 ELSE say.a.e END FROM step JOIN say ON say.q = step.q AND say.k = step.nxt),
