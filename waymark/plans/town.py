@@ -144,11 +144,11 @@ def town_demand(spark, sf_dir):
     """What is within a cost of vertex 0, from tiles in storage that are read as the search meets them."""
     n = town(spark, sf_dir)
     folder = f"{scratch_dir(spark)}/town-demand-{uuid.uuid4().hex}"
-    parts = n.vertices.select("vertex_id", geo.tile_id(F.col("lon"), F.col("lat"), 15).alias("part"))
+    parts = n.vertices.select("vertex_id", geo.tile_id(F.col("lon"), F.col("lat"), 14).alias("part"))
     write_arc_tiles(graph.cost_arcs(n.edges, DRIVER), parts, folder, graph.forbidden_turns(n.turn_costs, DRIVER))
     tiles = ArcTiles(spark, folder, turns=True)
     try:
-        return tree_on_demand(tiles, spark.createDataFrame([(0,), (100,)], "source long"), max_cost=10_000_000).where("source = 0").select("arc_id", "cost")
+        return tree_on_demand(tiles, spark.createDataFrame([(0,)], "source long"), max_cost=10_000_000).select("arc_id", "cost")
     finally:
         tiles.close()
 
