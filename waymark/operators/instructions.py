@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any, NamedTuple
 
 import pandas as pd
@@ -52,25 +53,47 @@ class Line:
     attrs: list[dict[str, str]]
     branches: dict[int, list[Branch]] = field(default_factory=dict)
 
-    @property
+    @cached_property
     def last(self) -> int:
         return len(self.points) - 1
 
+    @cached_property
+    def _metres(self) -> list[float]:
+        pairs = zip(self.points, self.points[1:], strict=False)
+        return [math.hypot(math.radians(c - a) * math.cos(math.radians((b + d) / 2)), math.radians(d - b)) * 6_371_000 for (a, b), (c, d) in pairs]
+
+    @cached_property
+    def _departing(self) -> list[float]:
+        return [*map(_bearing, self.points, self.points[1:]), 0.0]
+
+    @cached_property
+    def _turns(self) -> list[int]:
+        d = self._departing
+        return [signed(a - b) for a, b in zip([0.0, *d], d, strict=False)]
+
+    @cached_property
+    def _along(self) -> list[int]:
+        """For every point the first one after it where a street that is followed ends: the same for all points before it on that street."""
+        out = [self.last] * (self.last + 1)
+        for k in range(self.last - 2, -1, -1):
+            i = k + 1
+            goes_on = abs(self._turns[i]) <= 35 and self.name(i) == self.name(k) and not self.ring(i)
+            out[k] = out[i] if goes_on else i
+        return out
+
     def metres(self, k: int) -> float:
-        (a, b), (c, d) = self.points[k], self.points[k + 1]
-        x = math.radians(c - a) * math.cos(math.radians((b + d) / 2))
-        return math.hypot(x, math.radians(d - b)) * 6_371_000
+        return self._metres[k]
 
     def departing(self, k: int) -> float:
         """Bearing of the piece after a point; 0 at the end, where nothing follows."""
-        return _bearing(self.points[k], self.points[k + 1]) if k < self.last else 0.0
+        return self._departing[k]
 
     def arriving(self, k: int) -> float:
-        return self.departing(k - 1) if k > 0 else 0.0
+        return self._departing[k - 1] if k > 0 else 0.0
 
     def turn(self, k: int) -> int:
         """Change of direction at a point."""
-        return signed(self.arriving(k) - self.departing(k))
+        return self._turns[k]
 
     def name(self, k: int) -> str | None:
         return self.attrs[k].get("name")
@@ -133,9 +156,10 @@ def follow_along(r: Line, k: int) -> Found | None:
     """One name and no turn over 35 degrees; the turn is that between the ways in at both ends."""
     if not 0 < k < r.last:
         return None
-    out = r.until(k, lambda i: abs(r.turn(i)) <= 35 and r.name(i) == r.name(k) and not r.ring(i))
-    total, (_, metres) = signed(r.arriving(out) - r.arriving(k)), r.span(k, out)
-    return None if total and _steep(total, metres) else ("followalong", k, out, total, {})
+    out = r._along[k]
+    total = signed(r.arriving(out) - r.arriving(k))
+    # A turn of under 45 degrees is steep over a few metres only: no need to measure on.
+    return None if abs(total) >= 45 or total and _steep(total, r.span(k, min(out, k + 1))[1]) and _steep(total, r.span(k, out)[1]) else ("followalong", k, out, total, {})
 
 
 def turn(r: Line, k: int) -> Found | None:
