@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from waymark.operators.graph import transitions
 from waymark.storage import drop, materialize
 
+#: Rows of a round that one task holds.
+TASK_ROWS = 500_000
+
 
 def island_test(arcs: DataFrame, asked: DataFrame, forbidden: DataFrame | None = None, *, max_size: int = 1024, rounds: int = 100_000) -> DataFrame:
     """Edges asked (edge_id) with ``on_island``: whether fewer than ``max_size`` edges, itself included, are strongly connected with it; null where it has no arc.
@@ -30,11 +33,14 @@ def island_test(arcs: DataFrame, asked: DataFrame, forbidden: DataFrame | None =
     state = materialize(known.select(F.col("edge_id").alias("q"), "edge_id", yes.alias("to"), yes.alias("fro"), yes.alias("new_to"), yes.alias("new_fro")), "island-state")
     decided = []
     whole = Window.partitionBy("q")
+    least, n_links = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), links.count()
     for _ in range(rounds):
-        ahead = state.where("new_to").join(links, F.col("edge_id") == F.col("a")).select("q", F.col("b").alias("edge_id"), no.alias("had_to"), no.alias("had_fro"), yes.alias("to"), no.alias("fro"))
-        back = state.where("new_fro").join(links, F.col("edge_id") == F.col("b")).select("q", F.col("a").alias("edge_id"), no.alias("had_to"), no.alias("had_fro"), no.alias("to"), yes.alias("fro"))
+        # Tasks follow the rows, so that none holds more of them in a larger network; a question's rows meet in one for both steps.
+        tasks = max(least, (4 * state.count() + n_links) // TASK_ROWS)
+        ahead = state.where("new_to").repartition(tasks, "edge_id").join(links.repartition(tasks, "a"), F.col("edge_id") == F.col("a")).select("q", F.col("b").alias("edge_id"), no.alias("had_to"), no.alias("had_fro"), yes.alias("to"), no.alias("fro"))
+        back = state.where("new_fro").repartition(tasks, "edge_id").join(links.repartition(tasks, "b"), F.col("edge_id") == F.col("b")).select("q", F.col("a").alias("edge_id"), no.alias("had_to"), no.alias("had_fro"), no.alias("to"), yes.alias("fro"))
         had = state.select("q", "edge_id", F.col("to").alias("had_to"), F.col("fro").alias("had_fro"), "to", "fro")
-        grown = had.unionByName(ahead).unionByName(back).groupBy("q", "edge_id").agg(*[F.max(c).alias(c) for c in ("had_to", "had_fro", "to", "fro")])
+        grown = had.unionByName(ahead).unionByName(back).repartition(tasks, "q").groupBy("q", "edge_id").agg(*[F.max(c).alias(c) for c in ("had_to", "had_fro", "to", "fro")])
         grown = grown.withColumn("new_to", F.col("to") & ~F.col("had_to")).withColumn("new_fro", F.col("fro") & ~F.col("had_fro"))
         # Once one side has ended, the other matters within it only.
         more_to, more_fro = F.max("new_to").over(whole), F.max("new_fro").over(whole)
