@@ -68,3 +68,26 @@ def test_empty_networks_have_no_parts(spark):
     n = imported(spark)
     none = Network(n.vertices.limit(0), n.edges.limit(0), n.turn_costs.limit(0))
     assert tile_parts(none).isEmpty()
+
+
+def test_parts_of_a_turn_are_tiles(spark):
+    """What lies in one tile never waits, and what lies in two is joined without Python."""
+    from waymark.plans import town
+
+    parts = tile_parts(town.town(spark, "/root/testdata/sf0.001"), 15)
+    same = parts.where("kind = 'turn'").groupBy("key").agg(F.countDistinct("tile").alias("tiles"), F.count("*").alias("n"), F.max("of").alias("of"))
+    assert same.where("tiles <> of or n <> of").isEmpty() and not same.where("of = 1").isEmpty()
+
+
+def test_two_parts_meet_once(spark, tmp_path, monkeypatch):
+    from waymark.plans import town
+    from waymark.streaming import parts as streaming
+
+    monkeypatch.setattr(streaming._LastPart, "handleInputRows", None)
+    parts = tile_parts(town.town(spark, "/root/testdata/sf0.001"), 15).where("of < 3").cache()
+    for some in ("part = 0", "part = 0", "true"):
+        parts.where(some).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        load_parts(spark, f"{tmp_path}/in", parts.schema, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").groupBy("kind", "key").count()
+    assert got.where("count > 1").isEmpty() and got.count() == parts.select("kind", "key").distinct().count()
+    parts.unpersist()

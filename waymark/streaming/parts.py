@@ -3,7 +3,8 @@
 A tile's file holds the parts that lie in it.  A thing is given out once, when the last of its
 parts comes, in whatever order and however often tiles arrive.  Which parts have come is state in RocksDB on
 the executors, one short list for each thing, kept in the checkpoint: a stream that starts again goes on from there and
-gives nothing out twice.  Things with one part only never wait; they are told from repeated ones by their keys, without Python.
+gives nothing out twice.  Things with one part only never wait; they are told from repeated ones by their keys, and
+those with two, nearly all others, are a join of the first parts with the second, both without Python.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 def tile_parts(network: Network, zoom: int = 14) -> DataFrame:
     """Every thing of a network in parts by tile: kind, key, part (from 0), of (how many there are), tile, and one of vertex, edge and turn with its columns.
 
-    A vertex has one part, an edge one for each tile that its ends lie in.  A turn has the parts of all its
-    edges, those behind it included, so it comes out when every edge that it names is whole.  Edges of
+    A vertex has one part, an edge one for each tile that its ends lie in.  A turn has one for each tile that its
+    edges lie in, those behind it included, so it comes out when every edge that it names is whole.  Edges of
     an import are known by their global ids; equal turns are told apart by a number.
     """
     v = network.vertices.withColumn("tile", tile_id(F.col("lon"), F.col("lat"), zoom))
@@ -50,7 +51,7 @@ def tile_parts(network: Network, zoom: int = 14) -> DataFrame:
         return each.select("kind", "key", "part", "of", "tile", kind)
 
     out = rows("vertex", v.select(F.col("vertex_id").cast("string").alias("key"), F.struct(*network.vertices.columns).alias("vertex"), F.array("tile").alias("tiles")), F.col("tiles"))
-    for kind, df, tiles in (("edge", e, F.col("tiles")), ("turn", t, F.transform("ps", lambda p: p["tile"]))):
+    for kind, df, tiles in (("edge", e, F.col("tiles")), ("turn", t, F.array_sort(F.array_distinct(F.transform("ps", lambda p: p["tile"]))))):
         out = out.unionByName(rows(kind, df, tiles), allowMissingColumns=True)
     return out
 
@@ -90,8 +91,10 @@ def load_parts(spark: SparkSession, source: str, schema: StructType | str, targe
     columns = ["kind", "key", *KINDS]
     single = arriving.where("of = 1").dropDuplicates(["kind", "key"]).select(*columns)
     spec = StructType([arriving.schema[c] for c in columns])
-    several = arriving.where("of > 1").groupBy("kind", "key").transformWithState(_LastPart(), spec, "Append", "None")
-    out = single.unionByName(several)
+    half = lambda part, *c: arriving.where(f"of = 2 and part = {part}").select(*c).dropDuplicates(["kind", "key"])
+    pairs = half(0, *columns).join(half(1, "kind", "key"), ["kind", "key"]).select(*columns)
+    several = arriving.where("of > 2").groupBy("kind", "key").transformWithState(_LastPart(), spec, "Append", "None")
+    out = single.unionByName(pairs).unionByName(several)
     return out.writeStream.format("parquet").partitionBy("kind").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
